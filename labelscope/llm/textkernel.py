@@ -81,21 +81,49 @@ def slices(raw: np.ndarray, offs: np.ndarray, chunk: int = CHUNK) -> Iterator[tu
 
 def word_spans(raw: np.ndarray, offs: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (byte positions) of words, and words per text as offsets into them."""
-    inside = member[raw]
-    edge = np.zeros(len(raw) + 1, dtype=bool)
-    edge[offs] = True
-    left = np.empty(len(raw), dtype=bool)
-    if len(raw):
-        left[0] = inside[0]
-        left[1:] = inside[1:] & (~inside[:-1] | edge[1:-1])
-    right = np.empty(len(raw), dtype=bool)
-    if len(raw):
-        right[-1] = inside[-1]
-        right[:-1] = inside[:-1] & (~inside[1:] | edge[1:-1])
-    starts, ends = np.flatnonzero(left), np.flatnonzero(right) + 1
+    starts, ends = runs(member[raw], offs)
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def runs(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of true values; none crosses an offset."""
+    edge = np.zeros(len(inside) + 1, dtype=bool)
+    edge[offs] = True
+    left, right = inside.copy(), inside.copy()
+    if len(inside):
+        left[1:] &= ~inside[:-1] | edge[1:-1]
+        right[:-1] &= ~inside[1:] | edge[1:-1]
+    return np.flatnonzero(left), np.flatnonzero(right) + 1
+
+
+class Vocabulary:
+    """Ids (from 0) of a bounded set of words by their 64-bit hashes."""
+
+    BITS = 18
+
+    def __init__(self, words: list[str]):
+        self.words = list(words)
+        hashes = np.array([hash_word(w) for w in self.words], dtype=np.uint64)
+        self._order = np.argsort(hashes)
+        self._sorted = hashes[self._order]
+        self._maybe = np.zeros(1 << self.BITS, dtype=bool)
+        self._maybe[self._low(hashes)] = True
+
+    def _low(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes & np.uint64((1 << self.BITS) - 1)).astype(np.int64)
+
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        """The id of each word, -1 for words outside."""
+        out = np.full(len(hashes), -1, np.int32)
+        at = np.flatnonzero(self._maybe[self._low(hashes)])
+        if len(at) and len(self._sorted):
+            place = np.searchsorted(self._sorted, hashes[at])
+            place[place == len(self._sorted)] = 0
+            ok = self._sorted[place] == hashes[at]
+            out[at[ok]] = self._order[place[ok]]
+        return out
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words (of lower-cased bytes where ``raw`` is so)."""
     up, down = _power_tables(len(raw) + 1)
