@@ -96,14 +96,26 @@ def runs(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(left), np.flatnonzero(right) + 1
 
 
-class Vocabulary:
-    """Ids (from 0) of a bounded set of words by their 64-bit hashes."""
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words (of lower-cased bytes where ``raw`` is so)."""
+    up, down = _power_tables(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts])
+
+
+def hash_word(word: str) -> int:
+    raw = np.frombuffer(word.encode(), np.uint8)
+    return int(word_hashes(raw, np.array([0]), np.array([len(raw)]))[0])
+
+
+class HashIndex:
+    """Places of 64-bit hashes in a bounded list of distinct ones."""
 
     BITS = 18
 
-    def __init__(self, words: list[str]):
-        self.words = list(words)
-        hashes = np.array([hash_word(w) for w in self.words], dtype=np.uint64)
+    def __init__(self, hashes: np.ndarray):
+        hashes = np.asarray(hashes, dtype=np.uint64)
         self._order = np.argsort(hashes)
         self._sorted = hashes[self._order]
         self._maybe = np.zeros(1 << self.BITS, dtype=bool)
@@ -113,7 +125,7 @@ class Vocabulary:
         return (hashes & np.uint64((1 << self.BITS) - 1)).astype(np.int64)
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
-        """The id of each word, -1 for words outside."""
+        """The place of each hash, -1 for those outside."""
         out = np.full(len(hashes), -1, np.int32)
         at = np.flatnonzero(self._maybe[self._low(hashes)])
         if len(at) and len(self._sorted):
@@ -124,17 +136,12 @@ class Vocabulary:
         return out
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words (of lower-cased bytes where ``raw`` is so)."""
-    up, down = _power_tables(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+class Vocabulary(HashIndex):
+    """Ids (from 0) of a bounded set of words by their hashes."""
 
-
-def hash_word(word: str) -> int:
-    raw = np.frombuffer(word.encode(), np.uint8)
-    return int(word_hashes(raw, np.array([0]), np.array([len(raw)]))[0])
+    def __init__(self, words: list[str]):
+        self.words = list(words)
+        super().__init__(np.array([hash_word(w) for w in self.words], dtype=np.uint64))
 
 
 _SHINGLE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
