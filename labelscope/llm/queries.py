@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from labelscope.llm import mixing, near_dup
+from labelscope.llm import decontaminate, html_text, licenses, mixing, near_dup, quality, token_counts, toxicity
 
 QUERIES = {
+    "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_minhash_near_dedup": near_dup.op3_minhash_near_dedup,
+    "op4_decontamination": decontaminate.op4_decontamination,
+    "op6_html_extraction": html_text.op6_html_extraction,
+    "op7_token_counts": token_counts.op7_token_counts,
     "op8_mixing": mixing.op8_mixing,
+    "op9_license_scan": licenses.op9_license_scan,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 #: Queries that SQL can express; the others are tested against brute force in tests/llm.
 ORACLE = {
+    "op4_decontamination": decontaminate.OP4_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }
