@@ -4,17 +4,17 @@
    5-word shingles, a fingerprint of that set and a signature of ``K`` minima.
    Documents with equal sets form a class; one representative goes on.
 2. Representatives are posted under every (coordinate, value) pair. Pairs that
-   only one holds are dropped (skip: they cannot collide). Two representatives
-   that agree on ``M`` of ``K`` coordinates must share one of the rarest
+   only one holds are skipped: they cannot collide. Two representatives that
+   agree on ``M`` of ``K`` coordinates must share one of the rarest
    ``kept - M + 1`` of their remaining pairs, so only that prefix is posted on.
-3. Posting lists are merged in blocks of at most ``BLOCK`` members. A block counts
-   collisions over all ``K`` coordinates and, where ``M`` is reached and the set
-   sizes allow the similarity, has a candidate. In the first rounds it returns a
-   maximum spanning forest of its candidates between different components, so a
-   group of n near copies costs n rows, not n * n; in the last round it returns
-   every remaining candidate between different components.
-4. Candidates are confirmed on the full shingle sets of both texts, and the
-   components of the confirmed links are extended.
+3. Posting lists are merged in blocks of at most about ``BLOCK`` members. A block
+   counts collisions over all ``K`` coordinates; members with a partner of at least
+   ``M``, of a size that allows the similarity, stay. A pair is looked at in one
+   list only, the longest of those that hold both, so that a group of near copies
+   stays together. Members are put out, never pairs.
+4. The blocks that are left get the members' texts, count the common shingles of
+   all their pairs exactly, and put out edges that connect what the links connect:
+   one for each member at most. The components of these edges are the result.
 
 A pair of similarity 0.75 misses ``M`` = 12 of ``K`` = 32 with probability 1.7e-6.
 """
@@ -24,25 +24,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.llm import textkernel as tk
 from labelscope.llm.common import bound_batches, cut, table
-from labelscope.llm.components import connected_components
+from labelscope.llm.components import connected_components, smallest_reachable
 
 K, M, WIDTH = 32, 12, 5
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-BLOCK = 2048
-FOREST_ROUNDS = 3
+BLOCK = 1024
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _MUL = _rng.integers(1, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = _rng.integers(1, 2**63, K, dtype=np.uint64)
-_SIGNED = np.uint64(1 << 63)
 
 
 def text_shingles(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -87,107 +84,153 @@ def signatures(docs: DataFrame) -> DataFrame:
     )
 
 
-def _forest(sig: np.ndarray, size: np.ndarray, comp: np.ndarray, side: np.ndarray | None) -> list[tuple[int, int]]:
-    """Edges of a maximum spanning forest (by collisions) over candidates between components."""
-    n = len(sig)
-    best, via = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-    todo = np.ones(n, bool)
-    edges = []
-    for _ in range(n):
-        at = int(np.argmax(np.where(todo, best, -2)))
-        todo[at] = False
-        if best[at] >= M and via[at] >= 0 and comp[via[at]] != comp[at]:
-            edges.append((int(via[at]), at))
-        rest = np.flatnonzero(todo)
+def _grouped(batches: Iterator[pa.RecordBatch], arrays) -> Iterator[dict[str, np.ndarray]]:
+    """Columns (by ``arrays``) of every run of equal (token, i, j) in sorted batches."""
+    held: dict[str, np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = arrays(batch)
+        if held is not None:
+            now = {k: np.concatenate([held[k], v]) for k, v in now.items()}
+        cuts = np.flatnonzero((now["token"][1:] != now["token"][:-1]) | (now["i"][1:] != now["i"][:-1]) | (now["j"][1:] != now["j"][:-1])) + 1
+        bounds = np.concatenate([[0], cuts])
+        for x, y in zip(bounds[:-1], bounds[1:], strict=True):
+            yield {k: v[x:y] for k, v in now.items()}
+        held = {k: v[bounds[-1] :] for k, v in now.items()}
+    if held is not None:
+        yield held
+
+
+def _wide(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    out = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in ("token", "i", "j", "rep", "n", "block")}
+    return out | {name: batch.column(name).flatten().to_numpy().reshape(-1, K) for name in ("sig", "dfs")}
+
+
+def _colliding(g: dict[str, np.ndarray]) -> np.ndarray:
+    """Members of a block that have a partner in it: M collisions, fitting sizes, and this list as the pair's own.
+
+    A pair belongs to the most frequent of the coordinate values that both are posted under.
+    """
+    n, token = len(g["rep"]), int(g["token"][0])
+    sig, dfs, size = g["sig"], g["dfs"], g["n"]
+    df = dfs[0, token >> 32]
+    tokens = (np.arange(K, dtype=np.int64) << 32) + (sig.astype(np.int64) & 0xFFFFFFFF)
+    above = (dfs > df) | ((dfs == df) & (tokens > token))
+    posted = dfs > 0
+    split = g["i"][0] != g["j"][0]
+    used = np.zeros(n, bool)
+    for at in range(n - 1):
+        rest = np.flatnonzero(100 * np.minimum(size[at + 1 :], size[at]) >= PERCENT * np.maximum(size[at + 1 :], size[at])) + at + 1
+        if split:
+            rest = rest[g["block"][rest] != g["block"][at]]
         if not len(rest):
-            break
-        hits = _collisions(sig, size, at, rest)
-        if side is not None:
-            hits[side[rest] == side[at]] = 0
-        hits[comp[rest] == comp[at]] = K + 1
-        up = hits > best[rest]
-        best[rest[up]], via[rest[up]] = hits[up], at
-    return edges
-
-
-def _collisions(sig: np.ndarray, size: np.ndarray, at: int, rest: np.ndarray) -> np.ndarray:
-    """Agreeing coordinates of ``at`` and ``rest``; 0 below M or where sizes rule a link out."""
-    fits = 100 * np.minimum(size[rest], size[at]) >= PERCENT * np.maximum(size[rest], size[at])
-    hits = np.zeros(len(rest), np.int64)
-    hits[fits] = (sig[rest[fits]] == sig[at]).sum(1)
-    hits[hits < M] = 0
-    return hits
-
-
-def _merge(every: bool):
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("rep")
-        rep, size, comp = frame["rep"].to_numpy(), frame["n"].to_numpy(), frame["comp"].to_numpy()
-        sig = np.stack(frame["sig"].to_numpy())
-        side = frame["block"].to_numpy() if frame["i"].iloc[0] != frame["j"].iloc[0] else None
-        if every:
-            edges = []
-            for at in range(len(rep) - 1):
-                rest = np.arange(at + 1, len(rep))
-                rest = rest[(comp[rest] != comp[at]) & (side[rest] != side[at] if side is not None else True)]
-                if len(rest):
-                    edges += [(at, int(x)) for x in rest[_collisions(sig, size, at, rest) > 0]]
-        else:
-            edges = _forest(sig, size, comp, side)
-        pair = np.array(edges, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": rep[pair].min(1) if len(pair) else pair[:, 0], "b": rep[pair].max(1) if len(pair) else pair[:, 1]})
-
-    return merge
+            continue
+        same = sig[rest] == sig[at]
+        good = same.sum(1) >= M
+        good &= ~(same & posted[rest] & posted[at] & above[at]).any(1)
+        if good.any():
+            used[at] = used[rest[good]] = True
+    return used
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out: list[dict[str, np.ndarray]] = []
+    rows = 0
+    names = ("token", "i", "j", "rep", "block")
+    for g in _grouped(batches, _wide):
+        used = _colliding(g)
+        if used.any():
+            out.append({k: g[k][used] for k in names})
+            rows += int(used.sum())
+        if rows > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in names], names=list(names))
+            out, rows = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in names], names=list(names))
+
+
+def _with_sets(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    out = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in ("token", "i", "j", "rep", "block")}
+    sets = np.empty(batch.num_rows, object)
+    for lo, hi, sh, so in text_shingles(batch.column("text")):
+        for d in range(hi - lo):
+            sets[lo + d] = np.unique(sh[so[d] : so[d + 1]])
+    return out | {"sets": sets}
+
+
+def linked_pairs(sets: list[np.ndarray], block: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of distinct-element arrays that reach the similarity, by counting common elements.
+
+    With ``block``, only pairs of different blocks.
+    """
+    size = np.array([len(s) for s in sets])
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(size)
+    mark = np.zeros(int(flat.max()) + 1, np.int32)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(len(sets) - 1):
+        mine = flat[ends[at] - size[at] : ends[at]]
+        mark[mine] = 1
+        total = np.concatenate([[0], np.cumsum(mark[flat[ends[at] :]])])
+        common = total[ends[at + 1 :] - ends[at]] - total[ends[at:-1] - ends[at]]
+        mark[mine] = 0
+        good = 100 * common >= PERCENT * (size[at + 1 :] + size[at] - common)
+        if block is not None:
+            good &= block[at + 1 :] != block[at]
+        found = np.flatnonzero(good & (common > 0)) + at + 1
+        left.append(np.full(len(found), at))
+        right.append(found)
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets: list[list[np.ndarray]] = []
-        for side in ("text_a", "text_b"):
-            mine: list[np.ndarray] = []
-            for lo, hi, sh, so in text_shingles(batch.column(side)):
-                mine += [np.unique(sh[so[d] : so[d + 1]]) for d in range(hi - lo)]
-            sets.append(mine)
-        keep = np.zeros(batch.num_rows, bool)
-        for i, (a, b) in enumerate(zip(*sets, strict=True)):
-            both = np.sort(np.concatenate([a, b]))
-            common = int((both[1:] == both[:-1]).sum())
-            keep[i] = 100 * common >= PERCENT * (len(both) - common) and common > 0
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
-
-
-def confirm_links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full sets reach the similarity."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    full = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"
-    )
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
+    for g in _grouped(batches, _with_sets):
+        a, b = linked_pairs(list(g["sets"]), g["block"] if g["i"][0] != g["j"][0] else None)
+        if len(a):
+            node, low = smallest_reachable(g["rep"][a], g["rep"][b])
+            keep = node != low
+            yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(low[keep])], names=["a", "b"])
 
 
 def prefixes(reps: DataFrame) -> DataFrame:
-    """(rep, n, sig, tokens): the rarest shared (coordinate, value) pairs to post each one under."""
-    posted = reps.select("rep", F.posexplode("sig").alias("k", "v")).select(
-        "rep", (F.shiftleft(F.col("k").cast("long"), 32) + (F.col("v").cast("long").bitwiseAND(0xFFFFFFFF))).alias("token")
-    )
+    """(rep, n, sig, dfs): for each coordinate how many share its value, 0 where it is not posted on."""
+    posted = reps.select("rep", F.posexplode("sig").alias("k", "v")).select("rep", _token("k", "v"))
     shared = posted.groupBy("token").agg(F.count("*").alias("df")).filter("df >= 2")
     kept = posted.join(shared, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("kept"))
-    kept = kept.filter(F.size("kept") >= M).select("rep", F.expr(f"transform(slice(kept, 1, size(kept) - {M} + 1), x -> x.token)").alias("tokens"))
-    return reps.join(kept, "rep").select("rep", "n", "sig", "tokens")
+    kept = kept.filter(F.size("kept") >= M).select("rep", F.expr(f"slice(kept, 1, size(kept) - {M} + 1)").alias("kept"))
+    dfs = F.expr(f"transform(sequence(0, {K} - 1), k -> coalesce(try_element_at(filter(kept, x -> shiftright(x.token, 32) = k), 1).df, 0L))")
+    return reps.join(kept, "rep").select("rep", "n", "sig", dfs.alias("dfs"))
+
+
+def _token(k: str, v: str):
+    return (F.shiftleft(F.col(k).cast("long"), 32) + F.col(v).cast("long").bitwiseAND(0xFFFFFFFF)).alias("token")
 
 
-def candidates(members: DataFrame, every: bool) -> DataFrame:
-    """Candidate pairs between components from blocked posting lists of ``members`` (rep, n, sig, tokens, comp)."""
-    posted = members.select("rep", "comp", F.explode("tokens").alias("token"))
-    lists = posted.groupBy("token").agg(F.count("*").alias("length"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+def candidates(members: DataFrame) -> DataFrame:
+    """(token, i, j, rep, block): the members that have partners in the blocks of posting lists."""
+    posted = members.select("rep", F.posexplode(F.arrays_zip("sig", "dfs")).alias("k", "x")).filter("x.dfs > 0")
+    posted = posted.select("rep", _token("k", "x.sig"))
+    lists = posted.groupBy("token").agg(F.count("*").alias("length")).filter("length >= 2")
     lists = lists.select("token", F.ceil(F.col("length") / BLOCK).cast("int").alias("blocks"))
     dealt = posted.join(lists, "token").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # every block meets every other one once, and itself
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("token", "rep", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    full = dealt.join(members.select("rep", "n", "sig"), "rep")
-    return full.groupBy("token", "i", "j").applyInPandas(_merge(every), "a long, b long").distinct()
+    dealt = dealt.select("token", "rep", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return _sorted_blocks(dealt.join(members, "rep")).mapInArrow(_merge, "token long, i int, j int, rep long, block int")
+
+
+def _sorted_blocks(rows: DataFrame) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j", "rep")
+
+
+def confirmed(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """Edges (a, b) that join the members of ``found`` as their links, confirmed on full sets, do."""
+    needed = found.select(F.col("rep").alias("doc_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = cut(texts.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return _sorted_blocks(found.join(texts, F.col("rep") == F.col("doc_id")).drop("doc_id")).mapInArrow(_confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -205,24 +248,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     classes = cut(classes)
     members = cut(prefixes(classes.select("rep", F.col("n_shingles").alias("n"), "sig")))
-    links = component = None
-    for turn in range(FOREST_ROUNDS + 1):
-        every = turn == FOREST_ROUNDS
-        now = members.withColumn("comp", F.col("rep"))
-        if component is not None:
-            now = members.join(component, F.col("rep") == F.col("node"), "left").select(*members.columns, F.coalesce("component", "rep").alias("comp"))
-        found = cut(candidates(now, every))
-        if links is not None and not every:
-            found = found.join(tried, ["a", "b"], "left_anti")
-        good = cut(confirm_links(found, docs))
-        tried = found if links is None else tried.unionByName(found)
-        grown = good.isEmpty()
-        links = good if links is None else links.unionByName(good)
-        if not grown:
-            component = cut(connected_components(links))
-        elif every:
-            break
-    component = component if component is not None else connected_components(links)
+    component = connected_components(confirmed(cut(candidates(members)), docs))
     reps = classes.select("f1", "f2", "n_shingles", "rep")
     out = signed.select("doc_id", "n_shingles", "f1", "f2").join(reps, ["f1", "f2", "n_shingles"], "left")
     out = out.join(component, F.col("rep") == F.col("node"), "left")
