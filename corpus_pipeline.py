@@ -7,23 +7,51 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelscope.llm import mixing, near_dup
+from labelscope.llm import decontaminate, deobfuscate, mixing, near_dup, quality, toxicity
+from labelscope.llm.common import cut, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the quality classifier, learned on this stage's input, rejects."""
+    return quality.keep_good(docs, quality.fit(docs, quality.training_labels(spark, sf_dir)))
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that score as toxic; language model and lexicon come from this stage's input."""
+    costs = deobfuscate.language_model(toxicity.corpus_trigrams(docs))
+    return toxicity.keep_civil(docs, costs, toxicity.fit(docs, toxicity.training_labels(spark, sf_dir), costs))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document (the smallest doc_id) of each group of near copies; texts without words stay."""
+    """Keep one document (the smallest doc_id) of each group of near copies.
+
+    Texts without words and rows without doc_id stay; equal doc_ids are one document.
+    """
     found = near_dup.near_duplicates(docs.select("doc_id", "text"))
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    gone = cut(found.filter("doc_id <> component_id").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop contaminated documents, by the rule of ``decontaminate.is_contaminated``; others stay as they are.
+
+    Rows without doc_id are one document: all go if one is contaminated.
+    """
+    found = decontaminate.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    gone = cut(found.filter(decontaminate.is_contaminated()).select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti").select(docs.columns)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes words of, with how many (repeats counted)."""
     return mixing.mix_documents(docs).filter("taken > 0").select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 STAGES = [
+    ("quality", quality_stage),
+    ("toxicity", toxicity_stage),
     ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
     ("mixing", mixing_stage),
 ]
 

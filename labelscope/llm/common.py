@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -36,3 +40,23 @@ def cut(df: DataFrame) -> DataFrame:
 def document_remainder(modulus: int, column: str = "doc_id"):
     """crc32 of the id as text, modulo ``modulus``: the fold a document is in."""
     return F.crc32(F.col(column).cast("string")) % modulus
+
+
+def keep_scored(docs: DataFrame, score: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, np.ndarray]]], keep) -> DataFrame:
+    """Rows of ``docs`` for whose score ``keep`` (a function of a column) holds, columns as they were.
+
+    ``score`` gives each batch of rows with its scores. No join is needed, so ids may
+    repeat or be missing.
+    """
+    bound_batches(docs.sparkSession)
+    name = "_score"
+    while name in docs.columns:
+        name += "_"
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
+    names = [*docs.columns, name]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, scores in score(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=names)
+
+    return docs.mapInArrow(run, schema).filter(keep(F.col(name))).select(*[F.col(f"`{c}`") for c in docs.columns])

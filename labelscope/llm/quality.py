@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.llm import textkernel as tk
-from labelscope.llm.common import bound_batches, document_remainder, table
+from labelscope.llm.common import bound_batches, document_remainder, keep_scored, table
 
 PASSAGE_BYTES = 512
 #: A longer text has longer passages, not more of them.
@@ -189,8 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
     return train([np.frombuffer(r["bag"], np.float32).reshape(-1, N_FEATURES) for r in got], y)
 
 
-def _scorer(shared):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scored(shared):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
         model = shared.value
         for batch in batches:
             out = np.full(batch.num_rows, model if isinstance(model, float) else 0.0)
@@ -198,9 +198,7 @@ def _scorer(shared):
                 for lo, hi, features, poffs in passages(batch.column("text")):
                     x = np.clip((features - model.mean) * model.scale, -6, 6)
                     out[lo:hi] = _forward(model.weights, x, poffs)[0]
-            rest = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text"]
-            names = [name for name in batch.schema.names if name != "text"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(out)], names=[*names, "score"])
+            yield batch, out
 
     return score
 
@@ -209,12 +207,22 @@ def score_quality(docs: DataFrame, model: Model | float) -> DataFrame:
     """(doc_id, score) for every row of ``docs`` (doc_id, text); a null text is empty."""
     spark = docs.sparkSession
     bound_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    scored = _scored(spark.sparkContext.broadcast(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, out in scored(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out)], names=["doc_id", "score"])
+
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _scorer(shared), "doc_id long, score double"
+        run, "doc_id long, score double"
     )
 
 
+def keep_good(docs: DataFrame, model: Model | float, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns."""
+    return keep_scored(docs, _scored(docs.sparkSession.sparkContext.broadcast(model)), lambda s: s >= threshold)
+
+
 HELD_OUT = (3, 1)
 
 

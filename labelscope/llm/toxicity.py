@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.llm import textkernel as tk
-from labelscope.llm.common import bound_batches, document_remainder, table
+from labelscope.llm.common import bound_batches, document_remainder, keep_scored, table
 from labelscope.llm.deobfuscate import N_SYMBOLS, Restorer, count_trigrams, language_model
 
 TRAIN_DOCS = 16_000
@@ -170,26 +170,38 @@ def _weigh(rows: list[np.ndarray], y: np.ndarray, candidates: np.ndarray) -> Lex
     return Lexicon(candidates[good], w, float(b))
 
 
+def _scored(shared):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        costs, words = shared.value
+        index = words.index()
+        for batch, parts in _restored(batches, costs):
+            pairs = _present(parts, index)
+            logit = words.bias + np.bincount(pairs[:, 0], weights=words.weights[pairs[:, 1]], minlength=batch.num_rows)
+            yield batch, 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+    return score
+
+
 def score_toxicity(docs: DataFrame, costs: np.ndarray, lexicon: Lexicon) -> DataFrame:
     """(doc_id, score) for every row of ``docs`` (doc_id, text); a null text is empty."""
     spark = docs.sparkSession
     bound_batches(spark)
-    shared = spark.sparkContext.broadcast((costs, lexicon))
+    scored = _scored(spark.sparkContext.broadcast((costs, lexicon)))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, words = shared.value
-        index = words.index()
-        for batch, parts in _restored(batches, table):
-            pairs = _present(parts, index)
-            logit = words.bias + np.bincount(pairs[:, 0], weights=words.weights[pairs[:, 1]], minlength=batch.num_rows)
-            out = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, out in scored(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out)], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        score, "doc_id long, score double"
+        run, "doc_id long, score double"
     )
 
 
+def keep_civil(docs: DataFrame, costs: np.ndarray, lexicon: Lexicon, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+    return keep_scored(docs, _scored(docs.sparkSession.sparkContext.broadcast((costs, lexicon))), lambda s: s < threshold)
+
+
 def restored_texts(docs: DataFrame, costs: np.ndarray) -> DataFrame:
     """(doc_id, restored): lower-cased texts with disguised words restored; null stays null."""
     shared = docs.sparkSession.sparkContext.broadcast(costs)
