@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from labelscope.llm import decontaminate, html_text, licenses, mixing, near_dup, quality, token_counts, toxicity
+from labelscope.llm import decontaminate, embedding_dedup, html_text, licenses, mixing, near_dup, quality, token_counts, toxicity
 
 QUERIES = {
+    "op1_embedding_near_dedup": embedding_dedup.op1_embedding_near_dedup,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_minhash_near_dedup": near_dup.op3_minhash_near_dedup,
     "op4_decontamination": decontaminate.op4_decontamination,
@@ -17,6 +18,7 @@ QUERIES = {
 
 #: Queries that SQL can express; the others are tested against brute force in tests/llm.
 ORACLE = {
+    "op1_embedding_near_dedup": embedding_dedup.OP1_SQL,
     "op4_decontamination": decontaminate.OP4_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }
