@@ -84,6 +84,7 @@ class Tree:
         self.centre: list[np.ndarray] = []
         self.of_point: list[np.ndarray] = []
         self.radius: list[np.ndarray] = []
+        self.many: list[np.ndarray] = []  # whether a node has more than one point
         self.weight: list[np.ndarray] = []
         self.children: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for level in range(path.shape[1] + 1):
@@ -92,7 +93,9 @@ class Tree:
             gap = _chord(np.einsum("ij,ij->i", x, x[node]))
             radius = np.zeros(len(centre))
             np.maximum.at(radius, of_point, gap)
-            radius[np.bincount(of_point, minlength=len(centre)) == 1] = 0.0
+            points = np.bincount(of_point, minlength=len(centre))
+            radius[points == 1] = 0.0
+            self.many.append(points > 1)
             self.centre.append(centre)
             self.of_point.append(of_point)
             self.radius.append(radius)
@@ -179,9 +182,9 @@ def _descend(a: Tree, b: Tree, own: bool, level: int, i: np.ndarray, j: np.ndarr
         else:
             gap = _chord(cosine)
             both = a.radius[level][p] + b.radius[level][q]
-            whole = (gap + both <= limit - FINE) & (~same | (a.radius[level][p] > 0))
-            open_ = ~whole & (gap <= limit + both + FINE)
-            open_ &= ~(same & (a.children[level][2][p] == 1) & (a.radius[level][p] == 0))
+            alone = same & ~a.many[level][p]
+            whole = (gap + both <= limit - FINE) & ~alone
+            open_ = ~whole & (gap <= limit + both + FINE) & ~alone
         alike = whole & same
         if alike.any():
             a.inner[level][p[alike]] = True
