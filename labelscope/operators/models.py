@@ -45,9 +45,9 @@ def _grid(family: str, **axes: tuple) -> tuple[Candidate, ...]:
 
 
 GRIDS = {
-    "logistic": _grid("logistic", C=(0.1, 1.0, 10.0), class_weight=("none", "balanced")),
-    "random_forest": _grid("random_forest", max_depth=(3, 6), min_samples_leaf=(5, 2), class_weight=("none", "balanced")),
-    "xgboost": _grid("xgboost", max_depth=(2, 3), learning_rate=(0.03, 0.1), weight_mode=("none", "balanced")),
+    "logistic": _grid("logistic", C=(0.1, 1.0, 10.0), class_weight=(None, "balanced")),
+    "random_forest": _grid("random_forest", max_depth=(3, 6), min_samples_leaf=(5, 2), class_weight=(None, "balanced")),
+    "xgboost": _grid("xgboost", max_depth=(2, 3), learning_rate=(0.03, 0.1), class_weight_mode=("none", "training_ratio")),
 }
 #: Trees of a forest and rounds of boosting; tests and small boxes take fewer.
 TREES, ROUNDS = 300, 200
@@ -112,7 +112,7 @@ def weighted(train: DataFrame, candidate: Candidate, n0: int, n1: int) -> DataFr
     if p.get("class_weight") == "balanced":
         w0, w1 = (n0 + n1) / (2.0 * n0), (n0 + n1) / (2.0 * n1)
     else:
-        w0, w1 = 1.0, (n0 / n1 if p.get("weight_mode") == "balanced" else 1.0)
+        w0, w1 = 1.0, (n0 / n1 if p.get("class_weight_mode") == "training_ratio" else 1.0)
     return train.withColumn("weight", F.when(F.col("y") == 1, F.lit(w1)).otherwise(F.lit(w0)))
 
 

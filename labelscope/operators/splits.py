@@ -73,7 +73,7 @@ def group_folds(counts: dict[str, tuple[int, ...]], n_splits: int, seed: int) ->
 
     ``counts`` are class counts by group. Groups in order of their ids are shuffled, those
     with the most uneven counts go first (stable), and each joins the fold where the spread
-    of class shares between folds becomes smallest; a tie goes to the fold with fewer rows.
+    of class shares between folds becomes smallest; of nearly equal ones, the fold with fewer rows.
     """
     names = sorted(counts)
     table = np.array([counts[g] for g in names], dtype=float)
@@ -89,8 +89,7 @@ def group_folds(counts: dict[str, tuple[int, ...]], n_splits: int, seed: int) ->
             trial = held.copy()
             trial[fold] += table[group]
             spread, rows = (trial / total).std(axis=0).mean(), trial[fold].sum()
-            tie = bool(np.isclose(spread, best_spread)) if np.isfinite(best_spread) else False
-            if (tie and rows < best_rows) or (not tie and spread < best_spread):
+            if spread < best_spread or (np.isclose(spread, best_spread) and rows < best_rows):
                 best, best_spread, best_rows = fold, spread, rows
         held[best] += table[group]
         folds[best].append(names[group])
