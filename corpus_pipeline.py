@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.llm import decontaminate, deobfuscate, mixing, near_dup, quality, toxicity
-from labelscope.llm.common import cut, table
+from labelscope.llm.common import cut, join_side, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     found = near_dup.near_duplicates(docs.select("doc_id", "text"))
     gone = cut(found.filter("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(join_side(gone), "doc_id", "left_anti").select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """
     found = decontaminate.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
     gone = cut(found.filter(decontaminate.is_contaminated()).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti").select(docs.columns)
+    return docs.join(join_side(gone), docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti").select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,6 +37,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of one id column that may be broadcast (about 16 MB).
+BROADCAST_ROWS = 500_000
+
+
+def join_side(ids: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``ids``, one column of a written table, marked for broadcasting if it has at most ``limit`` rows.
+
+    Beyond that it stays as it is and the join shuffles both sides.
+    """
+    return F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids
+
+
 def document_remainder(modulus: int, column: str = "doc_id"):
     """crc32 of the id as text, modulo ``modulus``: the fold a document is in."""
     return F.crc32(F.col(column).cast("string")) % modulus

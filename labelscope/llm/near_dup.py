@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.llm import textkernel as tk
-from labelscope.llm.common import bound_batches, cut, table
+from labelscope.llm.common import bound_batches, cut, join_side, table
 from labelscope.llm.components import connected_components, smallest_reachable
 
 K, M, WIDTH = 32, 12, 5
@@ -227,7 +227,7 @@ def _sorted_blocks(rows: DataFrame) -> DataFrame:
 
 def confirmed(found: DataFrame, docs: DataFrame) -> DataFrame:
     """Edges (a, b) that join the members of ``found`` as their links, confirmed on full sets, do."""
-    needed = found.select(F.col("rep").alias("doc_id")).distinct()
+    needed = join_side(cut(found.select(F.col("rep").alias("doc_id")).distinct()))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = cut(texts.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     return _sorted_blocks(found.join(texts, F.col("rep") == F.col("doc_id")).drop("doc_id")).mapInArrow(_confirm, "a long, b long")
