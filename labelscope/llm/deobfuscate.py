@@ -25,6 +25,8 @@ RESEMBLES, WILD, NOTHING, LITERAL, GAP, SHORTENED = 1.0, 2.5, 1.2, 6.5, 2.0, 0.5
 #: A longer token is an identifier, not a disguised word.
 LONGEST = 40
 SPACED = 4
+#: Readings kept, and how much dearer than the best a rival may be.
+RIVALS, MARGIN = 5, 7.0
 REMEMBERED = 200_000
 
 N_SYMBOLS = 28  # 0 boundary, 1-26 letters, 27 any other letter
@@ -97,7 +99,8 @@ class Restorer:
         self.costs = costs.tolist()
         self.known: dict[str, str] = {}
 
-    def token(self, token: str) -> str:
+    def readings(self, token: str) -> list[str]:
+        """The best path and its near rivals, best first."""
         out = self.known.get(token)
         if out is None:
             if len(self.known) >= REMEMBERED:
@@ -105,6 +108,9 @@ class Restorer:
             out = self.known[token] = self._viterbi(token)
         return out
 
+    def token(self, token: str) -> str:
+        return self.readings(token)[0]
+
     def _options(self, token: str) -> list[list[tuple[str, float, bool]]]:
         """Per run of equal characters: (text put out, cost, whether it is a boundary to the model)."""
         steps: list[list[tuple[str, float, bool]]] = []
@@ -132,33 +138,35 @@ class Restorer:
             steps.append(options)
         return steps
 
-    def _viterbi(self, token: str) -> str:
+    def _viterbi(self, token: str) -> list[str]:
+        """Texts of the cheapest paths; a state (the last two symbols) holds its ``RIVALS`` best."""
         costs = self.costs
-        paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        paths: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
         for options in self._options(token):
-            ahead: dict[tuple[int, int], tuple[float, str]] = {}
-            for (p, q), (cost, text) in paths.items():
+            ahead: dict[tuple[int, int], list[tuple[float, str]]] = {}
+            for (p, q), held in paths.items():
                 for out, price, boundary in options:
-                    a, b, total = p, q, cost + price
+                    a, b, more = p, q, price
                     for symbol in (0,) if boundary else [_symbol(x) for x in out]:
-                        total += costs[a][b][symbol]
+                        more += costs[a][b][symbol]
                         a, b = b, symbol
-                    held = ahead.get((a, b))
-                    if held is None or total < held[0]:
-                        ahead[a, b] = (total, text + out)
-            paths = ahead
-        return min((cost + costs[a][b][0], text) for (a, b), (cost, text) in paths.items())[1]
-
-    def texts(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower-cased texts with their disguised tokens restored, as bytes and offsets."""
+                    ahead.setdefault((a, b), []).extend((cost + more, text + out) for cost, text in held)
+            paths = {state: sorted(held)[:RIVALS] for state, held in ahead.items()}
+        ends = sorted((cost + costs[a][b][0], text) for (a, b), held in paths.items() for cost, text in held)
+        return list(dict.fromkeys(text for cost, text in ends if cost <= ends[0][0] + MARGIN))[:RIVALS]
+
+    def texts(self, raw: np.ndarray, offs: np.ndarray, rivals: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Lower-cased texts with their disguised tokens restored, as bytes and offsets.
+
+        With ``rivals``, a token is followed by the rivals of its best reading, for scoring.
+        """
         pieces, at, grown = [], 0, []
         data = raw.tobytes()
         for a, b in suspects(raw, offs):
             if a < at:
                 continue
             before = data[a:b].decode()
-            # white space and edge punctuation around the word stay as they are
-            after = self.token(before)
+            after = " ".join(self.readings(before)) if rivals else self.token(before)
             if after != before:
                 put = after.encode()
                 pieces += [data[at:a], put]

@@ -27,6 +27,8 @@ BEGINNINGS = (4, 5, 6)
 MIN_POSITIVE, CANDIDATES, LEXICON = 3, 40_000, 4000
 #: A lexicon feature's rate in toxic documents is at least LIFT times that in others.
 LIFT = 4.0
+#: A feature of at least this precision, at odds of 1 to CHANCE against coincidence, tells by itself.
+PRECISION, CHANCE = 0.995, 1e8
 HELD_OUT = (5, 0)
 
 
@@ -79,7 +81,7 @@ def _restored(batches: Iterator[pa.RecordBatch], costs: np.ndarray):
     restorer = Restorer(costs)
     for batch in batches:
         raw, offs = tk.buffers(batch.column("text"))
-        yield batch, [(lo, *restorer.texts(tk.LOWER[part], at)) for lo, _, part, at in tk.slices(raw, offs)]
+        yield batch, [(lo, *restorer.texts(tk.LOWER[part], at, rivals=True)) for lo, _, part, at in tk.slices(raw, offs)]
 
 
 def _present(parts, index: tk.HashIndex) -> np.ndarray:
@@ -130,17 +132,32 @@ def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, train_docs: int =
             pairs = _present(parts, index)
             lists = np.split(pairs[:, 1].astype(np.int32), np.searchsorted(pairs[:, 0], np.arange(1, batch.num_rows)))
             places = pa.array([x.tobytes() for x in lists], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), places], names=["doc_id", "label", "places"])
-
-    got = texts.mapInArrow(look, "doc_id long, label int, places binary").collect()
+            marks = np.zeros((2, batch.num_rows), np.uint64)
+            for lo, raw, offs in parts:
+                marks[:, lo : lo + len(offs) - 1] = _marks(raw, offs)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("label"), places, *(pa.array(m.view(np.int64)) for m in marks)], names=["doc_id", "label", "places", "m1", "m2"]
+            )
+
+    got = texts.mapInArrow(look, "doc_id long, label int, places binary, m1 long, m2 long").collect()
     got.sort(key=lambda r: (r["doc_id"], r["places"]))
     y = np.array([r["label"] for r in got], np.float64)
     if not len(y) or y.min() == y.max():
         return Lexicon(np.zeros(0, np.uint64), np.zeros(0), 4.0 if len(y) and y[0] else -4.0)
-    return _weigh([np.frombuffer(r["places"], np.int32) for r in got], y, candidates)
+    marks = np.array([(r["m1"], r["m2"]) for r in got])
+    return _weigh([np.frombuffer(r["places"], np.int32) for r in got], y, candidates, marks)
+
+
+def _marks(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Two minima over each text's feature hashes: near copies mostly have the same."""
+    doc, hashes = features(raw, offs)
+    out = np.full((2, len(offs) - 1), np.iinfo(np.int64).max, np.uint64)
+    for k, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
+        np.minimum.at(out[k], doc, tk.mix(hashes ^ np.uint64(salt)) >> np.uint64(1))
+    return out
 
 
-def _weigh(rows: list[np.ndarray], y: np.ndarray, candidates: np.ndarray) -> Lexicon:
+def _weigh(rows: list[np.ndarray], y: np.ndarray, candidates: np.ndarray, marks: np.ndarray) -> Lexicon:
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     place = np.concatenate(rows) if len(doc) else np.zeros(0, np.int32)
     n1, n0 = y.sum(), len(y) - y.sum()
@@ -167,6 +184,20 @@ def _weigh(rows: list[np.ndarray], y: np.ndarray, candidates: np.ndarray) -> Lex
         fix, fix2 = 1 - 0.9**step, 1 - 0.99**step
         w = np.maximum(w - 0.1 * (mw / fix) / (np.sqrt(vw / fix2) + 1e-9), 0)
         b -= 0.1 * (mb / fix) / (np.sqrt(vb / fix2) + 1e-9)
+    # what tells by itself is worth its own precision, however often it came with others in training
+    # a group of near copies counts once: positives are counted by the texts' marks
+    toxic = y[doc] == 1
+    apart = np.full(len(good), len(y))
+    for k in range(marks.shape[1]):
+        pairs = np.unique(np.stack([place[toxic], marks[doc[toxic], k]], 1), axis=0)
+        apart = np.minimum(apart, np.bincount(pairs[:, 0], minlength=len(good)))
+    share, against = n1 / len(y), neg[good]
+    seen = apart + against
+    precision = np.clip(apart / np.maximum(seen, 1), 1e-9, 1 - 1e-9)
+    surprise = seen * (precision * np.log(precision / share) + (1 - precision) * np.log((1 - precision) / (1 - share)))
+    alone = (apart + 0.5) / (seen + 1)
+    telling = (precision >= PRECISION) & (surprise >= np.log(CHANCE))
+    w[telling] = np.maximum(w[telling], (np.log(alone / (1 - alone)) - b)[telling])
     return Lexicon(candidates[good], w, float(b))
 
 
