@@ -54,24 +54,24 @@ def random_masks(predictions: DataFrame, fractions: tuple[str, ...] = FRACTIONS,
     Draws are independent for each (participant, fraction, rep) and a function of their
     names alone. Work is dealt by participant and repetition block.
     """
-    windows = predictions.select("participant_id", "window_id").distinct().groupBy("participant_id").agg(F.array_sort(F.collect_list("window_id")).alias("windows"))
-    plan = windows.withColumn("fraction", F.explode(F.array(*[F.lit(f) for f in fractions])))
-    plan = plan.withColumn("budget", F.floor(F.col("fraction").cast("double") * F.size("windows")).cast("int"))
+    w = Window.partitionBy("participant_id").orderBy("window_id")
+    windows = predictions.select("participant_id", "window_id").distinct().withColumn("pick", (F.row_number().over(w) - 1).cast("int"))
+    plan = windows.groupBy("participant_id").agg(F.count("*").alias("n")).withColumn("fraction", F.explode(F.array(*[F.lit(f) for f in fractions])))
+    plan = plan.withColumn("budget", F.floor(F.col("fraction").cast("double") * F.col("n")).cast("int"))
     plan = plan.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
     stream = F.concat_ws(":", F.lit("study_a_random"), "participant_id", "fraction", F.col("rep").cast("string"))
-    plan = plan.select("participant_id", "fraction", "rep", "budget", F.size("windows").alias("n"), S.child_seed(seed, stream).alias("seed"))
+    plan = plan.select("participant_id", "fraction", "rep", "budget", "n", S.child_seed(seed, stream).alias("seed"))
     parts = int(predictions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def draw(frames):
         for frame in frames:
             picks = [np.sort(np.random.default_rng(int(s)).choice(int(n), size=int(b), replace=False)) for s, n, b in zip(frame["seed"], frame["n"], frame["budget"], strict=True)]
-            yield pd.DataFrame(
-                {"participant_id": frame["participant_id"], "fraction": frame["fraction"], "rep": frame["rep"].astype("int32"), "picks": [p.tolist() for p in picks]}
-            )
+            size = [len(p) for p in picks]
+            out = {c: np.repeat(frame[c].to_numpy(), size) for c in ("participant_id", "fraction", "rep")}
+            yield pd.DataFrame(out | {"pick": np.concatenate(picks) if picks else np.zeros(0, int)}).astype({"rep": "int32", "pick": "int32"})
 
-    drawn = plan.repartition(parts, "participant_id", "fraction", "rep").mapInPandas(draw, "participant_id string, fraction string, rep int, picks array<int>")
-    chosen = drawn.join(windows, "participant_id").select("participant_id", "fraction", "rep", F.transform("picks", lambda i: F.get("windows", i)).alias("w"))
-    return chosen.select("participant_id", "fraction", "rep", F.explode("w").alias("window_id"))
+    drawn = plan.repartition(parts, "participant_id", "fraction", "rep").mapInPandas(draw, "participant_id string, fraction string, rep int, pick int")
+    return drawn.join(windows, ["participant_id", "pick"]).select("participant_id", "fraction", "rep", "window_id")
 
 
 def label_yield(masks: DataFrame, labels: DataFrame, by: list[str]) -> DataFrame:

@@ -9,19 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelscope.functions import scalars as S
+from labelscope.functions.seeds import child_seed as seed_of
 
 
 class SplitError(AssertionError):
     """A split mixes participants or does not cover them."""
 
 
-def seed_of(seed: int, stream: str) -> int:
-    """The driver-side form of ``scalars.child_seed``."""
-    import hashlib
-
-    return int.from_bytes(hashlib.sha256(f"{seed}:{stream}".encode()).digest()[:4], "little")
-
-
 def lopo_folds(participants: DataFrame) -> DataFrame:
     """(outer_participant, fold_index, participant_id, part): each participant is the test set once.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.functions import scalars as S
-from labelscope.operators import metrics, models, observe, splits
+from labelscope.operators import abstain, metrics, models, observe, splits
 from labelscope.plans.registry import query
 from labelscope.plans.tables import PREDICTIONS, WINDOWS, predictions, read, windows
 
@@ -80,6 +80,16 @@ def risk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.risk_coverage(rows(spark, sf_dir), KEY)
 
 
+@query(
+    "abstention_outcomes",
+    f"""{BASE}, d AS (SELECT *, greatest(prob_positive, 1 - prob_positive) >= 0.75 AS keep FROM predictions) SELECT participant_id, model_family, count(*) FILTER (keep) / count(*) AS coverage,
+    count(*) FILTER (keep AND y IS NOT NULL) AS n_judged, CASE WHEN count(*) FILTER (keep AND y IS NOT NULL) > 0 THEN count(*) FILTER (keep AND hard <> y) / count(*) FILTER (keep AND y IS NOT NULL) END AS error_rate FROM d GROUP BY ALL""",
+    "coverage error_rate",
+)
+def abstention_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abstain.outcomes(predictions(spark, sf_dir), abstain.predicted("raw_confidence", 0.75), KEY)
+
+
 @query("child_seeds", "SELECT doc_id, CAST('0x' || h[7:8] || h[5:6] || h[3:4] || h[1:2] AS BIGINT) AS seed FROM (SELECT doc_id, sha256('42:model_fit:logistic:S' || doc_id) AS h FROM documents)")
 def child_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = F.concat(F.lit("model_fit:logistic:S"), F.col("doc_id").cast("string"))

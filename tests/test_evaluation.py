@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pytest
 from labelscope.operators import metrics as M
-from labelscope.operators import models, observe, splits
+from labelscope.operators import abstain, models, observe, splits
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -266,3 +266,13 @@ def test_mixture_keeps_the_budget(spark, predictions):
 def test_unknown_is_not_negative(spark):
     r = observe.label_bounds(rows_of(spark, [1, 0, None, None], [0.9, 0.9, 0.1, 0.8]), ["participant_id"]).first()
     assert (r["accuracy_low"], r["accuracy_high"], r["n_labels"]) == (0.25, 0.75, 2)
+
+
+def test_abstention(spark):
+    df = rows_of(spark, [1, 0, 1, None], [0.9, 0.9, 0.55, 0.2]).withColumn("q_structural_ok", F.col("window_id") != "w00001")
+    run = lambda name, t=0.0: tuple(abstain.outcomes(df, abstain.predicted(name, t, 8.0, -4.0), ["participant_id"]).first())[1:]
+    assert run("always_predict") == (1.0, 3, 1 / 3) and run("raw_confidence", 0.8) == (0.75, 2, 0.5) and run("signal_quality") == (0.75, 2, 0.0)
+    assert run("calibrated_confidence", 0.95) == (0.5, 2, 0.5) and run("raw_confidence", 0.99) == (0.0, 0, None)
+    assert abs(abstain.threshold_for_coverage(df, 0.5) - 0.85) < 1e-9
+    with pytest.raises(ValueError):
+        abstain.predicted("never")
