@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from labelscope.llm import decontaminate, embedding_dedup, html_text, licenses, mixing, near_dup, quality, token_counts, toxicity
+from labelscope.llm import chat_format, decontaminate, embedding_dedup, html_text, licenses, mixing, near_dup, quality, token_counts, toxicity
 
 QUERIES = {
     "op1_embedding_near_dedup": embedding_dedup.op1_embedding_near_dedup,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_minhash_near_dedup": near_dup.op3_minhash_near_dedup,
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op5_chat_format": chat_format.op5_chat_format,
     "op6_html_extraction": html_text.op6_html_extraction,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_mixing": mixing.op8_mixing,
@@ -20,5 +21,6 @@ QUERIES = {
 ORACLE = {
     "op1_embedding_near_dedup": embedding_dedup.OP1_SQL,
     "op4_decontamination": decontaminate.OP4_SQL,
+    "op5_chat_format": chat_format.OP5_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }
