@@ -183,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
     bound_batches(docs.sparkSession)
     sample = labels.filter("label IN (0, 1) AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     sample = sample.orderBy(F.md5(F.col("doc_id").cast("string"))).limit(train_docs)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
     got = rows.select("doc_id", F.col("label").cast("int").alias("label"), "text").mapInArrow(_encode, "doc_id long, label int, bag binary").collect()
     got.sort(key=lambda r: (r["doc_id"], r["bag"]))
     y = np.array([r["label"] for r in got], np.float64)

@@ -20,6 +20,7 @@ QUERIES = {
 #: Queries that SQL can express; the others are tested against brute force in tests/llm.
 ORACLE = {
     "op1_embedding_near_dedup": embedding_dedup.OP1_SQL,
+    "op3_minhash_near_dedup": near_dup.OP3_SQL,
     "op4_decontamination": decontaminate.OP4_SQL,
     "op5_chat_format": chat_format.OP5_SQL,
     "op8_mixing": mixing.OP8_SQL,

@@ -106,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, train_docs: int =
     bound_batches(spark)
     sample = labels.filter("label IN (0, 1) AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     sample = sample.orderBy(F.md5(F.col("doc_id").cast("string"))).limit(train_docs)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
     texts = texts.select("doc_id", F.col("label").cast("int").alias("label"), "text")
     shared = spark.sparkContext.broadcast(costs)
 

@@ -45,7 +45,7 @@ def oracle(name, sf):
     return c.execute(ORACLE[name]).df()
 
 
-@pytest.mark.parametrize("name", ["op1_embedding_near_dedup", "op4_decontamination", "op8_mixing"])
+@pytest.mark.parametrize("name", ["op1_embedding_near_dedup", "op3_minhash_near_dedup", "op4_decontamination", "op8_mixing"])
 def test_queries_equal_their_sql(spark, small, name):
     got, want = QUERIES[name](spark, small).toPandas(), oracle(name, small)
     key = sorted(got.columns)
