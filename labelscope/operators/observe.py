@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelscope.functions import scalars as S
@@ -44,8 +44,10 @@ def targeted_mask(predictions: DataFrame, fractions: tuple[str, ...] = FRACTIONS
     """
     tie = S.tie_key(S.child_seed(seed, F.lit(TIE_STREAM)), F.col("participant_id"), F.col("window_id"))
     order = Window.partitionBy("participant_id").orderBy(F.desc(F.round("consensus_score", 12)), tie)
-    placed = consensus(predictions).withColumn("place", F.row_number().over(order))
-    return placed.join(budgets(predictions, fractions), "participant_id").filter("place <= budget").select("participant_id", "fraction", "window_id")
+    scored = consensus(predictions)
+    placed = scored.withColumn("place", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("participant_id")))
+    each = placed.withColumn("fraction", F.explode(F.array(*[F.lit(f) for f in fractions])))
+    return each.filter(F.col("place") <= F.floor(F.col("fraction").cast("double") * F.col("n"))).select("participant_id", "fraction", "window_id")
 
 
 def random_masks(predictions: DataFrame, fractions: tuple[str, ...] = FRACTIONS, repetitions: int = REPETITIONS, seed: int = GLOBAL_SEED) -> DataFrame:
@@ -159,12 +161,10 @@ def contrast_summary(contrasts: DataFrame, value: str) -> DataFrame:
     )
 
 
-def _first_best(values: DataFrame, by: list[str], value: str, families: tuple[str, ...]) -> DataFrame:
-    """by, best (family of the highest value, ties within 1e-12 in the listed order), top."""
-    order = F.create_map(*[x for i, f in enumerate(families) for x in (F.lit(f), F.lit(i))])
-    top = values.groupBy(*by).agg(F.max(value).alias("top"), F.collect_list(F.struct(order[F.col("model_family")].alias("o"), "model_family", F.col(value).alias("v"))).alias("_all"))
-    near = F.filter("_all", lambda x: x["v"] >= F.col("top") - F.lit(ZERO))
-    return top.select(*by, F.array_min(near)["model_family"].alias("best"), "top")
+def _best(families: Column, value: str) -> Column:
+    """The first family of an array of structs, in listed order, within 1e-12 of the highest value."""
+    top = F.array_max(F.transform(families, lambda x: x[value]))
+    return F.array_min(F.filter(families, lambda x: x[value] >= top - F.lit(ZERO)))
 
 
 def selection_regret(observed: DataFrame, full: DataFrame, by: list[str], least: int, families: tuple[str, ...] = FAMILIES) -> DataFrame:
@@ -172,27 +172,27 @@ def selection_regret(observed: DataFrame, full: DataFrame, by: list[str], least:
 
     Needs ``least`` participants with an estimable BA; below, everything but their number
     is null. Cohort regret is against all participants' full reference, subset regret
-    against the same evaluable participants'.
+    against the same evaluable participants'. After one join the choice is made on arrays of
+    one entry for each family.
     """
+    order = F.create_map(*[x for i, f in enumerate(families) for x in (F.lit(f), F.lit(i))])
     learned = observed.filter(F.col("model_family").isin(*families) & F.col("balanced_accuracy").isNotNull())
-    f = full.filter(F.col("model_family").isin(*families))
-    cohort = f.groupBy("model_family").agg(F.avg("balanced_accuracy").alias("F_m"))
-    best_full = _first_best(cohort.withColumn("_k", F.lit(1)), ["_k"], "F_m", families).select(F.col("best").alias("full_best_model"), F.col("top").alias("F_top"))
-    per = learned.join(f.select("participant_id", "model_family", F.col("balanced_accuracy").alias("full_ba")), ["participant_id", "model_family"])
-    means = per.groupBy(*by, "model_family").agg(F.avg("balanced_accuracy").alias("observed"), F.avg("full_ba").alias("subset_full"), F.countDistinct("participant_id").alias("n_estimable"))
-    chosen = _first_best(means, by, "observed", families).select(*by, F.col("best").alias("selected_model"))
-    subset = _first_best(means, by, "subset_full", families).select(*by, F.col("best").alias("subset_full_best_model"), F.col("top").alias("subset_top"))
-    size = means.groupBy(*by).agg(F.max("n_estimable").alias("n_estimable"))
-    own = means.select(*by, F.col("model_family").alias("selected_model"), "subset_full")
-    out = size.join(chosen, by).join(subset, by).join(own, [*by, "selected_model"]).join(cohort.withColumnRenamed("model_family", "selected_model"), "selected_model")
-    out = out.crossJoin(F.broadcast(best_full))  # one row
+    f = full.filter(F.col("model_family").isin(*families)).select("participant_id", "model_family", F.col("balanced_accuracy").alias("full_ba"))
+    entry = lambda **v: F.struct(order[F.col("model_family")].alias("o"), F.col("model_family").alias("family"), *[x.alias(k) for k, x in v.items()])
+    cohort = f.groupBy("model_family").agg(F.avg("full_ba").alias("F_m")).agg(F.collect_list(entry(v=F.col("F_m"))).alias("cohort"))
+    means = learned.join(f, ["participant_id", "model_family"]).groupBy(*by, "model_family")
+    means = means.agg(F.avg("balanced_accuracy").alias("obs"), F.avg("full_ba").alias("sub"), F.count("*").alias("n"))
+    made = means.groupBy(*by).agg(F.max("n").alias("n_estimable"), F.collect_list(entry(obs=F.col("obs"), sub=F.col("sub"))).alias("all"))
+    made = made.crossJoin(F.broadcast(cohort))  # one row of as many entries as families
+    made = made.withColumn("chosen", _best(F.col("all"), "obs")).withColumn("subset", _best(F.col("all"), "sub")).withColumn("top", _best(F.col("cohort"), "v"))
+    own = F.filter("cohort", lambda x: x["family"] == F.col("chosen.family"))[0]["v"]
+    high = lambda c, v: F.array_max(F.transform(c, lambda x: x[v]))
     ok = F.col("n_estimable") >= least
-    return out.select(
-        *by, "n_estimable", ok.alias("estimable"), F.when(ok, F.col("selected_model")).alias("selected_model"),
-        F.when(ok, F.col("F_top") - F.col("F_m")).alias("r_cohort"), F.when(ok, F.col("subset_top") - F.col("subset_full")).alias("r_subset"),
-        F.when(ok, F.col("selected_model") != F.col("full_best_model")).alias("top_model_changed"),
-        F.when(ok, F.col("subset_full_best_model")).alias("subset_full_best_model"),
-        F.when(ok, F.col("selected_model") != F.col("subset_full_best_model")).alias("subset_top_model_changed"),
+    return made.select(
+        *by, "n_estimable", ok.alias("estimable"), F.when(ok, F.col("chosen.family")).alias("selected_model"),
+        F.when(ok, high("cohort", "v") - own).alias("r_cohort"), F.when(ok, high("all", "sub") - F.col("chosen.sub")).alias("r_subset"),
+        F.when(ok, F.col("chosen.family") != F.col("top.family")).alias("top_model_changed"), F.when(ok, F.col("subset.family")).alias("subset_full_best_model"),
+        F.when(ok, F.col("chosen.family") != F.col("subset.family")).alias("subset_top_model_changed"),
     )
 
 

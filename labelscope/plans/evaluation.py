@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from labelscope.functions import scalars as S
 from labelscope.operators import abstain, metrics, models, observe, splits
 from labelscope.plans.registry import query
-from labelscope.plans.tables import PREDICTIONS, WINDOWS, predictions, read, windows
+from labelscope.plans.tables import PREDICTIONS, WINDOWS, predictions, read, scores, windows
 
 FAMILIES = list(observe.FAMILIES)
 KEY = ["participant_id", "model_family"]
@@ -109,23 +109,23 @@ mask AS (SELECT participant_id, fraction, window_id FROM pl, fr WHERE place <= f
 
 @query("percentile_ranks", f"{_RANKED} SELECT participant_id, window_id, model_family, average_rank, percentile_rank FROM pr", "average_rank percentile_rank")
 def percentile_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    learned = predictions(spark, sf_dir).filter("model_family <> 'majority'")
+    learned = scores(spark, sf_dir).filter("model_family <> 'majority'")
     return metrics.average_rank(learned, KEY, "prob_positive").select("participant_id", "window_id", "model_family", "average_rank", "percentile_rank")
 
 
 @query("consensus_scores", f"{_RANKED} SELECT * FROM cs", "consensus_score")
 def consensus_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observe.consensus(predictions(spark, sf_dir))
+    return observe.consensus(scores(spark, sf_dir))
 
 
 @query("budgets", f"{_RANKED} SELECT DISTINCT participant_id, fraction, n AS n_windows, CAST(floor(CAST(fraction AS DOUBLE) * n) AS INTEGER) AS budget FROM pl, fr")
 def budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observe.budgets(predictions(spark, sf_dir))
+    return observe.budgets(scores(spark, sf_dir))
 
 
 @query("targeted_mask", f"{_RANKED} SELECT * FROM mask")
 def targeted_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observe.targeted_mask(predictions(spark, sf_dir))
+    return observe.targeted_mask(scores(spark, sf_dir))
 
 
 @query(
@@ -139,7 +139,7 @@ def targeted_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     "label_yield_fraction baseline_coverage stress_coverage",
 )
 def label_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observe.label_yield(observe.targeted_mask(predictions(spark, sf_dir)), labels(spark, sf_dir), ["fraction"])
+    return observe.label_yield(observe.targeted_mask(scores(spark, sf_dir)), labels(spark, sf_dir), ["fraction"])
 
 
 _OBSERVED = f"""{_RANKED}, ob AS (SELECT m.participant_id, fraction, model_family, prob_positive AS p, hard, y FROM mask m JOIN predictions q ON q.participant_id = m.participant_id AND q.window_id = m.window_id WHERE y IS NOT NULL),
@@ -148,7 +148,7 @@ fc AS (SELECT participant_id, model_family, {CONFUSION}, {PROBABILITY} FROM (SEL
 
 
 def _targeted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observe.observed_metrics(observe.targeted_mask(predictions(spark, sf_dir)), rows(spark, sf_dir), ["fraction"])
+    return observe.observed_metrics(observe.targeted_mask(scores(spark, sf_dir)), rows(spark, sf_dir), ["fraction"])
 
 
 @query("observed_metrics", f"{_OBSERVED} SELECT participant_id, fraction, model_family, n0, n1, baseline_recall, stress_recall, balanced_accuracy, macro_f1, brier, log_loss FROM observed", f"{METRICS} brier log_loss")
@@ -216,11 +216,11 @@ def select_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("random_masks")
 def random_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observe.random_masks(predictions(spark, sf_dir).filter("model_family = 'logistic'"))
+    return observe.random_masks(scores(spark, sf_dir).filter("model_family = 'logistic'"))
 
 
 def _random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observe.observed_metrics(observe.random_masks(predictions(spark, sf_dir).filter("model_family = 'logistic'")), rows(spark, sf_dir), ["fraction", "rep"])
+    return observe.observed_metrics(observe.random_masks(scores(spark, sf_dir).filter("model_family = 'logistic'")), rows(spark, sf_dir), ["fraction", "rep"])
 
 
 @query("observation_contrast")
@@ -229,7 +229,7 @@ def observation_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = observe.full_metrics(rows(spark, sf_dir))
     t = observe.distortion(_targeted(spark, sf_dir), full, ["fraction"])
     r = observe.distortion(_random(spark, sf_dir), full, ["fraction", "rep"])
-    return observe.contrast(t, r, observe.REPETITIONS, observe.budgets(predictions(spark, sf_dir)))
+    return observe.contrast(t, r, observe.REPETITIONS, observe.budgets(scores(spark, sf_dir)))
 
 
 @query("random_selection_summary")
@@ -240,7 +240,7 @@ def random_selection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("audit_mixture")
 def audit_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = predictions(spark, sf_dir)
+    p = scores(spark, sf_dir)
     one = observe.random_masks(p.filter("model_family = 'logistic'"), repetitions=1).drop("rep")
     order = observe.targeted_mask(p, ("1.00",)).join(observe.consensus(p), ["participant_id", "window_id"])
     order = order.select("participant_id", "window_id", F.struct(-F.round("consensus_score", 12), F.sha2("window_id", 256)).alias("place"))

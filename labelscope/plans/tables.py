@@ -46,7 +46,8 @@ def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RECORDINGS = "recordings AS (SELECT participant_id, CAST(max(sample_index) + 1 AS DOUBLE) AS duration_s FROM samples GROUP BY participant_id)"
 
-FAMILY_SCORES = {"logistic": (7919, 1, 101), "random_forest": (104_729, 3, 97), "xgboost": (1_299_709, 7, 89)}
+#: Multipliers and modulus; the modulus less one is prime, so that no mean lies halfway between rounded values.
+FAMILY_SCORES = {"logistic": (7919, 1, 104), "random_forest": (104_729, 3, 98), "xgboost": (1_299_709, 7, 90)}
 MAJORITY = 0.85
 
 
@@ -68,12 +69,20 @@ def _score(a: int, b: int, m: int) -> Column:
     return ((F.col("doc_id") * a + F.col("n_chars") * b) % m) / F.lit(float(m - 1))
 
 
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """participant_id, window_id, model_family, prob_positive, hard, without any label: what masks are made from."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    who = F.concat(F.lit("S"), F.substring("source", 4, 20))
+    made = [F.struct(F.lit(f).alias("model_family"), _score(*k).alias("prob_positive")) for f, k in FAMILY_SCORES.items()]
+    every = F.array(*made, F.struct(F.lit("majority").alias("model_family"), F.lit(MAJORITY).alias("prob_positive")))
+    wide = d.select("doc_id", who.alias("participant_id"), F.format_string("documents:%s:w%05d", who, F.col("doc_id")).alias("window_id"), F.explode(every).alias("_f"))
+    return wide.select("doc_id", "participant_id", "window_id", "_f.model_family", "_f.prob_positive", (F.col("_f.prob_positive") >= 0.5).cast("byte").alias("hard"))
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """participant_id, window_id, model_family, prob_positive, hard, y."""
-    scores = [F.struct(F.lit(f).alias("model_family"), _score(*k).alias("prob_positive")) for f, k in FAMILY_SCORES.items()]
-    every = F.array(*scores, F.struct(F.lit("majority").alias("model_family"), F.lit(MAJORITY).alias("prob_positive")))
-    wide = windows(spark, sf_dir).withColumn("_f", F.explode(every))
-    return wide.select("participant_id", "window_id", "_f.model_family", "_f.prob_positive", (F.col("_f.prob_positive") >= 0.5).cast("byte").alias("hard"), "y")
+    known = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("y"))
+    return scores(spark, sf_dir).join(known, "doc_id", "left").drop("doc_id")
 
 
 PREDICTIONS = (
