@@ -8,6 +8,7 @@ README. Probabilities of other libraries are not reproduced.
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -175,29 +176,28 @@ def best_candidate(scored: list[dict], tolerance: float = 1e-12) -> Candidate:
 
 
 def out_of_fold_predictions(
-    rows: DataFrame, columns: list[str], families: list[str], seed: int = 42, n_inner: int = 4, grids: dict[str, tuple[Candidate, ...]] | None = None, outer: list[str] | None = None, **size
+    rows: DataFrame, columns: list[str], families: list[str], seed: int = 42, n_inner: int = 4, grids: dict[str, tuple[Candidate, ...]] | None = None, outer: list[str] | None = None, threads: int = 6, **size
 ) -> DataFrame:
     """Predictions of every window of every held-out participant, by family.
 
     ``rows`` are (participant_id, window_id, y, columns). A candidate is chosen inside the
     training participants of each outer fold, refitted on their labelled rows, and applied
     to all windows of the participant left out. ``outer`` limits the folds that are run.
+    Folds are independent jobs; ``threads`` of them are submitted at once.
     """
     rows = rows.cache()
     grids = grids or GRIDS
     counts = {r["participant_id"]: (r["n0"], r["n1"]) for r in class_counts(rows).collect()}  # one row a participant
-    out = None
-    for number, who in enumerate(sorted(counts)):
-        if outer is not None and who not in outer:
-            continue
+
+    def one(number: int, who: str) -> DataFrame:
+        out = None
         train, held = rows.filter(F.col("participant_id") != who), rows.filter(F.col("participant_id") == who)
-        split = inner_split(counts, who, seed, n_inner)
+        split = inner_split(counts, who, seed, n_inner) if any(len(grids[f]) > 1 for f in families if f in grids) else None
         for family in families:
             if family == "majority":
                 prior = majority_baseline(train.filter("y IS NOT NULL")).first()
-                seen, made = held.withColumn("prob_positive", F.lit(prior["prevalence"])), None
+                seen, made, own = held.withColumn("prob_positive", F.lit(prior["prevalence"])), None, None
                 seen = seen.withColumn("hard", F.lit(prior["majority_label"]).cast("byte"))
-                own = None
             else:
                 own = seed_of(seed, f"model_fit:{family}:{who}")
                 grid = grids[family]
@@ -210,6 +210,14 @@ def out_of_fold_predictions(
                 F.lit(own).cast("long").alias("model_seed"),
             )
             out = seen if out is None else out.unionByName(seen)
+        return out
+
+    wanted = [(n, who) for n, who in enumerate(sorted(counts)) if outer is None or who in outer]
+    with ThreadPoolExecutor(threads) as pool:
+        made = list(pool.map(lambda x: one(*x), wanted))
+    out = made[0]
+    for m in made[1:]:
+        out = out.unionByName(m)
     return out
 
 

@@ -179,20 +179,18 @@ def code_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "overlap_argmax",
-    """WITH s AS (SELECT l_orderkey % 97 AS k, o_orderkey AS position, epoch(o_orderdate) / 86400 AS start_s, epoch(o_orderdate) / 86400 + 40 AS end_s FROM orders JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 45) ON l_orderkey = o_orderkey),
-    r AS (SELECT l_orderkey % 97 AS k, epoch(l_shipdate) / 86400 AS a, epoch(l_shipdate) / 86400 + l_quantity AS b FROM lineitem WHERE l_quantity > 48),
-    j AS (SELECT s.*, a, b, least(end_s, b) - greatest(start_s, a) AS o, row_number() OVER (PARTITION BY s.k, position ORDER BY least(end_s, b) - greatest(start_s, a) DESC NULLS LAST, a, b DESC) AS rn
+    """WITH s AS (SELECT o_orderkey AS k, epoch(o_orderdate) / 86400 AS start_s, epoch(o_orderdate) / 86400 + 60 AS end_s FROM orders),
+    r AS (SELECT l_orderkey AS k, epoch(l_shipdate) / 86400 AS a, epoch(l_shipdate) / 86400 + l_quantity AS b FROM lineitem),
+    j AS (SELECT s.*, a, b, least(end_s, b) - greatest(start_s, a) AS o, row_number() OVER (PARTITION BY s.k ORDER BY least(end_s, b) - greatest(start_s, a) DESC NULLS LAST, a) AS rn
           FROM s LEFT JOIN r ON s.k = r.k AND b > start_s AND a < end_s)
-    SELECT CAST(k AS BIGINT) AS k, position, start_s::DOUBLE AS start_s, end_s::DOUBLE AS end_s, a IS NOT NULL AS matched, a::DOUBLE AS run_start_s, o::DOUBLE AS overlap_s, (a - start_s)::DOUBLE AS start_offset_s FROM j WHERE rn = 1""",
+    SELECT k, start_s::DOUBLE AS start_s, end_s::DOUBLE AS end_s, a IS NOT NULL AS matched, a::DOUBLE AS run_start_s, o::DOUBLE AS overlap_s, (a - start_s)::DOUBLE AS start_offset_s FROM j WHERE rn = 1""",
     "start_s end_s run_start_s overlap_s start_offset_s",
 )
 def overlap_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem")
+    """Every order's first 60 days against the spans of its own line items."""
     day = lambda c: (F.expr(f"timestampdiff(DAY, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast({c} as timestamp_ntz))")).cast("double")
-    some = lines.filter("l_linenumber = 1 AND l_quantity > 45").select("l_orderkey").distinct()
-    s = read(spark, sf_dir, "orders").join(some, F.col("l_orderkey") == F.col("o_orderkey"))
-    s = s.select((F.col("l_orderkey") % 97).alias("k"), F.col("o_orderkey").alias("position"), day("o_orderdate").alias("start_s"), (day("o_orderdate") + 40).alias("end_s"))
-    r = lines.filter("l_quantity > 48").select((F.col("l_orderkey") % 97).alias("k"), day("l_shipdate").alias("start_s"), (day("l_shipdate") + F.col("l_quantity")).alias("end_s"))
+    s = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), day("o_orderdate").alias("start_s"), (day("o_orderdate") + 60).alias("end_s"))
+    r = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), day("l_shipdate").alias("start_s"), (day("l_shipdate") + F.col("l_quantity")).alias("end_s"))
     return runs.overlap_argmax(s, r, ["k"]).drop("run_end_s", "end_offset_s")
 
 
@@ -224,13 +222,21 @@ def subsequence_align_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.align_within(raw, part, ["participant_id"], 1e-9)
 
 
-_LABELS = f"""{DEALT}, l AS (SELECT g.participant_id, g.window_index, count(code) AS n, min(code) AS lo, max(code) AS hi, coalesce(string_agg(DISTINCT CAST(code AS VARCHAR), ',' ORDER BY CAST(code AS VARCHAR)), '') AS codes
-  FROM grid g LEFT JOIN (SELECT * FROM dealt WHERE event_id % 3 = 0) d ON d.participant_id = g.participant_id AND d.window_index = g.window_index GROUP BY ALL),
+LABEL_SPEC = windows.WindowSpec(float(DAY))
+DAY_COUNT = COUNT.replace(str(LENGTH), str(DAY))
+_LABELS = f"""{BASE}, counted AS (SELECT *, {DAY_COUNT} AS n FROM recordings),
+dealt AS (SELECT s.*, CAST(floor(sample_index / {DAY}) AS INTEGER) AS window_index FROM samples s JOIN counted USING (participant_id) WHERE floor(sample_index / {DAY}) < n),
+grid AS (SELECT participant_id, CAST(unnest(range(0, n)) AS INTEGER) AS window_index FROM counted),
+l AS (SELECT g.participant_id, g.window_index, count(code) AS n, min(code) AS lo, max(code) AS hi, coalesce(string_agg(DISTINCT CAST(code AS VARCHAR), ',' ORDER BY CAST(code AS VARCHAR)), '') AS codes
+  FROM grid g LEFT JOIN dealt d ON d.participant_id = g.participant_id AND d.window_index = g.window_index GROUP BY ALL),
 h AS (SELECT *, CASE WHEN n = 2 AND lo = hi THEN lo END AS code FROM l)"""
 
 
 def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.annotate(grid(spark, sf_dir), dealt(spark, sf_dir).filter("event_id % 3 = 0"), expected_samples=2)
+    """Days of every user, homogeneous where both of two events are of one type."""
+    lasting = recordings(spark, sf_dir)
+    labels = windows.assign_windows(samples(spark, sf_dir), lasting, LABEL_SPEC)
+    return windows.annotate(windows.window_grid(lasting, LABEL_SPEC).select(*KEY), labels, expected_samples=2)
 
 
 @query(
@@ -296,16 +302,15 @@ def usable_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.usable_duration(streams)
 
 
-@query("signal_stats", f"{BASE} SELECT participant_id, count(*) AS n, count(*) FILTER (event_id % 50 = 0) AS n_nan, count(*) FILTER (event_id % 50 = 1) AS n_inf, min(value) FILTER (event_id % 50 > 1) AS min, max(value) FILTER (event_id % 50 > 1) AS max FROM samples GROUP BY participant_id", "min max")
+@query("signal_stats", f"{BASE} SELECT participant_id, count(*) AS n, count(*) FILTER (value < 2) AS n_nan, count(*) FILTER (value > 90) AS n_inf, min(value) FILTER (value BETWEEN 2 AND 90) AS min, max(value) FILTER (value BETWEEN 2 AND 90) AS max FROM samples GROUP BY participant_id", "min max")
 def signal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("event_id") % 50
-    value = F.when(k == 0, F.lit(float("nan"))).when(k == 1, F.lit(float("inf"))).otherwise(F.col("value"))
+    value = F.when(F.col("value") < 2, F.lit(float("nan"))).when(F.col("value") > 90, F.lit(float("inf"))).otherwise(F.col("value"))
     return audit.signal_stats(samples(spark, sf_dir).withColumn("value", value), ["participant_id"])
 
 
-@query("label_audit", f"{BASE} SELECT participant_id, count(*) AS n_labels, count(*) FILTER (event_id % 40 = 0) AS n_not_integer, string_agg(DISTINCT CAST(code AS VARCHAR), ',' ORDER BY CAST(code AS VARCHAR)) AS codes FROM samples GROUP BY participant_id")
+@query("label_audit", f"{BASE} SELECT participant_id, count(*) AS n_labels, count(*) FILTER (value < 2) AS n_not_integer, string_agg(DISTINCT CAST(code AS VARCHAR), ',' ORDER BY CAST(code AS VARCHAR)) AS codes FROM samples GROUP BY participant_id")
 def label_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = samples(spark, sf_dir).withColumn("half", F.col("code") + F.when(F.col("event_id") % 40 == 0, 0.5).otherwise(0.0))
+    s = samples(spark, sf_dir).withColumn("half", F.col("code") + F.when(F.col("value") < 2, 0.5).otherwise(0.0))
     odd = audit.label_audit(s, ["participant_id"], "half").drop("codes")
     return odd.join(audit.label_audit(s, ["participant_id"]).select("participant_id", S.codes_text(F.col("codes")).alias("codes")), "participant_id")
 
@@ -363,27 +368,28 @@ def schedule_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return release.parse_schedule(lines)
 
 
-_TREE = """b AS (SELECT 'S' || p_partkey || '/x' AS path, sha256(p_name) AS h FROM part WHERE p_partkey % 7 <> 0), a AS (SELECT 'S' || p_partkey || '/x' AS path, sha256(CASE WHEN p_partkey % 5 = 0 THEN p_name || '!' ELSE p_name END) AS h FROM part WHERE p_partkey % 11 <> 0)"""
+_TREE = """b AS (SELECT 'S' || p_partkey || '/x' AS path, sha256(p_name) AS h FROM part WHERE p_size > 5), a AS (SELECT 'S' || p_partkey || '/x' AS path, sha256(CASE WHEN p_type = 'ECONOMY' THEN p_name || '!' ELSE p_name END) AS h FROM part WHERE p_size < 45)"""
 
 
 @query("tree_diff", f"WITH {_TREE} SELECT path, CASE WHEN b.h IS NULL THEN 'added' WHEN a.h IS NULL THEN 'removed' ELSE 'modified' END AS status FROM b FULL JOIN a USING (path) WHERE b.h IS DISTINCT FROM a.h")
 def tree_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as files: the small ones came later, the large ones went, economy ones changed."""
     part = read(spark, sf_dir, "part")
     path = F.concat(F.lit("S"), F.col("p_partkey").cast("string"), F.lit("/x")).alias("path")
-    changed = F.when(F.col("p_partkey") % 5 == 0, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name"))
-    before = part.filter("p_partkey % 7 <> 0").select(path, F.sha2("p_name", 256).alias("sha256"))
-    after = part.filter("p_partkey % 11 <> 0").select(path, F.sha2(changed, 256).alias("sha256"))
+    changed = F.when(F.col("p_type") == "ECONOMY", F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name"))
+    before = part.filter("p_size > 5").select(path, F.sha2("p_name", 256).alias("sha256"))
+    after = part.filter("p_size < 45").select(path, F.sha2(changed, 256).alias("sha256"))
     return tree_diff(before, after)
 
 
 @query(
     "expected_files",
-    "WITH p AS (SELECT 'S' || s_suppkey AS participant_id, s_suppkey AS k FROM supplier), f AS (SELECT *, unnest(['.pkl', '_quest.csv', '_readme.txt', '_respiban.txt', '_E4_Data.zip']) AS t, unnest(range(0, 5)) AS n FROM p) SELECT participant_id, participant_id || t AS file, n = 0 OR k % 5 <> n AS present FROM f",
+    "WITH p AS (SELECT 'S' || s_suppkey AS participant_id, s_acctbal AS k FROM supplier), f AS (SELECT *, unnest(['.pkl', '_quest.csv', '_readme.txt', '_respiban.txt', '_E4_Data.zip']) AS t, unnest(range(0, 5)) AS n FROM p) SELECT participant_id, participant_id || t AS file, n = 0 OR k > n * 1500 AS present FROM f",
 )
 def expected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     who = F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))
-    each = read(spark, sf_dir, "supplier").select("s_suppkey", who.alias("p"), F.posexplode(F.array(*[F.lit(t) for t in release.EXPECTED])).alias("n", "t"))
-    there = each.filter((F.col("n") == 0) | (F.col("s_suppkey") % 5 != F.col("n"))).select(F.concat("p", F.lit("/"), F.replace(F.col("t"), F.lit("{p}"), F.col("p"))).alias("path"))
+    each = read(spark, sf_dir, "supplier").select("s_acctbal", who.alias("p"), F.posexplode(F.array(*[F.lit(t) for t in release.EXPECTED])).alias("n", "t"))
+    there = each.filter((F.col("n") == 0) | (F.col("s_acctbal") > F.col("n") * 1500)).select(F.concat("p", F.lit("/"), F.replace(F.col("t"), F.lit("{p}"), F.col("p"))).alias("path"))
     return release.expected_files(there)
 
 
