@@ -84,19 +84,38 @@ def _numerator(plus: list[float], minus: list[float], n: int) -> list[float]:
     return [*poly, *[0.0] * (3 - len(poly))]
 
 
+BLOCK = 128
+
+
 def _run(section: np.ndarray, x: np.ndarray, start: float) -> np.ndarray:
-    """One section in transposed direct form II from the steady state for a constant ``start``."""
+    """One section from the steady state for a constant ``start``.
+
+    The recursion has two state values (transposed direct form II). Blocks of samples are
+    products with the section's impulse response; only the state goes from block to block.
+    """
     b0, b1, b2, _, a1, a2 = section
     gain = (b0 + b1 + b2) / (1 + a1 + a2)
     z2 = (b2 - a2 * gain) * start
-    z1 = (b1 - a1 * gain) * start + z2
-    out = np.empty_like(x)
-    for i, v in enumerate(x.tolist()):
-        y = b0 * v + z1
-        z1 = b1 * v - a1 * y + z2
-        z2 = b2 * v - a2 * y
-        out[i] = y
-    return out
+    state = np.array([(b1 - a1 * gain) * start + z2, z2])
+    step = np.array([[-a1, 1.0], [-a2, 0.0]])  # states without input; the output is the first one
+    push = np.array([b1 - a1 * b0, b2 - a2 * b0])  # what a unit of input adds to them
+    powers = np.empty((BLOCK + 1, 2, 2))
+    powers[0] = np.eye(2)
+    for k in range(BLOCK):
+        powers[k + 1] = powers[k] @ step
+    impulse = np.concatenate([[b0], (powers[: BLOCK - 1] @ push)[:, 0]])
+    lag = np.subtract.outer(np.arange(BLOCK), np.arange(BLOCK))
+    response = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
+    carried = powers[:BLOCK, 0, :]
+    gathered = (powers[:BLOCK][::-1] @ push).T
+    n = len(x)
+    blocks = np.concatenate([x, np.zeros(-n % BLOCK)]).reshape(-1, BLOCK)
+    added = blocks @ gathered.T
+    states = np.empty((len(blocks), 2))
+    for k in range(len(blocks)):
+        states[k] = state
+        state = powers[BLOCK] @ state + added[k]
+    return (blocks @ response.T + states @ carried.T).ravel()[:n]
 
 
 def filter_both_ways(sections: np.ndarray, x: np.ndarray) -> np.ndarray:

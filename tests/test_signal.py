@@ -67,3 +67,18 @@ def test_decomposition_and_failures_as_status(spark):
         assert not bad.ok.any() and bad.tonic.isna().all() and (bad.error != "").all()
     peaks = decompose.pulse_peaks(df, 64.0).toPandas()
     assert peaks[peaks.participant_id == "S3"].sample_index.isna().all() and not peaks[peaks.participant_id == "S3"].ok.any()
+
+
+def test_blocks_equal_the_sample_by_sample_recursion():
+    x = np.random.default_rng(1).normal(size=1000)
+    for section in np.vstack([G.butterworth(3, (0.5, 8.0), 64.0), G.butterworth(3, 1.0, 10.0)]):
+        b0, b1, b2, _, a1, a2 = section
+        gain = (b0 + b1 + b2) / (1 + a1 + a2)
+        z2 = (b2 - a2 * gain) * x[0]
+        z1 = (b1 - a1 * gain) * x[0] + z2
+        want = []
+        for v in x:
+            y = b0 * v + z1
+            z1, z2 = b1 * v - a1 * y + z2, b2 * v - a2 * y
+            want.append(y)
+        assert np.allclose(G._run(section, x, x[0]), want, atol=1e-10)
