@@ -143,16 +143,25 @@ def local_maxima(x: np.ndarray) -> np.ndarray:
     return (edges[top] + ends[top] - 1) // 2
 
 
+def _low_since_higher(x: np.ndarray) -> np.ndarray:
+    """For every sample, the lowest value back to (not including) the last higher one."""
+    out = np.empty(len(x))
+    held: list[tuple[float, float]] = []
+    for i, v in enumerate(x.tolist()):
+        low = v
+        while held and held[-1][0] <= v:
+            low = min(low, held.pop()[1])
+        held.append((v, low))
+        out[i] = low
+    return out
+
+
 def prominences(x: np.ndarray, peaks: np.ndarray) -> np.ndarray:
     """Height of each peak over the higher of the lowest points before a higher sample on either side."""
-    out = np.empty(len(peaks))
-    for i, p in enumerate(peaks):
-        left = np.flatnonzero(x[:p] > x[p])
-        right = np.flatnonzero(x[p + 1 :] > x[p])
-        lo = left[-1] + 1 if len(left) else 0
-        hi = p + 1 + right[0] if len(right) else len(x)
-        out[i] = x[p] - max(x[lo : p + 1].min(), x[p:hi].min())
-    return out
+    if not len(peaks):
+        return np.zeros(0)
+    left, right = _low_since_higher(x), _low_since_higher(x[::-1])[::-1]
+    return x[peaks] - np.maximum(left[peaks], right[peaks])
 
 
 def find_peaks(x: np.ndarray, distance: float, prominence: float) -> tuple[np.ndarray, np.ndarray]:
@@ -160,11 +169,15 @@ def find_peaks(x: np.ndarray, distance: float, prominence: float) -> tuple[np.nd
     peaks = local_maxima(x)
     apart = max(1, int(np.ceil(distance)))
     keep = np.ones(len(peaks), bool)
-    for i in np.argsort(x[peaks], kind="stable")[::-1]:
-        if keep[i]:
-            near = np.abs(peaks - peaks[i]) < apart
-            near[i] = False
-            keep &= ~near
+    at = peaks.tolist()
+    for i in np.argsort(x[peaks], kind="stable")[::-1].tolist() if apart > 1 else ():
+        if not keep[i]:
+            continue
+        for step in (-1, 1):
+            j = i + step
+            while 0 <= j < len(at) and abs(at[j] - at[i]) < apart:
+                keep[j] = False
+                j += step
     peaks = peaks[keep]
     height = prominences(x, peaks)
     good = height >= prominence

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import asdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -18,6 +19,15 @@ EDA_SCHEMA = "participant_id string, sample_index long, value double, tonic doub
 BEAT_SCHEMA = "participant_id string, sample_index long, ok boolean, error string"
 
 
+def _by_recording(samples: DataFrame):
+    """Groups of recordings, dealt over as many tasks as there are shuffle partitions.
+
+    The work is in the function, not in the bytes, so small partitions are not to be merged.
+    """
+    parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return samples.select("participant_id", "sample_index", "value").repartition(parts, "participant_id").groupBy("participant_id")
+
+
 def eda_decomposition(samples: DataFrame, rate_hz: float, params: G.EdaParams = G.EdaParams()) -> DataFrame:
     """Samples (participant_id, sample_index, value) with tonic and phasic parts and event amplitudes.
 
@@ -32,11 +42,13 @@ def eda_decomposition(samples: DataFrame, rate_hz: float, params: G.EdaParams =
             tonic, phasic, at, height = G.decompose_eda(frame["value"].to_numpy(float), rate_hz, G.EdaParams(**given))
         except ValueError as problem:
             return out.assign(error=str(problem))
-        amplitude = pd.Series([None] * len(frame), dtype=object)
-        amplitude.iloc[at] = height
-        return out.assign(tonic=tonic, phasic=phasic, event_amplitude=amplitude, ok=True)
+        amplitude = np.zeros(len(frame))
+        amplitude[at] = height
+        none = np.ones(len(frame), bool)
+        none[at] = False
+        return out.assign(tonic=tonic, phasic=phasic, event_amplitude=pd.arrays.FloatingArray(amplitude, none), ok=True)
 
-    return samples.select("participant_id", "sample_index", "value").groupBy("participant_id").applyInPandas(run, EDA_SCHEMA)
+    return _by_recording(samples).applyInPandas(run, EDA_SCHEMA)
 
 
 def pulse_peaks(samples: DataFrame, rate_hz: float, params: G.BvpParams = G.BvpParams()) -> DataFrame:
@@ -53,4 +65,4 @@ def pulse_peaks(samples: DataFrame, rate_hz: float, params: G.BvpParams = G.BvpP
         index = frame["sample_index"].to_numpy()[at]
         return pd.DataFrame({"participant_id": who, "sample_index": pd.array(index, "Int64"), "ok": True, "error": ""})
 
-    return samples.select("participant_id", "sample_index", "value").groupBy("participant_id").applyInPandas(run, BEAT_SCHEMA)
+    return _by_recording(samples).applyInPandas(run, BEAT_SCHEMA)
