@@ -33,6 +33,7 @@ BLOCKS = (
     "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "menu",
     "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul", "aside",
 )
+IMPLIED = ("p", "li", "dt", "dd", "td", "th", "tr")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 #: Words of a class or id that mark a block that is not article text.
 MARKS = frozenset(
@@ -41,7 +42,8 @@ MARKS = frozenset(
     "subscription signup comment comments commentlist disqus respond replies reply social share sharing sharebar related recommended recommendations "
     "trending pagination pager login search toolbar skip copyright legal disclaimer alert paywall".split()
 )
-OUTSIDE_MARKS = MARKS | {"header"}
+#: Words that make a header the article's own.
+OWN = frozenset(("article", "post", "entry", "story", "content"))
 ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"))
 
 _GONE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*>", re.S | re.I)
@@ -58,7 +60,7 @@ def lines(html: str) -> tuple[list[str], np.ndarray, bool]:
     parts: list[str] = []
     linked = 0
     link = False
-    main = 0
+    main, seen_main = 0, False
     any_main = bool(re.search(r"<(?:article|main)\b", html, re.I)) or bool(re.search(r"""\brole\s*=\s*["']?main\b""", html, re.I))
     skipped, depth = "", 0  # the element that is being left out, and how deep in elements of its name
     roles: list[tuple[str, int]] = []  # elements with role=main: name and depth
@@ -88,8 +90,10 @@ def lines(html: str) -> tuple[list[str], np.ndarray, bool]:
             if link:
                 linked += len(text)
         if skipped:
-            if name in MAIN and not end and not (main or roles):
+            if name in MAIN and not end and not seen_main:
                 skipped = ""  # what was left open ends where the article begins
+            elif skipped in IMPLIED and name in BLOCKS and name != "br" and not (end and name == skipped):
+                skipped = ""  # a paragraph ends where the next block begins or its parent ends
             elif name == skipped:
                 depth += -1 if end else 0 if tag[4] or name in VOID else 1
                 if depth == 0:
@@ -97,7 +101,7 @@ def lines(html: str) -> tuple[list[str], np.ndarray, bool]:
                 continue
             else:
                 continue
-        if not end and name not in VOID and _left_out(name, attributes, bool(main or roles)):
+        if not end and name not in VOID and _left_out(name, attributes, bool(main or roles), seen_main):
             gap() if name in CHROME or name == "header" else close()
             skipped, depth = name, 1
             continue
@@ -106,6 +110,7 @@ def lines(html: str) -> tuple[list[str], np.ndarray, bool]:
         if name in BLOCKS:
             close()
         if name in MAIN:
+            seen_main = True
             main = max(0, main + (-1 if end else 1))
         elif any_main and not end and "main" in _roles(attributes):
             roles.append((name, 1))
@@ -123,17 +128,17 @@ def _roles(attributes: str) -> set[str]:
     return {w for k, a, b, c in _NAMED.findall(attributes or "") if k.lower() == "role" for w in (a or b or c).lower().split()}
 
 
-def _left_out(name: str, attributes: str, inside: bool) -> bool:
+def _left_out(name: str, attributes: str, inside: bool, seen_main: bool = False) -> bool:
     if name in HIDDEN or name in CHROME or (name == "header" and not inside):
         return True
-    if not attributes or name in MAIN or name in ("body", "html"):
+    if not attributes or name in ("body", "html") or (name in MAIN and not seen_main):
         return False
     for key, a, b, c in _NAMED.findall(attributes):
-        words = _WORDS.findall((a or b or c).lower())
+        words = set(_WORDS.findall((a or b or c).lower()))
         if key.lower() == "role":
-            if ROLES.intersection(words):
+            if ROLES & words:
                 return True
-        elif (MARKS if inside else OUTSIDE_MARKS).intersection(words):
+        elif MARKS & words or ("header" in words and not inside and not words & OWN):
             return True
     return False
 

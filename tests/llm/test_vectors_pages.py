@@ -92,6 +92,20 @@ def test_pages_without_article_go_by_the_distribution():
     assert html_text.main_text(page(body)) == "\n".join([text.strip(), "Short.", text.strip()])
 
 
+def test_paragraphs_that_are_notices_end_with_the_paragraph():
+    assert html_text.main_text(page("<article><p class=notice>Old browser<p>One</p><ul><li class='ad'>buy<li>Item</ul><p>Two</article>")) == "One\nItem\nTwo"
+
+
+def test_comments_marked_up_as_articles_go():
+    body = "<article><p>Body</p></article><ol class='comment-list'><li><article class='comment-body'><p>First</p></article></li></ol><article class='related'><p>More</p></article>"
+    assert html_text.main_text(page(body)) == "Body"
+
+
+def test_own_header_of_a_page_without_article():
+    text = "A paragraph of running text that is long enough to stand out among the lines around it. "
+    assert html_text.main_text(page(f"<div class='site-header'>Site</div><div class='entry-header'><h1>Title</h1></div><p>{text}</p>")) == f"Title\n{text.strip()}"
+
+
 def test_odd_html():
     assert html_text.main_text(None) == "" and html_text.main_text("") == "" and html_text.main_text("<html><body></body></html>") == ""
     assert html_text.main_text("just text &lt; here") == "just text < here"
