@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope import schema as C
-from labelscope.operators import audit, metrics, models, runs, splits
+from labelscope.operators import audit, metrics, models, runs, splits, task_models
 from labelscope.plans import feature_table, study
 from labelscope.session import session
 from labelscope.sources import artifacts, config, integrity, release
@@ -82,7 +82,7 @@ def _baseline(spark: SparkSession, a: argparse.Namespace) -> int:
     if not splits.cover_violations(folds, rows.select("participant_id")).isEmpty():
         return 2
     families = ["majority", *models.GRIDS]
-    made = models.out_of_fold_predictions(rows, columns, families, trees=a.trees, rounds=a.rounds)
+    made = task_models.out_of_fold_predictions(rows, columns, families, trees=a.trees, rounds=a.rounds)
     made.write.mode("errorifexists").parquet(f"{a.out}/_predictions")
     made = spark.read.parquet(f"{a.out}/_predictions")
     if not models.prediction_faults(made, rows, families).isEmpty():

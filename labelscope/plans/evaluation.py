@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.functions import scalars as S
-from labelscope.operators import abstain, metrics, models, observe, splits
+from labelscope.operators import abstain, metrics, models, observe, splits, task_models
 from labelscope.plans.registry import query
 from labelscope.plans.tables import PREDICTIONS, WINDOWS, predictions, read, scores, windows
 
@@ -330,6 +330,5 @@ def prediction_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("oof_predictions")
 def oof_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every participant left out once, every window predicted; one candidate a family and small ensembles."""
-    grids = {f: models.GRIDS[f][:1] for f in FAMILIES}
-    return models.out_of_fold_predictions(training_rows(spark, sf_dir), ["a", "b", "d"], [*FAMILIES, "majority"], grids=grids, trees=20, rounds=5)
+    """Every participant left out once, all candidates compared inside, every window predicted; small ensembles."""
+    return task_models.out_of_fold_predictions(training_rows(spark, sf_dir), ["a", "b", "d"], [*FAMILIES, "majority"], trees=30, rounds=20)
