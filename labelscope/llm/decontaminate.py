@@ -10,7 +10,6 @@ merged into removal spans.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
