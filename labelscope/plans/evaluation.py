@@ -37,10 +37,6 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows(spark, sf_dir).select("participant_id", "window_id", "y")
 
 
-def _longs(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(c).cast("long").alias(c) if kind in ("int", "tinyint", "smallint") else F.col(c) for c, kind in df.dtypes])
-
-
 @query("confusion_metrics", f"{FULL} SELECT participant_id, model_family, * EXCLUDE (participant_id, model_family, brier, log_loss, tn, fp, fn, tp), CAST(tn AS BIGINT) AS tn, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tp AS BIGINT) AS tp FROM full_", METRICS)
 def confusion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.classification_metrics(rows(spark, sf_dir).filter("y IS NOT NULL"), KEY)

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelscope import schema as C
-from labelscope.functions import scalars as S
 from labelscope.functions.signal import BvpParams, EdaParams
 from labelscope.operators import decompose, features, quality, windows
 from labelscope.operators.quality import QualityParams
