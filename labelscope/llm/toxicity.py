@@ -27,6 +27,8 @@ BEGINNINGS = (4, 5, 6)
 MIN_POSITIVE, CANDIDATES, LEXICON = 3, 40_000, 4000
 #: A lexicon feature's rate in toxic documents is at least LIFT times that in others.
 LIFT = 4.0
+#: Odds of 1 to ODDS against a feature's precision being a coincidence; ridge penalty of the weights.
+ODDS, RIDGE = 1e3, 2e-5
 #: A feature of at least this precision, at odds of 1 to CHANCE against coincidence, tells by itself.
 PRECISION, CHANCE = 0.995, 1e8
 HELD_OUT = (5, 0)
@@ -161,42 +163,37 @@ def _weigh(rows: list[np.ndarray], y: np.ndarray, candidates: np.ndarray, marks:
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     place = np.concatenate(rows) if len(doc) else np.zeros(0, np.int32)
     n1, n0 = y.sum(), len(y) - y.sum()
-    pos = np.bincount(place, weights=y[doc], minlength=len(candidates))
+    share = n1 / len(y)
     neg = np.bincount(place, weights=1 - y[doc], minlength=len(candidates))
-    rate1, rate0 = (pos + 0.1) / (n1 + 0.2), (neg + 0.1) / (n0 + 0.2)
-    pool = (pos + neg) / len(y)
-    z = (pos - n1 * pool) / np.sqrt(np.maximum(n1 * pool * (1 - pool), 1e-9) * max(n0 / len(y), 1e-9))
-    good = np.flatnonzero((rate1 >= LIFT * rate0) & (z >= 3.5) & (pos >= MIN_POSITIVE))
-    good = good[np.argsort(-z[good], kind="stable")][:LEXICON]
+    # a group of near copies counts once: positives are counted by the texts' marks
+    toxic, pos = y[doc] == 1, np.full(len(candidates), len(y))
+    for k in range(marks.shape[1]):
+        pairs = np.unique(np.stack([place[toxic], marks[doc[toxic], k]], 1), axis=0)
+        pos = np.minimum(pos, np.bincount(pairs[:, 0], minlength=len(candidates)))
+    seen = pos + neg
+    precision = np.clip(pos / np.maximum(seen, 1), 1e-9, 1 - 1e-9)
+    surprise = seen * (precision * np.log(precision / share) + (1 - precision) * np.log((1 - precision) / (1 - share)))
+    lifted = (pos + 0.1) / (n1 + 0.2) >= LIFT * (neg + 0.1) / (n0 + 0.2)
+    good = np.flatnonzero(lifted & (surprise >= np.log(ODDS)) & (pos >= MIN_POSITIVE))
+    good = good[np.argsort(-surprise[good], kind="stable")][:LEXICON]
     new = np.full(len(candidates), -1)
     new[good] = np.arange(len(good))
     keep = new[place] >= 0 if len(place) else np.zeros(0, bool)
     doc, place = doc[keep], new[place[keep]]
-    # logistic regression on presence, classes weighed alike, weights held positive and small
+    # logistic regression on presence, weights held positive
     w, b = np.zeros(len(good)), -1.0
     mw, vw, mb, vb = np.zeros(len(good)), np.zeros(len(good)), 0.0, 0.0
-    weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)
     for step in range(1, 401):
         logit = b + np.bincount(doc, weights=w[place], minlength=len(y))
-        d = weight * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y)
-        gw, gb = np.bincount(place, weights=d[doc], minlength=len(good)) + 2e-5 * w, d.sum()
+        d = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) / len(y)
+        gw, gb = np.bincount(place, weights=d[doc], minlength=len(good)) + RIDGE * w, d.sum()
         mw, vw, mb, vb = 0.9 * mw + 0.1 * gw, 0.99 * vw + 0.01 * gw * gw, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         fix, fix2 = 1 - 0.9**step, 1 - 0.99**step
         w = np.maximum(w - 0.1 * (mw / fix) / (np.sqrt(vw / fix2) + 1e-9), 0)
         b -= 0.1 * (mb / fix) / (np.sqrt(vb / fix2) + 1e-9)
     # what tells by itself is worth its own precision, however often it came with others in training
-    # a group of near copies counts once: positives are counted by the texts' marks
-    toxic = y[doc] == 1
-    apart = np.full(len(good), len(y))
-    for k in range(marks.shape[1]):
-        pairs = np.unique(np.stack([place[toxic], marks[doc[toxic], k]], 1), axis=0)
-        apart = np.minimum(apart, np.bincount(pairs[:, 0], minlength=len(good)))
-    share, against = n1 / len(y), neg[good]
-    seen = apart + against
-    precision = np.clip(apart / np.maximum(seen, 1), 1e-9, 1 - 1e-9)
-    surprise = seen * (precision * np.log(precision / share) + (1 - precision) * np.log((1 - precision) / (1 - share)))
-    alone = (apart + 0.5) / (seen + 1)
-    telling = (precision >= PRECISION) & (surprise >= np.log(CHANCE))
+    alone = ((pos + 0.5) / (seen + 1))[good]
+    telling = (precision[good] >= PRECISION) & (surprise[good] >= np.log(CHANCE))
     w[telling] = np.maximum(w[telling], (np.log(alone / (1 - alone)) - b)[telling])
     return Lexicon(candidates[good], w, float(b))
 

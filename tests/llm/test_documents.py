@@ -342,7 +342,9 @@ def test_disguises_are_restored(spark):
 
 def test_disguised_words_count_as_the_words(spark):
     clean = "the people of the town with an old house for rent on that street are kind "
-    rows = [(i, clean + (f"{('moron', 'stupid')[i // 4 % 2]} w{i}" if i % 4 == 0 else f"fine w{i}"), "a") for i in range(200)]
+    rng = random.Random(2)
+    filler = lambda: " ".join(f"{rng.choice('bcdfgh')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{rng.choice('aeiou')}{rng.choice('lmnrst')}" for _ in range(40)) + " "
+    rows = [(i, filler() + clean + (f"{('moron', 'stupid')[i // 4 % 2]} w{i}" if i % 4 == 0 else f"fine w{i}"), "a") for i in range(200)]
     rows += [(900, clean + "m0r0n here", "a"), (901, clean + "s t u p i d here", "a"), (902, clean, "a")]
     docs = table(spark, rows)
     costs = deobfuscate.language_model(toxicity.corpus_trigrams(docs))
