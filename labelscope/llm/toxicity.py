@@ -24,7 +24,7 @@ TRAIN_DOCS = 16_000
 #: Lengths in bytes of word beginnings that are features beside whole words.
 BEGINNINGS = (4, 5, 6)
 #: Features looked at: those in at least MIN_POSITIVE toxic documents, the commonest CANDIDATES.
-MIN_POSITIVE, CANDIDATES, LEXICON = 3, 40_000, 4000
+MIN_POSITIVE, CANDIDATES, LEXICON = 4, 40_000, 4000
 #: A lexicon feature's rate in toxic documents is at least LIFT times that in others.
 LIFT = 4.0
 #: Odds of 1 to ODDS against a feature's precision being a coincidence; ridge penalty of the weights.
@@ -124,8 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, train_docs: int =
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["feature", "n"])
 
     common = texts.filter("label = 1").mapInArrow(emit, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    rows = common.filter(F.col("n") >= MIN_POSITIVE).orderBy(F.desc("n"), "feature").limit(CANDIDATES).collect()
-    candidates = np.array([r["feature"] for r in rows], np.int64).view(np.uint64)
+    rows = common.filter(F.col("n") >= MIN_POSITIVE).orderBy(F.desc("n"), "feature").limit(CANDIDATES).select("feature").toArrow()
+    candidates = rows.column("feature").to_numpy().view(np.uint64)
     chosen = spark.sparkContext.broadcast(candidates)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +147,9 @@ def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, train_docs: int =
     if not len(y) or y.min() == y.max():
         return Lexicon(np.zeros(0, np.uint64), np.zeros(0), 4.0 if len(y) and y[0] else -4.0)
     marks = np.array([(r["m1"], r["m2"]) for r in got])
-    return _weigh([np.frombuffer(r["places"], np.int32) for r in got], y, candidates, marks)
+    places = [np.frombuffer(r["places"], np.int32) for r in got]
+    del got
+    return _weigh(places, y, candidates, marks)
 
 
 def _marks(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -160,16 +162,20 @@ def _marks(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def _weigh(rows: list[np.ndarray], y: np.ndarray, candidates: np.ndarray, marks: np.ndarray) -> Lexicon:
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    place = np.concatenate(rows) if len(doc) else np.zeros(0, np.int32)
     n1, n0 = y.sum(), len(y) - y.sum()
     share = n1 / len(y)
-    neg = np.bincount(place, weights=1 - y[doc], minlength=len(candidates))
+    neg = np.zeros(len(candidates), np.int64)
+    for at in np.flatnonzero(y == 0):
+        neg[rows[at]] += 1  # a row's places are distinct
     # a group of near copies counts once: positives are counted by the texts' marks
-    toxic, pos = y[doc] == 1, np.full(len(candidates), len(y))
+    pos = np.full(len(candidates), len(y))
+    ones = np.flatnonzero(y == 1)
+    toxic = np.repeat(ones, [len(rows[at]) for at in ones])
+    found = np.concatenate([rows[at] for at in ones])
     for k in range(marks.shape[1]):
-        pairs = np.unique(np.stack([place[toxic], marks[doc[toxic], k]], 1), axis=0)
-        pos = np.minimum(pos, np.bincount(pairs[:, 0], minlength=len(candidates)))
+        number = np.unique(marks[:, k], return_inverse=True)[1]
+        pairs = np.unique(found.astype(np.int64) * len(y) + number[toxic])
+        pos = np.minimum(pos, np.bincount(pairs // len(y), minlength=len(candidates)))
     seen = pos + neg
     precision = np.clip(pos / np.maximum(seen, 1), 1e-9, 1 - 1e-9)
     surprise = seen * (precision * np.log(precision / share) + (1 - precision) * np.log((1 - precision) / (1 - share)))
@@ -178,8 +184,8 @@ def _weigh(rows: list[np.ndarray], y: np.ndarray, candidates: np.ndarray, marks:
     good = good[np.argsort(-surprise[good], kind="stable")][:LEXICON]
     new = np.full(len(candidates), -1)
     new[good] = np.arange(len(good))
-    keep = new[place] >= 0 if len(place) else np.zeros(0, bool)
-    doc, place = doc[keep], new[place[keep]]
+    kept = [new[r][new[r] >= 0] for r in rows]
+    doc, place = np.repeat(np.arange(len(rows)), [len(r) for r in kept]), np.concatenate(kept)
     # logistic regression on presence, weights held positive
     w, b = np.zeros(len(good)), -1.0
     mw, vw, mb, vb = np.zeros(len(good)), np.zeros(len(good)), 0.0, 0.0
