@@ -326,5 +326,5 @@ def prediction_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("oof_predictions")
 def oof_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every participant left out once, all candidates compared inside, every window predicted; small ensembles."""
-    return task_models.out_of_fold_predictions(training_rows(spark, sf_dir), ["a", "b", "d"], [*FAMILIES, "majority"], trees=30, rounds=20)
+    """Every participant left out once, all candidates compared inside, every window predicted; ensembles of ``models.TREES`` and ``models.ROUNDS``."""
+    return task_models.out_of_fold_predictions(training_rows(spark, sf_dir), ["a", "b", "d"], [*FAMILIES, "majority"])

@@ -63,3 +63,14 @@ def test_large_tables_go_the_other_way(spark, table, monkeypatch):
     monkeypatch.setattr(T, "BROADCAST_CELLS", 10)
     got = T.out_of_fold_predictions(table.filter("participant_id < 'S5'"), ["a", "b"], ["logistic"], grids={"logistic": models.GRIDS["logistic"][:1]})
     assert got.count() == 72
+
+
+def test_the_query_runs_ensembles_of_full_size(spark, table, monkeypatch):
+    from labelscope.plans import evaluation
+
+    seen = {}
+    size = lambda *a, trees=models.TREES, rounds=models.ROUNDS, **k: seen.update(trees=trees, rounds=rounds)
+    monkeypatch.setattr(T, "out_of_fold_predictions", size)
+    monkeypatch.setattr(evaluation, "training_rows", lambda spark, sf_dir: table)
+    evaluation.oof_predictions(spark, "")
+    assert seen == {"trees": 300, "rounds": 200}
