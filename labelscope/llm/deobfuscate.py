@@ -4,11 +4,14 @@ A token that may be disguised (marks or digits between letters, letters repeated
 times and more, single letters spaced out) becomes a lattice: each character may stand
 for itself, for a letter it resembles, for nothing (a separator, a repetition) or for a
 word boundary, at a cost. The Viterbi path through the lattice under a character trigram
-model gives the restored token. All other text has one path, itself, and stays.
+model gives the restored token. All other text has one path, itself, and stays. Tokens and
+separators may have any length: long tokens are read in stretches around the marks.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 from labelscope.llm import textkernel as tk
@@ -22,8 +25,9 @@ SEPARATORS = ".-_*'~ "
 #: Costs in nats: a letter behind a look-alike, behind "*", no character, a look-alike meant as it stands,
 #: a space meant as one between spaced letters, a shortened repetition.
 RESEMBLES, WILD, NOTHING, LITERAL, GAP, SHORTENED = 1.0, 2.5, 1.2, 6.5, 2.0, 0.5
-#: A longer token is an identifier, not a disguised word.
-LONGEST = 40
+#: A token of more bytes is read in stretches that reach AROUND bytes from what may be a disguise; a stretch of more
+#: characters, word after word of its best path.
+LONGEST, AROUND = 40, 24
 SPACED = 4
 #: Readings kept, and how much dearer than the best a rival may be.
 RIVALS, MARGIN = 5, 7.0
@@ -40,6 +44,11 @@ _ALIKE = np.zeros(256, bool)
 _ALIKE[[ord(c) for c in LOOKALIKES]] = True
 _BETWEEN = np.zeros(256, bool)
 _BETWEEN[[ord(c) for c in SEPARATORS.strip()]] = True
+#: ASCII bytes that end a stretch.
+_HARD = ~(_LETTER | _ALIKE | _BETWEEN)
+#: What is read in one step: separators or white space of any length, a character and its repetitions.
+_UNIT = re.compile(r"[-._'~ \t\n\r\f\v]+|(.)\1*", re.S)
+_NOTHING = frozenset(SEPARATORS + "\t\n\r\f\v")
 
 
 def count_trigrams(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -79,75 +88,151 @@ def suspects(raw: np.ndarray, offs: np.ndarray) -> list[tuple[int, int]]:
         alike = _ALIKE[raw] & ~same_left & ~same_right
         left_ok = before | first | np.concatenate([[False], _ALIKE[raw[:-1]]])
         inner |= alike & next_letter & left_ok
-        inner |= _BETWEEN[raw] & before & next_letter & ~first
+        a, b = tk.runs(_BETWEEN[raw], offs)
+        within = before[a] & ~first[a] & np.append(letter & ~first, False)[b]
+        inner[a[within]] = inner[b[within] - 1] = True
         inner[2:] |= letter[2:] & (raw[2:] < 128) & same_left[2:] & same_left[1:-1]
-    flagged = np.zeros(len(starts) + 1, np.int64)
-    np.add.at(flagged, np.searchsorted(starts, np.flatnonzero(inner), side="right") - 1, 1)
-    token = (flagged[:-1] > 0) & (ends - starts <= LONGEST) & (ends - starts >= 3)
+    marks = np.flatnonzero(inner)
+    home = np.searchsorted(starts, marks, side="right") - 1
+    flagged = np.zeros(len(starts), bool)
+    flagged[home] = True
+    token = flagged & (ends - starts <= LONGEST) & (ends - starts >= 3)
     single = (ends - starts == 1) & (letter[starts] | _ALIKE[raw[starts]])
     found = [(int(starts[i]), int(ends[i])) for i in np.flatnonzero(token)]
+    long = (ends - starts > LONGEST)[home]
+    if long.any():
+        found += _stretches(raw, marks[long], starts[home[long]], ends[home[long]])
     for a, b in zip(*tk.runs(single, woffs), strict=True):
         if b - a >= SPACED and letter[starts[a:b]].sum() >= 2:
             found.append((int(starts[a]), int(ends[b - 1])))
     return sorted(found)
 
 
+def _stretches(raw: np.ndarray, marks: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """Whole characters around the marks of long tokens, disjoint: as far as ``AROUND`` bytes, a mark that
+    hides nothing, or a character of a script without spaces (unless the mark stands between such)."""
+    n = len(raw)
+    lead = np.maximum.accumulate(np.where(raw & 0xC0 != 0x80, np.arange(n), 0))
+    head = raw[lead]
+    unspaced = (head >= 0xE3) & (head <= 0xED)
+    unspaced |= (head == 0xE0) & (raw[np.minimum(lead + 1, n - 1)] >= 0xB8)  # Thai, Lao
+    within = unspaced[np.maximum(marks - 1, 0)] & unspaced[np.minimum(marks + 1, n - 1)]
+    lo, hi = np.maximum(starts, marks - AROUND), np.minimum(ends, marks + 1 + AROUND)
+    for which, hard in ((within, _HARD[raw]), (~within, _HARD[raw] | unspaced)):
+        stops = np.concatenate([[-1], np.flatnonzero(hard), [n]])
+        place = np.searchsorted(stops, marks)
+        lo = np.where(which, np.maximum(lo, stops[place - 1] + 1), lo)
+        hi = np.where(which, np.minimum(hi, stops[np.searchsorted(stops, marks, side="right")]), hi)
+    lo = np.where(lo < n, lead[np.minimum(lo, n - 1)], lo)
+    for _ in range(3):
+        inside = (hi < ends) & (lead[np.minimum(hi, n - 1)] != hi)
+        hi = hi + inside
+    hi = np.maximum.accumulate(hi)
+    new = np.concatenate([[True], lo[1:] >= hi[:-1]])
+    first = np.flatnonzero(new)
+    return list(zip(np.minimum.reduceat(lo, first).tolist(), hi[np.append(first[1:], len(hi)) - 1].tolist(), strict=True))
+
+
 class Restorer:
     """Restores tokens under a language model, remembering a bounded number of them."""
 
     def __init__(self, costs: np.ndarray):
         self.costs = costs.tolist()
-        self.known: dict[str, str] = {}
+        self.known: dict[tuple[str, bool], list[str]] = {}
 
-    def readings(self, token: str) -> list[str]:
-        """The best path and its near rivals, best first."""
-        out = self.known.get(token)
+    def readings(self, token: str, spaced: bool = False) -> list[str]:
+        """The best path and its near rivals, best first; ``spaced`` says that a whole of single letters is known of."""
+        out = self.known.get((token, spaced))
         if out is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            out = self.known[token] = self._viterbi(token)
+            out = self.known[token, spaced] = self._viterbi(token, spaced)
         return out
 
     def token(self, token: str) -> str:
-        return self.readings(token)[0]
+        if len(token) <= LONGEST:
+            return self.readings(token)[0]
+        parts, spaced = self._parts(token)
+        return "".join(self.readings("".join(words), spaced)[0] for words in parts)
+
+    def rivals(self, token: str) -> str:
+        """All readings, for scoring; a long token's part by part, and over the joints of its parts."""
+        if len(token) <= LONGEST:
+            return " ".join(self.readings(token))
+        parts, spaced = self._parts(token)
+        out = [self.token(token)]
+        for words in parts:
+            out += self.readings("".join(words), spaced)
+        for left, right in zip(parts, parts[1:], strict=False):
+            out += self.readings(left[-1] + right[0], spaced)
+        return " ".join(out)
+
+    def _parts(self, token: str) -> tuple[list[list[str]], bool]:
+        """A long token as lists of the words of its best path, about ``LONGEST`` characters each; whether it is spaced."""
+        units = [m[0] for m in _UNIT.finditer(token)]
+        spaced = _spaced(units)
+        costs = self.costs
+        # per state: cost, and the units after which a word ends, the last one first
+        paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for k, options in enumerate(self._options(units, spaced)):
+            ahead: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (p, q), (cost, cuts) in paths.items():
+                for out, price, boundary in options:
+                    a, b, more = p, q, cost + price
+                    for symbol in (0,) if boundary else _symbols(out):
+                        more += costs[a][b][symbol]
+                        a, b = b, symbol
+                    if (a, b) not in ahead or more < ahead[a, b][0]:
+                        ahead[a, b] = (more, (cuts, k) if boundary else cuts)
+            paths = ahead
+        cuts = min(((cost + costs[a][b][0], n, c) for n, ((a, b), (cost, c)) in enumerate(paths.items())), key=lambda x: x[:2])[2]
+        ends = [len(units)]
+        while cuts is not None:
+            cuts, k = cuts
+            ends.append(k + 1)
+        parts: list[list[str]] = []
+        at, room = 0, 0
+        for end in sorted(set(ends)):
+            while at < end:
+                stop = min(end, at + 4 * LONGEST)  # a stretch without any word end
+                word, at = "".join(units[at:stop]), stop
+                if not parts or len(word) > room:
+                    parts.append([])
+                    room = LONGEST
+                parts[-1].append(word)
+                room -= len(word)
+        return parts, spaced
 
-    def _options(self, token: str) -> list[list[tuple[str, float, bool]]]:
-        """Per run of equal characters: (text put out, cost, whether it is a boundary to the model)."""
+    def _options(self, units: list[str], spaced: bool) -> list[list[tuple[str, float, bool]]]:
+        """Per unit: (text put out, cost, whether it is a boundary to the model)."""
         steps: list[list[tuple[str, float, bool]]] = []
-        spaced = len(token) >= 2 * SPACED - 1 and all(x in SEPARATORS for x in token[1::2])
-        at = 0
-        while at < len(token):
-            c = token[at]
-            end = at + 1
-            while end < len(token) and token[end] == c:
-                end += 1
-            n, at = end - at, end
+        for k, unit in enumerate(units):
+            c, n = unit[0], len(unit)
             if c.isalpha():
-                options = [(c * n, 0.0, False)]
+                options = [(unit, 0.0, False)]
                 if n >= 3:
                     options += [(c, SHORTENED, False), (c * 2, SHORTENED, False)]
-            elif n <= 2 and not (n == 2 and c not in "$0!|@"):
-                alike = LOOKALIKES.get(c, "")
-                options = [(c * n, GAP if spaced and c in SEPARATORS else LITERAL if alike else 0.0, True)]
+            else:
+                alike = LOOKALIKES.get(c, "") if n == 1 or n == 2 and c in "$0!|@" else ""
+                options = [(unit, GAP if spaced and c in _NOTHING else LITERAL if alike else 0.0, True)]
                 for x in alike:
                     options.append((x * n, WILD if c == "*" else RESEMBLES * n, False))
-                if c in SEPARATORS and steps and at < len(token):
+                if c in _NOTHING and 0 < k < len(units) - 1:
                     options.append(("", 0.0 if spaced else NOTHING, False))
-            else:
-                options = [(c * n, 0.0, True)]
             steps.append(options)
         return steps
 
-    def _viterbi(self, token: str) -> list[str]:
+    def _viterbi(self, token: str, spaced: bool) -> list[str]:
         """Texts of the cheapest paths; a state (the last two symbols) holds its ``RIVALS`` best."""
         costs = self.costs
         paths: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
-        for options in self._options(token):
+        units = [m[0] for m in _UNIT.finditer(token)]
+        for options in self._options(units, spaced or _spaced(units)):
             ahead: dict[tuple[int, int], list[tuple[float, str]]] = {}
             for (p, q), held in paths.items():
                 for out, price, boundary in options:
                     a, b, more = p, q, price
-                    for symbol in (0,) if boundary else [_symbol(x) for x in out]:
+                    for symbol in (0,) if boundary else _symbols(out):
                         more += costs[a][b][symbol]
                         a, b = b, symbol
                     ahead.setdefault((a, b), []).extend((cost + more, text + out) for cost, text in held)
@@ -166,7 +251,9 @@ class Restorer:
             if a < at:
                 continue
             before = data[a:b].decode()
-            after = " ".join(self.readings(before)) if rivals else self.token(before)
+            after = self.rivals(before) if rivals else self.token(before)
+            if rivals and after != before:  # a word of its own inside scripts without spaces
+                after = " " * (a > 0 and data[a - 1] > 127) + after + " " * (b < len(data) and data[b] > 127)
             if after != before:
                 put = after.encode()
                 pieces += [data[at:a], put]
@@ -184,5 +271,14 @@ class Restorer:
         return self.texts(raw, np.array([0, len(raw)]))[0].tobytes().decode()
 
 
+def _spaced(units: list[str]) -> bool:
+    """Whether single letters are spaced out."""
+    return len(units) >= 2 * SPACED - 1 and all(u[0] in _NOTHING for u in units[1::2])
+
+
+def _symbols(text: str) -> list[int]:
+    return [_symbol(c) for c in text]
+
+
 def _symbol(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 27

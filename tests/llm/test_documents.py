@@ -8,6 +8,7 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from labelscope.llm import decontaminate, deobfuscate, licenses, mixing, near_dup, quality, token_counts, toxicity
 from labelscope.llm.queries import ORACLE, QUERIES
@@ -340,6 +341,23 @@ def test_disguises_are_restored(spark):
     assert restorer.restore("") == "" and restorer.restore(LONG) == LONG
 
 
+def test_long_disguises_and_long_separators_are_restored(spark):
+    words = "you are an idiot and a moron the stupid clown is pathetic trash scum loser people in on of to with for "
+    docs = table(spark, [(i, words * 30, "a") for i in range(5)])
+    restorer = deobfuscate.Restorer(deobfuscate.language_model(toxicity.corpus_trigrams(docs)))
+    for put, want in {"st" + "u" * 60 + "pid": "stupid", "i..d..i..o..t": "idiot", "s  t  u  p  i  d": "stupid", "l\no\ns\ne\nr": "loser", "st--up..id": "stupid"}.items():
+        assert restorer.restore(f"the {put} people") == f"the {want} people"
+    phrase = "you are a stupid idiot and a pathetic loser and a moron"
+    chains = {"-".join(phrase.replace(" ", "")): "stupid idiot loser moron", "people/in/on/of/to/with/for/the/people/m0r0n/people/in/on/of": "moron", "people-in-on-of-to-with-for-the-people-of-the-m0r0n-people": "moron"}
+    chains |= {"这是一个很长的句子没有任何空格s.t.u.p.i.d这是一个很长的句子": "stupid", "これはとてもながいぶんですm0r0nこれはとてもながい": "moron", "ประโยคภาษาไทยที่ยาวมากcl0wnประโยคภาษาไทย": "clown"}
+    for put, want in chains.items():
+        raw = deobfuscate.tk.LOWER[np.frombuffer(f"the {put} people".encode(), np.uint8)]
+        scored = restorer.texts(raw, np.array([0, len(raw)]), rivals=True)[0].tobytes().decode()
+        assert set(want.split()) <= set(re.findall("[a-z]+", scored)) and scored.isprintable()
+        assert not set(want.split()) & set(re.findall("[a-z]+", put))
+        assert restorer.restore(f"the {put} people").startswith("the ") and len(restorer.restore(put)) <= len(put)
+
+
 def test_disguised_words_count_as_the_words(spark):
     clean = "the people of the town with an old house for rent on that street are kind "
     rng = random.Random(2)
