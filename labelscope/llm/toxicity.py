@@ -23,8 +23,8 @@ from labelscope.llm.deobfuscate import N_SYMBOLS, Restorer, count_trigrams, lang
 TRAIN_DOCS = 16_000
 #: Lengths in bytes of word beginnings that are features beside whole words.
 BEGINNINGS = (4, 5, 6)
-#: Features looked at: those in at least MIN_POSITIVE toxic documents, the commonest CANDIDATES.
-MIN_POSITIVE, CANDIDATES, LEXICON = 4, 40_000, 4000
+#: A lexicon feature is in at least MIN_POSITIVE toxic documents; the LEXICON most surprising are weighed.
+MIN_POSITIVE, LEXICON = 4, 4000
 #: A lexicon feature's rate in toxic documents is at least LIFT times that in others.
 LIFT = 4.0
 #: Odds of 1 to ODDS against a feature's precision being a coincidence; ridge penalty of the weights.
@@ -112,19 +112,38 @@ def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, train_docs: int =
     texts = texts.select("doc_id", F.col("label").cast("int").alias("label"), "text")
     shared = spark.sparkContext.broadcast(costs)
 
+    sizes = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}  # a row a class
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    if not n1 or not n0:
+        return Lexicon(np.zeros(0, np.uint64), np.zeros(0), 4.0 if n1 else -4.0)
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, parts in _restored(batches, shared.value):
-            for _, raw, offs in parts:
+        """Kind 0: a feature and its clean texts; 1 and 2: a feature and a mark of a toxic text."""
+        for batch, parts in _restored(batches, shared.value):
+            label = batch.column("label").to_numpy()
+            for lo, raw, offs in parts:
                 doc, hashes = features(raw, offs)
                 order = np.lexsort((hashes, doc))
                 doc, hashes = doc[order], hashes[order]
                 new = np.ones(len(doc), bool)
                 new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
-                values, counts = np.unique(hashes[new], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["feature", "n"])
-
-    common = texts.filter("label = 1").mapInArrow(emit, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    rows = common.filter(F.col("n") >= MIN_POSITIVE).orderBy(F.desc("n"), "feature").limit(CANDIDATES).select("feature").toArrow()
+                doc, hashes = doc[new], hashes[new]
+                toxic = label[lo + doc] == 1
+                values, counts = np.unique(hashes[~toxic], return_counts=True)
+                rows = [(values, np.zeros(len(values), np.int64), counts)]
+                rows += [(hashes[toxic], m.view(np.int64)[doc[toxic]], np.ones(toxic.sum(), np.int64)) for m in _marks(raw, offs)]
+                for kind, (feature, mark, n) in enumerate(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(feature.view(np.int64)), pa.array(np.full(len(n), kind, np.int32)), pa.array(mark), pa.array(n)], names=["feature", "kind", "mark", "n"])
+
+    counted = texts.mapInArrow(emit, "feature long, kind int, mark long, n long").groupBy("feature", "kind", "mark").agg(F.sum("n").alias("n"))
+    neg = F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("n"))), F.lit(0))
+    counted = counted.groupBy("feature").agg(neg.alias("neg"), F.least(F.count_if(F.col("kind") == 1), F.count_if(F.col("kind") == 2)).alias("pos"))
+    pos, neg, share = F.col("pos"), F.col("neg"), n1 / (n0 + n1)
+    counted = counted.filter(pos >= MIN_POSITIVE).withColumn("p", F.least(F.greatest(pos / (pos + neg), F.lit(1e-9)), F.lit(1 - 1e-9)))
+    p = F.col("p")
+    counted = counted.withColumn("surprise", (pos + neg) * (p * F.log(p / share) + (1 - p) * F.log((1 - p) / (1 - share))))
+    told = ((pos + 0.1) / (n1 + 0.2) >= LIFT * (neg + 0.1) / (n0 + 0.2)) & (F.col("surprise") >= float(np.log(ODDS)))
+    rows = counted.filter(told).orderBy(F.desc("surprise"), "feature").limit(LEXICON).select("feature").toArrow()
     candidates = rows.column("feature").to_numpy().view(np.uint64)
     chosen = spark.sparkContext.broadcast(candidates)
 
@@ -144,8 +163,6 @@ def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, train_docs: int =
     got = texts.mapInArrow(look, "doc_id long, label int, places binary, m1 long, m2 long").collect()
     got.sort(key=lambda r: (r["doc_id"], r["places"]))
     y = np.array([r["label"] for r in got], np.float64)
-    if not len(y) or y.min() == y.max():
-        return Lexicon(np.zeros(0, np.uint64), np.zeros(0), 4.0 if len(y) and y[0] else -4.0)
     marks = np.array([(r["m1"], r["m2"]) for r in got])
     places = [np.frombuffer(r["places"], np.int32) for r in got]
     del got

@@ -369,3 +369,17 @@ def test_disguised_words_count_as_the_words(spark):
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, label int")
     got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, costs, toxicity.fit(docs, labels, costs)).collect()}
     assert got[900] >= 0.5 and got[901] >= 0.5 and got[902] < 0.5 and got[1] < 0.5 and got[4] >= 0.5
+
+
+def test_rare_toxic_words_are_learned_beside_many_common_ones(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CANDIDATES", 50, raising=False)
+    common = " ".join(f"{a}{b}lo" for a in "bcdfghklmn" for b in "aeiou")
+    rare = ("moronic", "vermin")
+    own = lambda i: " ".join(f"n{i}x{k}" for k in range(200))
+    rows = [(i, f"{common} {own(i)} {rare[i // 4 % 2] if i % 4 == 0 else ''}", "a") for i in range(80)] + [(900 + k, f"a {w} here", "a") for k, w in enumerate(rare)] + [(990, common, "a")]
+    docs = table(spark, rows)
+    costs = deobfuscate.language_model(toxicity.corpus_trigrams(docs))
+    lexicon = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)], "doc_id long, label int"), costs)
+    assert {deobfuscate.tk.hash_word(w) for w in rare} <= set(lexicon.hashes.tolist())
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, costs, lexicon).collect()}
+    assert min(got[900], got[901]) > got[990]
