@@ -1,8 +1,7 @@
 """Chat formatting: roles recovered by a hidden Markov model, then canonical turns.
 
-Rows of a conversation are read line by line. A line's observation is the speaker marker
-it has (the row's role on its first line, or a marker such as ``User:`` or ``### Answer``
-at its start), its length and whether it asks. States are a role beginning a turn or going
+Rows of a conversation are read line by line. A line's observations are the speaker marker
+it has (such as ``User:`` or ``### Answer`` at its start), the row's role on its first line, its length and whether it asks. States are a role beginning a turn or going
 on with it. Transitions and line statistics are counted over all rows whose role is
 known; markers are trusted but may be wrong or missing.
 
@@ -54,17 +53,17 @@ def shape_of(line: str) -> int:
     return 2 * size + line.rstrip().endswith("?")
 
 
-def lines_of(role: str | None, text: str | None) -> list[tuple[str, int, int, bool]]:
-    """(line without its marker, marker's role or -1, shape, whether it begins the row) of a row."""
+def lines_of(role: str | None, text: str | None) -> list[tuple]:
+    """Lines of a row: ((line, line without its marker, marker's role), what is observed, shape, whether it begins the row).
+
+    Observed is the marker's role, -1 for none; on the row's first line both the row's own and the marker's.
+    """
     out = []
     for k, line in enumerate((text or "").split("\n")):
         found = MARKER.match(line)
         marked = role_of(next(g for g in found.groups() if g)) if found else -1
-        if found:
-            line = line[found.end() :]
-        if k == 0 and marked < 0:
-            marked = role_of(role)
-        out.append((line, marked, shape_of(line), k == 0))
+        bare = line[found.end() :] if found else line
+        out.append(((line, bare, marked), marked if k else (role_of(role), marked), shape_of(bare), k == 0))
     return out
 
 
@@ -78,10 +77,11 @@ class Model:
         self.follow = np.log(follow / follow.sum(1, keepdims=True)).tolist()
         self.shape = np.log(shape / shape.sum(1, keepdims=True)).tolist()
 
-    def begin(self, marked: int, shape: int, first: bool) -> list[float]:
-        """Cost-free scores of a line beginning a turn of each role."""
+    def begin(self, marked, shape: int, first: bool) -> list[float]:
+        """Cost-free scores of a line beginning a turn of each role; ``marked`` as in ``lines_of``."""
+        seen = [m for m in (marked if first else (marked,)) if m >= 0]
         none = np.log(UNMARKED_ROW if first else UNMARKED_LINE)
-        return [self.shape[r][shape] + (none if marked < 0 else np.log(MARKED if marked == r else STRAY)) for r in range(3)]
+        return [self.shape[r][shape] + (sum(np.log(MARKED if m == r else STRAY) for m in seen) if seen else none) for r in range(3)]
 
     def inside(self, marked: int, shape: int) -> list[float]:
         return [self.shape[r][shape] + np.log(STRAY if marked >= 0 else 1 - STRAY) for r in range(3)]
@@ -144,12 +144,12 @@ def decode_block(model: Model, rows: list[list], enter: int, leave: int | None =
 
 
 def turns_of(row: list, path: list[tuple[int, bool]]) -> list[tuple[str, str]]:
-    """(role, text) of the turns of a row, white space at their ends removed."""
+    """(role, text) of the turns of a row, white space at their ends removed; a marker goes only where it begins its role's turn."""
     turns: list[tuple[int, list[str]]] = []
-    for (line, *_), (role, begins) in zip(row, path, strict=True):
+    for ((line, bare, marked), *_), (role, begins) in zip(row, path, strict=True):
         if begins or not turns:
             turns.append((role, []))
-        turns[-1][1].append(line)
+        turns[-1][1].append(bare if begins and marked == role else line)
     return [(ROLES[role], "\n".join(lines).strip(" \t\r\n")) for role, lines in turns]
 
 

@@ -90,6 +90,16 @@ def test_markers_in_texts_split_turns():
     assert C.parse_transcript("") == C.parse_transcript("") and len(C.parse_transcript("no speaker\nat all")) == 1
 
 
+def test_lines_that_go_on_keep_what_looks_like_a_marker(spark):
+    rows = [(c, t, ("user", "assistant")[t % 2], "is it so?" if t % 2 == 0 else "It is as you say.") for c in range(60) for t in range(6)]
+    rows += [(100, 0, "user", "how much?"), (100, 1, "assistant", "Work: 6*7\nAnswer: 42"), (100, 2, "user", "which one is it?"), (100, 3, "assistant", "User: what a word")]
+    got = [(r["turn"], r["role"], r["text"]) for r in C.format_chats(table(spark, rows)).collect() if r["conv_id"] == 100]
+    assert sorted(got)[:2] == [(0, "user", "how much?"), (1, "assistant", "Work: 6*7\nAnswer: 42")]
+    assert "".join(x for t, _, x in sorted(got) if t == 1) == "Work: 6*7\nAnswer: 42"
+    # the row's role counts beside the marker of its first line
+    assert (3, "assistant", "User: what a word") in got
+
+
 def test_rendering_and_round_trip(spark):
     turns = [("system", "Rules."), ("user", "Q one?\n\nwith a gap"), ("assistant", "Yes")]
     text = "".join(C.render(r, t) for r, t in turns)
