@@ -2,8 +2,8 @@
 
 Leave-one-out evaluation with inner selection makes thousands of fits on a few hundred
 rows. As Spark jobs their cost is the launch; here each task fits one model on a broadcast
-training table whose size was checked, and the cluster runs as many at once as it has
-cores. Larger tables go to ``models.out_of_fold_predictions`` instead.
+training table (labelled rows, numbers only, in pieces of bounded size), and the cluster runs
+as many at once as it has cores. The learners are the same for tables of every size.
 
 Logistic regression is fitted by Newton steps with an L2 penalty, forests of Gini trees on
 bootstrap rows with a square root of the features at each node, boosted trees by second
@@ -12,6 +12,7 @@ order with row and column sampling. All are deterministic for a seed.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,7 +24,7 @@ from labelscope.functions.seeds import child_seed
 from labelscope.operators import models
 from labelscope.operators.splits import inner_split
 
-#: Cells (rows times features) of a training table that may be broadcast: 64 MB of doubles.
+#: Cells (rows times features) of one piece of the broadcast training table: 64 MB of doubles.
 BROADCAST_CELLS = 8_000_000
 LAMBDA = 1.0
 
@@ -165,23 +166,37 @@ def fit_boosted(x: np.ndarray, y: np.ndarray, depth: int, rate: float, weight: n
     return out
 
 
-def fit_predict(candidate: models.Candidate, x: np.ndarray, y: np.ndarray, held: np.ndarray, seed: int, trees: int, rounds: int) -> np.ndarray:
-    """Chances of class 1 for ``held`` from training rows: medians for gaps, scaling for logistic, then the model."""
+def fit(candidate: models.Candidate, x: np.ndarray, y: np.ndarray, seed: int, trees: int, rounds: int) -> tuple:
+    """What ``predict`` needs of a model from training rows: medians for gaps, scaling for logistic, then the model."""
     with np.errstate(all="ignore"):
         medians = np.array([np.median(c[np.isfinite(c)]) if np.isfinite(c).any() else 0.0 for c in x.T])
-    x, held = (np.where(np.isfinite(v), v, medians) for v in (x, held))
+    x = np.where(np.isfinite(x), x, medians)
     p = candidate.params
     if candidate.family == "logistic":
         mean, std = x.mean(0), x.std(0)
         std[std == 0] = 1.0
-        w = fit_logistic((x - mean) / std, y, p["C"], balanced_weights(y, p["class_weight"] == "balanced"))
-        return 1 / (1 + np.exp(-np.clip(((held - mean) / std) @ w[:-1] + w[-1], -500, 500)))
+        return medians, (mean, std, fit_logistic((x - mean) / std, y, p["C"], balanced_weights(y, p["class_weight"] == "balanced")))
     if candidate.family == "random_forest":
-        forest = fit_forest(x, y, p["max_depth"], p["min_samples_leaf"], balanced_weights(y, p["class_weight"] == "balanced"), trees, seed)
-        return np.mean([t.predict(held) for t in forest], axis=0)
+        return medians, fit_forest(x, y, p["max_depth"], p["min_samples_leaf"], balanced_weights(y, p["class_weight"] == "balanced"), trees, seed)
     weight = np.where(y == 1, (len(y) - y.sum()) / y.sum() if p["class_weight_mode"] == "training_ratio" else 1.0, 1.0)
-    boosted = fit_boosted(x, y, p["max_depth"], p["learning_rate"], weight, rounds, seed)
-    return 1 / (1 + np.exp(-sum((t.predict(held) for t in boosted), np.zeros(len(held)))))
+    return medians, fit_boosted(x, y, p["max_depth"], p["learning_rate"], weight, rounds, seed)
+
+
+def predict(family: str, fitted: tuple, held: np.ndarray) -> np.ndarray:
+    """Chances of class 1 for ``held``."""
+    medians, model = fitted
+    held = np.where(np.isfinite(held), held, medians)
+    if family == "logistic":
+        mean, std, w = model
+        return 1 / (1 + np.exp(-np.clip(((held - mean) / std) @ w[:-1] + w[-1], -500, 500)))
+    if family == "random_forest":
+        return np.mean([t.predict(held) for t in model], axis=0)
+    return 1 / (1 + np.exp(-sum((t.predict(held) for t in model), np.zeros(len(held)))))
+
+
+def fit_predict(candidate: models.Candidate, x: np.ndarray, y: np.ndarray, held: np.ndarray, seed: int, trees: int, rounds: int) -> np.ndarray:
+    """Chances of class 1 for ``held`` from training rows."""
+    return predict(candidate.family, fit(candidate, x, y, seed, trees, rounds), held)
 
 
 def balanced_accuracy(y: np.ndarray, hard: np.ndarray) -> float | None:
@@ -199,32 +214,44 @@ def out_of_fold_predictions(
     """As ``models.out_of_fold_predictions``, with every fit a task.
 
     Two task tables: one row for each (outer participant, family, candidate), giving the
-    mean inner score; then one for each (outer participant, family) of the chosen ones.
-    A training table of more than ``BROADCAST_CELLS`` cells goes the other way.
+    mean inner score; then one for each (outer participant, family) of the chosen ones,
+    giving models, by which the rows are predicted where they are.
     """
     spark = rows.sparkSession
     grids = grids or models.GRIDS
-    if rows.count() * len(columns) > BROADCAST_CELLS:
-        return models.out_of_fold_predictions(rows, columns, families, seed, n_inner, grids, trees=trees, rounds=rounds)
-    frame = rows.select("participant_id", "window_id", F.col("y").cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in columns]).toPandas().sort_values(["participant_id", "window_id"])
-    data = (frame["participant_id"].to_numpy(str), frame["window_id"].to_numpy(str), frame["y"].to_numpy(float), frame[columns].to_numpy(float))
-    shared = spark.sparkContext.broadcast(data)
-    who, _, y, _ = data
-    counts = {p: (int((y[who == p] == 0).sum()), int((y[who == p] == 1).sum())) for p in sorted(set(who.tolist()))}
+    rows = rows.select("participant_id", "window_id", F.col("y").cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in columns])
+    counts = {r["participant_id"]: (r["n0"], r["n1"]) for r in models.class_counts(rows).orderBy("participant_id").collect()}  # one row a participant
+    people = list(counts)
+    number = {p: i for i, p in enumerate(people)}
+    known = rows.filter("y IS NOT NULL AND NOT isnan(y)").orderBy("participant_id", "window_id", "y", *columns)
+    place = F.create_map(*[F.lit(v) for p in people for v in (p, number[p])])[F.col("participant_id")]
+    table = known.select(place.cast("int").alias("at"), "y", *columns).toArrow()
+    size = max(1, BROADCAST_CELLS // len(columns))
+    pieces = []
+    for start in range(0, table.num_rows, size):
+        part = table.slice(start, size)
+        x = np.column_stack([part.column(c).to_numpy().astype(float) for c in columns])
+        pieces.append(spark.sparkContext.broadcast((part.column("at").to_numpy(), part.column("y").to_numpy(), x)))
+    del table
+
+    def training():
+        """(participant's number, label, features) of all labelled rows, in order."""
+        held = [p.value for p in pieces]
+        return held[0] if len(held) == 1 else tuple(np.concatenate(v) for v in zip(*held, strict=True))
+
     learned = [f for f in families if f != "majority"]
     splits = {p: inner_split(counts, p, seed, n_inner) for p in counts} if any(len(grids[f]) > 1 for f in learned) else {}
 
     def score(frames):
-        who, _, y, x = shared.value
+        who, y, x = training()
         for tasks in frames:
             out = []
             for outer, family, position in zip(tasks["outer"], tasks["family"], tasks["position"], strict=True):
                 own, got = child_seed(seed, f"model_fit:{family}:{outer}"), []
                 for fold in splits[outer].folds:
-                    fit = np.isin(who, fold.train) & ~np.isnan(y)
-                    for_ = np.isin(who, fold.validation) & ~np.isnan(y)
-                    p = fit_predict(grids[family][position], x[fit], y[fit], x[for_], own, trees, rounds)
-                    got += [balanced_accuracy(y[for_][who[for_] == v], (p >= models.THRESHOLD)[who[for_] == v].astype(int)) for v in fold.validation]
+                    fit_, for_ = (np.isin(who, [number[v] for v in ids]) for ids in (fold.train, fold.validation))
+                    p = fit_predict(grids[family][position], x[fit_], y[fit_], x[for_], own, trees, rounds)
+                    got += [balanced_accuracy(y[for_][who[for_] == number[v]], (p >= models.THRESHOLD)[who[for_] == number[v]].astype(int)) for v in fold.validation]
                 known = [g for g in got if g is not None]
                 out.append((outer, family, position, float(np.mean(known)) if known else None))
             yield pd.DataFrame(out, columns=["outer", "family", "position", "score"])
@@ -241,28 +268,39 @@ def out_of_fold_predictions(
             got.setdefault((r["outer"], r["family"]), {})[r["position"]] = r["score"]
         for key, scores in got.items():
             chosen[key] = models.best_candidate([{"candidate": i, "score": scores[i]} for i in sorted(scores)])
-    number = {p: i for i, p in enumerate(sorted(counts))}
 
-    def predict(frames):
-        who, window, y, x = shared.value
+    def fitted(frames):
+        who, y, x = training()
         for tasks in frames:
             for outer, family, position in zip(tasks["outer"], tasks["family"], tasks["position"], strict=True):
-                held, fit = who == outer, (who != outer) & ~np.isnan(y)
+                use = who != number[outer]
+                made = y[use].mean() if family == "majority" else fit(grids[family][position], x[use], y[use], child_seed(seed, f"model_fit:{family}:{outer}"), trees, rounds)
+                yield pd.DataFrame({"outer": [outer], "family": [family], "model": [pickle.dumps(made)]})
+
+    tasks = [(p, f, chosen.get((p, f), 0)) for p in counts for f in families]
+    found = dealt(tasks, "outer string, family string, position int").mapInPandas(fitted, "outer string, family string, model binary").collect()  # one row a participant and family
+    shared = spark.sparkContext.broadcast({(r["outer"], r["family"]): bytes(r["model"]) for r in found})
+
+    def predicted(frames):
+        kept = {}
+        for frame in frames:
+            for (outer, family), held in ((k, h) for who, h in frame.groupby("participant_id", sort=False) for k in [(who, f) for f in families]):
+                if (outer, family) not in kept:
+                    kept[outer, family] = pickle.loads(shared.value[outer, family])
                 made = own = None
                 if family == "majority":
-                    p = np.full(held.sum(), y[fit].mean())
+                    p = np.full(len(held), kept[outer, family])
                     hard = (p > 0.5).astype(int)
                 else:
-                    made, own = grids[family][position], child_seed(seed, f"model_fit:{family}:{outer}")
-                    p = fit_predict(made, x[fit], y[fit], x[held], own, trees, rounds)
+                    made, own = grids[family][chosen[outer, family]], child_seed(seed, f"model_fit:{family}:{outer}")
+                    p = predict(family, kept[outer, family], held[columns].to_numpy(float))
                     hard = (p >= models.THRESHOLD).astype(int)
                 yield pd.DataFrame(
                     {
-                        "participant_id": outer, "window_id": window[held], "y": pd.array(np.where(np.isnan(y[held]), -1, y[held]).astype(int), "Int64"), "outer_fold": number[outer], "model_family": family,
-                        "prob_positive": p, "hard": hard, "candidate_id": made.candidate_id if made else None, "candidate_params": made.params_json() if made else None, "model_seed": pd.array([own] * int(held.sum()), "Int64"),
+                        "participant_id": outer, "window_id": held["window_id"].to_numpy(), "y": held["y"].astype("Int64").to_numpy(), "outer_fold": number[outer], "model_family": family,
+                        "prob_positive": p, "hard": hard, "candidate_id": made.candidate_id if made else None, "candidate_params": made.params_json() if made else None, "model_seed": pd.array([own] * len(held), "Int64"),
                     }
-                ).assign(y=lambda d: d["y"].mask(d["y"] < 0))
+                )
 
-    tasks = [(p, f, chosen.get((p, f), 0)) for p in counts for f in families]
-    made = dealt(tasks, "outer string, family string, position int").mapInPandas(predict, PREDICTED)
+    made = rows.mapInPandas(predicted, PREDICTED)
     return made.withColumn("hard", F.col("hard").cast("byte"))

@@ -74,3 +74,11 @@ def test_the_query_runs_ensembles_of_full_size(spark, table, monkeypatch):
     monkeypatch.setattr(evaluation, "training_rows", lambda spark, sf_dir: table)
     evaluation.oof_predictions(spark, "")
     assert seen == {"trees": 300, "rounds": 200}
+
+
+def test_the_size_of_the_table_does_not_change_the_learners(spark, table, monkeypatch):
+    some = table.filter("participant_id < 'S6'")
+    run = lambda: sorted(map(tuple, T.out_of_fold_predictions(some, ["a", "b"], ["random_forest", "xgboost"], n_inner=3, grids={f: g[:1] for f, g in models.GRIDS.items()}, trees=5, rounds=5).collect()))
+    small = run()
+    monkeypatch.setattr(T, "BROADCAST_CELLS", 10)
+    assert run() == small and len(small) == 2 * some.count()
