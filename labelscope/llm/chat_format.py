@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelscope.llm.common import bound_batches, cut, table
+from labelscope.llm.common import bound_batches, cut, released, table
 
 ROLES = ("system", "user", "assistant")
 START = 3
@@ -279,14 +279,14 @@ def format_chats(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> Da
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("conv_id"), F.col("block"), F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")]
     dealt = cut(rows.withColumn("block", block).select(*_COLUMNS).repartition(parts, "conv_id", "block").sortWithinPartitions(*order))
-    counts = dealt.mapInArrow(_count, "kind string, a int, b int, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()  # a row for each parameter
+    counts = dealt.mapInArrow(released(_count), "kind string, a int, b int, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()  # a row for each parameter
     model = spark.sparkContext.broadcast(Model({(r["kind"], r["a"], r["b"]): r["n"] for r in counts}))
-    scores = dealt.mapInArrow(_summaries(model), "conv_id long, block long, scores array<double>")
-    chained = scores.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(_chain, "conv_id long, block long, enter int, leave int")
+    scores = dealt.mapInArrow(released(_summaries(model)), "conv_id long, block long, scores array<double>")
+    chained = scores.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(released(_chain), "conv_id long, block long, enter int, leave int")
     ends = cut(chained).select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), "enter", "leave")
     known = dealt.join(ends, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b"))).drop("_c", "_b")
     known = known.select(*_COLUMNS, "enter", "leave").repartition(parts, "conv_id", "block").sortWithinPartitions(*order)
-    return known.mapInArrow(_decode(model), TURNS)
+    return known.mapInArrow(released(_decode(model)), TURNS)
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

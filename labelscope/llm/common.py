@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from labelscope.llm import textkernel as tk
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A table of the data folder, by Spark's own reader; ``columns`` limits what is read."""
@@ -19,9 +21,24 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Keep Arrow batches small enough for Python workers whatever the text lengths."""
+    """Keep Arrow batches small enough for Python workers whatever the text lengths.
+
+    Spark reads these settings when a plan runs, so they stay set in the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
+def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``work`` over the batches of a task, after which its memory goes back to the system."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            tk.release()
+
+    return run
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -71,4 +88,4 @@ def keep_scored(docs: DataFrame, score: Callable[[Iterator[pa.RecordBatch]], Ite
         for batch, scores in score(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=names)
 
-    return docs.mapInArrow(run, schema).filter(keep(F.col(name))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.mapInArrow(released(run), schema).filter(keep(F.col(name))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.llm import textkernel as tk
-from labelscope.llm.common import bound_batches, cut, table
+from labelscope.llm.common import bound_batches, cut, released, table
 from labelscope.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -182,7 +182,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     for part in range(parts):
         rows = bench.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect() if parts > 1 else bench.collect()
         shared = spark.sparkContext.broadcast(Phrases([(r["item_id"], r["text"]) for r in rows], window))
-        report = texts.mapInArrow(_scan(shared), REPORT)
+        report = texts.mapInArrow(released(_scan(shared)), REPORT)
         reports = report if reports is None else reports.unionByName(report)
     if parts > 1:
         merge = F.pandas_udf(_merge, "array<struct<first:int,last:int>>")

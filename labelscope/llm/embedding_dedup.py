@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelscope.llm.common import bound_batches, cut, table
+from labelscope.llm.common import bound_batches, cut, released, table
 from labelscope.llm.components import connected_components
 from labelscope.llm.cover_tree import Edges, Tree, join, paths
 
@@ -169,7 +169,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block_byte
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     planted = blocked.select("block", "dim", "rep", "copies", "v").repartition(parts, "block").sortWithinPartitions("block", "rep")
     planted = cut(
-        planted.mapInArrow(_plant, "block long, dim int, rep long, copies long, v array<double>, path array<long>, middle array<double>, radius double")
+        planted.mapInArrow(released(_plant), "block long, dim int, rep long, copies long, v array<double>, path array<long>, middle array<double>, radius double")
     )
 
     balls = planted.filter("middle IS NOT NULL").select("block", "dim", "middle", "radius")
@@ -182,7 +182,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block_byte
     sides = near.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     paired = planted.select("block", "rep", "copies", "v", "path").join(sides, "block")
     paired = paired.repartition(max(parts, 64), "i", "j").sortWithinPartitions("i", "j", "block", "rep")
-    found = cut(paired.mapInArrow(_traverse(threshold), "rep long, links long, root long"))
+    found = cut(paired.mapInArrow(released(_traverse(threshold)), "rep long, links long, root long"))
 
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     component = connected_components(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))

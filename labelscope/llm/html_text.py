@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelscope.llm.common import bound_batches, table
+from labelscope.llm.common import bound_batches, released, table
 
 WINDOW, SURGE = 3, 80
 
@@ -184,7 +184,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
             )
 
     chosen = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return chosen.mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    return chosen.mapInArrow(released(extract), "page_id long, url string, text string, n_chars long")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.llm import textkernel as tk
-from labelscope.llm.common import bound_batches, table
+from labelscope.llm.common import bound_batches, released, table
 
 #: Phrase and label.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -108,7 +108,7 @@ def word_frequencies(docs: DataFrame) -> tuple[dict[str, int], int]:
                 total += np.bincount(np.unique(owner[ids >= 0] * n + ids[ids >= 0]) % n, minlength=n)
         yield pa.RecordBatch.from_arrays([pa.array([*vocabulary.words, ""]), pa.array([*total.tolist(), files])], names=["word", "n"])
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(released(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     found = {r["word"]: r["n"] for r in rows}
     return found, found.pop("", 0)
 
@@ -183,7 +183,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, REPORT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(scan), REPORT)
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.llm import textkernel as tk
-from labelscope.llm.common import bound_batches, document_remainder, keep_scored, table
+from labelscope.llm.common import bound_batches, document_remainder, keep_scored, released, table
 
 PASSAGE_BYTES = 512
 #: A longer text has longer passages, not more of them.
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
     sample = labels.filter("label IN (0, 1) AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     sample = sample.orderBy(F.md5(F.col("doc_id").cast("string"))).limit(train_docs)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
-    got = rows.select("doc_id", F.col("label").cast("int").alias("label"), "text").mapInArrow(_encode, "doc_id long, label int, bag binary").collect()
+    got = rows.select("doc_id", F.col("label").cast("int").alias("label"), "text").mapInArrow(released(_encode), "doc_id long, label int, bag binary").collect()
     got.sort(key=lambda r: (r["doc_id"], r["bag"]))
     y = np.array([r["label"] for r in got], np.float64)
     if not len(y) or y.min() == y.max():
@@ -216,7 +216,7 @@ def score_quality(docs: DataFrame, model: Model | float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out)], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, score double"
+        released(run), "doc_id long, score double"
     )
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.llm import textkernel as tk
-from labelscope.llm.common import bound_batches, document_remainder, keep_scored, table
+from labelscope.llm.common import bound_batches, document_remainder, keep_scored, released, table
 from labelscope.llm.deobfuscate import N_SYMBOLS, Restorer, count_trigrams, language_model
 
 TRAIN_DOCS = 16_000
@@ -48,7 +48,7 @@ def corpus_trigrams(docs: DataFrame) -> np.ndarray:
 
     bound_batches(docs.sparkSession)
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    rows = texts.mapInArrow(count, "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n")).collect()
+    rows = texts.mapInArrow(released(count), "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(N_SYMBOLS**3, np.int64)
     for triple, n in rows:  # at most N_SYMBOLS ** 3 rows
         counts[triple] = n
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, train_docs: int =
                 for kind, (feature, mark, n) in enumerate(rows):
                     yield pa.RecordBatch.from_arrays([pa.array(feature.view(np.int64)), pa.array(np.full(len(n), kind, np.int32)), pa.array(mark), pa.array(n)], names=["feature", "kind", "mark", "n"])
 
-    counted = texts.mapInArrow(emit, "feature long, kind int, mark long, n long").groupBy("feature", "kind", "mark").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(released(emit), "feature long, kind int, mark long, n long").groupBy("feature", "kind", "mark").agg(F.sum("n").alias("n"))
     neg = F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("n"))), F.lit(0))
     counted = counted.groupBy("feature").agg(neg.alias("neg"), F.least(F.count_if(F.col("kind") == 1), F.count_if(F.col("kind") == 2)).alias("pos"))
     pos, neg, share = F.col("pos"), F.col("neg"), n1 / (n0 + n1)
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, train_docs: int =
                 [batch.column("doc_id"), batch.column("label"), places, *(pa.array(m.view(np.int64)) for m in marks)], names=["doc_id", "label", "places", "m1", "m2"]
             )
 
-    got = texts.mapInArrow(look, "doc_id long, label int, places binary, m1 long, m2 long").collect()
+    got = texts.mapInArrow(released(look), "doc_id long, label int, places binary, m1 long, m2 long").collect()
     got.sort(key=lambda r: (r["doc_id"], r["places"]))
     y = np.array([r["label"] for r in got], np.float64)
     marks = np.array([(r["m1"], r["m2"]) for r in got])
@@ -244,7 +244,7 @@ def score_toxicity(docs: DataFrame, costs: np.ndarray, lexicon: Lexicon) -> Data
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out)], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, score double"
+        released(run), "doc_id long, score double"
     )
 
 
@@ -264,7 +264,7 @@ def restored_texts(docs: DataFrame, costs: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "restored"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        restore, "doc_id long, restored string"
+        released(restore), "doc_id long, restored string"
     )
 
 

@@ -108,14 +108,51 @@ def test_near_duplicates_of_odd_rows(spark, odd, none):
     assert near_dup.near_duplicates(none).count() == 0
 
 
-def test_every_pair_of_similarity_above_the_bound_is_found_by_the_exact_step():
-    import numpy as np
+def test_family_of_long_near_copies_over_several_blocks(spark, monkeypatch):
+    rng = random.Random(8)
+    long = [f"t{rng.randrange(900)}" for _ in range(1500)]
+    other = [f"u{rng.randrange(900)}" for _ in range(700)]
+    docs: dict[int, str | None] = {i: " ".join(edited(rng, long, 0.004)) for i in range(120)}
+    docs |= {200 + i: " ".join(edited(rng, long, 0.035)) for i in range(60)}  # some of them link with none, or with few
+    docs |= {300 + i: " ".join(long[:800] + edited(rng, other, 0.01)) for i in range(40)}  # half a text in common with all
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 12_000)
+    monkeypatch.setattr(near_dup, "ANCHORS", 2)
+    got = near_dup.near_duplicates(table(spark, [(i, t, "a") for i, t in docs.items()])).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(docs)
+
+
+def test_near_duplicates_of_repeated_ids_with_different_texts(spark):
+    one, two, three = ("one two three four five six seven", "red green blue white black grey pink", "stone wood iron glass paper cloth sand")
+    rows = [(1, one, "a"), (1, two, "a"), (2, one, "a"), (3, two, "a"), (4, three, "a"), (3, three, "a"), (5, None, "a"), (5, one, "b")]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(table(spark, rows)).collect())
+    # one and two are first seen in document 1 and are joined by it; three is first seen in document 3
+    assert got == [(1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 3, 1), (3, 3, 3), (4, 3, 3), (5, 0, 5), (5, 3, 1)]
+
 
+def test_connecting_pairs_connect_what_the_links_connect():
     rng = np.random.default_rng(1)
-    sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(40)]
-    a, b = near_dup.linked_pairs(sets)
-    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if (c := len(np.intersect1d(sets[i], sets[j]))) and 100 * c >= 75 * (len(sets[i]) + len(sets[j]) - c)}
-    assert set(zip(a.tolist(), b.tolist(), strict=True)) == want
+    sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(30)]
+    sets += [np.unique(np.append(s, rng.integers(0, 60, 4).astype(np.uint64))) for s in sets[:20]]
+    n = len(sets)
+    linked = {(i, j) for i in range(n) for j in range(i + 1, n) if (c := len(np.intersect1d(sets[i], sets[j]))) and 100 * c >= 75 * (len(sets[i]) + len(sets[j]) - c)}
+    assert len(linked) > 15
+
+    def groups(pairs, of):
+        root = list(of)
+        for _ in range(n):
+            for x, y in pairs:
+                low, high = sorted((root[x], root[y]))
+                root = [low if r == high else r for r in root]
+        return [root.index(r) for r in root]
+
+    block = np.arange(n) % 2
+    for component in (np.arange(n), np.arange(n) // 3):
+        a, b = near_dup.connecting_pairs(sets, component)
+        pairs = set(zip(a.tolist(), b.tolist(), strict=True))
+        assert {tuple(sorted(p)) for p in pairs} <= linked and groups(pairs, component) == groups(linked, component)
+        a, b = near_dup.connecting_pairs(sets, component, block)
+        assert groups(set(zip(a.tolist(), b.tolist(), strict=True)), component) == groups({p for p in linked if block[p[0]] != block[p[1]]}, component)
 
 
 # decontamination
