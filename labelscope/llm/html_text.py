@@ -1,18 +1,24 @@
 """Main text of web pages by the line-block distribution.
 
-Markup is stripped into lines: one per block, with the text of menus, headers, footers,
-sidebars, notices, adverts, forms and comments stripped as well (elements of the page's
-frame leave empty lines). The text lengths of the lines are summed over a sliding window; where the sums
-surge from nothing a region begins, where they dive to nothing it ends, and the lines
-between are its text. Where the page marks an article or a main part, only lines inside
-it have length. Otherwise link text has none, and a region counts if its highest sum
-reaches ``SURGE`` or no region's does and it is the longest.
+Markup is stripped into lines, one per block. A line's weight is the length of its text
+that is no link. The weights are summed over a sliding window of lines; where the sums
+surge from nothing a region begins, where they dive to nothing it ends, and a region
+whose highest sum reaches ``SURGE`` is text.
+
+Tags and class names only shift the weights: a block of the page's frame (menu, footer,
+sidebar, form) or one named as an advert, a notice, comments and the like weighs nothing,
+and a frame block leaves ``WINDOW`` empty lines; in an article or main part a line weighs
+``SURGE`` more, and outside it only ``OUTSIDE`` of its length. What a block holds goes
+before its name: where nothing surges, the block whose loss hides most of the text is
+weighed as if it had no name, and then the page as if it had no main part.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import numpy as np
@@ -22,7 +28,9 @@ from pyspark.sql import functions as F
 
 from labelscope.llm.common import bound_batches, released, table
 
-WINDOW, SURGE = 3, 80
+WINDOW, SURGE, OUTSIDE = 3, 80, 0.05
+#: A block without which nothing surges is text if it holds at least this share of the text in question.
+HOLDS = 2 / 3
 
 #: Elements by their part in a page.
 HIDDEN = ("head", "noscript", "template", "iframe", "object", "svg", "canvas", "audio", "video", "button", "select", "textarea")
@@ -42,8 +50,11 @@ MARKS = frozenset(
     "subscription signup comment comments commentlist disqus respond replies reply social share sharing sharebar related recommended recommendations "
     "trending pagination pager login search toolbar skip copyright legal disclaimer alert paywall".split()
 )
-#: Words that make a header the article's own.
+#: Words that say that a block is the article's own, and words before a mark that take it back.
 OWN = frozenset(("article", "post", "entry", "story", "content"))
+#: Marks of what stands beside a text, however short the text is.
+BESIDE = frozenset("ad ads adbox adslot advert adverts advertisement advertising cookie cookies consent gdpr comment comments commentlist disqus respond replies reply related".split())
+TAKEN_BACK = frozenset(("no", "not", "non", "has", "have", "with", "without", "hide", "is"))
 ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"))
 
 _GONE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*>", re.S | re.I)
@@ -52,118 +63,191 @@ _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
-def lines(html: str) -> tuple[list[str], np.ndarray, bool]:
-    """Texts of the lines, their lengths for the distribution, and whether a main part is marked."""
+@dataclass
+class Line:
+    """A block's text, the characters of it that are in links, whether a main part holds it, and the marked blocks around it.
+
+    Numbers of blocks that are named as beside the text are negative.
+    """
+
+    text: str
+    linked: int
+    inside: bool
+    marks: tuple[int, ...]
+
+
+class _Open:
+    """A marked block that is still open: its name, how deep in elements of that name, and its number."""
+
+    def __init__(self, name: str, number: int):
+        self.name, self.number, self.depth = name, number, 1
+
+
+def lines(html: str) -> list[Line]:
+    """The page's lines; empty ones stand for the edges of frame blocks."""
     html = _GONE.sub(" ", html)
-    texts: list[str] = []
-    lengths: list[int] = []
+    out: list[Line] = []
     parts: list[str] = []
-    linked = 0
-    link = False
-    main, seen_main = 0, False
-    any_main = bool(re.search(r"<(?:article|main)\b", html, re.I)) or bool(re.search(r"""\brole\s*=\s*["']?main\b""", html, re.I))
-    skipped, depth = "", 0  # the element that is being left out, and how deep in elements of its name
+    linked, link = 0, False
+    main, seen_main, hidden, depth = 0, False, "", 0
     roles: list[tuple[str, int]] = []  # elements with role=main: name and depth
+    marks: list[_Open] = []
+    gap = [Line("", 0, False, ())] * WINDOW
+    numbers = itertools.count(1)
 
     def close() -> None:
         nonlocal parts, linked
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            texts.append(text)
-            lengths.append(0 if any_main and not (main or roles) else max(0, len(text) - (0 if any_main else linked)))
+            out.append(Line(text, min(linked, len(text)), bool(main or roles), tuple(m.number for m in marks)))
         parts, linked = [], 0
 
-    def gap() -> None:
-        close()
-        if not (main or roles):
-            texts.extend([""] * WINDOW)
-            lengths.extend([0] * WINDOW)
-
     at = 0
     for tag in _TAG.finditer(html):
         end, name = tag[1] or tag[5], (tag[2] or tag[6]).lower()
         attributes = tag[3] if tag[2] else tag[7]
         text = html[at : tag.start()]
         at = tag.end()
-        if not skipped and text:
-            parts.append(text)
-            if link:
-                linked += len(text)
-        if skipped:
-            if name in MAIN and not end and not seen_main:
-                skipped = ""  # what was left open ends where the article begins
-            elif skipped in IMPLIED and name in BLOCKS and name != "br" and not (end and name == skipped):
-                skipped = ""  # a paragraph ends where the next block begins or its parent ends
-            elif name == skipped:
-                depth += -1 if end else 0 if tag[4] or name in VOID else 1
-                if depth == 0:
-                    skipped = ""
+        if hidden:
+            if name == hidden:
+                depth += -1 if end else 0 if tag[4] else 1
+                hidden = hidden if depth else ""
                 continue
-            else:
+            if not (name in MAIN and not end and not seen_main):
                 continue
-        if not end and name not in VOID and _left_out(name, attributes, bool(main or roles), seen_main):
-            gap() if name in CHROME or name == "header" else close()
-            skipped, depth = name, 1
+            hidden = ""  # what was left open ends where the article begins
+        elif text:
+            parts.append(text)
+            linked += len(text) if link else 0
+        if not end and name in HIDDEN:
+            close()
+            hidden, depth = name, 1
             continue
         if name == "a":
             link = not end
+        if name in VOID and name not in BLOCKS:
+            continue
         if name in BLOCKS:
             close()
+            # a paragraph ends where the next block begins or its parent ends
+            while marks and marks[-1].name in IMPLIED and name != "br" and not (end and name == marks[-1].name):
+                marks.pop()
+            if name in MAIN and not end and not seen_main:
+                marks.clear()  # a block is no frame that holds the article, or was left open before it
+            for k, mark in enumerate(marks):
+                if mark.name == name:
+                    mark.depth += -1 if end else 0 if tag[4] else 1
+                    if not mark.depth:
+                        del marks[k:]
+                        break
+            named = () if end or name in VOID or tag[4] else _named(name, attributes, bool(main or roles), seen_main)
+            if named:
+                if (name in CHROME or name == "header") and not (main or roles):
+                    out += gap
+                marks.append(_Open(name, next(numbers) * (-1 if BESIDE.intersection(named) else 1)))
         if name in MAIN:
             seen_main = True
+            if main <= 1:
+                out += [*gap, Line("", 0, True, ())]
             main = max(0, main + (-1 if end else 1))
-        elif any_main and not end and "main" in _roles(attributes):
+        elif not end and "main" in _roles(attributes):
             roles.append((name, 1))
-        elif roles and name == roles[-1][0] and name not in VOID:
+        elif roles and name == roles[-1][0]:
             roles[-1] = (name, roles[-1][1] + (-1 if end else 1))
             if roles[-1][1] == 0:
                 roles.pop()
-    if not skipped:
+    if not hidden:
         parts.append(re.sub(r"<[a-zA-Z/][^<>]*\Z", "", html[at:]))
     close()
-    return texts, np.array(lengths, np.int64), any_main
+    return out
 
 
 def _roles(attributes: str) -> set[str]:
     return {w for k, a, b, c in _NAMED.findall(attributes or "") if k.lower() == "role" for w in (a or b or c).lower().split()}
 
 
-def _left_out(name: str, attributes: str, inside: bool, seen_main: bool = False) -> bool:
-    if name in HIDDEN or name in CHROME or (name == "header" and not inside):
-        return True
+def _named(name: str, attributes: str, inside: bool, seen_main: bool) -> set[str]:
+    """The words by which a block is part of the frame or stands beside the text; none for other blocks."""
+    if name in CHROME or (name == "header" and not inside):
+        return {name}
+    found: set[str] = set()
     if not attributes or name in ("body", "html") or (name in MAIN and not seen_main):
-        return False
+        return found
     for key, a, b, c in _NAMED.findall(attributes):
-        words = set(_WORDS.findall((a or b or c).lower()))
+        words = _WORDS.findall((a or b or c).lower())
         if key.lower() == "role":
-            if ROLES & words:
-                return True
-        elif MARKS & words or ("header" in words and not inside and not words & OWN):
-            return True
-    return False
+            found |= ROLES.intersection(words)
+            continue
+        said = {w for before, w in zip(["", *words], words, strict=False) if before not in TAKEN_BACK}
+        if not said & OWN:
+            found |= MARKS & said
+            if "header" in said and not inside:
+                found.add("header")
+    return found
+
 
+def weights(page: list[Line], lifted: frozenset[int] = frozenset(), main: bool = True) -> np.ndarray:
+    """The lines' weights; names of ``lifted`` blocks, and without ``main`` those of main parts, do not count."""
+    main = main and any(line.inside for line in page)
+    out = np.zeros(len(page))
+    for i, line in enumerate(page):
+        own = len(line.text) - line.linked
+        if own > 0 and lifted.issuperset(line.marks):
+            out[i] = (own + SURGE if line.inside else own * OUTSIDE) if main else own
+    return out
 
-def regions(lengths: np.ndarray) -> list[tuple[int, int, int]]:
+
+def regions(lengths: np.ndarray) -> list[tuple[int, int, float]]:
     """(first, end, highest window sum) of the stretches between surge and dive points."""
     if not len(lengths):
         return []
-    sums = np.convolve(lengths, np.ones(WINDOW, np.int64))[: len(lengths)]  # over the line and those before it
-    ahead = np.convolve(lengths[::-1], np.ones(WINDOW, np.int64))[: len(lengths)][::-1]  # and those after it
+    window = np.ones(WINDOW)
+    sums = np.convolve(lengths, window)[: len(lengths)]  # over the line and those before it
+    ahead = np.convolve(lengths[::-1], window)[: len(lengths)][::-1]  # and those after it
     up = (ahead > 0) & (sums > 0)
     edge = np.flatnonzero(np.diff(np.concatenate([[0], up.astype(np.int8), [0]])))
-    return [(int(a), int(b), int(ahead[a:b].max())) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+    return [(int(a), int(b), float(ahead[a:b].max())) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+
+
+def _lifted(page: list[Line]) -> frozenset[int]:
+    """Blocks whose names do not count, since they hold the text: none while anything surges without them.
+
+    Only blocks inside the main part are asked where there is one, and none that is
+    named as beside the text where the main part has text of its own.
+    """
+    scope = [line for line in page if line.inside] or page
+    lifted: frozenset[int] = frozenset()
+    while True:
+        own = scope is not page and any(len(line.text) > line.linked and lifted.issuperset(line.marks) for line in scope)
+        if max((r[2] for r in regions(weights(scope, lifted, False))), default=0) >= SURGE:
+            return lifted
+        held: dict[int, int] = {}
+        for line in scope:
+            for number in line.marks:
+                if number not in lifted and not (own and number < 0):
+                    held[number] = held.get(number, 0) + len(line.text) - line.linked
+        total = sum(len(line.text) - line.linked for line in scope)
+        most = max(held, key=lambda n: (held[n], -abs(n)), default=None)
+        if most is None or held[most] < max(SURGE, HOLDS * total):
+            return lifted
+        lifted |= {most}
 
 
 def main_text(html: str | None) -> str:
     """The article's blocks in page order, one a line; empty for null or a page without text."""
     if not html:
         return ""
-    texts, lengths, marked = lines(html)
-    found = regions(lengths)
-    if not marked and found:
+    page = lines(html)
+    lifted = _lifted(page)
+    for main in (True, False):
+        weighed = weights(page, lifted, main)
+        found = regions(weighed)
         surging = [r for r in found if r[2] >= SURGE]
-        found = surging or [max(found, key=lambda r: (int(lengths[r[0] : r[1]].sum()), -r[0]))]
-    return "\n".join(texts[i] for a, b, _ in found for i in range(a, b) if texts[i] and (lengths[i] or not marked))
+        if surging or not main:
+            break
+    if found and not surging:
+        surging = [max(found, key=lambda r: (float(weighed[r[0] : r[1]].sum()), -r[0]))]
+    return "\n".join(page[i].text for a, b, _ in surging for i in range(a, b) if page[i].text and lifted.issuperset(page[i].marks))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

@@ -1,6 +1,11 @@
 from __future__ import annotations
 
+import re
+from html import unescape
+from html.parser import HTMLParser
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from labelscope.llm import cover_tree, embedding_dedup, html_text
 from labelscope.llm.components import smallest_reachable
@@ -116,6 +121,100 @@ def test_odd_html():
     assert html_text.main_text("<article>" + "<p>word</p>" * 20_000 + "</article>").count("\n") == 19_999
 
 
+TEXT = "A paragraph of running text that is long enough to stand out among the lines around it. "
+
+
+@pytest.mark.parametrize("named", ["has-sidebar", "col no-ads", "with-footer", "share", "comments-page", "legal"])
+def test_a_block_that_holds_the_text_is_text_whatever_its_name(named):
+    body = f"<div class='site-nav'><a href=1>Home</a></div><div class='{named}'><h1>Title</h1><p>{TEXT}</p><p>Short.</p></div><div class='ad'>Buy</div>"
+    assert html_text.main_text(page(body)) == f"Title\n{TEXT.strip()}\nShort."
+    body = f"<div class='{named}'><nav><a href=1>Home</a></nav><article><p>{TEXT}</p><p>Short.</p></article><footer>f</footer></div>"
+    assert html_text.main_text(page(body)) == f"{TEXT.strip()}\nShort."
+
+
+def test_own_blocks_links_and_mains_of_links():
+    body = f"<main><ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul></main><div><h1>Title</h1><p>{TEXT}</p></div>"
+    assert html_text.main_text(page(body)) == f"Title\n{TEXT.strip()}"
+    body = f"<article><p>{TEXT}</p><div class='entry legal'><p>Terms of the story.</p></div><p><a href=3>See this</a></p><p>End.</p></article>"
+    assert html_text.main_text(page(body)) == f"{TEXT.strip()}\nTerms of the story.\nSee this\nEnd."
+    body = f"<article><p>Body.</p><div class='comments'><p>{TEXT}</p></div><p>End.</p></article><p>{TEXT}</p>"
+    assert html_text.main_text(page(body)) == "Body.\nEnd."
+    assert html_text.main_text(page(f"<article><h1></h1><p></p></article><div class='ad'>{TEXT}</div><footer>{TEXT}</footer>")) == ""
+    long = TEXT * 2
+    assert html_text.main_text(page(f"<article><p>{long}</p><div class='comments'><p>{long * 3}</p></div></article>")) == long.strip()
+
+
+class Plain(HTMLParser):
+    """Lines of a well-formed page: (text, characters in links, inside an article, in a named or frame block)."""
+
+    def __init__(self):
+        super().__init__()
+        self.stack, self.lines, self.parts, self.linked = [], [], [], 0
+
+    def flush(self):
+        text = " ".join("".join(self.parts).split())
+        if text:
+            frame = any(n in ("nav", "footer") or c == "ad" for n, c in self.stack)
+            self.lines.append((text, self.linked, any(n == "article" for n, _ in self.stack), frame))
+        self.parts, self.linked = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("b", "a", "script", "style", "title", "meta"):
+            self.stack += [(tag, "")] if tag != "meta" else []
+            return
+        self.flush()
+        if tag in ("p", "li") and self.stack and self.stack[-1][0] == tag:
+            self.stack.pop()
+        if tag in ("nav", "footer", "article"):
+            self.lines += [("", 0, False, False)] * 3
+        if tag != "br":
+            self.stack.append((tag, dict(attrs).get("class", "")))
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "a", "script", "style", "title"):
+            self.flush()
+        if tag == "article":
+            self.lines += [("", 0, False, False)] * 3
+        while any(n == tag for n, _ in self.stack) and self.stack.pop()[0] != tag:
+            pass
+
+    def handle_data(self, data):
+        if not {"script", "style", "title"} & {n for n, _ in self.stack}:
+            self.parts.append(data)
+            self.linked += len(data) if any(n == "a" for n, _ in self.stack) else 0
+
+
+def brute_main_text(html):
+    parser = Plain()
+    parser.feed(html)
+    parser.flush()
+    weight = []
+    for text, linked, inside, frame in parser.lines:
+        own = len(text) - linked
+        weight.append(0 if frame or own <= 0 else own + 80 if inside else own * 0.05)
+    n = len(weight)
+    up = [sum(weight[max(0, i - 2) : i + 1]) > 0 and sum(weight[i : i + 3]) > 0 for i in range(n)]
+    out, i = [], 0
+    while i < n:
+        j = i
+        while j < n and up[j]:
+            j += 1
+        if any(sum(weight[k : k + 3]) >= 80 for k in range(i, j)):
+            out += [text for text, _, _, frame in parser.lines[i:j] if text and not frame]
+        i = max(j, i + 1)
+    return "\n".join(out)
+
+
+def test_all_pages_equal_a_plain_distribution():
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
+    assert len(pages) >= 250
+    for row in pages:
+        got = html_text.main_text(row["html"])
+        assert got == brute_main_text(row["html"] or ""), row["url"]
+        for at in re.findall(r"<article>(.*?)</article>", row["html"] or "", re.S):
+            assert "".join(got.split()) == "".join(unescape(re.sub("<[^>]*>", "", at)).split())
+
+
 def test_page_rows(spark):
     rows = [(1, "u", page(ARTICLE), "x"), (1, "u", page(ARTICLE), "x"), (2, None, None, "y"), (None, "v", "", "z")]
     got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect() if r["page_id"])
