@@ -1,10 +1,11 @@
 """License scan by a positional index of rare licence words.
 
 The notices of ``TEMPLATES`` are posted by word and position. Document frequencies of
-their words over all files give an IDF. In a file, the licence words of highest IDF
-(those among the ``ANCHORS`` rarest of a notice) are looked up; each posting proposes
-where in the file the notice would start. At every proposed start the notice's words
-are intersected with the file's by relative position, and the IDF-weighted share found
+their words over all files give an IDF. A notice is posted under its words of highest
+IDF, as many as leave less than ``COVERAGE`` of its weight, so that no match can do
+without all of them. In a file, these words are looked up; each posting proposes where
+in the file the notice would start. At every proposed start the notice's words are
+intersected with the file's by relative position, and the IDF-weighted share found
 is the coverage. A label needs enough coverage and its mandatory key phrases in the file.
 The phrases of ``BASE`` are found wherever they stand.
 """
@@ -46,7 +47,7 @@ TEMPLATES = (
     ("cc", "this work is licensed under a creative commons attribution license", ("creative commons",)),
     ("spdx", "spdx license identifier", ("spdx license identifier",)),
 )
-ANCHORS = 5
+#: Share of a notice's weight that a match has.
 COVERAGE = 0.6
 
 REPORT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<label:string,start:long,coverage:double>>"
@@ -63,12 +64,15 @@ class TemplateIndex:
         self.phrases = {p: np.array([number[w] for w in p.split()]) for p in phrases}
         self.notices = [np.array([number[w] for w in text.split()]) for _, text, _ in TEMPLATES]
         self.weights = [self.idf[n] / self.idf[n].sum() for n in self.notices]
-        postings: dict[int, list[tuple[int, int]]] = {}
+        postings: dict[int, list[tuple[int, int]]] = {}  # by notice: words and their places in it
         for t, notice in enumerate(self.notices):
-            rarest = sorted(range(len(notice)), key=lambda q: (-self.idf[notice[q]], q))[:ANCHORS]
-            for q in rarest:
-                postings.setdefault(int(notice[q]), []).append((t, q))
-        self.postings = {w: np.array(p) for w, p in postings.items()}
+            rarest = sorted(range(len(notice)), key=lambda q: (-self.idf[notice[q]], q))
+            left = 1 - np.cumsum(self.weights[t][rarest])  # what a match without the words up to here can still have
+            for q in rarest[: int(np.argmax(left < COVERAGE - 1e-9)) + 1]:
+                postings.setdefault(t, []).append((int(notice[q]), q))
+        self.postings = {t: np.array(p) for t, p in postings.items()}
+        self.posted = np.zeros(len(self.vocabulary.words) + 1, bool)
+        self.posted[[w for p in postings.values() for w, _ in p]] = True
 
 
 def template_vocabulary() -> tk.Vocabulary:
@@ -123,25 +127,29 @@ def scan_slice(index: TemplateIndex, ids: np.ndarray, woffs: np.ndarray) -> list
         for p in _places(ids, owner, np.flatnonzero(ids == words[0]), words).tolist():
             base[owner[p]].append((p - int(woffs[owner[p]]), label))
     matches: list[dict[tuple[str, int], float]] = [{} for _ in range(n)]
-    proposals = [np.zeros((0, 2), np.int64)]
-    for word, postings in index.postings.items():
-        at = np.flatnonzero(ids == word)
-        for t, q in postings.tolist():
-            proposals.append(np.stack([np.full(len(at), t), at - q], 1))
-    # a start before the file's first word is allowed for: only words within the file count
-    for t, start in np.unique(np.concatenate(proposals), axis=0).tolist():
+    rare = np.flatnonzero(index.posted[ids])
+    rare_words = ids[rare]
+    with_phrase: dict[str, set[int]] = {}
+    for t, postings in index.postings.items():
+        label, _, keys = TEMPLATES[t]
+        hits = [(rare[rare_words == word], q) for word, q in postings.tolist()]
+        # a start before the file's first word is allowed for: only words within the file count
+        proposed = np.unique(np.concatenate([np.stack([at - q, owner[at]], 1) for at, q in hits]), axis=0)
         notice, weights = index.notices[t], index.weights[t]
-        place = start + np.arange(len(notice))
-        inside = (place >= 0) & (place < len(ids))
-        agree = np.zeros(len(notice), bool)
-        agree[inside] = ids[place[inside]] == notice[inside]
-        files = owner[place[agree]]
-        for d in np.unique(files).tolist():
-            coverage = float(weights[agree][files == d].sum())
-            if coverage >= COVERAGE:
-                key = (TEMPLATES[t][0], start - int(woffs[d]))
-                if coverage > matches[d].get(key, 0.0) and all(_in_file(index, ids, woffs, d, p) for p in TEMPLATES[t][2]):
-                    matches[d][key] = coverage
+        for some in np.array_split(proposed, len(proposed) // 4096 + 1):
+            place = some[:, :1] + np.arange(len(notice))
+            inside = (place >= 0) & (place < len(ids))
+            place = np.where(inside, place, 0)
+            coverage = (inside & (ids[place] == notice) & (owner[place] == some[:, 1:])) @ weights
+            for at in np.flatnonzero(coverage >= COVERAGE).tolist():
+                start, d = some[at].tolist()
+                for key in keys:
+                    if key not in with_phrase:
+                        words = index.phrases[key]
+                        with_phrase[key] = set(owner[_places(ids, owner, np.flatnonzero(ids == words[0]), words)].tolist())
+                if all(d in with_phrase[key] for key in keys):
+                    found = (label, start - int(woffs[d]))
+                    matches[d][found] = max(matches[d].get(found, 0.0), float(coverage[at]))
     out = []
     for d in range(n):
         starts = [p for p, _ in base[d]]
@@ -153,12 +161,6 @@ def scan_slice(index: TemplateIndex, ids: np.ndarray, woffs: np.ndarray) -> list
     return out
 
 
-def _in_file(index: TemplateIndex, ids: np.ndarray, woffs: np.ndarray, d: int, phrase: str) -> bool:
-    mine, words = ids[woffs[d] : woffs[d + 1]], index.phrases[phrase]
-    owner = np.zeros(len(mine), np.int64)
-    return len(_places(mine, owner, np.flatnonzero(mine == words[0]), words)) > 0
-
-
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """A report (see ``REPORT``) for every row of ``docs`` (doc_id, text).
 

@@ -285,6 +285,42 @@ def test_base_phrases_equal_brute_force(spark, small):
         assert g["first_word"] == min((p for p, _ in places), default=None) and g["last_word"] == max((p for p, _ in places), default=None)
 
 
+def brute_matches(index, words):
+    """Every notice at every start, word by word."""
+    found = {}
+    for t, (label, text, keys) in enumerate(licenses.TEMPLATES):
+        notice = text.split()
+        for start in range(-len(notice), len(words)):
+            coverage = sum(w for k, w in enumerate(index.weights[t]) if 0 <= start + k < len(words) and words[start + k] == notice[k])
+            if coverage >= licenses.COVERAGE and all(f" {key} " in f" {' '.join(words)} " for key in keys):
+                found[label, start] = max(coverage, found.get((label, start), 0))
+    return found
+
+
+def test_license_matches_equal_brute_force_without_the_rarest_words(spark):
+    rng = random.Random(5)
+    rows = []
+    for t, (_, text, keys) in enumerate(licenses.TEMPLATES):
+        words = text.split()
+        for k in range(12):
+            lost = set(rng.sample(range(len(words)), min(len(words), k % 8)))
+            body = [f"x{rng.randrange(50)}" if i in lost else w for i, w in enumerate(words)]
+            rows.append((100 * t + k, " ".join([*(["lead"] * rng.randrange(3)), *body, *(" ".join(keys).split() if k % 2 else []), "tail", *(body[: rng.randrange(9)])]), "a"))
+    docs = table(spark, rows)
+    index = licenses.TemplateIndex(*licenses.word_frequencies(docs))
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs).collect()}
+    some = 0
+    for doc_id, text, _ in rows:
+        want = brute_matches(index, text.split())
+        found = {(m["label"], m["start"]): m["coverage"] for m in got[doc_id]["matches"]}
+        assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+        labels = {label for label, _ in want} | {label for phrase, label in licenses.BASE if f" {phrase} " in f" {text} "}
+        assert got[doc_id]["labels"] == ",".join(sorted(labels))
+        assert abs(got[doc_id]["score"] - (1 if got[doc_id]["n_base"] else max(want.values(), default=0))) < 1e-9
+        some += 0 < len(want)
+    assert 30 < some < len(rows)
+
+
 # classifiers
 
 
