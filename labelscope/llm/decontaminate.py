@@ -11,6 +11,7 @@ merged into removal spans.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -33,31 +34,66 @@ BROADCAST_BYTES = 16 << 20
 REPORT = "row long, doc_id long, n_words long, n_hit long, spans array<struct<first:int,last:int>>, items array<string>"
 
 
+#: Windows that are searched at once in an index.
+SEARCHED = 1 << 16
+
+
+@dataclass
+class Patterns:
+    """Distinct windows of one length: where each starts in the symbols, and its items as a range of ``owners``."""
+
+    starts: np.ndarray
+    offsets: np.ndarray
+    owners: np.ndarray
+
+
 class Phrases:
-    """The windows of a benchmark: distinct patterns by length and the items of each."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        words = [(i, _words(t)) for i, t in items]
-        self.vocabulary = tk.Vocabulary(sorted({w for _, ws in words for w in ws}))
-        number = {w: k + 1 for k, w in enumerate(self.vocabulary.words)}
-        owners: dict[tuple[int, ...], set[str]] = {}
-        for item, ws in words:
-            symbols = [number[w] for w in ws]
-            size = min(window, len(ws))
-            for at in range(len(ws) - size + 1 if ws else 0):
-                owners.setdefault(tuple(symbols[at : at + size]), set()).add(item)
-        self.by_length: dict[int, tuple[np.ndarray, list[list[str]]]] = {}
-        for size in sorted({len(p) for p in owners}):
-            mine = [p for p in owners if len(p) == size]
-            self.by_length[size] = (np.array(mine, np.int64), [sorted(owners[p]) for p in mine])
-        self.shortest = min(self.by_length, default=0)
+    """The windows of a benchmark in flat arrays: word hashes, symbols of all items, patterns by length.
 
+    Items are numbered by their ids in string order; equal ids are one item.
+    """
+
+    def __init__(self, ids: list[str], texts: pa.Array, window: int = WINDOW):
+        self.items, item = np.unique(np.array(ids, dtype=object), return_inverse=True) if ids else (np.zeros(0, object), np.zeros(0, np.int64))
+        hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for _, _, part, at in tk.slices(*tk.buffers(texts)) if ids else ():
+            part = tk.LOWER[part]
+            starts, ends, woffs = tk.word_spans(part, at, tk.ALNUM)
+            hashes.append(tk.word_hashes(part, starts, ends))
+            counts.append(np.diff(woffs))
+        words, count = np.concatenate(hashes), np.concatenate(counts)
+        vocabulary, symbols = np.unique(words, return_inverse=True)
+        self.vocabulary = tk.HashIndex(vocabulary)
+        self.n_words = len(vocabulary)
+        self.symbols = (symbols + 1).astype(np.int32)
+        size = np.minimum(window, count)
+        n = np.where(count > 0, count - size + 1, 0)
+        self.by_length: dict[int, Patterns] = {}
+        for length in np.unique(size[n > 0]).tolist():
+            mine = np.flatnonzero((size == length) & (n > 0))
+            first = tk.ranges((np.cumsum(count) - count)[mine], n[mine])
+            self.by_length[length] = self._distinct(first, np.repeat(item[mine], n[mine]), length)
+        self.shortest = min(self.by_length, default=0)
 
-def _words(text: str) -> list[str]:
-    raw = tk.LOWER[np.frombuffer(text.encode(), np.uint8)]
-    starts, ends, _ = tk.word_spans(raw, np.array([0, len(raw)]), tk.ALNUM)
-    data = raw.tobytes()
-    return [data[a:b].decode() for a, b in zip(starts, ends, strict=True)]
+    def _distinct(self, first: np.ndarray, item: np.ndarray, length: int) -> Patterns:
+        key = np.zeros(len(first), np.uint64)
+        for j in range(length):
+            key = tk.mix(key + self.symbols[first + j].astype(np.uint64))
+        order = np.lexsort((item, key))
+        first, item, key = first[order], item[order], key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        for j in range(length):  # windows that only share the key are patterns of their own
+            symbol = self.symbols[first + j]
+            new[1:] |= symbol[1:] != symbol[:-1]
+        group = np.cumsum(new) - 1
+        kept = new.copy()
+        kept[1:] |= item[1:] != item[:-1]
+        offsets = np.searchsorted(group[kept], np.arange(int(new.sum()) + 1))
+        return Patterns(first[new].astype(np.int32), offsets, item[kept].astype(np.int32))
+
+    def windows(self, length: int, lo: int, hi: int) -> np.ndarray:
+        """Patterns ``lo`` to ``hi`` of a length, a row of symbols each."""
+        return self.symbols[self.by_length[length].starts[lo:hi, None] + np.arange(length)].astype(np.int64)
 
 
 class Shard:
@@ -104,30 +140,37 @@ class Shard:
         n_words = np.concatenate(self.counts) if self.counts else np.zeros(0, np.int64)
         n_hit = np.zeros(self.n_docs, np.int64)
         spans: list[list[dict[str, int]]] = [[] for _ in range(self.n_docs)]
-        items: list[set[str]] = [set() for _ in range(self.n_docs)]
+        items = np.zeros(0, np.int64)  # document and item in one number
+        n_items = len(self.phrases.items)
         if self.n_symbols:
             text, place, owner = (np.concatenate(x) for x in (self.symbols, self.places, self.owners))
-            index = FMIndex(text, len(self.phrases.vocabulary.words))
+            index = FMIndex(text, self.phrases.n_words)
             cover = np.zeros(len(text) + 1, np.int64)
-            for size, (patterns, owners) in self.phrases.by_length.items():
-                low, high = index.search(patterns)
-                found = np.flatnonzero(high > low)
-                if not len(found):
-                    continue
-                at = index.locate(tk.ranges(low[found], (high - low)[found]))
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + size, -1)
-                pairs = np.unique(np.stack([owner[at], np.repeat(found, (high - low)[found])], 1), axis=0)
-                for d, p in pairs.tolist():
-                    items[d].update(owners[p])
+            for size, patterns in self.phrases.by_length.items():
+                for lo in range(0, len(patterns.starts), SEARCHED):
+                    low, high = index.search(self.phrases.windows(size, lo, lo + SEARCHED))
+                    found = np.flatnonzero(high > low)
+                    if not len(found):
+                        continue
+                    often = (high - low)[found]
+                    at = index.locate(tk.ranges(low[found], often))
+                    np.add.at(cover, at, 1)
+                    np.add.at(cover, at + size, -1)
+                    met = np.unique(owner[at] * len(patterns.starts) + np.repeat(lo + found, often))
+                    document, pattern = met // len(patterns.starts), met % len(patterns.starts)
+                    each = patterns.offsets[pattern + 1] - patterns.offsets[pattern]
+                    owned = patterns.owners[tk.ranges(patterns.offsets[pattern], each)]
+                    items = np.union1d(items, np.repeat(document, each) * n_items + owned)
             hit = np.cumsum(cover[:-1]) > 0
             n_hit = np.bincount(owner[hit], minlength=self.n_docs)
             for a, b in zip(*tk.runs(hit, np.array([0, len(hit)])), strict=True):
                 spans[owner[a]].append({"first": int(place[a]), "last": int(place[b - 1])})
+        per_document = np.searchsorted(items, np.arange(self.n_docs + 1) * max(n_items, 1))
+        names = pa.array(self.phrases.items[items % max(n_items, 1)].tolist(), pa.string())
         return pa.RecordBatch.from_arrays(
             [
                 pa.concat_arrays(self.rows), pa.concat_arrays(self.ids), pa.array(n_words.astype(np.int64)), pa.array(n_hit.astype(np.int64)),
-                pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+                pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.ListArray.from_arrays(per_document.astype(np.int32), names),
             ],
             names=["row", "doc_id", "n_words", "n_hit", "spans", "items"],
         )
@@ -168,7 +211,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     empty text has no words; benchmark rows without id or words have no windows; repeated
     rows come out as often as they came in; other columns are not read. The benchmark
     is broadcast while its texts fit ``broadcast_bytes``; a larger one is searched part
-    by part and the spans of the parts are merged.
+    by part, each part in a pass over the texts, and the spans of the parts are merged.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -180,9 +223,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         texts = cut(texts.withColumn("row", F.monotonically_increasing_id()))
     reports = None
     for part in range(parts):
-        rows = bench.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect() if parts > 1 else bench.collect()
-        shared = spark.sparkContext.broadcast(Phrases([(r["item_id"], r["text"]) for r in rows], window))
+        rows = (bench.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part) if parts > 1 else bench).toArrow()
+        shared = spark.sparkContext.broadcast(Phrases(rows.column("item_id").to_pylist(), rows.column("text").combine_chunks(), window))
         report = texts.mapInArrow(released(_scan(shared)), REPORT)
+        if parts > 1:  # one part after the other, so that the driver and the workers hold one
+            report = cut(report)
+            shared.destroy()
         reports = report if reports is None else reports.unionByName(report)
     if parts > 1:
         merge = F.pandas_udf(_merge, "array<struct<first:int,last:int>>")

@@ -258,6 +258,45 @@ def test_long_texts_are_cut_at_white_space(monkeypatch):
     assert counter.count(" ".join(words)) == sum(len(counter.tokenizer.encode(w, add_special_tokens=False).ids) for w in words)
 
 
+def test_phrases_of_16_mb_stay_small():
+    import pickle
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    words = np.array([f"w{i}" for i in range(60_000)], object)
+    texts = [" ".join(words[rng.integers(0, len(words), 150)]) for _ in range(18_500)]
+    assert sum(map(len, texts)) > 16e6
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    phrases = decontaminate.Phrases([str(i) for i in range(len(texts))], pa.array(texts))
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held - before < 120e6 and most - before < 500e6
+    assert len(pickle.dumps(phrases, protocol=5)) < 100e6
+    assert sum(len(p.starts) for p in phrases.by_length.values()) == 18_500 * 138
+
+
+def test_windows_that_share_a_key_stay_apart(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"a{w}" for w in rng.integers(0, 3, 40)) for _ in range(12)]
+    got = decontaminate.Phrases([str(i % 9) for i in range(12)], pa.array(texts), 4)
+    monkeypatch.setattr(decontaminate.tk, "mix", lambda x: x & np.uint64(3))
+    first = np.concatenate([np.arange(40 * i, 40 * i + 37) for i in range(12)])
+    patterns = got._distinct(first, np.repeat(np.arange(12) % 9, 37), 4)
+    want, found = {}, {}
+    for i, text in enumerate(texts):
+        for j in range(37):
+            want.setdefault(tuple(text.split()[j : j + 4]), set()).add(i % 9)
+    words = " ".join(texts).split()
+    for k, at in enumerate(patterns.starts.tolist()):
+        found.setdefault(tuple(words[at : at + 4]), set()).update(patterns.owners[patterns.offsets[k] : patterns.offsets[k + 1]].tolist())
+    assert found == want
+
+
 # licenses
 
 
