@@ -71,11 +71,25 @@ def document_remainder(modulus: int, column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string")) % modulus
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
+    """(doc_id, label, text): at most ``limit`` labelled documents of ``docs``, those of the smallest md5 of the id.
+
+    Labels other than 0 and 1, null ids and labels of documents that are not there
+    do not count. A doc_id with several labels has the largest, one with several
+    texts the smallest.
+    """
+    known = labels.filter("label IN (0, 1) AND doc_id IS NOT NULL").join(docs.select("doc_id"), "doc_id", "left_semi")
+    sample = known.groupBy("doc_id").agg(F.max("label").cast("int").alias("label")).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(limit)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(cut(sample)), "doc_id")
+    return texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
 def keep_scored(docs: DataFrame, score: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, np.ndarray]]], keep) -> DataFrame:
     """Rows of ``docs`` for whose score ``keep`` (a function of a column) holds, columns as they were.
 
     ``score`` gives each batch of rows with its scores. No join is needed, so ids may
-    repeat or be missing.
+    repeat or be missing: every row is judged by its own text. Columns of any name pass
+    through; an empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
     name = "_score"

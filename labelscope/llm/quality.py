@@ -16,17 +16,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelscope.llm import textkernel as tk
-from labelscope.llm.common import bound_batches, document_remainder, keep_scored, released, table
+from labelscope.llm.common import bound_batches, cut, document_remainder, keep_scored, released, table, training_rows
 
 PASSAGE_BYTES = 512
-#: A longer text has longer passages, not more of them.
-MAX_PASSAGES = 128
-#: With MAX_PASSAGES this bounds what the driver holds in training: 16-bit features of 8000 * 128 passages, 0.39 GB.
-TRAIN_DOCS = 8000
+#: Labelled rows and bytes of text that a model is learned from; a text of more than an eighth of the bytes is not
+#: among them. The driver holds 16-bit features of the bytes' passages: 0.15 GB.
+TRAIN_DOCS, TRAIN_BYTES = 8000, 200_000_000
 HIDDEN, ATTENTION = 24, 12
 STEPS, BATCH, RATE, DECAY = 2000, 64, 3e-3, 1e-5
 #: Standardised features are held within this.
@@ -56,11 +55,10 @@ def passages(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
     raw, offs = tk.buffers(column)
     for lo, hi, part, at in tk.slices(raw, offs):
         length = np.diff(at)
-        step = np.maximum(PASSAGE_BYTES, -(-length // MAX_PASSAGES))
-        count = np.maximum(1, -(-length // step))
+        count = np.maximum(1, -(-length // PASSAGE_BYTES))
         poffs = np.concatenate([[0], np.cumsum(count)])
         doc = np.repeat(np.arange(hi - lo), length)
-        home = poffs[doc] + (np.arange(len(part)) - at[doc]) // step[doc]
+        home = poffs[doc] + (np.arange(len(part)) - at[doc]) // PASSAGE_BYTES
         n = int(poffs[-1])
         size = np.bincount(home, minlength=n).astype(np.float64)
         fine = np.bincount(home * N_FINE + _FINE[part], minlength=n * N_FINE).reshape(n, N_FINE)
@@ -173,18 +171,22 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(out, pa.binary())], names=["doc_id", "label", "bag"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | float:
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Model | float:
     """A model from ``labels`` (doc_id, label 0 or 1) and the texts of ``docs``.
 
-    At most ``train_docs`` labelled rows are read, those of the smallest md5 of the id.
+    At most ``train_docs`` labelled rows (see ``training_rows``) are read, in the order
+    of the md5 of the id while their texts have at most ``train_bytes`` bytes together.
     Without both classes there is nothing to learn: the share of label 1 (0.5 if
     there are no labels at all) is returned instead of a model.
     """
     bound_batches(docs.sparkSession)
-    sample = labels.filter("label IN (0, 1) AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    sample = sample.orderBy(F.md5(F.col("doc_id").cast("string"))).limit(train_docs)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
-    got = rows.select("doc_id", F.col("label").cast("int").alias("label"), "text").mapInArrow(released(_encode), "doc_id long, label int, bag binary").collect()
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    rows = training_rows(docs, labels, train_docs).withColumn("size", size).filter(F.col("size") <= train_bytes // 8)
+    rows = cut(rows.withColumn("order", F.md5(F.col("doc_id").cast("string"))))
+    total = F.sum("size").over(Window.orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # over train_docs narrow rows
+    fitting = rows.select("doc_id", "order", "size").withColumn("total", total).filter(F.col("total") <= train_bytes).select("doc_id")
+    chosen = rows.join(F.broadcast(fitting), "doc_id").select("doc_id", "label", "text")
+    got = chosen.mapInArrow(released(_encode), "doc_id long, label int, bag binary").collect()
     got.sort(key=lambda r: (r["doc_id"], r["bag"]))
     y = np.array([r["label"] for r in got], np.float64)
     if not len(y) or y.min() == y.max():
@@ -206,7 +208,12 @@ def _scored(shared):
 
 
 def score_quality(docs: DataFrame, model: Model | float) -> DataFrame:
-    """(doc_id, score) for every row of ``docs`` (doc_id, text); a null text is empty."""
+    """(doc_id, score) for every row of ``docs`` (doc_id, text).
+
+    A null text is empty, an empty one a single passage without counts; a text of any
+    length is scored whole. Repeated rows and null ids come out as they came in, each
+    scored by its own text; other columns are not read; an empty table gives no rows.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
     scored = _scored(spark.sparkContext.broadcast(model))
@@ -221,7 +228,7 @@ def score_quality(docs: DataFrame, model: Model | float) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model | float, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, with all their columns."""
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns (see ``keep_scored``)."""
     return keep_scored(docs, _scored(docs.sparkSession.sparkContext.broadcast(model)), lambda s: s >= threshold)
 
 

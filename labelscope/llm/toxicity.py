@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.llm import textkernel as tk
-from labelscope.llm.common import bound_batches, document_remainder, keep_scored, released, table
+from labelscope.llm.common import bound_batches, cut, document_remainder, keep_scored, released, table, training_rows
 from labelscope.llm.deobfuscate import N_SYMBOLS, Restorer, count_trigrams, language_model
 
 TRAIN_DOCS = 16_000
 #: Lengths in bytes of word beginnings that are features beside whole words.
 BEGINNINGS = (4, 5, 6)
-#: A lexicon feature is in at least MIN_POSITIVE toxic documents; the LEXICON most surprising are weighed.
-MIN_POSITIVE, LEXICON = 4, 4000
+#: A lexicon feature is in at least MIN_POSITIVE toxic documents of the sample, which bounds their number.
+MIN_POSITIVE = 4
 #: A lexicon feature's rate in toxic documents is at least LIFT times that in others.
 LIFT = 4.0
 #: Odds of 1 to ODDS against a feature's precision being a coincidence; ridge penalty of the weights.
@@ -35,7 +35,11 @@ HELD_OUT = (5, 0)
 
 
 def corpus_trigrams(docs: DataFrame) -> np.ndarray:
-    """Counts of character triples over the whole texts of all documents."""
+    """Counts of character triples over the whole texts of all documents.
+
+    A null text is empty and counts nothing, a repeated row counts again, no triple spans two
+    texts; other columns are not read; an empty table gives zeros.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(N_SYMBOLS**3, np.int64)
@@ -100,16 +104,13 @@ def _present(parts, index: tk.HashIndex) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, train_docs: int = TRAIN_DOCS) -> Lexicon:
     """A lexicon from ``labels`` (doc_id, label 0 or 1) and restored texts of ``docs``.
 
-    At most ``train_docs`` labelled rows, those of the smallest md5 of the id. With
-    only one class, or none, the lexicon is empty and the bias says the class (not
-    toxic where there are no labels).
+    At most ``train_docs`` labelled rows, see ``training_rows``. With only one class,
+    or none, the lexicon is empty and the bias says the class (not toxic where there
+    are no labels).
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    sample = labels.filter("label IN (0, 1) AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    sample = sample.orderBy(F.md5(F.col("doc_id").cast("string"))).limit(train_docs)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
-    texts = texts.select("doc_id", F.col("label").cast("int").alias("label"), "text")
+    texts = cut(training_rows(docs, labels, train_docs))
     shared = spark.sparkContext.broadcast(costs)
 
     sizes = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}  # a row a class
@@ -143,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, train_docs: int =
     p = F.col("p")
     counted = counted.withColumn("surprise", (pos + neg) * (p * F.log(p / share) + (1 - p) * F.log((1 - p) / (1 - share))))
     told = ((pos + 0.1) / (n1 + 0.2) >= LIFT * (neg + 0.1) / (n0 + 0.2)) & (F.col("surprise") >= float(np.log(ODDS)))
-    rows = counted.filter(told).orderBy(F.desc("surprise"), "feature").limit(LEXICON).select("feature").toArrow()
+    rows = counted.filter(told).orderBy(F.desc("surprise"), "feature").select("feature").toArrow()
     candidates = rows.column("feature").to_numpy().view(np.uint64)
     chosen = spark.sparkContext.broadcast(candidates)
 
@@ -198,7 +199,7 @@ def _weigh(rows: list[np.ndarray], y: np.ndarray, candidates: np.ndarray, marks:
     surprise = seen * (precision * np.log(precision / share) + (1 - precision) * np.log((1 - precision) / (1 - share)))
     lifted = (pos + 0.1) / (n1 + 0.2) >= LIFT * (neg + 0.1) / (n0 + 0.2)
     good = np.flatnonzero(lifted & (surprise >= np.log(ODDS)) & (pos >= MIN_POSITIVE))
-    good = good[np.argsort(-surprise[good], kind="stable")][:LEXICON]
+    good = good[np.argsort(-surprise[good], kind="stable")]
     new = np.full(len(candidates), -1)
     new[good] = np.arange(len(good))
     kept = [new[r][new[r] >= 0] for r in rows]
@@ -234,7 +235,12 @@ def _scored(shared):
 
 
 def score_toxicity(docs: DataFrame, costs: np.ndarray, lexicon: Lexicon) -> DataFrame:
-    """(doc_id, score) for every row of ``docs`` (doc_id, text); a null text is empty."""
+    """(doc_id, score) for every row of ``docs`` (doc_id, text).
+
+    A null or empty text scores as one without any feature; a text of any length is
+    scored whole. Repeated rows and null ids come out as they came in, each scored by its
+    own text; other columns are not read; an empty table gives no rows.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
     scored = _scored(spark.sparkContext.broadcast((costs, lexicon)))
@@ -249,12 +255,16 @@ def score_toxicity(docs: DataFrame, costs: np.ndarray, lexicon: Lexicon) -> Data
 
 
 def keep_civil(docs: DataFrame, costs: np.ndarray, lexicon: Lexicon, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+    """The rows of ``docs`` that score below ``threshold``, with all their columns (see ``keep_scored``)."""
     return keep_scored(docs, _scored(docs.sparkSession.sparkContext.broadcast((costs, lexicon))), lambda s: s < threshold)
 
 
 def restored_texts(docs: DataFrame, costs: np.ndarray) -> DataFrame:
-    """(doc_id, restored): lower-cased texts with disguised words restored; null stays null."""
+    """(doc_id, restored): lower-cased texts with disguised words restored; null stays null, empty stays empty.
+
+    Repeated rows and null ids come out as they came in; among equally cheap readings the
+    first in code point order counts; other columns are not read; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(costs)
 
     def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

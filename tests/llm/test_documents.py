@@ -10,7 +10,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
-from labelscope.llm import decontaminate, deobfuscate, licenses, mixing, near_dup, quality, token_counts, toxicity
+from labelscope.llm import common, decontaminate, deobfuscate, licenses, mixing, near_dup, quality, token_counts, toxicity
 from labelscope.llm.queries import ORACLE, QUERIES
 from pyspark.sql import functions as F
 
@@ -495,3 +495,25 @@ def test_rare_toxic_words_are_learned_beside_many_common_ones(spark, monkeypatch
     assert {deobfuscate.tk.hash_word(w) for w in rare} <= set(lexicon.hashes.tolist())
     got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, costs, lexicon).collect()}
     assert min(got[900], got[901]) > got[990]
+
+
+def test_training_rows_of_conflicting_labels_and_texts(spark):
+    docs = table(spark, [(1, "b", "a"), (1, "a", "b"), (2, None, "a"), (2, None, "a"), (3, "c", "a"), (None, "d", "a"), (5, "e", "a")])
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 0), (3, None), (3, 7), (4, 1), (None, 1), (5, 1)], "doc_id long, label int")
+    for rows in (docs, docs.orderBy(F.desc("text")).repartition(5)):
+        got = common.training_rows(rows, labels.repartition(3), 10).collect()
+        assert sorted(map(tuple, got)) == [(1, 1, "a"), (2, 0, None), (5, 1, "e")]
+    # documents that are not there use up nothing of the sample
+    assert common.training_rows(docs, labels, 3).count() == 3
+
+
+def test_long_texts_are_scored_by_passages_of_the_same_size():
+    import pyarrow as pa
+
+    text = "Some words, 12 of them; then others. " * 20_000
+    (_, _, features, offs), = quality.passages(pa.array([text]))
+    assert offs.tolist() == [0, -(-len(text) // 512)] and (np.expm1(features[:-1, -1] * 5) < 150).all()
+    (_, _, short, _), = quality.passages(pa.array([text[: 512 * 50]]))
+    same = np.ones(features.shape[1], bool)
+    same[-4] = False  # words seen before, over the whole text
+    assert np.allclose(features[1:49, same], short[1:49, same])
