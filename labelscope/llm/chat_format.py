@@ -19,7 +19,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelscope.llm.common import bound_batches, cut, released, table
@@ -27,6 +28,8 @@ from labelscope.llm.common import bound_batches, cut, released, table
 ROLES = ("system", "user", "assistant")
 START = 3
 BLOCK_TURNS = 256
+#: Characters of a text that order rows of one turn and role.
+TEXT_ORDER = 32
 
 #: What speakers are called.
 NAMES = {
@@ -178,30 +181,70 @@ def _blocks(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterat
         yield key, held
 
 
-_COLUMNS = ("conv_id", "block", "turn", "role", "text")
+_COLUMNS = ("conv_id", "block", "place", "turn", "role", "text")
+
+
+def _cut_into_blocks(block_turns: int):
+    """Adds block and place to the rows of a task, which are in order: a block is a run of rows of one conversation.
+
+    Block numbers grow along the table, so those of a conversation that goes on in other tasks are in order too.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = (TaskContext.get().partitionId() << 32) - 1
+        conv, place = None, block_turns
+        for batch in batches:
+            blocks, places = [], []
+            for c in batch.column("conv_id").to_pylist():
+                if place >= block_turns or c != conv:
+                    block, conv, place = block + 1, c, 0
+                blocks.append(block)
+                places.append(place)
+                place += 1
+            columns = {"block": pa.array(blocks, pa.int64()), "place": pa.array(places, pa.int32())}
+            columns |= {n: batch.column(n) for n in _COLUMNS if n not in columns}
+            yield pa.RecordBatch.from_arrays([columns[n] for n in _COLUMNS], names=list(_COLUMNS))
+
+    return run
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts inside blocks, and a row for each block with the first and the last role in it."""
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    names = ("kind", "a", "b", "n", "conv_id", "block")
     counts: dict[tuple[str, int, int], int] = {}
-    for (_, block), rows in _blocks(batches, _COLUMNS):
-        before = START if block == 0 else None
-        for _, _, _, role, text in rows:
-            number = role_of(role)
-            if number >= 0 and before is not None:
+    edges: list[tuple] = []
+    for (conv, block), rows in _blocks(batches, _COLUMNS):
+        numbers = [role_of(r[4]) for r in rows]
+        edges.append(("edge", numbers[0], numbers[-1], 1, conv, block))
+        for before, number in zip(numbers, numbers[1:], strict=False):
+            if min(before, number) >= 0:
                 counts["follow", before, number] = counts.get(("follow", before, number), 0) + 1
-            before = number if number >= 0 else None
-            if number >= 0:
-                for _, _, shape, _ in lines_of(role, text):
-                    counts["shape", number, shape] = counts.get(("shape", number, shape), 0) + 1
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([k[i] for k in counts], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32()))] + [pa.array(list(counts.values()), pa.int64())], names=["kind", "a", "b", "n"]
-    )
+        for row, number in zip(rows, numbers, strict=True):
+            for _, _, shape, _ in lines_of(row[4], row[5]) if number >= 0 else ():
+                counts["shape", number, shape] = counts.get(("shape", number, shape), 0) + 1
+        if len(edges) > 2000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*edges, strict=True), kinds, strict=True)], names=list(names))
+            edges = []
+    out = edges + [(*key, n, None, None) for key, n in counts.items()]
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=list(names))
+
+
+def learn(dealt: DataFrame) -> Model:
+    """The model that the counts over all rows of ``dealt`` (blocks in order) give."""
+    counted = cut(dealt.mapInArrow(released(_count), "kind string, a int, b int, n long, conv_id long, block long"))
+    earlier = F.lag("b", 1, START).over(Window.partitionBy("conv_id").orderBy("block"))  # a row a block
+    across = counted.filter("kind = 'edge'").select(F.lit("follow").alias("kind"), earlier.alias("a"), F.col("a").alias("b"), "n")
+    every = counted.filter("kind <> 'edge'").select("kind", "a", "b", "n").unionByName(across.filter("a >= 0 AND b >= 0"))
+    rows = every.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()  # a row for each parameter
+    return Model({(r["kind"], r["a"], r["b"]): r["n"] for r in rows})
 
 
 def _summaries(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (conv, block), rows in _blocks(batches, _COLUMNS):
-            scores = block_scores(shared.value, [lines_of(r[3], r[4]) for r in rows])
+            scores = block_scores(shared.value, [lines_of(r[4], r[5]) for r in rows])
             yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([block], pa.int64()), pa.array([scores.ravel().tolist()], pa.list_(pa.float64()))], names=["conv_id", "block", "scores"])
 
     return run
@@ -246,9 +289,9 @@ def _decode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for _, rows in _blocks(batches, (*_COLUMNS, "enter", "leave")):
-            lines = [lines_of(r[3], r[4]) for r in rows]
-            for r, row, path in zip(rows, lines, decode_block(shared.value, lines, rows[0][5], rows[0][6]), strict=True):
-                out += [(r[0], r[2], part, role, text, render(role, text)) for part, (role, text) in enumerate(turns_of(row, path))]
+            lines = [lines_of(r[4], r[5]) for r in rows]
+            for r, row, path in zip(rows, lines, decode_block(shared.value, lines, rows[0][6], rows[0][7]), strict=True):
+                out += [(r[0], r[3], part, role, text, render(role, text)) for part, (role, text) in enumerate(turns_of(row, path))]
             if len(out) > 2000:
                 yield _batch(out)
                 out = []
@@ -263,29 +306,37 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["conv_id", "turn", "part", "role", "text", "rendered"])
 
 
+def blocks_of(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
+    """The rows in order, in blocks of at most ``block_turns`` of a conversation, written."""
+    spark = conversations.sparkSession
+    bound_batches(spark)
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # dealt by ranges of the order, rows that are equal in all of it by their number: no conversation, turn or text is one task's
+    order = [F.col("conv_id"), F.col("turn").asc_nulls_last(), F.col("role"), F.substring("text", 1, TEXT_ORDER), F.xxhash64("text"), F.col("number")]
+    ranged = rows.withColumn("number", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    kinds = "conv_id long, block long, place int, turn long, role string, text string"
+    return cut(ranged.drop("number").mapInArrow(released(_cut_into_blocks(block_turns)), kinds))
+
+
 def format_chats(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
     """Canonical turns (conv_id, turn, part, role, text, rendered) of rows (conv_id, turn, role, text).
 
     Each row gives at least one turn; a row whose text has speakers of its own gives more,
     numbered by ``part``. ``role`` may be any name, wrong or null: then neighbours and lines
     decide. A null text is empty. Turns are in order of ``turn`` (null last), repeated ones by
-    role and text; rows without conv_id are one conversation. Other columns are not read;
-    an empty table gives no rows.
+    role, the first ``TEXT_ORDER`` characters of the text and a hash of it; rows without
+    conv_id are one conversation. Other columns are not read; an empty table gives no rows.
     """
     spark = conversations.sparkSession
-    bound_batches(spark)
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    block = F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(2**62)).cast("long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("conv_id"), F.col("block"), F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")]
-    dealt = cut(rows.withColumn("block", block).select(*_COLUMNS).repartition(parts, "conv_id", "block").sortWithinPartitions(*order))
-    counts = dealt.mapInArrow(released(_count), "kind string, a int, b int, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()  # a row for each parameter
-    model = spark.sparkContext.broadcast(Model({(r["kind"], r["a"], r["b"]): r["n"] for r in counts}))
+    dealt = blocks_of(conversations, block_turns)
+    model = spark.sparkContext.broadcast(learn(dealt))
     scores = dealt.mapInArrow(released(_summaries(model)), "conv_id long, block long, scores array<double>")
     chained = scores.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(released(_chain), "conv_id long, block long, enter int, leave int")
     ends = cut(chained).select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), "enter", "leave")
     known = dealt.join(ends, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b"))).drop("_c", "_b")
-    known = known.select(*_COLUMNS, "enter", "leave").repartition(parts, "conv_id", "block").sortWithinPartitions(*order)
+    known = known.select(*_COLUMNS, "enter", "leave").repartition(parts, "conv_id", "block").sortWithinPartitions("conv_id", "block", "place")
     return known.mapInArrow(released(_decode(model)), TURNS)
 
 

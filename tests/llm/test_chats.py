@@ -57,6 +57,9 @@ def test_blocks_give_the_path_of_the_whole_conversation(spark, block):
     assert [g[:3] for g in got] == [w[:3] for w in want]
     if block > 3:
         assert got == want
+    # counts too are those of whole conversations
+    model, again = (C.learn(C.blocks_of(table(spark, rows), n)) for n in (block, 10_000))
+    assert model.follow == again.follow and model.shape == again.shape
     # with the same model, blocks of one turn give the same path
     model = C.Model({("follow", 1, 2): 9, ("follow", 2, 1): 9, ("follow", 3, 1): 9})
     lines = [C.lines_of(r[2], r[3]) for r in rows if r[0] == 0]
@@ -123,3 +126,18 @@ def test_query_equals_sql(spark, small):
     key = ["conv_id", "turn", "part", "role", "text", "rendered"]
     got = sorted(map(tuple, QUERIES["op5_chat_format"](spark, small).toPandas()[key].values.tolist()))
     assert got == sorted(map(tuple, c.execute(ORACLE["op5_chat_format"]).df()[key].values.tolist())) and got
+
+
+def test_hot_turns_and_conversations_are_dealt_over_tasks(spark):
+    rng = random.Random(9)
+    rows = [(1, None, rng.choice(["user", "assistant"]), f"text {rng.randrange(10**6)}") for _ in range(3000)]
+    rows += [(1, 7, "user", "the same") for _ in range(2000)] + [(None, None, "assistant", None) for _ in range(1500)] + [(2, 0, "user", "q?"), (2, 1, "assistant", "a")]
+    got = C.format_chats(table(spark, rows), 64)
+    found = got.collect()
+    assert len(found) == len(rows) and {r["part"] for r in found} == {0}
+    whole = C.format_chats(table(spark, rows), 10**6).collect()
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(key, found)) == sorted(map(key, whole))
+    place = C.F.spark_partition_id()
+    spread = got.select(place.alias("p"), "conv_id", "turn").groupBy("p").count().collect()
+    assert len(spread) == 4 and max(r["count"] for r in spread) < 0.5 * len(rows)
