@@ -1,8 +1,9 @@
 """Embedding near-dedup: exact threshold pairs by dual traversal of cover trees.
 
 Equal vectors form one class with a number of copies. The classes are dealt by their
-nearest pivot into blocks of bounded size; every block gets a cover tree, and every two
-blocks whose balls come near enough are joined by a dual traversal of their trees. A
+nearest pivot into cells and these into blocks of bounded size; every block gets a cover
+tree. Cells whose balls around their pivots come near enough are paired, then their blocks
+by their own balls, and two paired blocks are joined by a dual traversal of their trees. A
 join puts out one row per class it links: how many vectors it is linked with there, and
 the smallest class that these links reach. Pairs are never put out.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,17 +35,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _deal(shared):
-    """Adds the nearest pivot of the vector's length to each class."""
+    """Adds the nearest pivot of the vector's length to each class, and the distance from it."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots: dict[int, np.ndarray] = shared.value
         for batch in batches:
             dims = batch.column("dim").to_numpy()
-            cell = np.zeros(batch.num_rows, np.int32)
+            cell, far = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
             for dim in np.unique(dims):
                 rows = np.flatnonzero(dims == dim)
-                cell[rows] = (_matrix(batch.column("v").take(pa.array(rows))) @ pivots[int(dim)].T).argmax(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell"])
+                cosine = _matrix(batch.column("v").take(pa.array(rows))) @ pivots[int(dim)].T
+                cell[rows] = cosine.argmax(1)
+                far[rows] = np.sqrt(np.maximum(0, 2 - 2 * cosine.max(1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], names=[*batch.schema.names, "cell", "far"])
 
     return deal
 
@@ -85,11 +89,11 @@ def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first[0] = True
         yield pa.RecordBatch.from_arrays(
             [
-                t.column("block").chunk(0), t.column("dim").chunk(0), t.column("rep").chunk(0), t.column("copies").chunk(0), t.column("v").chunk(0),
+                t.column("block").chunk(0), t.column("dim").chunk(0), t.column("cell").chunk(0), t.column("rep").chunk(0), t.column("copies").chunk(0), t.column("v").chunk(0),
                 pa.FixedSizeListArray.from_arrays(pa.array(path.ravel()), path.shape[1]).cast(pa.list_(pa.int64())),
                 pa.array([middle.tolist() if f else None for f in first], pa.list_(pa.float64())), pa.array(np.where(first, radius, 0.0), mask=~first),
             ],
-            names=["block", "dim", "rep", "copies", "v", "path", "middle", "radius"],
+            names=["block", "dim", "cell", "rep", "copies", "v", "path", "middle", "radius"],
         )
 
 
@@ -102,6 +106,23 @@ def _tree(t: pa.Table) -> tuple[Tree, np.ndarray]:
     return Tree(_matrix(t.column("v").chunk(0)), place, t.column("copies").to_numpy()), rep
 
 
+def near_cells(cells: list, pivots: dict[int, np.ndarray], limit: float) -> pd.DataFrame:
+    """(dim, first, second) of cells (dim, cell, radius) that links no longer than ``limit`` may join; first <= second.
+
+    There are at most MAX_PIVOTS cells to a dimension.
+    """
+    found = [np.zeros((0, 3), np.int64)]
+    for dim, x in pivots.items():
+        radius = np.full(len(x), -np.inf)
+        for c in cells:
+            if c["dim"] == dim:
+                radius[c["cell"]] = c["radius"]
+        gap = np.sqrt(np.maximum(0, 2 - 2 * (x @ x.T)))
+        i, j = np.nonzero(np.triu(gap <= radius[:, None] + radius + limit))
+        found.append(np.stack([np.full(len(i), dim), i, j], 1))
+    return pd.DataFrame(np.concatenate(found), columns=["dim", "first", "second"])
+
+
 def _traverse(threshold: float):
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, "i", "j"):
@@ -159,25 +180,30 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block_byte
         x = np.array([r["v"] for r in picked])
         pivots[dim] = x / np.sqrt((x * x).sum(1, keepdims=True))
     dealt = classes.select("rep", "copies", "dim", "v").mapInArrow(
-        _deal(spark.sparkContext.broadcast(pivots)), "rep long, copies long, dim int, v array<double>, cell int"
+        released(_deal(spark.sparkContext.broadcast(pivots))), "rep long, copies long, dim int, v array<double>, cell int, far double"
     )
     dealt = cut(dealt)
     cells = dealt.groupBy("dim", "cell").agg(F.count("*").alias("n")).withColumn("most", F.greatest(F.lit(64), F.floor(F.lit(block_bytes) / (8 * F.col("dim")))))
+    limit = float(np.sqrt(2 - 2 * threshold)) + 1e-6
+    close = near_cells(dealt.groupBy("dim", "cell").agg(F.max("far").alias("radius")).collect(), pivots, limit)
+    close = spark.createDataFrame(close, "dim int, first int, second int") if len(close) else spark.createDataFrame([], "dim int, first int, second int")
     cells = cells.select("dim", "cell", F.ceil(F.col("n") / F.col("most")).cast("int").alias("chunks"))
     blocked = dealt.join(cells, ["dim", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     blocked = blocked.withColumn("block", F.xxhash64("dim", "cell", "chunk"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    planted = blocked.select("block", "dim", "rep", "copies", "v").repartition(parts, "block").sortWithinPartitions("block", "rep")
+    planted = blocked.select("block", "dim", "cell", "rep", "copies", "v").repartition(parts, "block").sortWithinPartitions("block", "rep")
     planted = cut(
-        planted.mapInArrow(released(_plant), "block long, dim int, rep long, copies long, v array<double>, path array<long>, middle array<double>, radius double")
+        planted.mapInArrow(released(_plant), "block long, dim int, cell int, rep long, copies long, v array<double>, path array<long>, middle array<double>, radius double")
     )
 
-    balls = planted.filter("middle IS NOT NULL").select("block", "dim", "middle", "radius")
+    balls = planted.filter("middle IS NOT NULL").select("block", "dim", "cell", "middle", "radius")
     left, right = (balls.select(*[F.col(c).alias(f"{c}_{side}") for c in balls.columns]) for side in "ij")
     cosine = F.expr("aggregate(zip_with(middle_i, middle_j, (x, y) -> x * y), 0D, (s, x) -> s + x)")
     gap = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * cosine))
-    near = left.join(right, (F.col("dim_i") == F.col("dim_j")) & (F.col("block_i") <= F.col("block_j")))
-    near = near.filter(gap <= F.col("radius_i") + F.col("radius_j") + float(np.sqrt(2 - 2 * threshold)) + 1e-6)
+    near = F.broadcast(close).join(left, (F.col("dim") == F.col("dim_i")) & (F.col("first") == F.col("cell_i")))
+    near = near.join(right, (F.col("dim") == F.col("dim_j")) & (F.col("second") == F.col("cell_j")))
+    near = near.filter((F.col("first") < F.col("second")) | (F.col("block_i") <= F.col("block_j")))
+    near = near.filter(gap <= F.col("radius_i") + F.col("radius_j") + limit)
     near = near.select(F.col("block_i").alias("i"), F.col("block_j").alias("j"))
     sides = near.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     paired = planted.select("block", "rep", "copies", "v", "path").join(sides, "block")

@@ -63,6 +63,23 @@ def test_tree_is_nested_and_covers(clustered):
     assert (np.sqrt(np.maximum(0, 2 - 2 * (u * u[finest]).sum(1))) <= cover_tree.RADII[-1] + 1e-3).all()
 
 
+def test_one_dense_cluster_over_several_blocks(spark):
+    rng = np.random.default_rng(6)
+    middle = rng.normal(size=16)
+    x = np.concatenate([middle + rng.normal(0, 0.25, (300, 16)), -middle + rng.normal(0, 0.02, (80, 16)), rng.normal(size=(60, 16))])
+    ids = rng.permutation(len(x)) + 5
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df, block_bytes=16 * 8 * 20).collect()}
+    assert got == brute(ids, x)
+
+
+def test_cells_far_apart_are_not_paired():
+    pivots = {2: np.array([[1.0, 0.0], [-1.0, 0.0], [0.9986, 0.0523]]), 3: np.eye(3)}
+    cells = [{"dim": 2, "cell": c, "radius": 0.1} for c in range(3)] + [{"dim": 3, "cell": 0, "radius": 0.0}]
+    got = embedding_dedup.near_cells(cells, pivots, 0.2)
+    assert sorted(map(tuple, got.to_numpy().tolist())) == [(2, 0, 0), (2, 0, 2), (2, 1, 1), (2, 2, 2), (3, 0, 0)]
+
+
 ARTICLE = "<article><h1>A  title &amp; more</h1><p>Some <b>bold</b>\n text.<br>Second line</p><p>x</p></article>"
 
 
