@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from labelscope.llm.common import table
+from labelscope.llm.common import cut, table
 
 #: Hexadecimal digits of the key that choose a range: 16 ** 3 ranges a source.
 RANGE_DIGITS = 3
@@ -56,13 +56,16 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int
     Inputs are ``doc_id, text, source``; other columns are ignored. A null text has
     size 0; null is a source of its own. Repeated rows count and are taken each on
     their own (equal keys and sizes, so their order does not change the figures'
-    multiset). Ties of the key are ordered by doc_id, then by size. A source whose
+    multiset). Rows without doc_id have the key of their text. Ties of the key are ordered by
+    doc_id, then by size. A source whose
     sizes sum to 0 takes nothing. An empty table gives no rows.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    # written once: a few bytes a row go on, and the texts are read in one pass
     sized = docs.select(
         "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("mix_key")
     ).withColumn("mix_range", F.substring("mix_key", 1, RANGE_DIGITS))
+    sized = cut(sized)
     ranges = sized.groupBy("source", "mix_range").agg(F.sum("size").alias("range_size"))
     earlier = Window.partitionBy("source").orderBy("mix_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("range_from", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)))

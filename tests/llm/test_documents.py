@@ -517,3 +517,16 @@ def test_long_texts_are_scored_by_passages_of_the_same_size():
     same = np.ones(features.shape[1], bool)
     same[-4] = False  # words seen before, over the whole text
     assert np.allclose(features[1:49, same], short[1:49, same])
+
+
+def test_many_rows_without_id_are_mixed_by_their_texts(spark):
+    rows = [(None, f"w{i} " * (i % 7 + 1), "a") for i in range(2000)] + [(i, "x y z", "b") for i in range(500)]
+    docs = table(spark, rows)
+    got = mixing.mix_documents(docs).collect()
+    again = mixing.mix_documents(docs.repartition(7)).collect()
+    assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, again))
+    for source in "ab":
+        mine = [r for r in got if r["source"] == source]
+        assert sum(r["taken"] for r in mine) == int(mine[0]["target"]) and all(r["taken"] <= 3 * r["size"] for r in mine)
+    keys = docs.filter("doc_id IS NULL").select(F.md5(F.md5("text")).alias("k")).select(F.substring("k", 1, mixing.RANGE_DIGITS)).distinct().count()
+    assert keys > 1000  # not one range
