@@ -1,34 +1,89 @@
 """Hashes of files and trees, checksum baselines, and their comparison.
 
-Hashing runs on the executors: the file list is a DataFrame of Spark's binary reader, so
-any store that Spark reads will do. Only paths and digests come back.
+Paths are listed once; the files are read and hashed in blocks on the executors, from any
+store that Hadoop lists and the workers reach. Only paths and digests come back.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 import sys
+from collections.abc import Iterator
 from pathlib import Path
+from typing import BinaryIO
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The one file that is no part of a tree: a placeholder at its top.
 LEFT_OUT = ".gitkeep"
+BLOCK_BYTES = 1 << 20
 
 
 class BaselineExists(FileExistsError):
     """A baseline is there already and may not be replaced silently."""
 
 
+def digest_of(file: BinaryIO) -> str:
+    """SHA-256 of an open file, read block by block."""
+    digest = hashlib.sha256()
+    while block := file.read(BLOCK_BYTES):
+        digest.update(block)
+    return digest.hexdigest()
+
+
+def open_file(uri: str) -> BinaryIO:
+    """A file for reading, by a local path or a URI of a store that Arrow knows."""
+    scheme, colon, rest = uri.partition(":")
+    if not colon or scheme == "file" or "/" in scheme:
+        return open("/" + rest.lstrip("/") if colon and scheme == "file" else uri, "rb")
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    return system.open_input_stream(path)
+
+
+def files_below(spark: SparkSession, root: str) -> list[tuple[str, str, int]]:
+    """(path relative to ``root``, URI, length) of every file, hidden ones too; an error where there is no such folder."""
+    local = root.removeprefix("file://") if root.startswith("file://") else root
+    if "://" not in root:
+        if not os.path.isdir(local):
+            raise FileNotFoundError(f"no folder {root}")
+        found = [os.path.join(folder, name) for folder, _, names in os.walk(local) for name in names]
+        return sorted((os.path.relpath(p, local).replace(os.sep, "/"), os.path.abspath(p), os.path.getsize(p)) for p in found if os.path.isfile(p))
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    system = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top = system.makeQualified(base).toUri().getPath().rstrip("/") + "/"
+    out, listed = [], system.listFiles(base, True)
+    while listed.hasNext():
+        status = listed.next()
+        path = status.getPath()
+        out.append((path.toUri().getPath().removeprefix(top), path.toString(), status.getLen()))
+    return sorted(out)
+
+
 def hash_tree(spark: SparkSession, root: str) -> DataFrame:
     """(path relative to root, length, sha256) of every file below ``root`` but a .gitkeep at its top.
 
-    Spark's binary reader holds one file at a time in a task; files are limited to 2 GB.
+    Files of any size, hidden and empty ones too; a folder without files gives no rows.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    marker = root.rstrip("/") + "/"
-    path = F.expr(f"substring(path, instr(path, '{marker}') + {len(marker)})")
-    return files.select(path.alias("path"), "length", F.sha2("content", 256).alias("sha256")).filter(F.col("path") != LEFT_OUT)
+    listed = [f for f in files_below(spark, root) if f[0] != LEFT_OUT]
+
+    def digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for uri in frame["uri"]:
+                with open_file(uri) as file:
+                    out.append(digest_of(file))
+            yield frame[["path", "length"]].assign(sha256=out)
+
+    files = spark.createDataFrame(listed, "path string, uri string, length long")
+    tasks = max(1, min(len(listed), 4 * spark.sparkContext.defaultParallelism))
+    return files.repartition(tasks).mapInPandas(digests, "path string, length long, sha256 string")
 
 
 def tree_diff(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -38,12 +93,14 @@ def tree_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.join(a, "path", "full_outer").select("path", status.alias("status")).filter("status IS NOT NULL")
 
 
-def snapshot(spark: SparkSession, root: str, baseline: Path, replace: bool = False) -> Path:
-    """Write the tree's digests as a baseline; refuses to overwrite one unless told to."""
+def write_baseline(spark: SparkSession, root: str, baseline: Path, replace: bool = False) -> Path:
+    """Write the tree's digests as a baseline; refuses an empty tree, and to overwrite a baseline unless told to."""
     baseline = Path(baseline)
     if baseline.exists() and not replace:
         raise BaselineExists(f"{baseline} exists")
     files = {r["path"]: r["sha256"] for r in hash_tree(spark, root).toLocalIterator()}
+    if not files:
+        raise FileNotFoundError(f"no files below {root}")
     baseline.parent.mkdir(parents=True, exist_ok=True)
     baseline.write_text(json.dumps({"n_files": len(files), "files": dict(sorted(files.items()))}, indent=1) + "\n")
     return baseline
@@ -54,16 +111,10 @@ def read_baseline(spark: SparkSession, baseline: Path) -> DataFrame:
     return spark.createDataFrame(sorted(files.items()), "path string, sha256 string")
 
 
-def verify(spark: SparkSession, root: str, baseline: Path) -> dict[str, list[str]]:
-    """Paths that were added, removed or modified since the baseline."""
-    out: dict[str, list[str]] = {"added": [], "removed": [], "modified": []}
-    for r in tree_diff(read_baseline(spark, baseline), hash_tree(spark, root)).collect():
-        out[r["status"]].append(r["path"])
-    return {k: sorted(v) for k, v in out.items()}
-
-
-def is_unchanged(diff: dict[str, list[str]]) -> bool:
-    return not any(diff.values())
+def changes_since(spark: SparkSession, root: str, baseline: Path) -> dict[str, list[str]]:
+    """Sorted paths by status (added, removed, modified) since the baseline; a status without paths is left out."""
+    rows = tree_diff(read_baseline(spark, baseline), hash_tree(spark, root)).groupBy("status").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    return {r["status"]: list(r["paths"]) for r in rows.collect()}
 
 
 def table_digest(df: DataFrame, keys: list[str]) -> tuple[str, int]:
@@ -76,8 +127,6 @@ def table_digest(df: DataFrame, keys: list[str]) -> tuple[str, int]:
     rows = df.select(row.alias("_h")).withColumn("_r", F.substring("_h", 1, 3))
     ranges = rows.groupBy("_r").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), ""), 256).alias("d"), F.count("*").alias("n"))
     got = ranges.orderBy("_r").collect()  # at most 4096 rows
-    import hashlib
-
     return hashlib.sha256("".join(r["d"] for r in got).encode()).hexdigest(), sum(r["n"] for r in got)
 
 
@@ -90,14 +139,14 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.getOrCreate()
     try:
         if args[0] == "snapshot":
-            snapshot(spark, args[1], Path(args[2]), "--replace" in args)
+            write_baseline(spark, args[1], Path(args[2]), "--replace" in args)
             return 0
-        diff = verify(spark, args[1], Path(args[2]))
+        changes = changes_since(spark, args[1], Path(args[2]))
     except (OSError, ValueError) as problem:
         print(problem)
         return 2
-    print(json.dumps(diff))
-    return 0 if is_unchanged(diff) else 1
+    print(json.dumps(changes))
+    return 1 if changes else 0
 
 
 if __name__ == "__main__":

@@ -49,7 +49,8 @@ def parse_schedule(lines: DataFrame, codes: dict[str, int] = SCHEDULE_CODES, ign
     unknown conditions are errors; ignored conditions are left out.
     """
     rows = lines.withColumn("_k", F.regexp_extract("value", r"^#\s*(ORDER|START|END)\b", 1)).filter("_k <> ''")
-    cells = F.filter(F.transform(F.slice(F.split("value", ";"), 2, 10_000), lambda x: F.trim(x)), lambda x: x != "")
+    each = F.split("value", ";")
+    cells = F.filter(F.transform(F.slice(each, 2, F.size(each)), lambda x: F.trim(x)), lambda x: x != "")
     wide = rows.groupBy("participant_id").agg(*[F.max(F.when(F.col("_k") == k, cells)).alias(k) for k in ("ORDER", "START", "END")])
     same = (F.size("ORDER") == F.size("START")) & (F.size("START") == F.size("END"))
     zipped = F.when(same, F.arrays_zip("ORDER", "START", "END")).otherwise(F.raise_error(F.lit("schedule rows differ in length")))
@@ -75,8 +76,10 @@ def parse_header(lines: DataFrame) -> DataFrame:
 
 
 def numeric_columns(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """Tab-separated numbers with # comments, as doubles."""
-    return spark.read.csv(path, sep="\t", comment="#", schema=", ".join(f"{n} double" for n in names))
+    """Numbers separated by any white space, as doubles; lines that start with # are comments, empty ones are none."""
+    rows = spark.read.text(path).select(F.trim(F.regexp_replace("value", r"\s+", " ")).alias("_t"))
+    cells = F.split(F.col("_t"), " ")
+    return rows.filter("_t <> '' AND NOT startswith(_t, '#')").select(*[F.get(cells, i).cast("double").alias(n) for i, n in enumerate(names)])
 
 
 def notes_after(text, marker: str):
@@ -121,9 +124,9 @@ class VerifiedRelease:
     def open(cls, spark: SparkSession, root: Path, baseline: Path) -> VerifiedRelease:
         if not Path(baseline).exists():
             raise ReleaseError(f"no baseline {baseline}")
-        diff = integrity.verify(spark, str(root), baseline)
-        if not integrity.is_unchanged(diff):
-            raise ReleaseError(f"release differs from its baseline: {diff}")
+        changes = integrity.changes_since(spark, str(root), baseline)
+        if changes:
+            raise ReleaseError(f"release differs from its baseline: {changes}")
         return cls(Path(root), {r["path"]: r["sha256"] for r in integrity.read_baseline(spark, baseline).collect()}, _SEAL)
 
     @property
@@ -132,16 +135,12 @@ class VerifiedRelease:
 
     def verified_path(self, relative: str) -> Path:
         """A file of the release, hashed again just before it is used."""
-        import hashlib
-
         path = (self.root / relative).resolve()
         if relative not in self.expected or not path.is_relative_to(self.root.resolve()):
             raise ReleaseError(f"{relative} is not part of the release")
-        digest = hashlib.sha256()
         with path.open("rb") as file:
-            while block := file.read(1 << 20):
-                digest.update(block)
-        if digest.hexdigest() != self.expected[relative]:
+            digest = integrity.digest_of(file)
+        if digest != self.expected[relative]:
             raise ReleaseError(f"{relative} changed since it was verified")
         return path
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import json
 import pickle
 import zipfile
@@ -47,16 +48,16 @@ def raw(tmp_path_factory):
 
 def test_snapshot_and_verify(spark, raw, tmp_path):
     base = tmp_path / "base.json"
-    integrity.snapshot(spark, str(raw), base)
+    integrity.write_baseline(spark, str(raw), base)
     assert set(json.loads(base.read_text())["files"]) == {"S2/S2.pkl", "S10/S10.pkl", "readme.txt", "docs/a.txt"}
-    assert integrity.is_unchanged(integrity.verify(spark, str(raw), base))
+    assert integrity.changes_since(spark, str(raw), base) == {}
     with pytest.raises(integrity.BaselineExists):
-        integrity.snapshot(spark, str(raw), base)
-    integrity.snapshot(spark, str(raw), base, replace=True)
+        integrity.write_baseline(spark, str(raw), base)
+    integrity.write_baseline(spark, str(raw), base, replace=True)
     (raw / "docs" / "a.txt").write_text("changed")
     (raw / "new.txt").write_text("n")
     (raw / "readme.txt").unlink()
-    assert integrity.verify(spark, str(raw), base) == {"added": ["new.txt"], "removed": ["readme.txt"], "modified": ["docs/a.txt"]}
+    assert integrity.changes_since(spark, str(raw), base) == {"added": ["new.txt"], "removed": ["readme.txt"], "modified": ["docs/a.txt"]}
     assert integrity.main(["verify", str(raw), str(base)]) == 1 and integrity.main(["x"]) == 2 and integrity.main(["verify", str(raw), str(tmp_path / "none.json")]) == 2
     (raw / "docs" / "a.txt").write_text("y")
     (raw / "new.txt").unlink()
@@ -64,8 +65,48 @@ def test_snapshot_and_verify(spark, raw, tmp_path):
     assert integrity.main(["verify", str(raw), str(base)]) == 0
 
 
+def test_every_file_of_a_tree_counts(spark, tmp_path):
+    root = tmp_path / "it's a tree"
+    for name in (".gitkeep", "docs/.gitkeep", "docs/_x.txt", ".hidden", "_SUCCESS", "S2/.S2.pkl.crc", "empty.bin", "a b.txt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(name.encode() if name != "empty.bin" else b"")
+    got = {r["path"]: (r["length"], r["sha256"]) for r in integrity.hash_tree(spark, str(root)).collect()}
+    assert set(got) == {"docs/.gitkeep", "docs/_x.txt", ".hidden", "_SUCCESS", "S2/.S2.pkl.crc", "empty.bin", "a b.txt"}
+    assert all(sha == hashlib.sha256((root / name).read_bytes()).hexdigest() and n == (root / name).stat().st_size for name, (n, sha) in got.items())
+    base = integrity.write_baseline(spark, str(root), tmp_path / "b.json")
+    (root / "docs" / "_x.txt").write_text("altered")
+    (root / ".more").write_text("")
+    (root / ".hidden").unlink()
+    assert integrity.changes_since(spark, str(root), base) == {"added": [".more"], "modified": ["docs/_x.txt"], "removed": [".hidden"]}
+    for bad in (tmp_path / "none", tmp_path / "empty"):
+        (tmp_path / "empty").mkdir(exist_ok=True)
+        with pytest.raises(FileNotFoundError):
+            integrity.write_baseline(spark, str(bad), tmp_path / "c.json")
+    assert not (tmp_path / "c.json").exists()
+
+
+def test_large_files_are_hashed_in_blocks(tmp_path):
+    large = tmp_path / "large.bin"
+    with large.open("wb") as file:
+        file.truncate((2 << 30) + 5)  # a sparse file of more than 2 GB
+    with integrity.open_file(str(large)) as file:
+        assert integrity.digest_of(file) == integrity.digest_of(Zeros((2 << 30) + 5))
+    with integrity.open_file(f"file:{large}") as file:
+        assert len(file.read(10)) == 10
+
+
+class Zeros:
+    def __init__(self, left):
+        self.left, self.block = left, bytes(1 << 20)
+
+    def read(self, n):
+        take = min(n, self.left, len(self.block))
+        self.left -= take
+        return self.block[:take]
+
+
 def test_release_is_verified_before_it_is_read(spark, raw, tmp_path):
-    base = integrity.snapshot(spark, str(raw), tmp_path / "b.json")
+    base = integrity.write_baseline(spark, str(raw), tmp_path / "b.json")
     opened = release.VerifiedRelease.open(spark, raw, base)
     assert opened.n_files == 4 and set(release.load_recording(opened, "S2")) == {"ACC", "BVP", "EDA", "TEMP", "label"}
     with pytest.raises(release.ReleaseError):
@@ -120,6 +161,12 @@ def test_schedule(spark):
             release.parse_schedule(spark.createDataFrame([("S2", v) for v in bad], "participant_id string, value string")).collect()
 
 
+def test_schedules_of_any_length(spark):
+    n = 12_000
+    lines = [f"# ORDER;{';'.join(['Base'] * n)}", f"# START;{';'.join(['1.00'] * n)}", f"# END;{';'.join(['2.00'] * n)}"]
+    assert release.parse_schedule(spark.createDataFrame([("S2", v) for v in lines], "participant_id string, value string")).count() == n
+
+
 def test_headers_columns_archives_notes(spark, tmp_path):
     (tmp_path / "S2").mkdir()
     text = tmp_path / "S2" / "r.txt"
@@ -127,6 +174,8 @@ def test_headers_columns_archives_notes(spark, tmp_path):
     r = release.parse_header(release.text_lines(spark, str(text))).first()
     assert (r["participant_id"], json.loads(r["header"])["rate"], r["n_rows"], r["header_ended"]) == ("S2", 700, 2, True)
     assert [tuple(x) for x in release.numeric_columns(spark, str(text), ["a", "b", "c"]).collect()] == [(0.0, 1.0, 5.0), (1.0, 0.0, 7.0)]
+    (tmp_path / "spaced.txt").write_text("# c\n 1   2\t3\n\n4 5  6 \n")
+    assert [tuple(x) for x in release.numeric_columns(spark, str(tmp_path / "spaced.txt"), ["a", "b", "c"]).collect()] == [(1.0, 2.0, 3.0), (4.0, 5.0, 6.0)]
     with zipfile.ZipFile(tmp_path / "e.zip", "w") as z:
         z.writestr("ACC.csv", "1500000000.0,1500000000.0\n32.0,32.0\n" + "1,2,3\n" * 64)
         z.writestr("info.txt", "no")
@@ -189,7 +238,7 @@ def test_tables_with_manifests(spark, tmp_path):
 
 
 def test_from_release_to_feature_table(spark, raw, tmp_path):
-    base = integrity.snapshot(spark, str(raw), tmp_path / "b.json")
+    base = integrity.write_baseline(spark, str(raw), tmp_path / "b.json")
     assert cli.main(["convert", "--release", str(raw), "--baseline", str(base), "--out", str(tmp_path / "tables")]) == 0
     read = lambda n: spark.read.parquet(str(tmp_path / "tables" / n))
     table = feature_table.build(read("samples"), read("labels"), read("sources")).cache()
