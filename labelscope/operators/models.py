@@ -152,8 +152,13 @@ def fit(train: DataFrame, columns: list[str], candidate: Candidate, seed: int, t
     return made
 
 
-def evaluate_candidates(family: str, rows: DataFrame, columns: list[str], split: InnerSplit, seed: int, candidates: tuple[Candidate, ...] | None = None, **size) -> list[dict]:
-    """Mean inner balanced accuracy (participants equally) of every candidate, in grid order."""
+def evaluate_candidates(
+    family: str, rows: DataFrame, columns: list[str], split: InnerSplit, seed: int, candidates: tuple[Candidate, ...] | None = None, skip_single_class: bool = False, **size
+) -> list[dict]:
+    """Mean inner balanced accuracy (participants equally) of every candidate, in grid order.
+
+    A validation participant with one class only is an error, or left out with ``skip_single_class``.
+    """
     out = []
     for candidate in candidates or GRIDS[family]:
         scores: list[float] = []
@@ -161,7 +166,9 @@ def evaluate_candidates(family: str, rows: DataFrame, columns: list[str], split:
             model = fit(rows.filter(F.col("participant_id").isin(*fold.train)), columns, candidate, seed, **size)
             seen = model.predict(rows.filter(F.col("participant_id").isin(*fold.validation) & F.col("y").isNotNull()))
             seen = seen.withColumn("hard", S.hard_prediction(F.col("prob_positive"), THRESHOLD))
-            scores += [r["balanced_accuracy"] for r in M.classification_metrics(seen, ["participant_id"]).collect() if r["balanced_accuracy"] is not None]
+            judged = M.classification_metrics(seen, ["participant_id"])
+            judged = judged.filter("balanced_accuracy IS NOT NULL") if skip_single_class else M.require_both_classes(judged)
+            scores += [r["balanced_accuracy"] for r in judged.collect()]
         out.append({"candidate": candidate, "candidate_id": candidate.candidate_id, "score": sum(scores) / len(scores) if scores else None})
     return out
 
@@ -176,7 +183,7 @@ def best_candidate(scored: list[dict], tolerance: float = 1e-12) -> Candidate:
 
 
 def out_of_fold_predictions(
-    rows: DataFrame, columns: list[str], families: list[str], seed: int = 42, n_inner: int = 4, grids: dict[str, tuple[Candidate, ...]] | None = None, outer: list[str] | None = None, threads: int = 6, **size
+    rows: DataFrame, columns: list[str], families: list[str], seed: int = 42, n_inner: int = 4, grids: dict[str, tuple[Candidate, ...]] | None = None, outer: list[str] | None = None, threads: int = 6, skip_single_class: bool = False, **size
 ) -> DataFrame:
     """Predictions of every window of every held-out participant, by family.
 
@@ -201,7 +208,7 @@ def out_of_fold_predictions(
             else:
                 own = seed_of(seed, f"model_fit:{family}:{who}")
                 grid = grids[family]
-                made = best_candidate(evaluate_candidates(family, train, columns, split, own, grid, **size)) if len(grid) > 1 else grid[0]
+                made = best_candidate(evaluate_candidates(family, train, columns, split, own, grid, skip_single_class, **size)) if len(grid) > 1 else grid[0]
                 seen = fit(train, columns, made, own, **size).predict(held)
                 seen = seen.withColumn("hard", S.hard_prediction(F.col("prob_positive"), THRESHOLD))
             seen = seen.select(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelscope.functions import scalars as S
+from labelscope.functions.seeds import child_seed
 from labelscope.operators import metrics as M
 
 FAMILIES = ("logistic", "random_forest", "xgboost")
@@ -50,6 +51,11 @@ def targeted_mask(predictions: DataFrame, fractions: tuple[str, ...] = FRACTIONS
     return each.filter(F.col("place") <= F.floor(F.col("fraction").cast("double") * F.col("n"))).select("participant_id", "fraction", "window_id")
 
 
+def _draws(seeds, n: int, budget: int) -> list[np.ndarray]:
+    """The windows (places in order of window_id) that each seed draws, without replacement."""
+    return [np.random.default_rng(int(s)).choice(n, size=budget, replace=False) for s in seeds]
+
+
 def random_masks(predictions: DataFrame, fractions: tuple[str, ...] = FRACTIONS, repetitions: int = REPETITIONS, seed: int = GLOBAL_SEED) -> DataFrame:
     """(participant_id, fraction, rep, window_id): seeded uniform draws without replacement of exactly the budget.
 
@@ -67,7 +73,7 @@ def random_masks(predictions: DataFrame, fractions: tuple[str, ...] = FRACTIONS,
 
     def draw(frames):
         for frame in frames:
-            picks = [np.sort(np.random.default_rng(int(s)).choice(int(n), size=int(b), replace=False)) for s, n, b in zip(frame["seed"], frame["n"], frame["budget"], strict=True)]
+            picks = [np.sort(_draws([s], int(n), int(b))[0]) for s, n, b in zip(frame["seed"], frame["n"], frame["budget"], strict=True)]
             size = [len(p) for p in picks]
             out = {c: np.repeat(frame[c].to_numpy(), size) for c in ("participant_id", "fraction", "rep")}
             yield pd.DataFrame(out | {"pick": np.concatenate(picks) if picks else np.zeros(0, int)}).astype({"rep": "int32", "pick": "int32"})
@@ -110,6 +116,58 @@ def observed_metrics(masks: DataFrame, rows: DataFrame, by: list[str]) -> DataFr
     return M.from_confusion(got)
 
 
+#: Repetitions of a participant that are one task's work, and cells of a block of masks in it.
+REPETITION_BLOCK, MASK_CELLS = 125, 4_000_000
+
+
+def random_observed(rows: DataFrame, fractions: tuple[str, ...] = FRACTIONS, repetitions: int = REPETITIONS, seed: int = GLOBAL_SEED) -> DataFrame:
+    """What ``observed_metrics`` gives for the masks of ``random_masks``, by fraction and rep, without writing the masks out.
+
+    ``rows`` come from ``labelled``, windows without a label included: they can be drawn
+    too. A participant's windows are arrays of indicators and losses; a block of masks
+    times these gives all sums of its repetitions at once.
+    """
+    q, y = S.clipped(F.col("p")), F.col("y")
+    cell = F.when(y.isNotNull(), 2 * y + F.col("hard")).cast("int")
+    losses = ((F.col("p") - y) * (F.col("p") - y)).alias("brier"), (-F.when(y == 1, F.log(q)).otherwise(F.log(F.lit(1.0) - q))).alias("log_loss")
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((repetitions - 1) // REPETITION_BLOCK))).alias("block")
+    narrow = rows.select("participant_id", "window_id", "model_family", cell.alias("cell"), *losses).select("*", blocks)
+    counts = ("tn", "fp", "fn", "tp")  # cells 0 to 3
+
+    def observe(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        who, block = key
+        ids = np.unique(frame["window_id"].to_numpy(dtype=object))
+        n = len(ids)
+        families = sorted(frame["model_family"].unique())
+        value = np.zeros((n, len(families), 6))
+        known = frame[frame["cell"].notna()]
+        at, family = np.searchsorted(ids, known["window_id"].to_numpy(dtype=object)), known["model_family"].map({f: i for i, f in enumerate(families)}).to_numpy()
+        np.add.at(value, (at, family, known["cell"].to_numpy().astype(int)), 1)
+        np.add.at(value, (at, family, 4), known["brier"].to_numpy())
+        np.add.at(value, (at, family, 5), known["log_loss"].to_numpy())
+        value = value.reshape(n, -1)
+        reps = range(block * REPETITION_BLOCK, min(repetitions, (block + 1) * REPETITION_BLOCK))
+        out = []
+        for fraction in fractions:
+            budget, step = int(np.floor(float(fraction) * n)), max(1, MASK_CELLS // max(n, 1))
+            for first in range(0, len(reps), step):
+                some = reps[first : first + step]
+                mask = np.zeros((len(some), n))
+                for row, drawn in enumerate(_draws([child_seed(seed, f"study_a_random:{who}:{fraction}:{rep}") for rep in some], n, budget)):
+                    mask[row, drawn] = 1
+                sums = (mask @ value).reshape(len(some), len(families), 6)
+                for k, name in enumerate(families):
+                    made = pd.DataFrame(sums[:, k], columns=[*counts, "brier", "log_loss"]).assign(participant_id=who, fraction=fraction, rep=list(some), model_family=name)
+                    out.append(made[made[list(counts)].sum(axis=1) > 0])
+        return pd.concat(out)[["participant_id", "fraction", "rep", "model_family", *counts, "brier", "log_loss"]].astype(dict.fromkeys(counts, "int64") | {"rep": "int32"})
+
+    kinds = "participant_id string, fraction string, rep int, model_family string, tn long, fp long, fn long, tp long, brier double, log_loss double"
+    sums = narrow.groupBy("participant_id", "block").applyInPandas(observe, kinds)
+    sums = sums.withColumn("n0", F.col("tn") + F.col("fp")).withColumn("n1", F.col("fn") + F.col("tp"))
+    n = F.col("n0") + F.col("n1")
+    return M.from_confusion(sums.withColumn("brier", F.col("brier") / n).withColumn("log_loss", F.col("log_loss") / n))
+
+
 def full_metrics(rows: DataFrame) -> DataFrame:
     y, q = F.col("y"), S.clipped(F.col("p"))
     loss = -F.when(y == 1, F.log(q)).otherwise(F.log(F.lit(1.0) - q))

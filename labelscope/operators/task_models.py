@@ -209,13 +209,15 @@ PREDICTED = "participant_id string, window_id string, y int, outer_fold int, mod
 
 
 def out_of_fold_predictions(
-    rows: DataFrame, columns: list[str], families: list[str], seed: int = 42, n_inner: int = 4, grids: dict[str, tuple[models.Candidate, ...]] | None = None, trees: int = models.TREES, rounds: int = models.ROUNDS
+    rows: DataFrame, columns: list[str], families: list[str], seed: int = 42, n_inner: int = 4, grids: dict[str, tuple[models.Candidate, ...]] | None = None, trees: int = models.TREES, rounds: int = models.ROUNDS,
+    skip_single_class: bool = False,
 ) -> DataFrame:
     """As ``models.out_of_fold_predictions``, with every fit a task.
 
     Two task tables: one row for each (outer participant, family, candidate), giving the
     mean inner score; then one for each (outer participant, family) of the chosen ones,
-    giving models, by which the rows are predicted where they are.
+    giving models, by which the rows are predicted where they are. A validation
+    participant with one class only is an error, or left out with ``skip_single_class``.
     """
     spark = rows.sparkSession
     grids = grids or models.GRIDS
@@ -253,6 +255,8 @@ def out_of_fold_predictions(
                     p = fit_predict(grids[family][position], x[fit_], y[fit_], x[for_], own, trees, rounds)
                     got += [balanced_accuracy(y[for_][who[for_] == number[v]], (p >= models.THRESHOLD)[who[for_] == number[v]].astype(int)) for v in fold.validation]
                 known = [g for g in got if g is not None]
+                if len(known) < len(got) and not skip_single_class:
+                    raise ValueError(f"a validation participant of {outer} has one class only")
                 out.append((outer, family, position, float(np.mean(known)) if known else None))
             yield pd.DataFrame(out, columns=["outer", "family", "position", "score"])
 

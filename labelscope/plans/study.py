@@ -11,14 +11,12 @@ from labelscope.operators import observe as O  # noqa: E741
 def run(predictions: DataFrame, labels: DataFrame, least: int, repetitions: int = O.REPETITIONS, fractions: tuple[str, ...] = O.FRACTIONS) -> dict[str, DataFrame]:
     """Tables from predictions (participant_id, window_id, model_family, prob_positive, hard) and labels (.., y).
 
-    Random masks are made once and used by every table that needs them.
+    Random realisations are observed once and used by every table that needs them.
     """
     rows = O.labelled(predictions.drop("y"), labels)
-    one = predictions.filter(F.col("model_family") == O.FAMILIES[0])
     full = O.full_metrics(rows).cache()
     targeted = O.targeted_mask(predictions, fractions)
-    random = O.random_masks(one, fractions, repetitions)
-    seen_t, seen_r = O.observed_metrics(targeted, rows, ["fraction"]).cache(), O.observed_metrics(random, rows, ["fraction", "rep"]).cache()
+    seen_t, seen_r = O.observed_metrics(targeted, rows, ["fraction"]).cache(), O.random_observed(rows, fractions, repetitions).cache()
     d_t, d_r = O.distortion(seen_t, full, ["fraction"]), O.distortion(seen_r, full, ["fraction", "rep"])
     contrasts = O.contrast(d_t, d_r, repetitions, O.budgets(predictions, fractions))
     regret_t, regret_r = O.selection_regret(seen_t, full, ["fraction"], least), O.selection_regret(seen_r, full, ["fraction", "rep"], least)

@@ -276,3 +276,30 @@ def test_abstention(spark):
     assert abs(abstain.threshold_for_coverage(df, 0.5) - 0.85) < 1e-9
     with pytest.raises(ValueError):
         abstain.predicted("never")
+
+
+def test_random_realisations_equal_their_masks(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    made = [(f"S{i}", f"w{w:04d}", f, float(rng.random()), 0, None if w % 4 == 3 else int(rng.random() < 0.4 + 0.05 * i)) for i in range(2, 6) for w in range(13 + 9 * i) for f in (*observe.FAMILIES, "majority")]
+    made = [(a, b, c, p, int(p >= 0.5), y) for a, b, c, p, _, y in made]
+    rows = observe.labelled(spark.createDataFrame([m[:5] for m in made], SCHEMA), spark.createDataFrame(sorted({(m[0], m[1], m[5]) for m in made if m[2] == "logistic"}, key=str), "participant_id string, window_id string, y int"))
+    monkeypatch.setattr(observe, "REPETITION_BLOCK", 3)
+    monkeypatch.setattr(observe, "MASK_CELLS", 100)
+    masks = observe.random_masks(rows.filter("model_family = 'logistic'"), repetitions=8)
+    key = ["participant_id", "fraction", "rep", "model_family"]
+    want = {tuple(r[k] for k in key): r for r in observe.observed_metrics(masks, rows, ["fraction", "rep"]).collect()}
+    got = {tuple(r[k] for k in key): r for r in observe.random_observed(rows, repetitions=8).collect()}
+    assert len(want) == 4 * 4 * 8 * 4 and got.keys() == want.keys()
+    for k, w in want.items():
+        for name in ("tn", "fp", "fn", "tp", "n0", "n1", "balanced_accuracy", "macro_f1", "brier", "log_loss", "baseline_recall", "stress_recall"):
+            a, b = got[k][name], w[name]
+            assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-9)
+
+
+def test_a_single_class_participant_is_an_error_inside(spark):
+    rows = [(f"S{i}", f"w{w}", 0 if i == 2 else w % 2, float(w % 2) + 0.1 * w) for i in range(2, 7) for w in range(6)]
+    table = spark.createDataFrame(rows, "participant_id string, window_id string, y int, a double")
+    split = splits.InnerSplit("S6", 1, "inner_split:S6", (splits.InnerFold(0, ("S3", "S4"), ("S2", "S5")),))
+    with pytest.raises(PySparkException):
+        models.evaluate_candidates("logistic", table, ["a"], split, 1, models.GRIDS["logistic"][:1])
+    assert models.evaluate_candidates("logistic", table, ["a"], split, 1, models.GRIDS["logistic"][:1], skip_single_class=True)[0]["score"] is not None
