@@ -1,20 +1,24 @@
-"""Commands: audit, build, baseline, study. Exit code 0 well, 1 findings, 2 cannot be done."""
+"""Commands: convert, audit-release, audit, build, baseline, study. Exit code 0 well, 1 findings, 2 cannot be done."""
 
 from __future__ import annotations
 
 import argparse
 import json
 import logging
+from dataclasses import asdict
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from labelscope import schema as C
 from labelscope.operators import audit, metrics, models, runs, splits, task_models
 from labelscope.plans import feature_table, study
 from labelscope.session import session
-from labelscope.sources import artifacts, config, integrity, release
+from labelscope.sources import artifacts, config, integrity, recording_audit, release
 
 log = logging.getLogger("labelscope")
 
@@ -47,11 +51,38 @@ def _audit(spark: SparkSession, a: argparse.Namespace) -> int:
     return 1 if not graded.filter("grade = 'unusable'").isEmpty() else 0
 
 
+def _audit_release(spark: SparkSession, a: argparse.Namespace) -> int:
+    """The files of a release as they are, before any conversion: one recording is one task."""
+    opened = release.VerifiedRelease.open(spark, Path(a.release), Path(a.baseline))
+    people = [r[0] for r in release.participants(integrity.hash_tree(spark, a.release)).collect()]
+    expected = {p: opened.expected.get(f"{p}/{p}.pkl") for p in people}
+    root = str(opened.root.resolve())
+
+    def examine(frames):
+        for frame in frames:
+            rows = [asdict(recording_audit.examine(Path(root) / p, p, expected[p])) for p in frame["participant_id"]]
+            yield pa.RecordBatch.from_pylist([r | {"wrist_raw_minus_recorded_s": list(r["wrist_raw_minus_recorded_s"].items())} for r in rows], schema=to_arrow_schema(kinds))
+
+    kinds = StructType.fromDDL(recording_audit.FOUND)
+    tasks = spark.createDataFrame([(p,) for p in people], "participant_id string").repartition(max(1, len(people)))
+    found = tasks.mapInArrow(lambda batches: examine(b.to_pandas() for b in batches), kinds)
+    found.write.mode("errorifexists").parquet(f"{a.out}/found")
+    audited = audit.release_audit(spark.read.parquet(f"{a.out}/found"))
+    audited.write.mode("errorifexists").parquet(f"{a.out}/audit")
+    audited = spark.read.parquet(f"{a.out}/audit")
+    for name, df in audit.release_tables(audited).items():
+        artifacts.write_csv(df, f"{a.out}/{name}")
+    return 1 if not audited.filter("classification LIKE 'unusable%'").isEmpty() else 0
+
+
 def _convert(spark: SparkSession, a: argparse.Namespace) -> int:
     opened = release.VerifiedRelease.open(spark, Path(a.release), Path(a.baseline))
     paths = integrity.hash_tree(spark, a.release)
     for r in release.participants(paths).collect():
-        samples, labels = release.recording_tables(spark, r[0], release.load_recording(opened, r[0]))
+        arrays = release.load_recording(opened, r[0])
+        samples, labels = release.recording_tables(spark, r[0], arrays)
+        if (chest := release.chest_table(spark, r[0], arrays)) is not None:
+            chest.write.mode("append").parquet(f"{a.out}/chest")
         samples.write.mode("append").parquet(f"{a.out}/samples")
         labels.write.mode("append").parquet(f"{a.out}/labels")
     paths.select(F.split_part("path", F.lit("/"), F.lit(1)).alias("participant_id"), F.col("path").alias("source_file"), F.col("sha256").alias("source_sha256")).filter(
@@ -110,7 +141,7 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="labelscope", description=__doc__)
     sub = parser.add_subparsers(dest="command", required=True)
     for name, options in {
-        "convert": ("release", "baseline", "out"), "audit": ("tables", "out"), "build": ("tables", "configs", "dataset", "out"), "baseline": ("table", "out"), "study": ("predictions", "out"),
+        "convert": ("release", "baseline", "out"), "audit-release": ("release", "baseline", "out"), "audit": ("tables", "out"), "build": ("tables", "configs", "dataset", "out"), "baseline": ("table", "out"), "study": ("predictions", "out"),
     }.items():
         p = sub.add_parser(name)
         for o in options:
@@ -123,7 +154,7 @@ def main(argv: list[str] | None = None) -> int:
     a = parser.parse_args(argv)
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(name)s %(levelname)s %(message)s")
     try:
-        return {"convert": _convert, "audit": _audit, "build": _build, "baseline": _baseline, "study": _study}[a.command](session(), a)
+        return {"convert": _convert, "audit-release": _audit_release, "audit": _audit, "build": _build, "baseline": _baseline, "study": _study}[a.command](session(), a)
     except (config.ConfigError, artifacts.ArtifactError, release.ReleaseError, C.ContractError, OSError) as problem:
         log.error("%s", problem)
         return 2

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelscope.functions import scalars as S
+from labelscope.operators import runs
 
 #: Flags with these marks make a recording unusable.
 HARD = ("_missing", "_no_matching_run", "unexpected", "not_integer_valued", "_channels_", "not_numeric")
@@ -55,6 +56,70 @@ def schedule_flags(matched: DataFrame, key: list[str], spread_s: float = 2.0) ->
     return matched.groupBy(*key).agg(F.count_if(~F.col("matched")).alias("n_no_matching_run"), (F.max(offset) - F.min(offset) > spread_s).alias("offset_spread_flag"))
 
 
+def classification(readable: Column, flags_: Column) -> Column:
+    """The grade with its reasons: ``unusable:`` and the hard flags, ``questionable:`` and all flags, or apparently_usable."""
+    marks = F.array(*[F.lit(h) for h in HARD[1:]])
+    hard = F.filter(flags_, lambda f: F.endswith(f, F.lit("_missing")) | F.exists(marks, lambda h: F.contains(f, h)))
+    return (
+        F.when(~readable, F.lit("unusable:pkl_unreadable_or_missing"))
+        .when(F.size(hard) > 0, F.concat(F.lit("unusable:"), F.array_join(hard, ";")))
+        .when(F.size(flags_) > 0, F.concat(F.lit("questionable:"), F.array_join(flags_, ";")))
+        .otherwise(F.lit("apparently_usable"))
+    )
+
+
+def release_audit(found: DataFrame, spread_s: float = 2.0, residual_s: float = 30.0) -> DataFrame:
+    """``found`` (a row a participant, see ``recording_audit.FOUND``) with clocks, matched schedules, all flags and a classification.
+
+    Schedules are counted from the start of the chest device's file; without its crop
+    they cannot be placed and stay unverified.
+    """
+    key = "participant_id"
+    devices = found.withColumn("chest_start_s", F.col("chest_start_s") + F.col("chest_crop_s"))
+    clocks = clock_difference(devices.select(key, "chest_start_s", "wrist_start_s"), residual_s).select(key, "difference_s", "residual_s", "clock_flag")
+    planned = found.filter("chest_crop_s IS NOT NULL").select(key, "chest_crop_s", F.explode("schedule").alias("s")).select(
+        key, "s.position", "s.condition", F.col("s.expected_code").alias("code"), (F.col("s.start_s") - F.col("chest_crop_s")).alias("start_s"), (F.col("s.end_s") - F.col("chest_crop_s")).alias("end_s")
+    )
+    ran = found.select(key, F.explode("runs").alias("r")).select(key, "r.code", "r.start_s", "r.end_s")
+    matched = runs.overlap_argmax(planned, ran, [key, "code"])
+    offset = lambda name: F.max(name) - F.min(name) > spread_s
+    missed = F.transform(F.array_sort(F.collect_list(F.when(~F.col("matched"), F.struct("position", "condition")))), lambda x: F.concat(F.lit("schedule_"), x["condition"], F.lit("_no_matching_run")))
+    by = matched.groupBy(key).agg(
+        missed.alias("missed"), F.coalesce(offset("start_offset_s") | offset("end_offset_s"), F.lit(False)).alias("uneven"),
+        F.array_sort(F.collect_list(F.struct("position", "condition", "code", "matched", "run_start_s", "run_end_s", "start_offset_s", "end_offset_s"))).alias("schedule_matches"),
+    )
+    said = lambda when, name: F.when(F.coalesce(when, F.lit(False)), F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
+    unplaced = F.col("readable") & F.col("n_labels").isNotNull() & F.col("schedule").isNotNull() & F.col("chest_crop_s").isNull() & (F.size("runs") > 0)
+    out = found.join(clocks, key, "left").join(by, key, "left")
+    out = out.withColumn(
+        "flags",
+        F.concat(
+            "flags", said(F.col("clock_flag"), "device_clocks_disagree_gt_30s"), said(unplaced, "schedule_alignment_unverified"), F.coalesce("missed", F.array().cast("array<string>")),
+            said(F.col("uneven"), "schedule_offsets_inconsistent_across_conditions"),
+        ),
+    )
+    return out.drop("missed", "uneven", "clock_flag").withColumn("classification", classification(F.col("readable"), F.col("flags")))
+
+
+def release_tables(audited: DataFrame) -> dict[str, DataFrame]:
+    """Participant, signal, label, run and schedule tables of ``release_audit``."""
+    lasting = lambda *codes: F.aggregate(F.filter("labels", lambda x: x["code"].isin(*codes)), F.lit(0.0), lambda a, x: a + x["duration_s"])
+    with_mark = lambda *marks: F.array_join(F.filter("flags", lambda f: F.exists(F.array(*[F.lit(m) for m in marks]), lambda m: F.contains(f, m))), ";")
+    has = lambda device: F.exists("signals", lambda x: x["device"] == device)
+    seconds = {"baseline": (1,), "stress": (2,), "amusement": (3,), "meditation": (4,), "transient": (0,), "ignore_codes": (5, 6, 7)}
+    tables = {
+        "participants": audited.select(
+            "participant_id", "readable", lasting(*range(-100, 100)).alias("recording_duration_s"), *[lasting(*codes).alias(f"{name}_duration_s") for name, codes in seconds.items()],
+            S.codes_text(F.transform("labels", lambda x: x["code"])).alias("codes_present"), has("wrist").alias("wrist_available"), has("chest").alias("chest_available"),
+            F.array_join(F.filter("flags", lambda f: F.endswith(f, F.lit("_missing"))), ";").alias("missing_signals"), with_mark("length", "duration", "schedule").alias("shape_alignment_flags"),
+            with_mark("nonfinite").alias("nan_inf_flags"), "classification", "notes", "chest_crop_s", "wrist_crop_s", "residual_s", "rows_minus_labels",
+        )
+    }
+    for name in ("signals", "labels", "runs", "schedule_matches"):
+        tables[name] = audited.select("participant_id", F.explode(name).alias("_x")).select("participant_id", "_x.*")
+    return tables
+
+
 def count_summary(windows: DataFrame) -> DataFrame:
     """Windows, eligible ones, classes and mixed ones in all (participant_id null) and by participant, in one pass."""
     g = windows.groupingSets([["participant_id"], []], "participant_id")

@@ -149,31 +149,39 @@ _SEAL = object()
 
 WRIST = {"ACC": 32.0, "BVP": 64.0, "EDA": 4.0, "TEMP": 4.0}
 LABEL_RATE = 700.0
+CHEST = dict.fromkeys(("ACC", "ECG", "EMG", "EDA", "Temp", "Resp"), LABEL_RATE)
 
 
 def validate_recording(data: object, participant: str, spread_s: float = 1.0) -> dict[str, np.ndarray]:
-    """Wrist signals and label of a loaded recording; raises ``ReleaseError`` at the first fault."""
+    """Wrist signals, chest signals (as ``chest.<name>``, where there are any) and label of a loaded recording.
+
+    Raises ``ReleaseError`` at the first fault. Chest signals have a row for each label.
+    """
     if not isinstance(data, dict) or not {"signal", "label", "subject"} <= set(data):
         raise ReleaseError("keys are missing")
     if data["subject"] != participant:
         raise ReleaseError(f"recording is of {data['subject']}, not {participant}")
     out: dict[str, np.ndarray] = {}
-    for name in WRIST:
-        x = np.asarray(data["signal"].get("wrist", {}).get(name))
+    chest = data["signal"].get("chest", {})
+    wanted = [(name, name, data["signal"].get("wrist", {})) for name in WRIST] + [(f"chest.{name}", name, chest) for name in CHEST if chest]
+    for key, name, signals in wanted:
+        x = np.asarray(signals.get(name))
         if x.dtype.kind not in "iuf":
-            raise ReleaseError(f"{name} is not numeric")
+            raise ReleaseError(f"{key} is not numeric")
         x = x[:, None] if x.ndim == 1 else x
         if x.ndim != 2 or x.shape[1] != (3 if name == "ACC" else 1):
-            raise ReleaseError(f"{name} has shape {x.shape}")
+            raise ReleaseError(f"{key} has shape {x.shape}")
         if not len(x) or not np.isfinite(x).all():
-            raise ReleaseError(f"{name} is empty or not finite")
-        out[name] = x.astype(float)
+            raise ReleaseError(f"{key} is empty or not finite")
+        out[key] = x.astype(float)
     label = np.asarray(data["label"])
     label = label[:, 0] if label.ndim == 2 and label.shape[1] == 1 else label
     if label.ndim != 1 or label.dtype.kind not in "iuf" or (label != np.rint(label)).any():
         raise ReleaseError("label is not a vector of whole numbers")
     if not set(np.unique(label).astype(int)) <= set(S.CONDITIONS):
         raise ReleaseError("label has undocumented codes")
+    if odd := [f"chest.{n}" for n in CHEST if chest and len(out[f"chest.{n}"]) != len(label)]:
+        raise ReleaseError(f"{odd} have not a row for each label")
     seconds = [len(out[n]) / r for n, r in WRIST.items()] + [len(label) / LABEL_RATE]
     if max(seconds) - min(seconds) > spread_s:
         raise ReleaseError(f"durations differ by {max(seconds) - min(seconds):.3f} s")
@@ -191,8 +199,20 @@ def load_recording(release: VerifiedRelease, participant: str) -> dict[str, np.n
     return out
 
 
+def chest_table(spark: SparkSession, participant: str, arrays: dict[str, np.ndarray]) -> DataFrame | None:
+    """A row for each label with the chest signals; none where the recording has no chest device."""
+    if "chest.ECG" not in arrays:
+        return None
+    table = pd.DataFrame({"participant_id": participant, "sample_index": np.arange(len(arrays["label"]))})
+    for name in CHEST:
+        x = arrays[f"chest.{name}"]
+        for i, axis in enumerate(("_x", "_y", "_z") if x.shape[1] == 3 else ("",)):
+            table[f"{name.lower()}{axis}"] = x[:, i]
+    return spark.createDataFrame(table)
+
+
 def recording_tables(spark: SparkSession, participant: str, arrays: dict[str, np.ndarray]) -> tuple[DataFrame, DataFrame]:
-    """Long tables (samples, labels) of one recording, to be written as Parquet: the one-off conversion.
+    """Long tables (wrist samples, labels) of one recording, to be written as Parquet: the one-off conversion.
 
     One recording fits the driver by the source's own format (a pickle is read whole).
     """
