@@ -41,16 +41,24 @@ def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
     return run
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where
-    that is unset (tests on one machine) a temporary one is made.
+    Only on one machine (a local master, as in tests) a temporary one is made where it is unset.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all machines share")
+    return tempfile.mkdtemp(prefix="labelscope-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the cluster's shared checkpoint folder and go on from there."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="labelscope-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

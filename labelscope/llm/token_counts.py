@@ -10,6 +10,7 @@ special token's string, is encoded by the library as it stands.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from collections.abc import Iterator
@@ -55,8 +56,9 @@ def load_tokenizer(text: str):
     return tokenizer
 
 
+@functools.lru_cache(maxsize=4)
 def whole_tokens(text: str) -> list[str]:
-    """Vocabulary strings, one pre-token each, that the library encodes alone as one token."""
+    """Vocabulary strings, one pre-token each, that the library encodes alone as one token: proven once a tokenizer."""
     tokenizer = load_tokenizer(text)
     bytes_of = _byte_letters()
     strings = []
