@@ -8,16 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.llm import decontaminate, deobfuscate, mixing, near_dup, quality, toxicity
-from labelscope.llm.common import cut, join_side, table
+from labelscope.llm.common import cut, join_side, shared_folder, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the quality classifier, learned on this stage's input, rejects."""
+    """Drop documents that the quality classifier, learned on this stage's input, rejects.
+
+    Every row is judged by its own text, a null one as empty; repeated rows and null ids
+    stay or go by it; columns of any name pass through; an empty table stays empty.
+    Without labels of both classes all rows stay or all go (see ``quality.fit``).
+    """
     return quality.keep_good(docs, quality.fit(docs, quality.training_labels(spark, sf_dir)))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that score as toxic; language model and lexicon come from this stage's input."""
+    """Drop documents that score as toxic; language model and lexicon come from this stage's input.
+
+    Every row is judged by its own text, a null one as empty; repeated rows and null ids
+    stay or go by it; columns of any name pass through; an empty table stays empty.
+    Without labels of both classes all rows stay, or all go where all labels are toxic.
+    """
     costs = deobfuscate.language_model(toxicity.corpus_trigrams(docs))
     return toxicity.keep_civil(docs, costs, toxicity.fit(docs, toxicity.training_labels(spark, sf_dir), costs))
 
@@ -43,7 +53,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes words of, with how many (repeats counted)."""
+    """Documents that the mix takes words of, with how many (repeats counted).
+
+    Null and empty texts have no words and go; repeated rows count each on their own; rows
+    without doc_id or source are mixed like others; other columns are not read.
+    """
     return mixing.mix_documents(docs).filter("taken > 0").select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
@@ -60,11 +74,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each keeps is written to the shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{shared.rstrip('/')}/corpus-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; what each keeps is written to the shared folder and read again.
+
+    A stage's table goes when the next one's is whole.
+    """
+    folder = f"{shared_folder(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for number, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}-{name}")
-        docs = spark.read.parquet(f"{folder}/{number}-{name}")
+        written = f"{folder}/{number}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(written)
+        docs = spark.read.parquet(written)
+        if before is not None:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        before = written
     return docs
