@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,7 +101,8 @@ def estimator(candidate: Candidate, n_rows: int, seed: int, trees: int = TREES,
     p = candidate.params
     shared = {"featuresCol": "features", "labelCol": "y", "weightCol": "weight"}
     if candidate.family == "logistic":
-        return LogisticRegression(regParam=1.0 / (p["C"] * n_rows), elasticNetParam=0.0, standardization=False, maxIter=200, **shared)
+        # the intercept is the coefficient of a constant column, so it is penalised like the others
+        return LogisticRegression(regParam=1.0 / (p["C"] * n_rows), elasticNetParam=0.0, standardization=False, fitIntercept=False, maxIter=200, **shared)
     if candidate.family == "random_forest":
         return RandomForestClassifier(numTrees=trees, maxDepth=p["max_depth"], minInstancesPerNode=p["min_samples_leaf"], featureSubsetStrategy="sqrt", seed=seed, **shared)
     return GBTClassifier(maxIter=rounds, maxDepth=p["max_depth"], stepSize=p["learning_rate"], subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed, **shared)
@@ -128,8 +129,10 @@ class Fitted:
 
     def prepare(self, df: DataFrame) -> DataFrame:
         out = impute(df, self.medians)
-        out = scale(out, self.stats, self.columns) if self.stats else out
-        return VectorAssembler(inputCols=self.columns, outputCol="features").transform(out)
+        if not self.stats:
+            return VectorAssembler(inputCols=self.columns, outputCol="features").transform(out)
+        out = scale(out, self.stats, self.columns).withColumn("_one", F.lit(1.0))
+        return VectorAssembler(inputCols=[*self.columns, "_one"], outputCol="features").transform(out).drop("_one")
 
     def predict(self, df: DataFrame) -> DataFrame:
         scored = self.model.transform(self.prepare(df)).withColumn("prob_positive", vector_to_array("probability")[1])
@@ -148,6 +151,10 @@ def fit(train: DataFrame, columns: list[str], candidate: Candidate, seed: int, t
         raise ValueError("training rows need both classes")
     made = Fitted(columns, medians, stats, None)
     data = weighted(made.prepare(rows), candidate, n0, n1).withColumn("y", F.col("y").cast("double"))
+    if candidate.family == "logistic":
+        # every row and its mirror image: the same loss, and the column of ones has a spread, which the learner asks for
+        mirrored = data.withColumn("features", array_to_vector(F.transform(vector_to_array("features"), lambda v: -v))).withColumn("y", 1 - F.col("y"))
+        data = data.unionByName(mirrored)
     made.model = estimator(candidate, n0 + n1, seed, trees, rounds).fit(data)
     return made
 

@@ -35,21 +35,19 @@ def balanced_weights(y: np.ndarray, on: bool) -> np.ndarray:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, c: float, weight: np.ndarray) -> np.ndarray:
-    """Coefficients, the intercept last and not penalised: half the squared norm plus c times the loss."""
+    """Coefficients, the intercept last and penalised like the others: half the squared norm plus c times the loss."""
     a = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(a.shape[1])
-    ridge = np.ones(len(w))
-    ridge[-1] = 1e-8
 
     def objective(v: np.ndarray) -> float:
         z = a @ v
-        return 0.5 * float((ridge * v * v).sum()) + c * float((weight * (np.logaddexp(0, z) - y * z)).sum())
+        return 0.5 * float(v @ v) + c * float((weight * (np.logaddexp(0, z) - y * z)).sum())
 
     now = objective(w)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
-        gradient = ridge * w + c * (a.T @ (weight * (p - y)))
-        hessian = np.diag(ridge) + c * (a.T * (weight * p * (1 - p))) @ a
+        gradient = w + c * (a.T @ (weight * (p - y)))
+        hessian = np.eye(len(w)) + c * (a.T * (weight * p * (1 - p))) @ a
         step = np.linalg.solve(hessian, gradient)
         size = 1.0
         while size > 1e-6 and (ahead := objective(w - size * step)) > now:

@@ -27,6 +27,14 @@ def test_logistic_agrees_with_the_other_path(spark, table):
     assert max(abs(spark_ml[w] - p) for w, p in zip(h["window_id"], local, strict=True)) < 2e-3
 
 
+def test_the_intercept_is_penalised():
+    x, y, w = np.zeros((50, 1)), np.r_[np.ones(40), np.zeros(10)], np.ones(50)
+    for c in (0.01, 0.1, 10.0):
+        slope, b = T.fit_logistic(x, y, c, w)
+        assert abs(slope) < 1e-9 and abs(b + c * (50 / (1 + np.exp(-b)) - 40)) < 1e-2 * (1 + c)  # where the gradient vanishes
+    assert T.fit_logistic(x, y, 0.01, w)[1] < 0.2 < np.log(4) - 0.1 < T.fit_logistic(x, y, 10.0, w)[1]
+
+
 def test_a_tree_finds_the_cut_and_keeps_leaf_sizes():
     x = np.column_stack([np.random.default_rng(0).random(200), np.arange(200.0)])
     y = (np.arange(200) >= 120).astype(float)
