@@ -284,7 +284,7 @@ def audit_mixture(targeted: DataFrame, random: DataFrame, budgets_: DataFrame, o
         return targeted
     key = ["participant_id", "fraction"]
     plan = budgets_.withColumn("audit", F.floor(F.lit(float(share)) * F.col("budget")).cast("int"))
-    w = Window.partitionBy(*key).orderBy(F.xxhash64("window_id"), "window_id")
+    w = Window.partitionBy(*key).orderBy(F.sha2("window_id", 256), "window_id")
     audit = random.withColumn("_r", F.row_number().over(w)).join(plan.select(*key, "audit"), key).filter("_r <= audit").select(*key, "window_id")
     rest = plan.join(ordered, "participant_id").join(audit, [*key, "window_id"], "left_anti")
     rest = rest.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("place"))).filter("_r <= budget - audit").select(*key, "window_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelscope.functions import scalars as S
@@ -245,13 +245,82 @@ def random_selection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.selection_summary(regrets, ["fraction"])
 
 
-@query("audit_mixture")
+#: Draws by digests of names, as SQL can make them too: DRAWS masks for each participant and budget.
+DRAWS = 5
+_DRAWN = f"""draws AS (SELECT unnest(range(0, {DRAWS})) AS rep),
+dm AS (SELECT participant_id, fraction, rep, window_id FROM (SELECT pl.participant_id, fraction, rep, pl.window_id, n, row_number() OVER (PARTITION BY pl.participant_id, fraction, rep
+  ORDER BY sha256(pl.window_id || ':' || fraction || ':' || rep)) AS r FROM pl, fr, draws) WHERE r <= floor(CAST(fraction AS DOUBLE) * n))"""
+
+
+def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = windows(spark, sf_dir).select("participant_id", "window_id")
+    each = observe.budgets(scores(spark, sf_dir)).join(ids, "participant_id").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
+    place = Window.partitionBy("participant_id", "fraction", "rep").orderBy(F.sha2(F.concat_ws(":", "window_id", "fraction", F.col("rep").cast("string")), 256))
+    return each.withColumn("_r", F.row_number().over(place)).filter("_r <= budget").select("participant_id", "fraction", "rep", "window_id")
+
+
+@query(
+    "contrast_of_digest_draws",
+    f"""{_DISTORTION}, {_DRAWN}, ro AS (SELECT m.participant_id, fraction, rep, model_family, prob_positive AS p, hard, y FROM dm m JOIN predictions q ON q.participant_id = m.participant_id AND q.window_id = m.window_id WHERE y IS NOT NULL),
+    rc AS (SELECT participant_id, fraction, rep, model_family, {CONFUSION}, {PROBABILITY} FROM ro GROUP BY ALL), rs AS (SELECT *, {FROM_CONFUSION} FROM rc),
+    rd AS (SELECT r.participant_id, fraction, rep, avg(abs(r.balanced_accuracy - f.balanced_accuracy)) AS d_ba, avg(abs(r.brier - f.brier)) AS d_brier, avg(abs(r.log_loss - f.log_loss)) AS d_log_loss
+      FROM rs r JOIN full_ f ON r.participant_id = f.participant_id AND r.model_family = f.model_family WHERE r.model_family <> 'majority' GROUP BY r.participant_id, fraction, rep),
+    ra AS (SELECT participant_id, fraction, avg(d_ba) AS r_ba, avg(d_brier) AS r_brier, avg(d_log_loss) AS r_log_loss, count(d_ba) AS k, stddev_samp(d_ba) AS sd FROM rd GROUP BY participant_id, fraction),
+    ev AS (SELECT DISTINCT participant_id, fraction FROM pl, fr)
+    SELECT ev.participant_id, ev.fraction, d_ba - r_ba AS c_ba, d_brier - r_brier AS c_brier, d_log_loss - r_log_loss AS c_log_loss, coalesce(k, 0) / {DRAWS}.0::DOUBLE - CAST(d_ba IS NOT NULL AS DOUBLE) AS c_estimable,
+      coalesce(k, 0) AS n_random_estimable, CASE WHEN sd IS NOT NULL THEN sd / sqrt(k) END AS mcse_ba, sqrt(coalesce(k, 0) / {DRAWS}.0::DOUBLE * (1 - coalesce(k, 0) / {DRAWS}.0::DOUBLE) / {DRAWS}.0::DOUBLE) AS se_estimable
+    FROM ev LEFT JOIN d ON d.participant_id = ev.participant_id AND d.fraction = ev.fraction LEFT JOIN ra ON ra.participant_id = ev.participant_id AND ra.fraction = ev.fraction""",
+    "c_ba c_brier c_log_loss c_estimable mcse_ba se_estimable",
+)
+def contrast_of_digest_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``observation_contrast`` with draws by digests of names in place of seeded generators."""
+    full = observe.full_metrics(rows(spark, sf_dir))
+    r = observe.distortion(observe.observed_metrics(_drawn(spark, sf_dir), rows(spark, sf_dir), ["fraction", "rep"]), full, ["fraction", "rep"])
+    return observe.contrast(observe.distortion(_targeted(spark, sf_dir), full, ["fraction"]), r, DRAWS, observe.budgets(scores(spark, sf_dir)))
+
+
+@query(
+    "audit_mixture",
+    f"""{_RANKED}, {_DRAWN}, bu AS (SELECT DISTINCT participant_id, fraction, CAST(floor(CAST(fraction AS DOUBLE) * n) AS INTEGER) AS budget FROM pl, fr), ba AS (SELECT *, CAST(floor(0.3::DOUBLE * budget) AS INTEGER) AS audit FROM bu),
+    au AS (SELECT participant_id, fraction, window_id FROM (SELECT dm.participant_id, dm.fraction, window_id, audit, row_number() OVER (PARTITION BY dm.participant_id, dm.fraction ORDER BY sha256(window_id), window_id) AS r
+      FROM dm JOIN ba ON ba.participant_id = dm.participant_id AND ba.fraction = dm.fraction WHERE rep = 0) WHERE r <= audit),
+    re AS (SELECT participant_id, fraction, window_id FROM (SELECT ba.participant_id, ba.fraction, cs.window_id, budget - audit AS room, row_number() OVER (PARTITION BY ba.participant_id, ba.fraction ORDER BY round(consensus_score, 12) DESC, sha256(cs.window_id)) AS r
+      FROM ba JOIN cs ON cs.participant_id = ba.participant_id WHERE NOT EXISTS (SELECT 1 FROM au WHERE au.participant_id = ba.participant_id AND au.fraction = ba.fraction AND au.window_id = cs.window_id)) WHERE r <= room)
+    SELECT * FROM au UNION ALL SELECT * FROM re""",
+)
 def audit_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = scores(spark, sf_dir)
-    one = observe.random_masks(p.filter("model_family = 'logistic'"), repetitions=1).drop("rep")
-    order = observe.targeted_mask(p, ("1.00",)).join(observe.consensus(p), ["participant_id", "window_id"])
-    order = order.select("participant_id", "window_id", F.struct(-F.round("consensus_score", 12), F.sha2("window_id", 256)).alias("place"))
-    return observe.audit_mixture(observe.targeted_mask(p), one, observe.budgets(p), order, 0.3)
+    order = observe.consensus(p).select("participant_id", "window_id", F.struct(-F.round("consensus_score", 12), F.sha2("window_id", 256)).alias("place"))
+    return observe.audit_mixture(observe.targeted_mask(p), _drawn(spark, sf_dir).filter("rep = 0").drop("rep"), observe.budgets(p), order, 0.3)
+
+
+_WEIGHTS = "(SELECT unnest(['None', 'balanced']) AS w, unnest([0, 1]) AS iw)"
+
+
+@query(
+    "candidate_ids",
+    f"""SELECT 'logistic' AS family, CAST(ic * 2 + iw AS INTEGER) AS position, 'logistic:C=' || c || ',class_weight=' || w AS candidate_id, '{{"C": ' || c || ', "class_weight": ' || CASE w WHEN 'None' THEN 'null' ELSE '"balanced"' END || '}}' AS params
+      FROM (SELECT unnest(['0.1', '1.0', '10.0']) AS c, unnest([0, 1, 2]) AS ic), {_WEIGHTS}
+    UNION ALL SELECT 'random_forest', CAST(id * 4 + il * 2 + iw AS INTEGER), 'random_forest:max_depth=' || d || ',min_samples_leaf=' || l || ',class_weight=' || w,
+      '{{"class_weight": ' || CASE w WHEN 'None' THEN 'null' ELSE '"balanced"' END || ', "max_depth": ' || d || ', "min_samples_leaf": ' || l || '}}'
+      FROM (SELECT unnest([3, 6]) AS d, unnest([0, 1]) AS id), (SELECT unnest([5, 2]) AS l, unnest([0, 1]) AS il), {_WEIGHTS}
+    UNION ALL SELECT 'xgboost', CAST(id * 4 + ir * 2 + im AS INTEGER), 'xgboost:max_depth=' || d || ',learning_rate=' || r || ',class_weight_mode=' || m, '{{"class_weight_mode": "' || m || '", "learning_rate": ' || r || ', "max_depth": ' || d || '}}'
+      FROM (SELECT unnest([2, 3]) AS d, unnest([0, 1]) AS id), (SELECT unnest(['0.03', '0.1']) AS r, unnest([0, 1]) AS ir), (SELECT unnest(['none', 'training_ratio']) AS m, unnest([0, 1]) AS im)""",
+)
+def candidate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates of every family in grid order; no table is read."""
+    listed = [(family, c.order, c.candidate_id, c.params_json()) for family, grid in models.GRIDS.items() for c in grid]
+    return spark.createDataFrame(listed, "family string, position int, candidate_id string, params string")
+
+
+@query("family_union", f"{BASE} SELECT participant_id, window_id, model_family, hard, CAST(row_number() OVER (PARTITION BY participant_id, window_id ORDER BY list_position(['logistic', 'random_forest', 'xgboost', 'majority'], model_family)) - 1 AS INTEGER) AS place FROM predictions")
+def family_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All families' rows, put together one family after the other in canonical order."""
+    made, out = predictions(spark, sf_dir), None
+    for place, family in enumerate([*FAMILIES, "majority"]):
+        mine = made.filter(F.col("model_family") == family).select("participant_id", "window_id", "model_family", "hard", F.lit(place).alias("place"))
+        out = mine if out is None else out.unionByName(mine)
+    return out
 
 
 def participants(spark: SparkSession, sf_dir: str) -> DataFrame:
