@@ -131,18 +131,95 @@ def _orders(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return rows[np.argsort(x[rows], axis=0, kind="stable").T]
 
 
+#: Rows of all trees that are grown together, which bounds the memory of a level.
+TOGETHER = 50_000
+
+
+def grow_together(x: np.ndarray, rank: np.ndarray, drawn: np.ndarray, y: np.ndarray, weight: np.ndarray, depth: int, leaf_rows: int, tried: int, rng: np.random.Generator, gain_floor: float = 1e-12) -> list[Tree]:
+    """Trees by the Gini criterion of ``grow``, all of them level by level.
+
+    ``drawn`` has each tree's rows of ``x``, ``rank`` the ranks of each feature's values.
+    Every node tries ``tried`` features of its own. A level is sorted by node and value
+    once for each of these, and all splits of all nodes are judged from running sums.
+    """
+    n_trees = len(drawn)
+    often = np.bincount((drawn + len(x) * np.arange(n_trees)[:, None]).ravel(), minlength=n_trees * len(x))
+    code = np.flatnonzero(often)  # a row that a tree has several times is one with a larger weight
+    often, row = often[code].astype(float), code % len(x)
+    w = weight[row] * often
+    wy = w * y[row]
+    node = code // len(x)  # numbered over all trees
+    feature, cut, child = [np.full(n_trees, -1)], [np.zeros(n_trees)], [np.full(n_trees, -1)]
+    value, owner = [np.bincount(node, wy, n_trees) / np.bincount(node, w, n_trees)], [np.arange(n_trees)]
+    first = 0  # of the level's nodes
+    for _ in range(depth):
+        count = n_trees if first == 0 else len(owner[-1])
+        at = node - first
+        live = np.flatnonzero(at >= 0)
+        size = np.bincount(at[live], often[live], count)
+        live = live[(size >= 2 * leaf_rows)[at[live]]]
+        if not len(live):
+            break
+        choice = np.sort(rng.random((count, x.shape[1])).argpartition(tried - 1, axis=1)[:, :tried], axis=1) if tried < x.shape[1] else np.tile(np.arange(tried), (count, 1))
+        sum_w, sum_wy = np.bincount(at[live], w[live], count), np.bincount(at[live], wy[live], count)
+        best, best_feature, best_cut = np.full(count, -np.inf), np.full(count, -1), np.zeros(count)
+        for f in choice.T:
+            order = live[np.argsort(at[live] * np.int64(len(x)) + rank[row[live], f[at[live]]])]
+            k = at[order]
+            start = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1])
+            kinds = k[start]
+            length = np.diff(np.append(start, len(k)))
+            gw, gy, low = (np.cumsum(c[order]) for c in (w, wy, often))
+            for total, c in ((gw, w), (gy, wy), (low, often)):
+                total -= np.repeat(total[start] - c[order[start]], length)
+            v = x[row[order], f[k]]
+            ok = np.append((k[1:] == k[:-1]) & (v[1:] > v[:-1]), False)
+            ok &= (low >= leaf_rows) & (size[k] - low >= leaf_rows)
+            # labels centred on the node: sum of w (y - mean)
+            mean = (sum_wy / np.maximum(sum_w, 1e-300))[k]
+            centred, right = gy - mean * gw, sum_w[k] - gw
+            score = np.where(ok, centred**2 / (gw + 1e-300) + centred**2 / (right + 1e-300), -np.inf)
+            top = np.maximum.reduceat(score, start)
+            where = np.minimum.reduceat(np.where(score == np.repeat(top, length), np.arange(len(k)), len(k)), start)
+            better = top > best[kinds]
+            at_best, which = where[better], kinds[better]
+            best[which], best_feature[which] = top[better], f[which]
+            best_cut[which] = (v[at_best] + v[np.minimum(at_best + 1, len(v) - 1)]) / 2
+        split = best > gain_floor
+        if not split.any():
+            break
+        feature[-1], cut[-1] = np.where(split, best_feature, -1), np.where(split, best_cut, 0.0)
+        below = first + count + 2 * (np.cumsum(split) - 1)
+        child[-1] = np.where(split, below, -1)
+        moves = live[split[at[live]]]
+        node = np.full(len(node), -1)
+        node[moves] = below[at[moves]] + (x[row[moves], best_feature[at[moves]]] > best_cut[at[moves]])
+        made = 2 * int(split.sum())
+        first += count
+        total = np.bincount(node[moves] - first, w[moves], made)
+        value.append(np.bincount(node[moves] - first, wy[moves], made) / total)
+        owner.append(np.repeat(owner[-1][split], 2))
+        feature.append(np.full(made, -1))
+        cut.append(np.zeros(made))
+        child.append(np.full(made, -1))
+    feature, cut, child, value, owner = (np.concatenate(v) for v in (feature, cut, child, value, owner))
+    own = np.argsort(owner, kind="stable")
+    number = np.empty(len(own), np.int64)  # a node's place in its tree
+    ends = np.cumsum(np.bincount(owner, minlength=n_trees))
+    number[own] = np.arange(len(own)) - np.repeat(np.append(0, ends[:-1]), np.diff(np.append(0, ends)))
+    left = np.where(child >= 0, number[np.maximum(child, 0)], -1)
+    right = np.where(child >= 0, number[np.minimum(np.maximum(child, 0) + 1, len(number) - 1)], -1)
+    return [Tree(*(v[mine].tolist() for v in (feature, cut, left, right, value))) for mine in np.split(own, ends[:-1])]
+
+
 def fit_forest(x: np.ndarray, y: np.ndarray, depth: int, leaf_rows: int, weight: np.ndarray, trees: int, seed: int) -> list[Tree]:
     rng = np.random.default_rng(seed)
     n, m = x.shape
-    tried = max(1, int(np.sqrt(m)))
-    out = []
-    for _ in range(trees):
-        drawn = rng.integers(0, n, n)
-        xb, w, yb = x[drawn], weight[drawn], y[drawn]
-        g, h = w * (yb - np.average(yb, weights=w)), w
-        out.append(
-            grow(xb, _orders(xb, np.arange(n)), g, h, depth, leaf_rows, 0.0, lambda: np.sort(rng.choice(m, tried, replace=False)), lambda rows, w=w, yb=yb: float(np.average(yb[rows], weights=w[rows])))
-        )
+    rank = np.column_stack([np.unique(c, return_inverse=True)[1] for c in x.T])
+    out: list[Tree] = []
+    while len(out) < trees:
+        some = min(trees - len(out), max(1, TOGETHER // n))
+        out += grow_together(x, rank, rng.integers(0, n, (some, n)), y, weight, depth, leaf_rows, max(1, int(np.sqrt(m))), rng)
     return out
 
 
@@ -151,6 +228,7 @@ def fit_boosted(x: np.ndarray, y: np.ndarray, depth: int, rate: float, weight: n
     n, m = x.shape
     score = np.zeros(n)
     out = []
+    order = _orders(x, np.arange(n))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-score))
         g, h = weight * (y - p), np.maximum(weight * p * (1 - p), 1e-16)
@@ -158,7 +236,11 @@ def fit_boosted(x: np.ndarray, y: np.ndarray, depth: int, rate: float, weight: n
         if len(rows) < 2:
             continue
         cols = np.sort(rng.choice(m, max(1, int(share * m)), replace=False))
-        tree = grow(x, _orders(x, rows), g, h, depth, 1, LAMBDA, lambda cols=cols: cols, lambda r, g=g, h=h: rate * float(g[r].sum() / (h[r].sum() + LAMBDA)))
+        inside = np.zeros(n, bool)
+        inside[rows] = True
+        mine, every = order[cols], np.arange(len(cols))
+        tree = grow(x[:, cols], mine[inside[mine]].reshape(len(cols), -1), g, h, depth, 1, LAMBDA, lambda every=every: every, lambda r, g=g, h=h: rate * float(g[r].sum() / (h[r].sum() + LAMBDA)))
+        tree.feature = [int(cols[f]) if f >= 0 else -1 for f in tree.feature]
         score += tree.predict(x)
         out.append(tree)
     return out

@@ -90,3 +90,24 @@ def test_the_size_of_the_table_does_not_change_the_learners(spark, table, monkey
     small = run()
     monkeypatch.setattr(T, "BROADCAST_CELLS", 10)
     assert run() == small and len(small) == 2 * some.count()
+
+
+def test_trees_grown_together_equal_trees_grown_alone():
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(600, 4))  # real values and large leaves: no splits that are equally good
+    x[:, 3] = np.round(x[:, 3])
+    y = (x[:, 0] * x[:, 1] + 0.3 * rng.normal(size=600) > 0).astype(float)
+    w = np.where(y == 1, 1.7, 0.6)
+    drawn = rng.integers(0, 600, (6, 600))
+    rank = np.column_stack([np.unique(c, return_inverse=True)[1] for c in x.T])
+    together = T.grow_together(x, rank, drawn, y, w, 4, 25, 4, np.random.default_rng(0))
+    held = rng.normal(size=(400, 4))
+    for rows, tree in zip(drawn, together, strict=True):
+        xb, yb, wb = x[rows], y[rows], w[rows]
+        alone = T.grow(xb, T._orders(xb, np.arange(600)), wb * (yb - np.average(yb, weights=wb)), wb, 4, 25, 0.0, lambda: np.arange(4), lambda r, yb=yb, wb=wb: float(np.average(yb[r], weights=wb[r])))
+        assert len(alone.value) == len(tree.value) > 5 and np.allclose(alone.predict(held), tree.predict(held))
+        assert np.allclose(sorted(alone.value), sorted(tree.value))
+    few = T.grow_together(x, rank, drawn, y, w, 4, 25, 1, np.random.default_rng(0))
+    assert any((a.feature != b.feature) for a, b in zip(few, together, strict=True)) and all(t.predict(x).min() >= 0 and t.predict(x).max() <= 1 for t in few)
+    flat = T.grow_together(np.ones((20, 2)), np.zeros((20, 2), int), rng.integers(0, 20, (3, 20)), y[:20], w[:20], 4, 1, 2, np.random.default_rng(0))
+    assert [len(t.value) for t in flat] == [1, 1, 1]
