@@ -303,3 +303,16 @@ def test_a_single_class_participant_is_an_error_inside(spark):
     with pytest.raises(PySparkException):
         models.evaluate_candidates("logistic", table, ["a"], split, 1, models.GRIDS["logistic"][:1])
     assert models.evaluate_candidates("logistic", table, ["a"], split, 1, models.GRIDS["logistic"][:1], skip_single_class=True)[0]["score"] is not None
+
+
+@pytest.mark.parametrize("n", [1, 2, 999, 20_000])
+def test_medians_of_large_and_tied_columns(spark, n):
+    rng = np.random.default_rng(n)
+    cols = {"a": rng.normal(size=n), "b": np.round(rng.normal(size=n)), "c": np.where(rng.random(n) < 0.5, np.nan, rng.exponential(size=n)), "d": np.zeros(n), "e": np.full(n, np.nan)}
+    cols["b"][n // 3 : n // 2] = np.inf
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*cols.values(), strict=True)], ", ".join(f"{c} double" for c in cols)).repartition(5)
+    r = models.training_medians(df, list(cols)).first()
+    for c, v in cols.items():
+        v = v[np.isfinite(v)]
+        assert abs(r[c] - (np.median(v) if len(v) else 0.0)) < 1e-12
+    assert "e" in r["all_missing"] and set(r["all_missing"]) == {c for c, v in cols.items() if not np.isfinite(v).any()}
