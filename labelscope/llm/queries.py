@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from labelscope.llm import chat_format, decontaminate, embedding_dedup, html_text, licenses, mixing, near_dup, quality, token_counts, toxicity
+from labelscope.llm import chat_format, decontaminate, embedding_dedup, html_text, licenses, mixing, near_dup, packing, quality, token_counts, toxicity, turn_repair
 
 QUERIES = {
     "op1_embedding_near_dedup": embedding_dedup.op1_embedding_near_dedup,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_turn_repair": turn_repair.op11_turn_repair,
+    "op12_packing": packing.op12_packing,
 }
 
 #: Queries that SQL can express; the others are tested against brute force in tests/llm.
@@ -24,4 +26,5 @@ ORACLE = {
     "op4_decontamination": decontaminate.OP4_SQL,
     "op5_chat_format": chat_format.OP5_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op11_turn_repair": turn_repair.OP11_SQL,
 }
