@@ -7,8 +7,9 @@ evolve apart: crossover takes whole well-filled sequences of one packing into an
 the sequences that then hold a piece twice, and puts the displaced pieces back by best fit,
 longest first. Between epochs each island's best packing moves on to the next island. The
 full sequences of a shard stay; the others, and as many full ones of the most (so the shortest)
-pieces, are dealt anew with those of all shards, until one shard holds them, or until a
-round settles less than three tenths of its pieces. So no packing is ever held for more than a shard, and what a shard leaves over
+pieces, are dealt anew with those of all shards, until one shard holds them. Where that
+would settle less than three tenths of the pieces, only the emptiest sixteenth of the
+sequences is dealt anew. So no packing is ever held for more than a shard, and what a shard leaves over
 is no loss.
 """
 
@@ -243,7 +244,7 @@ def _migrated(islands: DataFrame) -> DataFrame:
 
 
 def _round(short: DataFrame, shards: int, capacity: int, epochs: int) -> DataFrame:
-    """(shard, bin, settled, items, lengths, offsets) of the sequences of ``short`` (item, length), written; best island of each shard."""
+    """(shard, bin, level, items, lengths, offsets) of the sequences of ``short`` (item, length), written; best island of each shard."""
     dealt = short.withColumn("shard", F.pmod(F.xxhash64("item", F.lit(shards)), F.lit(shards)).cast("long"))
     grouped = dealt.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct((-F.col("length")).alias("n"), "item"))).alias("rows"))  # about SHARD pieces
     islands = grouped.select(
@@ -257,29 +258,30 @@ def _round(short: DataFrame, shards: int, capacity: int, epochs: int) -> DataFra
     return cut(chosen.select("shard", F.explode("bins").alias("b")).select("shard", "b.*"))
 
 
-_SEQUENCES = "shard long, island int, n_bins int, squares double, bins array<struct<bin: int, settled: boolean, items: array<long>, lengths: array<int>, offsets: array<long>>>"
+_SEQUENCES = "shard long, island int, n_bins int, squares double, bins array<struct<bin: int, level: int, items: array<long>, lengths: array<int>, offsets: array<long>>>"
 
 
-def _settled(fill: np.ndarray, pieces: np.ndarray, capacity: int) -> np.ndarray:
-    """Full sequences, but for as many of the most pieces as there are unfilled ones."""
-    settled = fill >= capacity
-    full = np.flatnonzero(settled)
-    settled[full[np.argsort(-pieces[full], kind="stable")][: int((~settled).sum())]] = False
-    return settled
+def _levels(fill: np.ndarray, pieces: np.ndarray, capacity: int) -> np.ndarray:
+    """0 for settled sequences: the full ones, but for as many of the most pieces as there are unfilled ones; 2 for the emptiest sixteenth of the others, else 1."""
+    level = (fill < capacity).astype(np.int32)
+    full, unfilled = np.flatnonzero(level == 0), np.flatnonzero(level)
+    level[full[np.argsort(-pieces[full], kind="stable")][: len(unfilled)]] = 1
+    level[unfilled[np.argsort(fill[unfilled], kind="stable")][: -(-len(unfilled) // 16)]] = 2
+    return level
 
 
 def _sequences(capacity: int):
     """The best packing of every island as sequences with their pieces."""
     lists = [("items", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int64()))]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.struct([("bin", pa.int32()), ("settled", pa.bool_()), *lists]))]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.struct([("bin", pa.int32()), ("level", pa.int32()), *lists]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 shard, island, items, lengths, bins = (batch.column(n)[k].as_py() for n in ("shard", "island", "items", "lengths", "best"))
                 count, squares = fitness(np.array(lengths, np.int64), np.array(bins, np.int64), capacity)
-                settled = _settled(np.bincount(bins, lengths), np.bincount(bins), capacity).tolist()
-                made: list[dict] = [{"bin": b, "settled": s, "items": [], "lengths": [], "offsets": []} for b, s in enumerate(settled)]
+                levels = _levels(np.bincount(bins, lengths), np.bincount(bins), capacity).tolist()
+                made: list[dict] = [{"bin": b, "level": v, "items": [], "lengths": [], "offsets": []} for b, v in enumerate(levels)]
                 filled = [0] * count
                 for item, length, b in zip(items, lengths, bins, strict=True):
                     made[b]["items"].append(item)
@@ -303,14 +305,14 @@ def pack_short(short: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -
     while count:
         last = count <= shard
         made = _round(left, max(1, -(-count // shard)), capacity, LAST_EPOCHS if last else EPOCHS)
-        opened = made.filter("NOT settled").select(F.explode(F.arrays_zip("items", "lengths")).alias("p")).select(F.col("p.items").alias("item"), F.col("p.lengths").alias("length"))
-        still = 0 if last else opened.count()
-        stops = last or 10 * still > 7 * count  # too few settled for another round to pay
-        kept = made if stops else made.filter("settled")
+        sizes = {r["level"]: r["n"] for r in made.groupBy("level").agg(F.sum(F.size("items")).alias("n")).collect()}  # three rows
+        again = 3 if last else 1 if 10 * (count - sizes.get(0, 0)) <= 7 * count else 2
+        opened = made.filter(F.col("level") >= again).select(F.explode(F.arrays_zip("items", "lengths")).alias("p")).select(F.col("p.items").alias("item"), F.col("p.lengths").alias("length"))
+        kept = made.filter(F.col("level") < again)
         ids = (F.lit(number) * F.lit(1 << 57) + F.col("shard") * F.lit(1 << 16) + F.col("bin")).alias("sequence_id")
         placed = kept.select(ids, F.explode(F.arrays_zip("items", "offsets")).alias("p")).select(F.col("p.items").alias("item"), "sequence_id", F.col("p.offsets").alias("offset"))
         closed = placed if closed is None else closed.unionByName(placed)
-        left, count, number = opened, 0 if stops else still, number + 1
+        left, count, number = opened, sum(n for level, n in sizes.items() if level >= again), number + 1
     return closed if closed is not None else short.select("item", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
 
