@@ -1,16 +1,16 @@
 """Best-fit packing of documents into sequences by a grouping genetic algorithm.
 
 A document longer than a sequence is cut into whole sequences, its first piece being the
-shorter one; only these first pieces and the short documents are to be packed. They are
-dealt by hash into shards of about ``SHARD`` pieces. On every shard ``ISLANDS`` populations
-evolve apart: crossover takes whole well-filled sequences of one packing into another, drops
-the sequences that then hold a piece twice, and puts the displaced pieces back by best fit,
-longest first. Between epochs each island's best packing moves on to the next island. The
-full sequences of a shard stay; the others, and as many full ones of the most (so the shortest)
-pieces, are dealt anew with those of all shards, until one shard holds them. Where that
-would settle less than three tenths of the pieces, only the emptiest sixteenth of the
-sequences is dealt anew. So no packing is ever held for more than a shard, and what a shard leaves over
-is no loss.
+shorter one; only these first pieces and the short documents are to be packed. In order of
+length they are dealt in turn to shards of ``SHARD`` pieces, which so have like lengths. On
+every shard ``ISLANDS`` populations evolve apart: crossover takes whole well-filled sequences
+of one packing into another, drops the sequences that then hold a piece twice, and puts the
+displaced pieces back by best fit, longest first. Between epochs each island's best packing
+moves on to the next island. The full sequences of a shard stay; the others, and as many full
+ones of the most (so the shortest) pieces, are dealt anew with those of all shards, until one
+shard holds them. Where that would settle less than three tenths of the pieces, only the
+emptiest sixteenth of the sequences is dealt anew, or none. So no packing is ever held for
+more than a shard, and little of what a shard leaves over is lost.
 """
 
 from __future__ import annotations
@@ -245,7 +245,11 @@ def _migrated(islands: DataFrame) -> DataFrame:
 
 def _round(short: DataFrame, shards: int, capacity: int, epochs: int) -> DataFrame:
     """(shard, bin, level, items, lengths, offsets) of the sequences of ``short`` (item, length), written; best island of each shard."""
-    dealt = short.withColumn("shard", F.pmod(F.xxhash64("item", F.lit(shards)), F.lit(shards)).cast("long"))
+    spark = short.sparkSession
+    order = ["length", F.xxhash64("item", F.lit(shards)), "item"]
+    ranged = short.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + F.spark_partition_id() * 7919  # dealt in turn, so all shards have like lengths
+    dealt = ranged.withColumn("shard", F.pmod(place, F.lit(shards)).cast("long"))
     grouped = dealt.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct((-F.col("length")).alias("n"), "item"))).alias("rows"))  # about SHARD pieces
     islands = grouped.select(
         "shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.col("rows.item").alias("items"),
@@ -306,7 +310,8 @@ def pack_short(short: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -
         last = count <= shard
         made = _round(left, max(1, -(-count // shard)), capacity, LAST_EPOCHS if last else EPOCHS)
         sizes = {r["level"]: r["n"] for r in made.groupBy("level").agg(F.sum(F.size("items")).alias("n")).collect()}  # three rows
-        again = 3 if last else 1 if 10 * (count - sizes.get(0, 0)) <= 7 * count else 2
+        # the first choice that leaves at most seven tenths for the next round, or none, so that rounds end
+        again = next((v for v in (1, 2) if not last and 10 * sum(n for level, n in sizes.items() if level >= v) <= 7 * count), 3)
         opened = made.filter(F.col("level") >= again).select(F.explode(F.arrays_zip("items", "lengths")).alias("p")).select(F.col("p.items").alias("item"), F.col("p.lengths").alias("length"))
         kept = made.filter(F.col("level") < again)
         ids = (F.lit(number) * F.lit(1 << 57) + F.col("shard") * F.lit(1 << 16) + F.col("bin")).alias("sequence_id")
