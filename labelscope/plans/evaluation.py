@@ -138,7 +138,7 @@ def label_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.label_yield(observe.targeted_mask(scores(spark, sf_dir)), labels(spark, sf_dir), ["fraction"])
 
 
-_OBSERVED = f"""{_RANKED}, ob AS (SELECT m.participant_id, fraction, model_family, prob_positive AS p, hard, y FROM mask m JOIN predictions q ON q.participant_id = m.participant_id AND q.window_id = m.window_id WHERE y IS NOT NULL),
+OBSERVED = f"""{_RANKED}, ob AS (SELECT m.participant_id, fraction, model_family, prob_positive AS p, hard, y FROM mask m JOIN predictions q ON q.participant_id = m.participant_id AND q.window_id = m.window_id WHERE y IS NOT NULL),
 oc AS (SELECT participant_id, fraction, model_family, {CONFUSION}, {PROBABILITY} FROM ob GROUP BY participant_id, fraction, model_family), observed AS (SELECT *, {FROM_CONFUSION} FROM oc),
 fc AS (SELECT participant_id, model_family, {CONFUSION}, {PROBABILITY} FROM (SELECT *, prob_positive AS p FROM predictions WHERE y IS NOT NULL) GROUP BY participant_id, model_family), full_ AS (SELECT *, {FROM_CONFUSION} FROM fc)"""
 
@@ -147,12 +147,12 @@ def _targeted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.observed_metrics(observe.targeted_mask(scores(spark, sf_dir)), rows(spark, sf_dir), ["fraction"])
 
 
-@query("observed_metrics", f"{_OBSERVED} SELECT participant_id, fraction, model_family, n0, n1, baseline_recall, stress_recall, balanced_accuracy, macro_f1, brier, log_loss FROM observed", f"{METRICS} brier log_loss")
+@query("observed_metrics", f"{OBSERVED} SELECT participant_id, fraction, model_family, n0, n1, baseline_recall, stress_recall, balanced_accuracy, macro_f1, brier, log_loss FROM observed", f"{METRICS} brier log_loss")
 def observed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _targeted(spark, sf_dir).select("participant_id", "fraction", "model_family", "n0", "n1", *METRICS.split(), "brier", "log_loss")
 
 
-_DISTORTION = f"""{_OBSERVED}, d AS (SELECT o.participant_id, fraction, avg(abs(o.balanced_accuracy - f.balanced_accuracy)) AS d_ba, avg(abs(o.brier - f.brier)) AS d_brier, avg(abs(o.log_loss - f.log_loss)) AS d_log_loss
+_DISTORTION = f"""{OBSERVED}, d AS (SELECT o.participant_id, fraction, avg(abs(o.balanced_accuracy - f.balanced_accuracy)) AS d_ba, avg(abs(o.brier - f.brier)) AS d_brier, avg(abs(o.log_loss - f.log_loss)) AS d_log_loss
   FROM observed o JOIN full_ f ON o.participant_id = f.participant_id AND o.model_family = f.model_family WHERE o.model_family <> 'majority' GROUP BY o.participant_id, fraction)"""
 
 
@@ -172,7 +172,7 @@ def distortion_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.contrast_summary(observe.distortion(_targeted(spark, sf_dir), observe.full_metrics(rows(spark, sf_dir)), ["fraction"]), "d_ba")
 
 
-_REGRET = f"""{_OBSERVED}, cohort AS (SELECT model_family, avg(balanced_accuracy) AS F_m, list_position(['logistic', 'random_forest', 'xgboost'], model_family) AS o FROM full_ WHERE model_family <> 'majority' GROUP BY model_family),
+_REGRET = f"""{OBSERVED}, cohort AS (SELECT model_family, avg(balanced_accuracy) AS F_m, list_position(['logistic', 'random_forest', 'xgboost'], model_family) AS o FROM full_ WHERE model_family <> 'majority' GROUP BY model_family),
 fb AS (SELECT model_family AS full_best, (SELECT max(F_m) FROM cohort) AS F_top FROM cohort WHERE F_m >= (SELECT max(F_m) FROM cohort) - 1e-12 ORDER BY o LIMIT 1),
 mm AS (SELECT fraction, o.model_family, avg(o.balanced_accuracy) AS obs, avg(f.balanced_accuracy) AS sub, count(DISTINCT o.participant_id) AS n, list_position(['logistic', 'random_forest', 'xgboost'], o.model_family) AS k
   FROM observed o JOIN full_ f ON o.participant_id = f.participant_id AND o.model_family = f.model_family WHERE o.model_family <> 'majority' AND o.balanced_accuracy IS NOT NULL GROUP BY fraction, o.model_family),
@@ -195,7 +195,7 @@ _SAME = " OR ".join(f"(o.{n} IS NULL) <> (f.{n} IS NULL) OR coalesce(abs(o.{n} -
 
 @query(
     "full_budget_control",
-    f"""{_OBSERVED} SELECT f.participant_id, f.model_family, fr.fraction FROM full_ f CROSS JOIN fr
+    f"""{OBSERVED} SELECT f.participant_id, f.model_family, fr.fraction FROM full_ f CROSS JOIN fr
     LEFT JOIN observed o ON o.participant_id = f.participant_id AND o.model_family = f.model_family AND o.fraction = fr.fraction
     WHERE o.n0 IS DISTINCT FROM f.n0 OR o.n1 IS DISTINCT FROM f.n1 OR {_SAME}""",
 )

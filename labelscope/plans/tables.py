@@ -18,9 +18,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """participant_id, event_id, t_us, sample_index, code, value, x, y, z."""
-    e = read(spark, sf_dir, "events")
+def as_samples(e: DataFrame) -> DataFrame:
+    """participant_id, event_id, t_us, sample_index, code, value, x, y, z of events, a stream of them too."""
     t = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)")
     code = F.lit(None).cast("int")
     for name, number in CODES.items():
@@ -32,6 +31,10 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_samples(read(spark, sf_dir, "events"))
+
+
 SAMPLES = """samples AS (
   SELECT 'S' || user_id AS participant_id, event_id, epoch_us(ts) - 1704067200000000 AS t_us, CAST(floor((epoch_us(ts) - 1704067200000000) / 1000000) AS BIGINT) AS sample_index,
          CASE event_type WHEN 'error' THEN 0 WHEN 'view' THEN 1 WHEN 'signup' THEN 2 WHEN 'click' THEN 3 WHEN 'purchase' THEN 4 END AS code, value,

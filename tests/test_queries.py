@@ -6,7 +6,10 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
-from labelscope.plans import ORACLE, QUERIES
+from jobs import queries as jobs
+from labelscope import plans
+
+QUERIES, ORACLE = plans.QUERIES | jobs.QUERIES, plans.ORACLE | jobs.ORACLE
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -51,6 +54,7 @@ def test_queries_do_not_need_the_llm_subpackage(tmp_path, kept):
 
     root = Path(__file__).resolve().parent.parent
     shutil.copytree(root / "labelscope", tmp_path / "labelscope", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(root / "jobs", tmp_path / "jobs", ignore=shutil.ignore_patterns("__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     if kept and (root / "corpus_pipeline.py").exists():  # its own imports fail without the subpackage
         shutil.copy(root / "corpus_pipeline.py", tmp_path)
