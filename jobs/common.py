@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import json
 import logging
-import tempfile
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -32,16 +31,6 @@ def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where it is unset under a local master, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all machines share")
-    return tempfile.mkdtemp(prefix="labelscope-jobs-")
-
-
 def main(description: str, arguments: dict[str, str], default_config: str, run: Callable[..., None]) -> None:
     """Parse ``arguments`` (name to help) and --config, make a session, run, and stop it."""
     parser = argparse.ArgumentParser(description=description)

@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from jobs import annotation_study, window_feed
-from jobs.common import shared_folder
 from labelscope.plans import evaluation, tables
 from labelscope.plans.registry import DIGITS, rounded
+from labelscope.shared import shared_folder
 
 
 def _new_folder(spark: SparkSession, name: str) -> str:

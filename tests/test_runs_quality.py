@@ -4,7 +4,7 @@ import random
 from itertools import groupby
 
 import pytest
-from labelscope.operators import audit, features, quality, runs
+from labelscope.operators import audit, features, quality, rolling, runs
 from pyspark.sql import functions as F
 
 
@@ -55,6 +55,84 @@ def test_alignment_within_a_tolerance(spark):
     assert tuple(runs.align_within(raw, far, ["participant_id"]).first()) == ("S2", False, None)
 
 
+def test_runs_do_not_depend_on_blocks(spark):
+    rng = random.Random(6)
+    codes = {f"S{k}": [rng.choice([0, 1, None]) if k % 2 else k for _ in range(rng.randrange(1, 60))] for k in range(12)} | {None: [1, 1, 2], "hot": [i // 700 % 2 for i in range(3000)]}
+    rows = [(who, t, c) for who, series in codes.items() for t, c in enumerate(series)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "who string, t long, code int")
+    want = set()
+    for who, series in codes.items():
+        at = 0
+        for k, (code, group) in enumerate(groupby(series)):
+            n = len(list(group))
+            want.add((who, k, code, at, at + n, n))
+            at += n
+    for block in (1, 2, 1000):
+        got = runs.contiguous_runs(df, ["who"], ["t"], block=block)
+        assert {tuple(r) for r in got.collect()} == want and got.columns == ["who", "run_index", "code", "start_idx", "end_idx", "n_samples"]
+    assert runs.contiguous_runs(df.limit(0), ["who"], ["t"]).count() == 0
+
+
+def unique_offset(raw, part, same):
+    found = [o for o in range(len(raw) - len(part) + 1) if all(same(raw[o + k], v) for k, v in enumerate(part))]
+    return (len(found) == 1, found[0] if len(found) == 1 else None)
+
+
+def test_exact_alignment_equals_all_offsets(spark):
+    rng = random.Random(4)
+    cases = []
+    for k in range(60):
+        raw = [rng.choice([0.0, 1.0, None]) if rng.random() < 0.1 else float(rng.randrange(2 if k % 2 else 5)) for _ in range(rng.randrange(1, 30))]
+        at, size = rng.randrange(len(raw)), rng.randrange(1, 9)
+        part = raw[at : at + size] if k % 3 else [float(rng.randrange(3)) for _ in range(size)]
+        cases.append((raw, [-0.0 if v == 0 else v for v in part]))
+    rows = lambda j: [(k, i, v) for k, c in enumerate(cases) for i, v in enumerate(c[j])]
+    schema = "k int, i long, value double"
+    raw, part = spark.createDataFrame(rows(0), schema), spark.createDataFrame(rows(1), schema)
+    equal = lambda a, b: a is not None and a == b
+    want = {k: unique_offset(a, b, equal) for k, (a, b) in enumerate(cases)}
+    assert {r["k"]: (r["matched"], r["offset"]) for r in runs.align_exact(raw, part, ["value"], ["k"]).collect()} == want
+    assert {r["k"]: (r["matched"], r["offset"]) for r in runs.align_within(raw, part, ["k"]).collect()} == want
+
+
+def test_alignment_within_equals_all_offsets_near_bucket_edges(spark):
+    rng = random.Random(5)
+    tolerance, width = 1e-3, 1e-3 * runs.BUCKET / runs.GRIDS
+    cases = []
+    for k in range(40):
+        raw = [rng.randrange(-3, 3) * width + rng.choice([0, 0.9e-3, -0.9e-3, 2e-3]) * rng.choice([0, 1]) for _ in range(rng.randrange(3, 25))]
+        at = rng.randrange(len(raw))
+        part = [v + rng.choice([-1, 0, 1]) * rng.choice([0.5e-3, 0.99e-3]) for v in raw[at : at + rng.randrange(1, 6)]]
+        cases.append((raw, part if k % 9 else [*part, None]))
+    rows = lambda j: [(k, i, v) for k, c in enumerate(cases) for i, v in enumerate(c[j])]
+    schema = "k int, i long, value double"
+    want = {k: unique_offset(a, b, lambda x, y: y is not None and abs(x - y) <= tolerance) for k, (a, b) in enumerate(cases)}
+    got = runs.align_within(spark.createDataFrame(rows(0), schema), spark.createDataFrame(rows(1), schema), ["k"], tolerance)
+    assert {r["k"]: (r["matched"], r["offset"]) for r in got.collect()} == want
+
+
+def test_flat_and_periodic_recordings_make_no_more_rows_than_they_have(spark):
+    n = 60_000
+    raw = spark.range(n).selectExpr("'S1' AS k", "id AS i", "CAST(id % 7 AS double) AS value").unionByName(spark.range(n).selectExpr("'S2' AS k", "id AS i", "1.5D AS value"))
+    part = raw.filter("i < 20000")
+    offers = rolling.occurrences(rolling.prefixes(raw.selectExpr("k", "i", "CAST(value * 2 AS long) AS token"), ["k"]), rolling.fingerprint(part.selectExpr("k", "i", "CAST(value * 2 AS long) AS token"), ["k"]), ["k"])
+    counts = {r["k"]: r["count"] for r in offers.groupBy("k").count().collect()}
+    assert counts == {"S1": 40_000 // 7 + 1, "S2": 40_001}
+    for got in (runs.align_exact(raw, part, ["value"], ["k"]), runs.align_within(raw, part, ["k"])):
+        assert {(r["k"], r["matched"], r["offset"]) for r in got.collect()} == {("S1", False, None), ("S2", False, None)}
+
+
+def test_prefix_sums_do_not_depend_on_blocks(spark):
+    rows = spark.range(500).selectExpr("id % 3 AS k", "id DIV 3 AS i", "xxhash64(id) AS token")
+    want = rolling.prefixes(rows, ["k"], 1000).collect()
+    for block in (1, 2, 7):
+        assert sorted(rolling.prefixes(rows, ["k"], block).collect()) == sorted(want)
+    mine = sorted((r["i"], r["token"]) for r in rows.filter("k = 1").collect())
+    total = sum(t % rolling.PRIMES[0] * pow(rolling.BASE, i, rolling.PRIMES[0]) for i, t in mine) % rolling.PRIMES[0]
+    assert max((r["i"], r["h0"]) for r in want if r["k"] == 1)[1] == total
+
+
 def test_constant_is_per_channel(spark):
     still = [(0, 0.0, 0.0, 64.0)] * 20 + [(1, float(i), 0.0, 64.0) for i in range(20)] + [(2, None, float("nan"), None)] * 3
     df = spark.createDataFrame(still, "window_index int, x double, y double, z double")
