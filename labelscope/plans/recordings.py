@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from labelscope.operators import audit, decompose, features, quality, runs, wind
 from labelscope.operators.quality import QualityParams
 from labelscope.plans.registry import query
 from labelscope.plans.tables import DAY, RECORDINGS, SAMPLES, read, recordings, samples
-from labelscope.sources import release
+from labelscope.shared import shared_folder
+from labelscope.sources import release, wrist_sessions
 from labelscope.sources.integrity import tree_diff
 from labelscope.streaming.windows import windowed_counts
 
@@ -433,3 +436,42 @@ def eda_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pulse_peaks")
 def pulse_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decompose.pulse_peaks(hourly(spark, sf_dir), 64.0)
+
+
+#: Where the session files that ``session_samples`` writes lie.
+_WRITTEN = wrist_sessions.Layout("participant_id={participant}/signal=*/*.txt", r"/participant_id=(?P<participant>S\d+)/signal=(?P<signal>[A-Z]+)/[^/]+\.txt$")
+SESSION_START, SESSION_RATE = 1_704_067_200.0, 4.0
+
+
+@query(
+    "session_samples",
+    f"""{BASE}, {_ORDERED} SELECT participant_id, 'EDA' AS signal, {SESSION_START}::DOUBLE AS start_unix, {SESSION_RATE}::DOUBLE AS rate_hz, i AS sample_index, {SESSION_START}::DOUBLE + i / {SESSION_RATE}::DOUBLE AS unix_s, value AS x, NULL::VARCHAR AS fault FROM o""",
+    "start_unix rate_hz unix_s x",
+)
+def session_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's values, written as a signal file of the wrist device and loaded again."""
+    values = _numbered(spark, sf_dir).select("participant_id", (F.col("i") + 2).alias("line"), F.col("value").cast("string").alias("value"))
+    head = values.filter("line = 2").select("participant_id", F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("line"), F.lit(str(v)).alias("value")) for k, v in enumerate((SESSION_START, SESSION_RATE))])).alias("h"))
+    lines = values.unionByName(head.select("participant_id", "h.*")).withColumn("signal", F.lit("EDA")).repartition("participant_id").sortWithinPartitions("participant_id", "signal", "line")
+    folder = f"{shared_folder(spark)}/sessions-{uuid.uuid4().hex}"
+    lines.select("participant_id", "signal", "value").write.partitionBy("participant_id", "signal").text(folder)
+    loaded = wrist_sessions.session_samples(wrist_sessions.session_files(spark, folder, _WRITTEN), _WRITTEN)
+    return loaded.drop("session_id", "y", "z")
+
+
+@query(
+    "validated_window_labels",
+    f"""{BASE}, {{dealt}}, e AS (SELECT participant_id, sample_index AS a, sample_index + 6 * {DAY} AS b, CASE event_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 END AS y FROM samples WHERE code = 4)
+    SELECT g.participant_id, window_index, g.a AS start_unix, g.b AS end_unix, CASE WHEN count(e.a) = count(e.y) AND min(e.y) = max(e.y) THEN CAST(min(e.y) AS INTEGER) END AS y, count(e.a) AS n_events
+    FROM g LEFT JOIN e ON e.participant_id = g.participant_id AND e.a <= g.a AND g.b <= e.b GROUP BY ALL""".format(
+        dealt=f"counted AS (SELECT *, {DAY_COUNT} AS n FROM recordings), w AS (SELECT participant_id, CAST(unnest(range(0, n)) AS INTEGER) AS window_index FROM counted), g AS (SELECT *, window_index * {DAY}.0::DOUBLE AS a, (window_index + 1) * {DAY}.0::DOUBLE AS b FROM w)"
+    ),
+    "start_unix end_unix",
+)
+def validated_window_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of every user, labelled where a purchase's six days hold them whole; all other days stay unknown."""
+    days = windows.window_grid(recordings(spark, sf_dir), LABEL_SPEC).select("participant_id", "window_index", F.col("start_seconds").alias("start_unix"), F.col("end_seconds").alias("end_unix"))
+    y = F.when(F.col("event_id") % 3 == 0, 0).when(F.col("event_id") % 3 == 1, 1)
+    at = F.col("sample_index").cast("double")
+    events = samples(spark, sf_dir).filter("code = 4").select("participant_id", at.alias("start_unix"), (at + 6 * DAY).alias("end_unix"), y.alias("y"))
+    return wrist_sessions.label_windows(days, events, float(DAY))
