@@ -73,24 +73,37 @@ def code_differences(labels: DataFrame, expected: DataFrame) -> DataFrame:
     return unknown.unionByName(missing)
 
 
-def overlap_argmax(schedule: DataFrame, runs: DataFrame, key: list[str]) -> DataFrame:
+def overlap_argmax(schedule: DataFrame, runs: DataFrame, key: list[str], bin_s: float | None = None) -> DataFrame:
     """Each row of ``schedule`` (key, position, start_s, end_s) with the run of its key that it overlaps most.
 
-    The earlier run wins a tie; rows without an overlap stay, with matched false. The
-    join is an equi-join on the key, filtered by the overlap.
+    The earlier run wins a tie; rows without an overlap stay, with matched false, and so do
+    those with a null key, a null bound, or an end before their start; the ``overlap_s`` of such
+    a row is its own length. Both sides are dealt
+    into time bins of ``bin_s`` seconds and met there, each pair in the first bin that both
+    are in; so the rows of a key are not all compared. Bins are as wide as an interval is
+    long on average where no width is given, which at most trebles the rows.
     """
-    r = runs.select(*[F.col(k).alias(f"_r_{k}") for k in key], F.col("start_s").alias("run_start_s"), F.col("end_s").alias("run_end_s"))
-    condition = (F.col("run_end_s") > F.col("start_s")) & (F.col("run_start_s") < F.col("end_s"))
+    r = runs.select(*[F.col(k).alias(f"_r_{k}") for k in key], F.col("start_s").cast("double").alias("run_start_s"), F.col("end_s").cast("double").alias("run_end_s"))
+    if bin_s is None:
+        spans = schedule.select((F.col("end_s") - F.col("start_s")).alias("s")).unionByName(r.select((F.col("run_end_s") - F.col("run_start_s")).alias("s")))
+        mean = spans.filter(S.finite(F.col("s")) & (F.col("s") > 0)).agg(F.avg("s")).first()[0]
+        bin_s = float(mean) if mean else 1.0
+    place = lambda c: F.floor(F.col(c) / F.lit(bin_s))
+    dealt = lambda df, a, b, name: df.filter(S.finite(F.col(a)) & S.finite(F.col(b)) & (F.col(a) <= F.col(b))).withColumn(name, F.explode(F.sequence(place(a), place(b))))
+    condition = (F.col("_bin") == F.col("_r_bin")) & (F.col("_bin") == F.greatest(place("start_s"), place("run_start_s")))
+    condition = condition & (F.col("run_end_s") > F.col("start_s")) & (F.col("run_start_s") < F.col("end_s"))
     for k in key:
         condition = condition & (F.col(k) == F.col(f"_r_{k}"))
-    joined = schedule.join(r, condition, "left").drop(*[f"_r_{k}" for k in key])
-    overlap = F.least("end_s", "run_end_s") - F.greatest("start_s", "run_start_s")
+    pairs = dealt(schedule, "start_s", "end_s", "_bin").join(dealt(r, "run_start_s", "run_end_s", "_r_bin"), condition).select(*schedule.columns, "run_start_s", "run_end_s")
+    every = pairs.unionByName(schedule.select("*", F.lit(None).cast("double").alias("run_start_s"), F.lit(None).cast("double").alias("run_end_s")))
+    overlap = F.when(F.col("run_start_s").isNotNull(), F.least("end_s", "run_end_s") - F.greatest("start_s", "run_start_s"))
     best = F.max_by(
         F.struct("run_start_s", "run_end_s", overlap.alias("overlap_s")), F.struct(F.coalesce(overlap, F.lit(-1.0)), -F.coalesce("run_start_s", F.lit(0.0)))
     )
-    out = joined.groupBy(*schedule.columns).agg(best.alias("_b"))
+    out = every.groupBy(*schedule.columns).agg(best.alias("_b"))
     return out.select(
-        *schedule.columns, F.col("_b.run_start_s").isNotNull().alias("matched"), "_b.run_start_s", "_b.run_end_s", "_b.overlap_s",
+        *schedule.columns, F.col("_b.run_start_s").isNotNull().alias("matched"), "_b.run_start_s", "_b.run_end_s",
+        F.coalesce(F.col("_b.overlap_s"), F.col("end_s") - F.col("start_s")).alias("overlap_s"),
         (F.col("_b.run_start_s") - F.col("start_s")).alias("start_offset_s"), (F.col("_b.run_end_s") - F.col("end_s")).alias("end_offset_s"),
     )
 

@@ -115,6 +115,27 @@ def test_chest_signals_are_read(spark, tmp_path):
         release.validate_recording(data, "S2")
 
 
+def test_any_fault_of_a_side_file_is_a_finding(tmp_path):
+    import io
+    import zipfile
+
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("ACC.csv", "1,1,1\n32,32,32\n" + "1,2,3\n" * 4000)
+    broken = bytearray(made.getvalue())
+    broken[50:70] = b"\xff" * 20  # the deflate stream
+    locked = bytearray(made.getvalue())
+    locked[6] |= 1  # says that the member is encrypted
+    locked[locked.index(b"PK\x01\x02") + 8] |= 1
+    for who, content in {"S2": bytes(broken), "S3": bytes(locked), "S4": b"no archive"}.items():
+        (tmp_path / who).mkdir()
+        (tmp_path / who / f"{who}_E4_Data.zip").write_bytes(content)
+        (tmp_path / who / f"{who}_quest.csv").write_bytes(b"# ORDER;\xff\xfe\n# START;;;;\n" if who == "S2" else b"")
+        assert {"e4_zip_error", "pkl_missing"} <= set(recording_audit.examine(tmp_path / who, who, None).flags)
+    for header in ([1, 2], None, 3, {}, {"a": []}, {"a": {"date": 1, "time": "x"}}):
+        assert recording_audit._chest_start(header) is None
+
+
 def test_locate():
     rng = np.random.default_rng(3)
     raw = rng.integers(0, 3, (500, 2)).astype(float)

@@ -35,6 +35,29 @@ def test_overlap_keeps_unmatched_and_the_earlier_of_ties(spark):
     assert got[1]["matched"] is False and got[1]["run_start_s"] is None and got[2]["overlap_s"] == 7.0
 
 
+def test_overlaps_do_not_depend_on_bins(spark):
+    rng = random.Random(7)
+    span = lambda: (lambda a: (a, a + rng.choice([0.0, 1.0, 3.0, 40.0]) * rng.random()))(rng.uniform(-20, 20))
+    schedule = [(k % 3, k, *span()) for k in range(60)] + [(1, 60, None, 5.0), (None, 61, 0.0, 9.0), (1, 62, 5.0, 1.0)]
+    found = [(k % 4, *span()) for k in range(80)] + [(1, 2.0, None), (None, 0.0, 9.0)]
+    s, r = spark.createDataFrame(schedule, "k int, position int, start_s double, end_s double"), spark.createDataFrame(found, "k int, start_s double, end_s double")
+    want = {}
+    for k, position, a, b in schedule:
+        over = [(min(b, d) - max(a, c), -c) for kk, c, d in found if None not in (k, a, b, c, d) and kk == k and a <= b and d > a and c < b]
+        want[position] = (round(max(over)[0], 9), -max(over)[1]) if over else (None, None)
+    for width in (None, 0.7, 1000.0):
+        got = {x["position"]: (round(x["overlap_s"], 9) if x["matched"] else None, x["run_start_s"]) for x in runs.overlap_argmax(s, r, ["k"], width).collect()}
+        assert got == want
+
+
+def test_a_key_with_many_rows_makes_few_pairs(spark):
+    n = 40_000
+    s = spark.range(n).selectExpr("1 AS k", "id AS position", "CAST(id * 10 AS double) AS start_s", "CAST(id * 10 + 10 AS double) AS end_s")
+    r = spark.range(n).selectExpr("1 AS k", "CAST(id * 10 + 4 AS double) AS start_s", "CAST(id * 10 + 14 AS double) AS end_s")
+    got = runs.overlap_argmax(s, r, ["k"])
+    assert got.filter("matched AND overlap_s = 6").count() == n
+
+
 def test_alignment_finds_one_offset_and_refuses_periodic_data(spark):
     rng = random.Random(2)
     raw = [("S2", i, rng.randint(-64, 63), rng.randint(-64, 63)) for i in range(200)] + [("S3", i, i % 10, 0) for i in range(200)]

@@ -219,6 +219,16 @@ def test_schema_contract(spark):
     assert C.order_columns(empty.select(*names[::-1]), C.all_columns()).columns == names
 
 
+def test_table_digest_tells_rows_apart_and_not_their_layout(spark):
+    rows = [(i % 7, None if i % 5 else float(i), f"v{i % 3}") for i in range(200)]
+    make = lambda r: spark.createDataFrame(r, "k int, x double, v string")
+    digest, n = integrity.table_digest(make(rows), ["k"])
+    assert n == 200 and (digest, n) == integrity.table_digest(make(rows[::-1]).repartition(7), ["k"])
+    for other in (rows[1:], [*rows, rows[0]], [*rows[1:], rows[1]], [*rows[1:], (0, 0.5, "v0")], [(k, x, None) for k, x, _ in rows]):
+        assert integrity.table_digest(make(other), ["k"])[0] != digest
+    assert integrity.table_digest(make(rows).limit(0), ["k"])[1] == 0
+
+
 def test_tables_with_manifests(spark, tmp_path):
     df = spark.createDataFrame([(i, f"v{i}", None if i % 2 else 1.5) for i in range(50)], "k int, v string, x double")
     manifest = tmp_path / "m.json"
