@@ -118,10 +118,15 @@ def _run(section: np.ndarray, x: np.ndarray, start: float) -> np.ndarray:
     return (blocks @ response.T + states @ carried.T).ravel()[:n]
 
 
+def padding(sections: np.ndarray) -> int:
+    """Samples of the odd extension at either end."""
+    first_order = min((sections[:, 2] == 0).sum(), (sections[:, 5] == 0).sum())
+    return 3 * int(2 * len(sections) + 1 - first_order)
+
+
 def filter_both_ways(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Zero-phase filtering over an odd extension at both ends."""
-    first_order = min((sections[:, 2] == 0).sum(), (sections[:, 5] == 0).sum())
-    pad = 3 * int(2 * len(sections) + 1 - first_order)
+    pad = padding(sections)
     if len(x) <= pad:
         raise ValueError(f"signal of {len(x)} samples is too short to filter")
     y = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])

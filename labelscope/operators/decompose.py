@@ -1,8 +1,7 @@
-"""Recording-level signal operators: one grouped function call for each recording.
+"""Recording-level signal operators, chunk by chunk (see ``block_signals``): a recording is the work of many tasks.
 
-The filters look at a whole recording (they are not causal), which is why a recording
-goes to one task; recordings are the natural unit and bounded by their length.
-A failure is a status, never an exception.
+A failure is a status, never an exception. Recordings whose peaks cannot be told from chunks
+for sure, such as very long stairs of ever higher peaks, are worked on whole, one a task.
 """
 
 from __future__ import annotations
@@ -11,9 +10,11 @@ from dataclasses import asdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from labelscope.functions import signal as G
+from labelscope.operators import block_signals as B
 
 EDA_SCHEMA = "participant_id string, sample_index long, value double, tonic double, phasic double, event_amplitude double, ok boolean, error string"
 BEAT_SCHEMA = "participant_id string, sample_index long, ok boolean, error string"
@@ -28,11 +29,8 @@ def _by_recording(samples: DataFrame):
     return samples.select("participant_id", "sample_index", "value").repartition(parts, "participant_id").groupBy("participant_id")
 
 
-def eda_decomposition(samples: DataFrame, rate_hz: float, params: G.EdaParams = G.EdaParams()) -> DataFrame:
-    """Samples (participant_id, sample_index, value) with tonic and phasic parts and event amplitudes.
-
-    Where a recording cannot be decomposed its parts are null, ok is false and error says why.
-    """
+def eda_of_whole_recordings(samples: DataFrame, rate_hz: float, params: G.EdaParams = G.EdaParams()) -> DataFrame:
+    """As ``eda_decomposition``, a recording a task."""
     given = asdict(params)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -51,8 +49,8 @@ def eda_decomposition(samples: DataFrame, rate_hz: float, params: G.EdaParams =
     return _by_recording(samples).applyInPandas(run, EDA_SCHEMA)
 
 
-def pulse_peaks(samples: DataFrame, rate_hz: float, params: G.BvpParams = G.BvpParams()) -> DataFrame:
-    """One row for each beat (participant_id, sample_index); one with a null sample_index where detection failed."""
+def beats_of_whole_recordings(samples: DataFrame, rate_hz: float, params: G.BvpParams = G.BvpParams()) -> DataFrame:
+    """As ``pulse_peaks``, a recording a task."""
     given = asdict(params)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -66,3 +64,62 @@ def pulse_peaks(samples: DataFrame, rate_hz: float, params: G.BvpParams = G.BvpP
         return pd.DataFrame({"participant_id": who, "sample_index": pd.array(index, "Int64"), "ok": True, "error": ""})
 
     return _by_recording(samples).applyInPandas(run, BEAT_SCHEMA)
+
+
+NOT_FINITE = "recording has non-finite samples"
+
+
+def _too_short(sections: np.ndarray) -> Column:
+    """Why a recording cannot be filtered, or null."""
+    pad = G.padding(sections)
+    return F.when(F.col("n") <= pad, F.format_string("signal of %d samples is too short to filter", F.col("n")))
+
+
+def _unsure(chunks: DataFrame) -> DataFrame:
+    return chunks.filter("unsure").select("participant_id").distinct()
+
+
+def eda_decomposition(samples: DataFrame, rate_hz: float, params: G.EdaParams = G.EdaParams(), chunk: int = B.CHUNK, reach: int = B.REACH) -> DataFrame:
+    """Samples (participant_id, sample_index, value) with tonic and phasic parts and event amplitudes.
+
+    Where a recording cannot be decomposed its parts are null, ok is false and error says why.
+    """
+    sections = G.butterworth(params.order, params.cutoff_hz, rate_hz)
+    short = F.when(F.col("n") < 8 * params.order + 1, F.lit("recording is too short to decompose"))
+    rows = B.cut(B.placed(samples, chunk).withColumn("error", F.coalesce(short, F.when(F.col("n_bad") > 0, F.lit(NOT_FINITE)), _too_short(sections))))
+    nothing = [F.lit(None).cast("double").alias(c) for c in ("tonic", "phasic", "event_amplitude")]
+    failed = rows.filter("error IS NOT NULL").select("participant_id", "sample_index", "value", *nothing, F.lit(False).alias("ok"), "error")
+    chunks = B.worked(rows.filter("error IS NULL"), sections, params.distance_s * rate_hz, True, chunk, reach)
+    unsure = _unsure(chunks)
+    sure = chunks.join(unsure, "participant_id", "left_anti")
+    found = B.prominent(sure).filter(F.col("prominence") >= params.prominence)
+    events = found.groupBy("participant_id", "chunk").agg(F.map_from_entries(F.collect_list(F.struct((F.col("place") - F.col("chunk") * chunk).cast("int").alias("k"), F.col("prominence").alias("v")))).alias("_events"))
+    each = sure.select("participant_id", "chunk", F.posexplode(F.arrays_zip("indexes", "given", "made")).alias("_k", "_s")).join(events, ["participant_id", "chunk"], "left")
+    decided = each.select(
+        "participant_id", F.col("_s.indexes").alias("sample_index"), F.col("_s.given").alias("value"), (F.col("_s.given") - F.col("_s.made")).alias("tonic"), F.col("_s.made").alias("phasic"),
+        F.try_element_at("_events", F.col("_k")).alias("event_amplitude"), F.lit(True).alias("ok"), F.lit("").alias("error"),
+    )
+    whole = eda_of_whole_recordings(rows.join(unsure, "participant_id", "left_semi"), rate_hz, params)
+    return failed.unionByName(decided).unionByName(whole)
+
+
+def pulse_peaks(samples: DataFrame, rate_hz: float, params: G.BvpParams = G.BvpParams(), chunk: int = B.CHUNK, reach: int = B.REACH) -> DataFrame:
+    """One row for each beat (participant_id, sample_index); one with a null sample_index where detection failed."""
+    sections = G.butterworth(params.order, (params.low_hz, params.high_hz), rate_hz)
+    rows = B.cut(B.placed(samples, chunk).withColumn("error", F.coalesce(F.when(F.col("n_bad") > 0, F.lit(NOT_FINITE)), _too_short(sections))))
+    chunks = B.worked(rows.filter("error IS NULL"), sections, params.distance_s * rate_hz, False, chunk, reach)
+    unsure = _unsure(chunks)
+    sure = chunks.join(unsure, "participant_id", "left_anti")
+    made = sure.select("participant_id", F.explode("made").alias("y"))
+    middle = B.cut(B.medians(made, "y"))
+    off = made.join(middle, "participant_id").select("participant_id", F.abs(F.col("y") - F.col("median")).alias("off"))
+    scale = B.cut(B.medians(off, "off").select("participant_id", (F.col("median") * F.lit(G.MAD_SCALE)).alias("scale")))
+    still = scale.filter("scale <= 0").select("participant_id", F.lit("signal has no variation").alias("error"))
+    failed = rows.filter("error IS NOT NULL").select("participant_id", "error").distinct().unionByName(still)
+    failures = failed.select("participant_id", F.lit(None).cast("long").alias("sample_index"), F.lit(False).alias("ok"), "error")
+    found = B.prominent(sure).join(scale.filter("scale > 0"), "participant_id").filter(F.col("prominence") >= params.prominence_scale * F.col("scale"))
+    beats = found.join(sure.select("participant_id", "chunk", "indexes"), ["participant_id", "chunk"]).select(
+        "participant_id", F.get("indexes", (F.col("place") - F.col("chunk") * chunk).cast("int")).alias("sample_index"), F.lit(True).alias("ok"), F.lit("").alias("error")
+    )
+    whole = beats_of_whole_recordings(rows.join(unsure, "participant_id", "left_semi"), rate_hz, params)
+    return failures.unionByName(beats).unionByName(whole)

@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from labelscope.functions import signal as G
-from labelscope.operators import decompose
+from labelscope.operators import block_signals, decompose
 
 
 def gain(sections, f, rate):
@@ -82,3 +82,54 @@ def test_blocks_equal_the_sample_by_sample_recursion():
             z1, z2 = b1 * v - a1 * y + z2, b2 * v - a2 * y
             want.append(y)
         assert np.allclose(G._run(section, x, x[0]), want, atol=1e-10)
+
+
+def recordings_of(rng):
+    """Recordings with noise, pulses, a plateau, a ramp, one short and one not finite."""
+    t = np.arange(3000) / 64.0
+    pulse = np.sin(2 * np.pi * 1.2 * t) ** 3 + 0.2 * rng.normal(size=3000)
+    ramp = np.linspace(0, 30, 2500) + np.sin(np.arange(2500) / 9)
+    return {"noise": rng.normal(size=2200), "pulse": pulse, "ramp": ramp, "flat": np.concatenate([np.zeros(900), np.ones(900), pulse[:500]]), "still": np.full(800, 2.0), "short": np.zeros(6), "bad": np.append(pulse[:400], np.nan)}
+
+
+@pytest.mark.parametrize(("chunk", "reach"), [(1, 3), (97, 8), (700, 64), (65_536, 64)])
+def test_chunks_equal_the_whole_recording(spark, chunk, reach):
+    series = recordings_of(np.random.default_rng(4))
+    if chunk == 1:
+        series = {k: v[:60] for k, v in series.items()}
+    rows = [(k, 3 * i + 5, float(v)) for k, x in series.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "participant_id string, sample_index long, value double").repartition(5)
+    keys = ["participant_id", "sample_index"]
+    want = decompose.eda_of_whole_recordings(df, 4.0).toPandas().sort_values(keys).reset_index(drop=True)
+    got = decompose.eda_decomposition(df, 4.0, chunk=chunk, reach=reach).toPandas().sort_values(keys).reset_index(drop=True)
+    assert got[[*keys, "ok", "error"]].equals(want[[*keys, "ok", "error"]]) and (got["event_amplitude"].isna() == want["event_amplitude"].isna()).all()
+    for c in ("tonic", "phasic", "event_amplitude"):
+        assert np.allclose(got[c].astype(float), want[c].astype(float), rtol=0, atol=1e-9, equal_nan=True)
+    want, got = (f(df, 64.0, **more).toPandas().sort_values(keys).reset_index(drop=True) for f, more in ((decompose.beats_of_whole_recordings, {}), (decompose.pulse_peaks, {"chunk": chunk, "reach": reach})))
+    assert got[[*keys, "ok", "error"]].astype(str).equals(want[[*keys, "ok", "error"]].astype(str))
+
+
+def test_peaks_of_chunks_equal_those_of_the_whole_where_sure():
+    rng = np.random.default_rng(5)
+    sure = 0
+    for k in range(300):
+        y = np.round(np.cumsum(rng.normal(size=400)) if k % 2 else rng.normal(size=400), 1 if k % 3 else 6)
+        apart = int(rng.integers(1, 12))
+        at, height = G.find_peaks(y, apart, 0.0)
+        step, more = int(rng.integers(1, 150)), int(rng.integers(2, 200))
+        found, unsure = {}, False
+        summaries = [(float(y[a : a + step].min()), *block_signals.climbs(y[a : a + step])) for a in range(0, 400, step)]
+        behind = [(s[0], *block_signals.climbs(y[a : a + step][::-1])) for s, a in zip(summaries, range(0, 400, step), strict=True)]
+        for c, a in enumerate(range(0, 400, step)):
+            b = min(400, a + step)
+            low, high = max(0, a - more), min(400, b + more)
+            peaks, doubt = block_signals.chunk_peaks(y[low:high], a - low, b - low, low > 0, high < 400, apart)
+            unsure |= doubt
+            for p, v, left, left_done, right, right_done in peaks:
+                left = left if left_done else block_signals._low_until_higher(v, left, (behind[j] for j in range(c - 1, -1, -1)))
+                right = right if right_done else block_signals._low_until_higher(v, right, (summaries[j] for j in range(c + 1, len(summaries))))
+                found[p + low] = v - max(left, right)
+        if not unsure:
+            sure += 1
+            assert sorted(found) == at.tolist() and np.allclose([found[p] for p in at], height, atol=1e-12)
+    assert sure > 60
