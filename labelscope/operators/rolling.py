@@ -18,37 +18,50 @@ from pyspark.sql import functions as F
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASE = 1_000_003
 BLOCK = 4096
-#: Bits of a place in a recording.
-PLACE_BITS = 36
+#: Bits of a block's number.
+BLOCK_BITS = 24
+EACH = range(len(PRIMES))
 
 
-def _power(place: Column, prime: int) -> Column:
-    """``BASE**place`` modulo ``prime``."""
-    out, factor = F.lit(1).cast("long"), BASE
-    for bit in range(PLACE_BITS):
-        out = out * F.when(place.bitwiseAND(F.lit(1 << bit).cast("long")) != 0, F.lit(factor).cast("long")).otherwise(F.lit(1).cast("long")) % prime
+def _power(exponent: Column, base: int, prime: int, bits: int) -> Column:
+    """``base**exponent`` modulo ``prime``, of an exponent of up to ``bits`` bits."""
+    out, factor = F.lit(1).cast("long"), base % prime
+    for bit in range(bits):
+        out = out * F.when(exponent.bitwiseAND(F.lit(1 << bit).cast("long")) != 0, F.lit(factor).cast("long")).otherwise(F.lit(1).cast("long")) % prime
         factor = factor * factor % prime
     return out
 
 
-def _terms(token: Column, place: Column) -> list[Column]:
-    return [(F.pmod(token, F.lit(p).cast("long")) * _power(place, p) % p).alias(f"t{k}") for k, p in enumerate(PRIMES)]
+def _inside(rows: DataFrame, by: list[str], block: int) -> DataFrame:
+    """(by, i, _block, p, t) of ``rows``: the powers of the places in their block (a table of ``block`` rows), and the terms with these."""
+    powers = rows.sparkSession.range(block).select(F.col("id").alias("_low"), *[_power(F.col("id"), BASE, p, block.bit_length()).alias(f"p{k}") for k, p in enumerate(PRIMES)])
+    placed = rows.select(*by, "i", "token", F.floor(F.col("i") / block).alias("_block"), (F.col("i") % block).alias("_low")).join(F.broadcast(powers), "_low")
+    terms = [(F.pmod(F.col("token"), F.lit(p).cast("long")) * F.col(f"p{k}") % p).alias(f"t{k}") for k, p in enumerate(PRIMES)]
+    return placed.select(*by, "i", "_block", *[f"p{k}" for k in EACH], *terms)
+
+
+def _blocks(inside: DataFrame, by: list[str], block: int) -> DataFrame:
+    """(by, _block, s, w): the sums of whole blocks, powers of the blocks included, and these powers; a row a block."""
+    sums = inside.groupBy(*by, "_block").agg(F.count("*").alias("_rows"), *[F.sum(f"t{k}").alias(f"s{k}") for k in EACH])
+    powered = sums.select("*", *[_power(F.col("_block"), pow(BASE, block, p), p, BLOCK_BITS).alias(f"w{k}") for k, p in enumerate(PRIMES)])
+    return powered.select(*by, "_block", "_rows", *[(F.col(f"s{k}") % p * F.col(f"w{k}") % p).alias(f"s{k}") for k, p in enumerate(PRIMES)], *[f"w{k}" for k in EACH])
 
 
 def prefixes(rows: DataFrame, by: list[str], block: int = BLOCK) -> DataFrame:
-    """(by, i, h0, h1) of ``rows`` (by, i, token long): sums of the terms of all places up to ``i``, modulo each prime."""
-    placed = rows.select(*by, "i", F.floor(F.col("i") / block).alias("_block"), *_terms(F.col("token"), F.col("i")))
-    inside = Window.partitionBy(*by, "_block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    """(by, i, h0, h1, q0, q1) of ``rows`` (by, i, token long): sums of the terms of all places up to ``i``, and ``BASE**(i + 1)``, modulo each prime."""
+    inside = _inside(rows, by, block)
+    upto = Window.partitionBy(*by, "_block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy(*by, "_block").agg(*[(F.sum(f"t{k}") % p).alias(f"s{k}") for k, p in enumerate(PRIMES)])
-    bases = totals.select(*by, "_block", *[(F.coalesce(F.sum(f"s{k}").over(before), F.lit(0)) % p).alias(f"b{k}") for k, p in enumerate(PRIMES)])
-    sums = placed.select(*by, "i", "_block", *[F.sum(f"t{k}").over(inside).alias(f"r{k}") for k in range(len(PRIMES))])
-    return sums.join(bases, [*by, "_block"]).select(*by, "i", *[((F.col(f"r{k}") + F.col(f"b{k}")) % p).alias(f"h{k}") for k, p in enumerate(PRIMES)])
+    bases = _blocks(inside, by, block).select(*by, "_block", *[f"w{k}" for k in EACH], *[(F.coalesce(F.sum(f"s{k}").over(before), F.lit(0)) % p).alias(f"b{k}") for k, p in enumerate(PRIMES)])
+    sums = inside.select(*by, "i", "_block", *[f"p{k}" for k in EACH], *[F.sum(f"t{k}").over(upto).alias(f"r{k}") for k in EACH])
+    joined = sums.join(bases, [*by, "_block"])
+    held = [((F.col(f"r{k}") % p * F.col(f"w{k}") + F.col(f"b{k}")) % p).alias(f"h{k}") for k, p in enumerate(PRIMES)]
+    return joined.select(*by, "i", *held, *[(F.col(f"p{k}") * F.col(f"w{k}") % p * BASE % p).alias(f"q{k}") for k, p in enumerate(PRIMES)])
 
 
-def fingerprint(rows: DataFrame, by: list[str]) -> DataFrame:
+def fingerprint(rows: DataFrame, by: list[str], block: int = BLOCK) -> DataFrame:
     """(by, length, f0, f1) of ``rows`` (by, i from 0 without gaps, token): the fingerprint of each whole sequence."""
-    return rows.select(*by, *_terms(F.col("token"), F.col("i"))).groupBy(*by).agg(F.count("*").alias("length"), *[(F.sum(f"t{k}") % p).alias(f"f{k}") for k, p in enumerate(PRIMES)])
+    return _blocks(_inside(rows, by, block), by, block).groupBy(*by).agg(F.sum("_rows").alias("length"), *[(F.sum(f"s{k}") % p).alias(f"f{k}") for k, p in enumerate(PRIMES)])
 
 
 def occurrences(sums: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
@@ -57,10 +70,10 @@ def occurrences(sums: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
     As many rows as a recording has places are compared. Different stretches have equal
     fingerprints with a chance of about 2**-61.
     """
-    ends = sums.join(wanted, by).filter("i >= length - 1").withColumn("offset", F.col("i") - F.col("length") + 1)
-    starts = sums.select(*by, (F.col("i") + 1).alias("offset"), *[F.col(f"h{k}").alias(f"g{k}") for k in range(len(PRIMES))])
+    ends = sums.join(wanted, by).filter("i >= length - 1").select(*by, (F.col("i") - F.col("length") + 1).alias("offset"), *[f"h{k}" for k in EACH], *[f"f{k}" for k in EACH])
+    starts = sums.select(*by, (F.col("i") + 1).alias("offset"), *[F.col(f"h{k}").alias(f"g{k}") for k in EACH], *[f"q{k}" for k in EACH])
     both = ends.join(starts, [*by, "offset"], "left")
     same = F.lit(True)
     for k, p in enumerate(PRIMES):
-        same = same & (F.pmod(F.col(f"h{k}") - F.coalesce(F.col(f"g{k}"), F.lit(0)), F.lit(p).cast("long")) == F.col(f"f{k}") * _power(F.col("offset"), p) % p)
+        same = same & (F.pmod(F.col(f"h{k}") - F.coalesce(F.col(f"g{k}"), F.lit(0)), F.lit(p).cast("long")) == F.col(f"f{k}") * F.coalesce(F.col(f"q{k}"), F.lit(1)) % p)
     return both.filter(same).select(*by, "offset")

@@ -136,14 +136,16 @@ def align_exact(raw: DataFrame, part: DataFrame, values: list[str], by: list[str
     More than one full match is no match (the data are periodic there). A null value agrees
     with nothing. Work is linear in both lengths however often values repeat.
     """
+    # both are read several times below, and so are the sums
+    raw, part = cut(raw.select(*by, "i", *values)), cut(part.select(*by, "i", *values))
     tokens = lambda df: df.select(*by, "i", _token(df, values).alias("token"))
-    offers = rolling.occurrences(rolling.prefixes(tokens(raw), by), rolling.fingerprint(tokens(part), by), by)
+    offers = cut(rolling.occurrences(cut(rolling.prefixes(tokens(raw), by)), rolling.fingerprint(tokens(part), by), by))
     ends = offers.groupBy(*by).agg(F.min("offset").alias("_a"), F.max("offset").alias("_b"))
     two = ends.select(*by, F.explode(F.array_distinct(F.array("_a", "_b"))).alias("offset"))
     same = F.lit(True)
     for v in values:
         same = same & (F.col(v) == F.col(f"_{v}"))
-    return _unique(part, _agreeing(raw.select(*by, "i", *values), part.select(*by, "i", *values), two, by, same), by)
+    return _unique(part, _agreeing(raw, part, two, by, same), by)
 
 
 #: Width of a value bucket in tolerances, and how many staggered grids of buckets there are.
@@ -168,7 +170,7 @@ def align_within(raw: DataFrame, part: DataFrame, by: list[str], tolerance: floa
     nothing.
     """
     value = S.present(F.col("value"))
-    clean = part.select(*by, "i", value.alias("value"))
+    raw, clean = cut(raw.select(*by, "i", value.alias("value"))), cut(part.select(*by, "i", value.alias("value")))
     edge = lambda g: F.pmod(_bucket(F.col("value"), g, tolerance), F.lit(1.0))
     margin = lambda g: F.lit(4.0 / BUCKET) + F.abs(_bucket(F.col("value"), g, tolerance)) * F.lit(2.0**-50)  # more than the tolerance, and than rounding adds
     near = lambda g: F.col("value").isNull() | (edge(g) < margin(g)) | (edge(g) > 1 - margin(g))
@@ -177,7 +179,7 @@ def align_within(raw: DataFrame, part: DataFrame, by: list[str], tolerance: floa
     chosen = clear.filter("_n = _good").withColumn("_best", F.array_max(lengths)).select(*by, F.col("_best.length").alias("_length"), (-F.col("_best.grid")).alias("_grid"))
     tokens = lambda df: df.withColumn("token", F.coalesce(F.floor(_bucket(F.col("value"), F.col("_grid"), tolerance)), F.lit(-1).cast("long")))
     beginning = tokens(clean.join(chosen, by).filter("i < _length"))
-    sums = rolling.prefixes(tokens(raw.select(*by, "i", value.alias("value")).join(chosen, by)).select(*by, "i", "token"), by)
+    sums = cut(rolling.prefixes(tokens(raw.join(chosen, by)).select(*by, "i", "token"), by))
     size = clean.groupBy(*by).agg(F.count("*").alias("_n"))
     last = raw.groupBy(*by).agg(F.max("i").alias("_last")).join(size, by).select(*by, (F.col("_last") - F.col("_n") + 1).alias("_most"))
     proposed = rolling.occurrences(sums, rolling.fingerprint(beginning, by), by)
@@ -188,10 +190,10 @@ def align_within(raw: DataFrame, part: DataFrame, by: list[str], tolerance: floa
     while not left.isEmpty():
         place = F.row_number().over(Window.partitionBy(*by).orderBy("offset"))  # Spark keeps a task's first rows of each group before it shuffles
         batch = cut(left.withColumn("_k", place).filter(F.col("_k") <= several).drop("_k"))
-        agreed = _agreeing(raw.select(*by, "i", "value"), clean, batch, by, same)
+        agreed = _agreeing(raw, clean, batch, by, same)
         full = cut(agreed if full is None else full.unionByName(agreed))
         done = full.groupBy(*by).agg(F.count("*").alias("_k")).filter("_k > 1").select(*by)
         seen = batch.groupBy(*by).agg(F.max("offset").alias("_seen"))
         left = cut(left.join(seen, by).filter("offset > _seen").drop("_seen").join(done, by, "left_anti"))
         several *= 2
-    return _unique(part, full if full is not None else offers, by)
+    return _unique(clean, full if full is not None else offers, by)
