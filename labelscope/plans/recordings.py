@@ -443,16 +443,24 @@ _WRITTEN = wrist_sessions.Layout("participant_id={participant}/signal=*/*.txt",
 SESSION_START, SESSION_RATE = 1_704_067_200.0, 4.0
 
 
+#: Users whose values make one recording.
+SESSION_USERS = 16
+
+
 @query(
     "session_samples",
-    f"""{BASE}, {_ORDERED} SELECT participant_id, 'EDA' AS signal, {SESSION_START}::DOUBLE AS start_unix, {SESSION_RATE}::DOUBLE AS rate_hz, i AS sample_index, {SESSION_START}::DOUBLE + i / {SESSION_RATE}::DOUBLE AS unix_s, value AS x, NULL::VARCHAR AS fault FROM o""",
+    f"""SELECT 'S' || (user_id // {SESSION_USERS}) AS participant_id, 'EDA' AS signal, {SESSION_START}::DOUBLE AS start_unix, {SESSION_RATE}::DOUBLE AS rate_hz, i AS sample_index, {SESSION_START}::DOUBLE + i / {SESSION_RATE}::DOUBLE AS unix_s, value AS x, NULL::VARCHAR AS fault
+    FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id // {SESSION_USERS} ORDER BY ts, event_id) - 1 AS i FROM events)""",
     "start_unix rate_hz unix_s x",
 )
 def session_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user's values, written as a signal file of the wrist device and loaded again."""
-    values = _numbered(spark, sf_dir).select("participant_id", (F.col("i") + 2).alias("line"), F.col("value").cast("string").alias("value"))
-    head = values.filter("line = 2").select("participant_id", F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("line"), F.lit(str(v)).alias("value")) for k, v in enumerate((SESSION_START, SESSION_RATE))])).alias("h"))
-    lines = values.unionByName(head.select("participant_id", "h.*")).withColumn("signal", F.lit("EDA")).repartition("participant_id").sortWithinPartitions("participant_id", "signal", "line")
+    """Values of users, some of them in a recording, written as signal files of the wrist device and loaded again."""
+    who = F.concat(F.lit("S"), F.floor(F.col("user_id") / SESSION_USERS).cast("string"))
+    values = read(spark, sf_dir, "events").select(who.alias("participant_id"), F.struct("ts", "event_id").alias("at"), F.col("value").cast("string").alias("value"))
+    head = [F.struct(F.lit(k).alias("line"), F.lit(str(v)).alias("value")) for k, v in enumerate((SESSION_START, SESSION_RATE))]
+    heads = values.select("participant_id").distinct().select("participant_id", F.explode(F.array(*head)).alias("h")).select("participant_id", "h.line", F.lit(None).cast(values.schema["at"].dataType).alias("at"), "h.value")
+    lines = heads.unionByName(values.withColumn("line", F.lit(2))).withColumn("signal", F.lit("EDA"))
+    lines = lines.repartition("participant_id").sortWithinPartitions("participant_id", "signal", "line", "at")
     folder = f"{shared_folder(spark)}/sessions-{uuid.uuid4().hex}"
     lines.select("participant_id", "signal", "value").write.partitionBy("participant_id", "signal").text(folder)
     loaded = wrist_sessions.session_samples(wrist_sessions.session_files(spark, folder, _WRITTEN), _WRITTEN)
