@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from jobs.common import LOG, configured, main
+from jobs.common import HERE, LOG, configured, main
 from labelscope.operators import observe
 from labelscope.plans import tables as T
 
-CONFIG = os.path.join(os.path.dirname(os.path.abspath(__file__)), "annotation_study.json")
+CONFIG = os.path.join(HERE, "annotation_study.json")
 DEFAULTS = {"fractions": list(observe.FRACTIONS), "seed": observe.GLOBAL_SEED}
 MEASURES = ("balanced_accuracy", "macro_f1", "brier", "log_loss")
 

@@ -5,17 +5,27 @@ from __future__ import annotations
 import argparse
 import json
 import logging
+import os
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 LOG = logging.getLogger("labelscope.jobs")
+HERE = os.path.dirname(os.path.abspath(__file__))
 
 
 def configured(spark: SparkSession, path: str, known: dict) -> dict:
-    """The JSON object in the file at ``path``, over ``known`` defaults; a name that is not known is an error."""
-    given = json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
+    """The JSON object in the file at ``path``, over ``known`` defaults; a name that is not known is an error.
+
+    A file beside the jobs is part of the code and read where the job is started; any other
+    path, which may be remote, is read by Spark.
+    """
+    if os.path.dirname(path) == HERE:
+        with open(path, encoding="utf-8") as file:
+            given = json.load(file)
+    else:
+        given = json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
     if odd := sorted(set(given) - set(known)):
         raise ValueError(f"unknown settings {odd} in {path}")
     return known | given

@@ -17,12 +17,12 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobs.common import LOG, configured, main, read_if_there
+from jobs.common import HERE, LOG, configured, main, read_if_there
 from labelscope.functions import scalars as S
 from labelscope.operators.windows import WindowSpec, window_of
 from labelscope.plans.tables import as_samples
 
-CONFIG = os.path.join(os.path.dirname(os.path.abspath(__file__)), "window_feed.json")
+CONFIG = os.path.join(HERE, "window_feed.json")
 DEFAULTS = {"window_seconds": 432_000.0, "windows_per_period": 2, "files_per_batch": 1000}
 PARTIALS = "participant_id string, window_index int, code int, n long, n_values long, total double, squares double, least double, most double, first_sample long, last_sample long, batch int, period int"
 MARK = "batch int"
