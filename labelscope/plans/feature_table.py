@@ -87,8 +87,8 @@ def build(
         few = F.col(f"q_{ORDER[k]}_n_samples") < 2
         failed, text = F.when(few, F.lit(k)).otherwise(failed), F.when(few, F.lit(f"{ORDER[k]}: fewer than two samples")).otherwise(text)
     out = out.withColumn("error_family", failed).withColumn("q_feature_error", text).withColumn("q_structural_ok", quality.structural_ok(list(ORDER)))
-    families = [[c.name for c in C.feature_columns() if c.modality == m] for m in ORDER]
+    families = [[c.name for c in C.feature_columns() if c.metadata["modality"] == m] for m in ORDER]
     out = features.null_after_error(out, families).drop("error_family").join(sources.select("participant_id", "source_file", "source_sha256"), "participant_id", "left")
     declared = C.all_columns()
-    kinds = {c.name: C._TYPES[c.dtype] for c in declared}
+    kinds = {c.name: c.dataType for c in declared}
     return C.order_columns(out.select(*[F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in out.columns]), declared)
