@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,6 +104,27 @@ def inner_split(class_counts: dict[str, tuple[int, ...]], outer_participant: str
     return split
 
 
+def inner_folds(counts: DataFrame, seed: int = 42, n_splits: int = 4) -> DataFrame:
+    """(outer_participant, seed, fold_index, participant_id, part) of every outer participant, from (participant_id, n0, n1).
+
+    Each outer participant is a row of work for the tasks, with the counts of all (a few
+    numbers a participant); no counts give no folds. A split that does not hold what
+    ``validate_inner`` asks for is an error.
+    """
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = counts.groupBy().agg(F.collect_list(F.struct("participant_id", "n0", "n1")).alias("a"))
+    outer = every.select(F.explode("a.participant_id").alias("outer"), F.col("a.participant_id").alias("names"), F.col("a.n0").alias("zeros"), F.col("a.n1").alias("ones"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for who, names, zeros, ones in zip(frame["outer"], frame["names"], frame["zeros"], frame["ones"], strict=True):
+                made = inner_split({n: (int(a), int(b)) for n, a, b in zip(names, zeros, ones, strict=True)}, who, seed, n_splits)
+                rows = [(who, made.seed, f.index, p, part) for f in made.folds for part, ids in (("train", f.train), ("validation", f.validation)) for p in ids]
+                yield pd.DataFrame(rows, columns=["outer_participant", "seed", "fold_index", "participant_id", "part"])
+
+    return outer.repartition(parts, "outer").mapInPandas(run, "outer_participant string, seed long, fold_index int, participant_id string, part string")
+
+
 def validate_inner(split: InnerSplit) -> None:
     """Train and validation are disjoint, never hold the outer participant, and validation covers everyone once."""
     everyone = {p for f in split.folds for p in (*f.train, *f.validation)}

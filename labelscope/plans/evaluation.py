@@ -358,10 +358,7 @@ def split_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("inner_folds")
 def inner_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = {r["participant_id"]: (r["n0"], r["n1"]) for r in models.class_counts(labels(spark, sf_dir)).collect()}
-    made = [splits.inner_split(counts, who) for who in sorted(counts)]
-    out = [(s.outer_participant, s.seed, f.index, who, part) for s in made for f in s.folds for part, ids in (("train", f.train), ("validation", f.validation)) for who in ids]
-    return spark.createDataFrame(out, "outer_participant string, seed long, fold_index int, participant_id string, part string")
+    return splits.inner_folds(models.class_counts(labels(spark, sf_dir)))
 
 
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

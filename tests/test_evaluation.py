@@ -102,6 +102,16 @@ def test_known_inner_folds(outer, want):
     assert [list(f.validation) for f in split.folds] == want and splits.from_dict(splits.to_dict(split)) == split
 
 
+def test_inner_folds_of_tasks_are_those_of_the_splits(spark):
+    counts = spark.createDataFrame([(who, *n) for who, n in COUNTS.items()], "participant_id string, n0 long, n1 long")
+    got = {tuple(r) for r in splits.inner_folds(counts.repartition(3)).collect()}
+    want = set()
+    for outer in COUNTS:
+        made = splits.inner_split(COUNTS, outer)
+        want |= {(outer, made.seed, f.index, who, part) for f in made.folds for part, ids in (("train", f.train), ("validation", f.validation)) for who in ids}
+    assert got == want and splits.inner_folds(counts.limit(0)).count() == 0
+
+
 def test_bad_splits_are_refused():
     good = splits.inner_split(COUNTS, "S2")
     f = good.folds[0]
