@@ -101,6 +101,8 @@ def test_command_lines(small, tmp_path):
     run = lambda *args: subprocess.run([sys.executable, "-m", *args], cwd=ROOT, capture_output=True, text=True, check=False)
     made = run("jobs.window_feed", "--events", f"{small}/events.parque[t]", "--out", f"{tmp_path}/out", "--checkpoint", f"{tmp_path}/checkpoint")
     assert made.returncode == 0 and "wrote" in made.stderr and list(Path(tmp_path, "out", "windows").glob("period=*/*.parquet"))
+    made = run("jobs.annotation_study", "--tables", small, "--out", f"{tmp_path}/study")
+    assert made.returncode == 0 and "wrote" in made.stderr and list(Path(tmp_path, "study", "report").glob("fraction=*/*.parquet"))
 
 
 def test_jobs_do_not_import_the_pipeline_operators():
