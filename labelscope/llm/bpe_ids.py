@@ -16,7 +16,7 @@ import os
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Characters without white space (or blanks, line ends in a row) from which a text is left to the library with the better bound.
+#: Bytes without ASCII white space (or of nothing else) from which a text is left to the library with the better bound.
 LONG_RUN = 1024
 
 
@@ -101,8 +101,15 @@ class Ids:
     def _agreed(self, text: str) -> bool:
         if any(s in text for s in self.special):
             return False
-        if not text.isascii() and not self.unsure.isdisjoint(text):
+        if self.unsure and not text.isascii() and not self.unsure.isdisjoint(text):
             return False
-        if len(text) > LONG_RUN and max(map(len, text.split()), default=LONG_RUN) >= LONG_RUN:
-            return False
-        return len(text) <= LONG_RUN or " " * LONG_RUN not in text and "\n" * LONG_RUN not in text
+        return len(text) <= LONG_RUN or not has_long_run(text)
+
+
+def has_long_run(text: str) -> bool:
+    """Whether ``LONG_RUN`` bytes stand between two ASCII blanks or line ends, or as many of these in a row."""
+    octets = np.frombuffer(text.encode(), np.uint8)
+    blank, size = np.flatnonzero(octets <= 32), len(octets)
+    if np.diff(blank, prepend=-1, append=size).max() > LONG_RUN:
+        return True
+    return len(blank) >= LONG_RUN and bool((blank[LONG_RUN - 1 :] - blank[: 1 - LONG_RUN] == LONG_RUN - 1).any())
