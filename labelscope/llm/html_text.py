@@ -10,7 +10,9 @@ sidebar, form) or one named as an advert, a notice, comments and the like weighs
 and a frame block leaves ``WINDOW`` empty lines; in an article or main part a line weighs
 ``SURGE`` more, and outside it only ``OUTSIDE`` of its length. What a block holds goes
 before its name: where nothing surges, the block whose loss hides most of the text is
-weighed as if it had no name, and then the page as if it had no main part.
+weighed as if it had no name, and then the page as if it had no main part. Lines that are
+links alone weigh ``SURGE`` in an article, as a paragraph or between lines of text of a
+main part, so that an article loses none.
 """
 
 from __future__ import annotations
@@ -50,30 +52,40 @@ MARKS = frozenset(
     "subscription signup comment comments commentlist disqus respond replies reply social share sharing sharebar related recommended recommendations "
     "trending pagination pager login search toolbar skip copyright legal disclaimer alert paywall".split()
 )
-#: Words that say that a block is the article's own, and words before a mark that take it back.
+#: Words that say that a block is the article's own: a name of theirs takes back other names' marks.
 OWN = frozenset(("article", "post", "entry", "story", "content"))
 #: Marks of what stands beside a text, however short the text is.
-BESIDE = frozenset("ad ads adbox adslot advert adverts advertisement advertising cookie cookies consent gdpr comment comments commentlist disqus respond replies reply related".split())
+BESIDE = frozenset(
+    "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo newsletter signup cookie cookies consent gdpr "
+    "comment comments commentlist disqus respond replies reply related recommended recommendations trending".split()
+)
+#: Words before a mark, and behind it in its name, that take it back.
 TAKEN_BACK = frozenset(("no", "not", "non", "has", "have", "with", "without", "hide", "is"))
+TAKEN_BACK_AFTER = frozenset(("free", "open", "closed", "off", "disabled"))
+#: Elements whose lines are a main part's own where they are links alone.
+PARAGRAPHS = frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "dd", "figcaption", "pre", "td"))
 ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"))
 
 _GONE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*>", re.S | re.I)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][\w:-]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*)(/?)>|<(/?)([a-zA-Z][\w:-]*)([^<>]*)>""")
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[a-z0-9]+")
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
 @dataclass
 class Line:
-    """A block's text, the characters of it that are in links, whether a main part holds it, and the marked blocks around it.
+    """A block's text, the characters of it that are in links, the number of the main part that holds it (0 for none),
+    the marked blocks around it, and whether it is text of a main part though links alone.
 
     Numbers of blocks that are named as beside the text are negative.
     """
 
     text: str
     linked: int
-    inside: bool
+    part: int
     marks: tuple[int, ...]
+    own: bool = False
 
 
 class _Open:
@@ -90,16 +102,18 @@ def lines(html: str) -> list[Line]:
     parts: list[str] = []
     linked, link = 0, False
     main, seen_main, hidden, depth = 0, False, "", 0
+    element, articles, part = "", 0, 0  # the block that text stands in, open articles, the latest main part
     roles: list[tuple[str, int]] = []  # elements with role=main: name and depth
     marks: list[_Open] = []
-    gap = [Line("", 0, False, ())] * WINDOW
+    gap = [Line("", 0, 0, ())] * WINDOW
     numbers = itertools.count(1)
 
     def close() -> None:
         nonlocal parts, linked
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            out.append(Line(text, min(linked, len(text)), bool(main or roles), tuple(m.number for m in marks)))
+            inside = part if main or roles else 0
+            out.append(Line(text, min(linked, len(text)), inside, tuple(m.number for m in marks), bool(articles) or element in PARAGRAPHS))
         parts, linked = [], 0
 
     at = 0
@@ -129,6 +143,8 @@ def lines(html: str) -> list[Line]:
             continue
         if name in BLOCKS:
             close()
+            if name not in VOID:
+                element = "" if end else name
             # a paragraph ends where the next block begins or its parent ends
             while marks and marks[-1].name in IMPLIED and name != "br" and not (end and name == marks[-1].name):
                 marks.pop()
@@ -147,10 +163,14 @@ def lines(html: str) -> list[Line]:
                 marks.append(_Open(name, next(numbers) * (-1 if BESIDE.intersection(named) else 1)))
         if name in MAIN:
             seen_main = True
+            part += not (end or main or roles)
             if main <= 1:
-                out += [*gap, Line("", 0, True, ())]
+                out += [*gap, Line("", 0, part, ())]
             main = max(0, main + (-1 if end else 1))
+            if name == "article":
+                articles = max(0, articles + (-1 if end else 1))
         elif not end and "main" in _roles(attributes):
+            part += not (main or roles)
             roles.append((name, 1))
         elif roles and name == roles[-1][0]:
             roles[-1] = (name, roles[-1][1] + (-1 if end else 1))
@@ -167,33 +187,53 @@ def _roles(attributes: str) -> set[str]:
 
 
 def _named(name: str, attributes: str, inside: bool, seen_main: bool) -> set[str]:
-    """The words by which a block is part of the frame or stands beside the text; none for other blocks."""
+    """The words by which a block is part of the frame or stands beside the text; none for other blocks.
+
+    A name of an own word and no mark takes back the marks of the attribute's other names, but
+    for those that stand beside a text; a mark in one name with an own word stands.
+    """
     if name in CHROME or (name == "header" and not inside):
         return {name}
     found: set[str] = set()
     if not attributes or name in ("body", "html") or (name in MAIN and not seen_main):
         return found
     for key, a, b, c in _NAMED.findall(attributes):
-        words = _WORDS.findall((a or b or c).lower())
+        value = a or b or c
         if key.lower() == "role":
-            found |= ROLES.intersection(words)
+            found |= ROLES.intersection(_WORDS.findall(value.lower()))
             continue
-        said = {w for before, w in zip(["", *words], words, strict=False) if before not in TAKEN_BACK}
-        if not said & OWN:
-            found |= MARKS & said
-            if "header" in said and not inside:
-                found.add("header")
+        names = [_said(_WORDS.findall(_HUMP.sub("-", n).lower())) for n in value.split()]
+        own = any(n & OWN and not n & MARKS for n in names)
+        for said in names:
+            found |= said & (BESIDE if own and not said & OWN else MARKS)
+        said = set().union(*names)
+        if "header" in said and not inside and not said & OWN:
+            found.add("header")
     return found
 
 
+def _said(words: list[str]) -> set[str]:
+    """A name's words but for those taken back."""
+    around = zip(["", *words], words, [*words[1:], ""], strict=False)
+    return {w for before, w, after in around if before not in TAKEN_BACK and not (w in MARKS and after in TAKEN_BACK_AFTER)}
+
+
 def weights(page: list[Line], lifted: frozenset[int] = frozenset(), main: bool = True) -> np.ndarray:
     """The lines' weights; names of ``lifted`` blocks, and without ``main`` those of main parts, do not count."""
-    main = main and any(line.inside for line in page)
+    main = main and any(line.part for line in page)
     out = np.zeros(len(page))
+    ends: dict[int, tuple[int, int]] = {}  # first and last line of text of a main part
     for i, line in enumerate(page):
         own = len(line.text) - line.linked
         if own > 0 and lifted.issuperset(line.marks):
-            out[i] = (own + SURGE if line.inside else own * OUTSIDE) if main else own
+            out[i] = (own + SURGE if line.part else own * OUTSIDE) if main else own
+            if line.part:
+                ends[line.part] = (ends.get(line.part, (i, i))[0], i)
+    if main:
+        for i, line in enumerate(page):
+            if line.text and not out[i] and line.part in ends and lifted.issuperset(line.marks):
+                first, last = ends[line.part]
+                out[i] = SURGE if line.own or first < i < last else 0
     return out
 
 
@@ -215,7 +255,7 @@ def _lifted(page: list[Line]) -> frozenset[int]:
     Only blocks inside the main part are asked where there is one, and none that is
     named as beside the text where the main part has text of its own.
     """
-    scope = [line for line in page if line.inside] or page
+    scope = [line for line in page if line.part] or page
     lifted: frozenset[int] = frozenset()
     while True:
         own = scope is not page and any(len(line.text) > line.linked and lifted.issuperset(line.marks) for line in scope)

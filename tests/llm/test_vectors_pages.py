@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 from html import unescape
 from html.parser import HTMLParser
@@ -161,6 +162,34 @@ def test_own_blocks_links_and_mains_of_links():
     assert html_text.main_text(page(f"<article><p>{long}</p><div class='comments'><p>{long * 3}</p></div></article>")) == long.strip()
 
 
+@pytest.mark.parametrize(
+    ("named", "stays"),
+    [
+        ("sponsored-content", False), ("newsletter-content", False), ("sidebar-content", False), ("post-comments", False), ("content sponsored", False), ("postComments", False), ("entry-content related", False),
+        ("story ad", False), ("article-share", False), ("entry-header", True), ("post-content widget", True), ("entry comments-open", True), ("content ad-free", True), ("post has-comments", True), ("story-body", True),
+    ],
+)
+def test_a_mark_beside_an_own_word(named, stays):
+    body = f"<p>{TEXT}</p><div class='{named}'><p>{TEXT}X</p></div><p>End.</p>"
+    want = f"{TEXT.strip()}\n" + f"{TEXT}X\n" * stays + "End."
+    assert html_text.main_text(page(f"<article>{body}</article>")) == want
+    assert html_text.main_text(page(f"<main>{body}</main>")) == want
+    assert html_text.main_text(page(f"<div>{body}</div>")) == want
+
+
+@pytest.mark.parametrize("n", [1, 3, 4, 50])
+def test_an_article_loses_no_paragraph_of_links(n):
+    links = "".join(f"<p><a href='{i}'>Link {i}</a></p>" for i in range(n))
+    got = "".join(f"Link {i}\n" for i in range(n))
+    for element in ("article", "main"):
+        for before, after in ((links, ""), ("", links), (links, links)):
+            body = f"<{element}>{before}<p>{TEXT}</p>{links}<div class=ad><p>b</p><p>b</p><p>b</p><p>b</p></div><p>End.</p>{after}</{element}>"
+            want = got * bool(before) + f"{TEXT.strip()}\n" + got + "End.\n" + got * bool(after)
+            assert html_text.main_text(page(body)) == want.strip()
+    menu = "<ul>" + "<li><a href=1>Home</a></li>" * (n + 3) + "</ul>"
+    assert html_text.main_text(page(f"<main>{menu}<article><h1>T</h1><p>{TEXT}</p></article></main>")) == f"T\n{TEXT.strip()}"
+
+
 class Plain(HTMLParser):
     """Lines of a well-formed page: (text, characters in links, inside an article, in a named or frame block)."""
 
@@ -171,7 +200,7 @@ class Plain(HTMLParser):
     def flush(self):
         text = " ".join("".join(self.parts).split())
         if text:
-            frame = any(n in ("nav", "footer") or c == "ad" for n, c in self.stack)
+            frame = any(n in ("nav", "footer") or c in ("ad", "comments", "post-comments", "sidebar-content", "sponsored-content") for n, c in self.stack)
             self.lines.append((text, self.linked, any(n == "article" for n, _ in self.stack), frame))
         self.parts, self.linked = [], 0
 
@@ -208,7 +237,7 @@ def brute_main_text(html):
     weight = []
     for text, linked, inside, frame in parser.lines:
         own = len(text) - linked
-        weight.append(0 if frame or own <= 0 else own + 80 if inside else own * 0.05)
+        weight.append(0 if frame or own <= 0 and not (text and inside) else own + 80 if inside else own * 0.05)
     n = len(weight)
     up = [sum(weight[max(0, i - 2) : i + 1]) > 0 and sum(weight[i : i + 3]) > 0 for i in range(n)]
     out, i = [], 0
@@ -232,6 +261,17 @@ def test_all_pages_equal_a_plain_distribution():
             assert "".join(got.split()) == "".join(unescape(re.sub("<[^>]*>", "", at)).split())
 
 
+def test_made_pages_equal_a_plain_distribution():
+    rng = random.Random(6)
+    for _ in range(300):
+        part = lambda: rng.choice(
+            [f"<p>{TEXT * rng.randint(1, 2)}</p>", "<p>Short.</p>", "<p><a href='x'>A link alone</a></p>", "<ul><li><a href='y'>One</a></li><li>two</li></ul>"]
+            + [f"<div class='{name}'><p>{rng.choice((TEXT, 'Buy.'))}</p><p>x</p></div>" for name in ("ad", "comments", "post-comments", "sidebar-content", "sponsored-content")]
+        )
+        body = f"<nav><p>{TEXT}</p></nav><article><h1>Title</h1><p>{TEXT}</p>{''.join(part() for _ in range(rng.randint(0, 12)))}</article><footer><p>{TEXT}</p></footer>"
+        assert html_text.main_text(page(body)) == brute_main_text(page(body)), body
+
+
 def test_page_rows(spark):
     rows = [(1, "u", page(ARTICLE), "x"), (1, "u", page(ARTICLE), "x"), (2, None, None, "y"), (None, "v", "", "z")]
     got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect() if r["page_id"])
