@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -92,6 +92,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
     return texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
+def within_bytes(rows: DataFrame, limit: int) -> DataFrame:
+    """The first of ``rows`` (doc_id, label, text; a bounded sample, ids distinct) by the md5 of the id whose texts have
+    at most ``limit`` bytes together; a text of more than an eighth of it is passed over, a null one has none."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    rows = cut(rows.withColumn("size", size).filter(F.col("size") <= limit // 8))
+    order = Window.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    fitting = rows.select("doc_id", "size").withColumn("total", F.sum("size").over(order)).filter(F.col("total") <= limit)
+    return rows.join(F.broadcast(fitting.select("doc_id")), "doc_id").select("doc_id", "label", "text")
+
+
 def keep_scored(docs: DataFrame, score: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, np.ndarray]]], keep) -> DataFrame:
     """Rows of ``docs`` for whose score ``keep`` (a function of a column) holds, columns as they were.
 

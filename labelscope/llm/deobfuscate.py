@@ -4,8 +4,11 @@ A token that may be disguised (marks or digits between letters, letters repeated
 times and more, single letters spaced out) becomes a lattice: each character may stand
 for itself, for a letter it resembles, for nothing (a separator, a repetition) or for a
 word boundary, at a cost. The Viterbi path through the lattice under a character trigram
-model gives the restored token. All other text has one path, itself, and stays. Tokens and
-separators may have any length: long tokens are read in stretches around the marks.
+model gives the restored token. All other text has one path, itself, and stays.
+
+A token ends at white space, at a byte that hides nothing, and where a script without
+spaces meets another one. Tokens and separators may have any length: one lattice is laid
+over the whole token, and its rivals are read for the words of the best path.
 """
 
 from __future__ import annotations
@@ -25,13 +28,12 @@ SEPARATORS = ".-_*'~ "
 #: Costs in nats: a letter behind a look-alike, behind "*", no character, a look-alike meant as it stands,
 #: a space meant as one between spaced letters, a shortened repetition.
 RESEMBLES, WILD, NOTHING, LITERAL, GAP, SHORTENED = 1.0, 2.5, 1.2, 6.5, 2.0, 0.5
-#: A token of more bytes is read in stretches that reach AROUND bytes from what may be a disguise; a stretch of more
-#: characters, word after word of its best path.
-LONGEST, AROUND = 40, 24
+#: Rivals are read for as many words of the best path together as have this many characters.
+LONGEST = 40
 SPACED = 4
 #: Readings kept, and how much dearer than the best a rival may be.
 RIVALS, MARGIN = 5, 7.0
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 N_SYMBOLS = 28  # 0 boundary, 1-26 letters, 27 any other letter
 _SYMBOL = np.zeros(256, np.int64)
@@ -44,7 +46,7 @@ _ALIKE = np.zeros(256, bool)
 _ALIKE[[ord(c) for c in LOOKALIKES]] = True
 _BETWEEN = np.zeros(256, bool)
 _BETWEEN[[ord(c) for c in SEPARATORS.strip()]] = True
-#: ASCII bytes that end a stretch.
+#: ASCII bytes that end a token.
 _HARD = ~(_LETTER | _ALIKE | _BETWEEN)
 #: What is read in one step: separators or white space of any length, a character and its repetitions.
 _UNIT = re.compile(r"[-._'~ \t\n\r\f\v]+|(.)\1*", re.S)
@@ -72,7 +74,7 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 
 def suspects(raw: np.ndarray, offs: np.ndarray) -> list[tuple[int, int]]:
     """Byte ranges of lower-cased texts that may hold disguised words, in order, disjoint."""
-    starts, ends, woffs = tk.word_spans(raw, offs, tk.NONSPACE)
+    starts, ends = tokens(raw, offs)
     if not len(starts):
         return []
     letter = _LETTER[raw]
@@ -92,45 +94,45 @@ def suspects(raw: np.ndarray, offs: np.ndarray) -> list[tuple[int, int]]:
         within = before[a] & ~first[a] & np.append(letter & ~first, False)[b]
         inner[a[within]] = inner[b[within] - 1] = True
         inner[2:] |= letter[2:] & (raw[2:] < 128) & same_left[2:] & same_left[1:-1]
+    flagged = np.zeros(len(starts), bool)
     marks = np.flatnonzero(inner)
     home = np.searchsorted(starts, marks, side="right") - 1
-    flagged = np.zeros(len(starts), bool)
-    flagged[home] = True
-    token = flagged & (ends - starts <= LONGEST) & (ends - starts >= 3)
-    single = (ends - starts == 1) & (letter[starts] | _ALIKE[raw[starts]])
-    found = [(int(starts[i]), int(ends[i])) for i in np.flatnonzero(token)]
-    long = (ends - starts > LONGEST)[home]
-    if long.any():
-        found += _stretches(raw, marks[long], starts[home[long]], ends[home[long]])
+    flagged[home[marks < ends[home]]] = True
+    found = [(int(starts[i]), int(ends[i])) for i in np.flatnonzero(flagged & (ends - starts >= 3))]
+    words, stops, woffs = tk.word_spans(raw, offs, tk.NONSPACE)
+    single = (stops - words == 1) & (letter[words] | _ALIKE[raw[words]])
     for a, b in zip(*tk.runs(single, woffs), strict=True):
-        if b - a >= SPACED and letter[starts[a:b]].sum() >= 2:
-            found.append((int(starts[a]), int(ends[b - 1])))
+        if b - a >= SPACED and letter[words[a:b]].sum() >= 2:
+            found.append((int(words[a]), int(stops[b - 1])))
     return sorted(found)
 
 
-def _stretches(raw: np.ndarray, marks: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
-    """Whole characters around the marks of long tokens, disjoint: as far as ``AROUND`` bytes, a mark that
-    hides nothing, or a character of a script without spaces (unless the mark stands between such)."""
+def tokens(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of tokens: no white space or hard byte in them, and either scripts without spaces or others.
+
+    Marks between two characters of scripts without spaces belong to them, other marks to what else they touch.
+    """
     n = len(raw)
+    soft = ~_HARD[raw]
     lead = np.maximum.accumulate(np.where(raw & 0xC0 != 0x80, np.arange(n), 0))
     head = raw[lead]
     unspaced = (head >= 0xE3) & (head <= 0xED)
-    unspaced |= (head == 0xE0) & (raw[np.minimum(lead + 1, n - 1)] >= 0xB8)  # Thai, Lao
-    within = unspaced[np.maximum(marks - 1, 0)] & unspaced[np.minimum(marks + 1, n - 1)]
-    lo, hi = np.maximum(starts, marks - AROUND), np.minimum(ends, marks + 1 + AROUND)
-    for which, hard in ((within, _HARD[raw]), (~within, _HARD[raw] | unspaced)):
-        stops = np.concatenate([[-1], np.flatnonzero(hard), [n]])
-        place = np.searchsorted(stops, marks)
-        lo = np.where(which, np.maximum(lo, stops[place - 1] + 1), lo)
-        hi = np.where(which, np.minimum(hi, stops[np.searchsorted(stops, marks, side="right")]), hi)
-    lo = np.where(lo < n, lead[np.minimum(lo, n - 1)], lo)
-    for _ in range(3):
-        inside = (hi < ends) & (lead[np.minimum(hi, n - 1)] != hi)
-        hi = hi + inside
-    hi = np.maximum.accumulate(hi)
-    new = np.concatenate([[True], lo[1:] >= hi[:-1]])
-    first = np.flatnonzero(new)
-    return list(zip(np.minimum.reduceat(lo, first).tolist(), hi[np.append(first[1:], len(hi)) - 1].tolist(), strict=True))
+    if n:
+        unspaced |= (head == 0xE0) & (raw[np.minimum(lead + 1, n - 1)] >= 0xB8)  # Thai, Lao
+    a, b = tk.runs(soft & ~_LETTER[raw], offs)
+    if len(a):
+        edge = np.zeros(n + 1, bool)
+        edge[offs] = True
+        between = (a > 0) & (b < n) & ~edge[a] & ~edge[b]
+        between &= unspaced[np.maximum(a - 1, 0)] & unspaced[np.minimum(b, n - 1)]
+        turned = np.zeros(n + 1, np.int64)
+        turned[a[between]] = 1
+        turned[b[between]] -= 1
+        unspaced |= np.cumsum(turned[:-1]) > 0
+    one, two = tk.runs(soft & ~unspaced, offs), tk.runs(soft & unspaced, offs)
+    starts, ends = np.concatenate([one[0], two[0]]), np.concatenate([one[1], two[1]])
+    order = np.argsort(starts)
+    return starts[order], ends[order]
 
 
 class Restorer:
@@ -139,6 +141,7 @@ class Restorer:
     def __init__(self, costs: np.ndarray):
         self.costs = costs.tolist()
         self.known: dict[tuple[str, bool], list[str]] = {}
+        self.best: dict[str, tuple[str, list[list[str]], bool]] = {}
 
     def readings(self, token: str, spaced: bool = False) -> list[str]:
         """The best path and its near rivals, best first; ``spaced`` says that a whole of single letters is known of."""
@@ -150,49 +153,58 @@ class Restorer:
         return out
 
     def token(self, token: str) -> str:
-        if len(token) <= LONGEST:
-            return self.readings(token)[0]
-        parts, spaced = self._parts(token)
-        return "".join(self.readings("".join(words), spaced)[0] for words in parts)
+        """The cheapest path through the lattice of the whole token, whatever its length."""
+        return self._best(token)[0]
 
     def rivals(self, token: str) -> str:
-        """All readings, for scoring; a long token's part by part, and over the joints of its parts."""
-        if len(token) <= LONGEST:
-            return " ".join(self.readings(token))
-        parts, spaced = self._parts(token)
-        out = [self.token(token)]
+        """All readings, for scoring: of the words of the best path, ``LONGEST`` characters together, and over their joints."""
+        best, parts, spaced = self._best(token)
+        out = [best]
         for words in parts:
             out += self.readings("".join(words), spaced)
         for left, right in zip(parts, parts[1:], strict=False):
             out += self.readings(left[-1] + right[0], spaced)
-        return " ".join(out)
+        return " ".join(dict.fromkeys(out))
 
-    def _parts(self, token: str) -> tuple[list[list[str]], bool]:
-        """A long token as lists of the words of its best path, about ``LONGEST`` characters each; whether it is spaced."""
+    def _best(self, token: str) -> tuple[str, list[list[str]], bool]:
+        """A token's best path, its words as lists of about ``LONGEST`` characters each, and whether it is spaced."""
+        out = self.best.get(token)
+        if out is None:
+            out = self._path(token)
+            if len(token) <= LONGEST:
+                if len(self.best) >= REMEMBERED:
+                    self.best.clear()
+                self.best[token] = out
+        return out
+
+    def _path(self, token: str) -> tuple[str, list[list[str]], bool]:
         units = [m[0] for m in _UNIT.finditer(token)]
         spaced = _spaced(units)
         costs = self.costs
-        # per state: cost, and the units after which a word ends, the last one first
+        # per state: cost, and the texts put out with whether a word ends there, the last one first
         paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-        for k, options in enumerate(self._options(units, spaced)):
+        for options in self._options(units, spaced):
             ahead: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-            for (p, q), (cost, cuts) in paths.items():
-                for out, price, boundary in options:
+            for (p, q), (cost, steps) in paths.items():
+                for option in options:
+                    out, price, boundary = option
                     a, b, more = p, q, cost + price
                     for symbol in (0,) if boundary else _symbols(out):
                         more += costs[a][b][symbol]
                         a, b = b, symbol
                     if (a, b) not in ahead or more < ahead[a, b][0]:
-                        ahead[a, b] = (more, (cuts, k) if boundary else cuts)
+                        ahead[a, b] = (more, (steps, option))
             paths = ahead
-        cuts = min(((cost + costs[a][b][0], n, c) for n, ((a, b), (cost, c)) in enumerate(paths.items())), key=lambda x: x[:2])[2]
-        ends = [len(units)]
-        while cuts is not None:
-            cuts, k = cuts
-            ends.append(k + 1)
+        steps = min(((cost + costs[a][b][0], n, held) for n, ((a, b), (cost, held)) in enumerate(paths.items())), key=lambda x: x[:2])[2]
+        texts, ends = [], {len(units)}
+        while steps is not None:
+            steps, (out, _, boundary) = steps
+            texts.append(out)
+            if boundary:
+                ends.add(len(units) - len(texts) + 1)
         parts: list[list[str]] = []
         at, room = 0, 0
-        for end in sorted(set(ends)):
+        for end in sorted(ends):
             while at < end:
                 stop = min(end, at + 4 * LONGEST)  # a stretch without any word end
                 word, at = "".join(units[at:stop]), stop
@@ -201,7 +213,7 @@ class Restorer:
                     room = LONGEST
                 parts[-1].append(word)
                 room -= len(word)
-        return parts, spaced
+        return "".join(reversed(texts)), parts, spaced
 
     def _options(self, units: list[str], spaced: bool) -> list[list[tuple[str, float, bool]]]:
         """Per unit: (text put out, cost, whether it is a boundary to the model)."""
@@ -252,8 +264,8 @@ class Restorer:
                 continue
             before = data[a:b].decode()
             after = self.rivals(before) if rivals else self.token(before)
-            if rivals and after != before:  # a word of its own inside scripts without spaces
-                after = " " * (a > 0 and data[a - 1] > 127) + after + " " * (b < len(data) and data[b] > 127)
+            if rivals and after != before:  # a word of its own beside digits and scripts without spaces
+                after = " " * (a > 0 and (data[a - 1] > 127 or 48 <= data[a - 1] < 58)) + after + " " * (b < len(data) and (data[b] > 127 or 48 <= data[b] < 58))
             if after != before:
                 put = after.encode()
                 pieces += [data[at:a], put]

@@ -2,7 +2,7 @@
 
 The character language model counts triples over all documents. A lexicon of words and
 word beginnings that mark toxic documents, and its weights, are learned from a bounded
-sample of labelled rows (``TRAIN_DOCS``), on restored texts; every document is then
+sample of labelled rows (``TRAIN_DOCS``, ``TRAIN_BYTES``), on restored texts; every document is then
 restored and scored whole.
 """
 
@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.llm import textkernel as tk
-from labelscope.llm.common import bound_batches, cut, document_remainder, keep_scored, released, table, training_rows
+from labelscope.llm.common import bound_batches, cut, document_remainder, keep_scored, released, table, training_rows, within_bytes
 from labelscope.llm.deobfuscate import N_SYMBOLS, Restorer, count_trigrams, language_model
 
-TRAIN_DOCS = 16_000
+#: Labelled rows and bytes of text that the lexicon is learned from; a text of more than an eighth of the bytes is not among them.
+TRAIN_DOCS, TRAIN_BYTES = 16_000, 400_000_000
 #: Lengths in bytes of word beginnings that are features beside whole words.
 BEGINNINGS = (4, 5, 6)
 #: A lexicon feature is in at least MIN_POSITIVE toxic documents of the sample, which bounds their number.
@@ -101,16 +102,17 @@ def _present(parts, index: tk.HashIndex) -> np.ndarray:
     return np.concatenate(found)
 
 
-def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, train_docs: int = TRAIN_DOCS) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Lexicon:
     """A lexicon from ``labels`` (doc_id, label 0 or 1) and restored texts of ``docs``.
 
-    At most ``train_docs`` labelled rows, see ``training_rows``. With only one class,
+    At most ``train_docs`` labelled rows with at most ``train_bytes`` bytes of text
+    together, see ``training_rows`` and ``within_bytes``. With only one class,
     or none, the lexicon is empty and the bias says the class (not toxic where there
     are no labels).
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    texts = cut(training_rows(docs, labels, train_docs))
+    texts = cut(within_bytes(training_rows(docs, labels, train_docs), train_bytes))
     shared = spark.sparkContext.broadcast(costs)
 
     sizes = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}  # a row a class
@@ -263,7 +265,7 @@ def restored_texts(docs: DataFrame, costs: np.ndarray) -> DataFrame:
     """(doc_id, restored): lower-cased texts with disguised words restored; null stays null, empty stays empty.
 
     Repeated rows and null ids come out as they came in; among equally cheap readings the
-    first in code point order counts; other columns are not read; an empty table gives no rows.
+    first of the lattice's order counts, where a character standing for itself comes first; other columns are not read; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(costs)
 

@@ -470,6 +470,80 @@ def test_long_disguises_and_long_separators_are_restored(spark):
         assert restorer.restore(f"the {put} people").startswith("the ") and len(restorer.restore(put)) <= len(put)
 
 
+def whole_lattice(token, costs):
+    """The best text over a whole token with every choice of its characters, by the costs the module states; afresh behind hard characters."""
+    soft = set("abcdefghijklmnopqrstuvwxyz") | set(deobfuscate.LOOKALIKES) | set(deobfuscate.SEPARATORS)
+    paths = {(0, 0): (0.0, "")}
+    units = [m[0] for m in re.finditer(r"[-._'~]+|(.)\1*", token)]
+    for k, unit in enumerate(units):
+        if unit[0] not in soft:
+            best = min((cost + costs[a][b][0], text) for (a, b), (cost, text) in paths.items())
+            paths = {(0, 0): (best[0], best[1] + unit)}
+            continue
+        inside = 0 < k < len(units) - 1 and units[k - 1][0] in soft and units[k + 1][0] in soft
+        c, n = unit[0], len(unit)
+        if c.isalpha():
+            choices = [(unit, 0.0, [ord(c) - 96] * n)] + [(c * m, 0.5, [ord(c) - 96] * m) for m in (1, 2) if n >= 3]
+        else:
+            letters = deobfuscate.LOOKALIKES.get(c, "") if n == 1 or n == 2 and c in "$0!|@" else ""
+            choices = [(unit, 6.5 if letters else 0.0, [0])] + [(x * n, 2.5 if c == "*" else 1.0 * n, [ord(x) - 96] * n) for x in letters]
+            if c in deobfuscate.SEPARATORS and inside:
+                choices.append(("", 1.2, []))
+        ahead = {}
+        for (p, q), (cost, text) in paths.items():
+            for out, price, symbols in choices:
+                a, b, more = p, q, cost + price
+                for s in symbols:
+                    more, a, b = more + costs[a][b][s], b, s
+                if (a, b) not in ahead or more < ahead[a, b][0]:
+                    ahead[a, b] = (more, text + out)
+        paths = ahead
+    return min((cost + costs[a][b][0], text) for (a, b), (cost, text) in paths.items())[1]
+
+
+def test_chains_of_any_length_are_read_by_one_lattice(spark):
+    words = "you are an idiot and a moron the stupid clown is pathetic trash scum loser people in on of to with for that admin hate"
+    docs = table(spark, [(i, f"{words} " * 30, "a") for i in range(5)])
+    costs = deobfuscate.language_model(toxicity.corpus_trigrams(docs))
+    restorer = deobfuscate.Restorer(costs)
+    rng = random.Random(8)
+    disguise = lambda w: "".join(rng.choice({"o": "0", "i": "1!", "e": "3", "a": "4@", "s": "5$"}.get(c, c) + c) for c in w)
+    changed = 0
+    for n in range(300):
+        chain, size = "", rng.randint(20, 400)
+        while len(chain) < size:
+            word = rng.choice(words.split())
+            chain += (disguise(word) if rng.random() < 0.5 else word) + rng.choice("/,:;=&-._")
+        chain = chain.rstrip("-._")
+        raw = np.frombuffer(chain.encode(), np.uint8)
+        want, at = "", 0
+        for a, b in deobfuscate.suspects(raw, np.array([0, len(raw)])):
+            want += chain[at:a] + whole_lattice(chain[a:b], costs)
+            at = b
+        want += chain[at:]
+        assert restorer.restore(chain) == want == restorer.restore(f"{'people/' * (n % 40)}{chain}")[7 * (n % 40) :]
+        changed += want != chain
+    assert changed > 250
+    for lead in ("", "a" * 3 + "/", "people/" * 30, "people-of-" * 30):
+        got = restorer.restore(f"{lead}the/1d10t/in/that/4dm1n/h4te/3rr/0nly")
+        assert got.endswith("the/idiot/in/that/admin/hate/" + got.rsplit("hate/", 1)[1]) and whole_lattice("4dm1n", costs) == "admin"
+
+
+def test_tokens_end_where_nothing_can_hide():
+    cut = lambda t: [t.encode()[a:b].decode() for a, b in zip(*deobfuscate.tokens(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])), strict=True)]
+    assert cut("the/1d10t,4dm1n b.c") == ["the", "1d10t", "4dm1n", "b.c"]
+    assert cut("\u4f60\u597dm0r0n\u4f60.\u597d.x.\u4f60") == ["\u4f60\u597d", "m0r0n", "\u4f60.\u597d", ".x.", "\u4f60"]
+    assert cut("") == [] and cut("  /2") == []
+
+
+def test_the_sample_is_bounded_by_bytes(spark):
+    rows = spark.createDataFrame([(i, i % 2, "x" * (i * 10)) for i in range(1, 30)] + [(90, 1, None), (91, 0, "y" * 5000)], "doc_id long, label int, text string")
+    got = common.within_bytes(rows, 800).collect()
+    assert sum(len(r["text"] or "") for r in got) <= 800 and 90 in {r["doc_id"] for r in got} and all(len(r["text"] or "") <= 100 for r in got)
+    assert sorted(r["doc_id"] for r in common.within_bytes(rows.repartition(5), 800).collect()) == sorted(r["doc_id"] for r in got)
+    assert common.within_bytes(rows, 10**6).count() == 31 and common.within_bytes(rows.limit(0), 800).count() == 0
+
+
 def test_disguised_words_count_as_the_words(spark):
     clean = "the people of the town with an old house for rent on that street are kind "
     rng = random.Random(2)
