@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelscope.functions import scalars as S
+from labelscope.operators.ranked import running_totals
 
 
 def confusion() -> list[Column]:
@@ -48,14 +49,10 @@ def _by_score(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def ranking_metrics(rows: DataFrame, by: list[str]) -> DataFrame:
-    """AUROC (ties averaged) and average precision (steps at distinct scores), both from one sorted pass."""
-    up = Window.partitionBy(*by).orderBy("p")
-    down = Window.partitionBy(*by).orderBy(F.desc("p"))
-    before = up.rowsBetween(Window.unboundedPreceding, -1)
-    upto = down.rowsBetween(Window.unboundedPreceding, 0)
-    s = _by_score(rows, by)
-    s = s.withColumn("_below0", F.coalesce(F.sum("_p0").over(before), F.lit(0)))
-    s = s.withColumn("_tp", F.sum("_p1").over(upto)).withColumn("_all", F.sum(F.col("_p1") + F.col("_p0")).over(upto))
+    """AUROC (ties averaged) and average precision (steps at distinct scores), both from one pass in order of the score."""
+    s = running_totals(_by_score(rows, by), by, {"p": F.col("p")}, {"_p1": F.col("_p1"), "_p0": F.col("_p0")})
+    tp, fp = F.col("_p1_total") - F.col("_p1_before"), F.col("_p0_total") - F.col("_p0_before")  # of this score or more
+    s = s.withColumn("_below0", F.col("_p0_before")).withColumn("_tp", tp).withColumn("_all", tp + fp)
     got = s.groupBy(*by).agg(
         F.sum("_p1").alias("n1"), F.sum("_p0").alias("n0"),
         F.sum(F.col("_p1") * (F.col("_below0") + F.col("_p0") / F.lit(2.0))).alias("_wins"), F.sum(F.col("_p1") * F.col("_tp") / F.col("_all")).alias("_steps"),
@@ -90,11 +87,16 @@ def family_summary(metrics: DataFrame, families: list[str], value: str = "balanc
 
 
 def average_rank(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Rank from 1 with ties averaged, and percentile rank from 0 to 1 (0 for a group of one)."""
-    w = Window.partitionBy(*by)
-    rank = F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / F.lit(2.0)
-    n = F.count("*").over(w)
-    return rows.withColumn("average_rank", rank).withColumn("percentile_rank", F.when(n == 1, F.lit(0.0)).otherwise((rank - 1) / (n - 1)))
+    """Rank from 1 with ties averaged, and percentile rank from 0 to 1 (0 for a group of one).
+
+    Null is a value of its own, below all others. Values are counted first, so that equal
+    ones are one row, and ranks come from running totals of those counts.
+    """
+    counted = rows.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    placed = running_totals(counted, by, {"value": F.col(value)}, {"_n": F.col("_n")})
+    rank, n = F.col("_n_before") + 1 + (F.col("_n") - 1) / F.lit(2.0), F.col("_n_total")
+    ranks = placed.select(*[F.col(c).alias(f"_r_{c}") for c in (*by, value)], rank.alias("average_rank"), F.when(n == 1, F.lit(0.0)).otherwise((rank - 1) / (n - 1)).alias("percentile_rank"))
+    return rows.join(ranks, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in (*by, value)]).select(*rows.columns, "average_rank", "percentile_rank")
 
 
 def select_best(scores: Column, tolerance: float = 1e-12) -> Column:
@@ -115,7 +117,6 @@ def risk_coverage(rows: DataFrame, by: list[str]) -> DataFrame:
     wrong = F.when(F.col("hard") != F.col("y"), 1).otherwise(0)
     s = rows.filter("y IS NOT NULL").withColumn("confidence", F.greatest(F.col("p"), 1 - F.col("p")))
     s = s.groupBy(*by, "confidence").agg(F.count("*").alias("_n"), F.sum(wrong).alias("_e"))
-    w = Window.partitionBy(*by).orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("_n").over(Window.partitionBy(*by))
-    n, e = F.sum("_n").over(w), F.sum("_e").over(w)
-    return s.select(*by, "confidence", n.alias("n_kept"), (n / total).alias("coverage"), (e / n).alias("error_rate"))
+    s = running_totals(s, by, {"confidence": F.col("confidence")}, {"_n": F.col("_n"), "_e": F.col("_e")})
+    n, e = F.col("_n_total") - F.col("_n_before"), F.col("_e_total") - F.col("_e_before")  # of this confidence or more
+    return s.select(*by, "confidence", n.alias("n_kept"), (n / F.col("_n_total")).alias("coverage"), (e / n).alias("error_rate"))

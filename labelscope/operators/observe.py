@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from labelscope.functions import scalars as S
 from labelscope.functions.seeds import child_seed
 from labelscope.operators import metrics as M
+from labelscope.operators.ranked import running_totals
 
 FAMILIES = ("logistic", "random_forest", "xgboost")
 FRACTIONS = ("0.25", "0.50", "0.75", "1.00")
@@ -44,11 +45,10 @@ def targeted_mask(predictions: DataFrame, fractions: tuple[str, ...] = FRACTIONS
     Ties go by a digest of the ids, so row order, labels and time play no part.
     """
     tie = S.tie_key(S.child_seed(seed, F.lit(TIE_STREAM)), F.col("participant_id"), F.col("window_id"))
-    order = Window.partitionBy("participant_id").orderBy(F.desc(F.round("consensus_score", 12)), tie)
-    scored = consensus(predictions)
-    placed = scored.withColumn("place", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("participant_id")))
+    order = {"none": F.col("consensus_score").isNull(), "score": -F.round("consensus_score", 12), "tie": tie}
+    placed = running_totals(consensus(predictions), ["participant_id"], order, {"n": F.lit(1)})
     each = placed.withColumn("fraction", F.explode(F.array(*[F.lit(f) for f in fractions])))
-    return each.filter(F.col("place") <= F.floor(F.col("fraction").cast("double") * F.col("n"))).select("participant_id", "fraction", "window_id")
+    return each.filter(F.col("n_before") < F.floor(F.col("fraction").cast("double") * F.col("n_total"))).select("participant_id", "fraction", "window_id")
 
 
 def _draws(seeds, n: int, budget: int) -> list[np.ndarray]:

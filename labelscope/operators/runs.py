@@ -22,11 +22,10 @@ def contiguous_runs(labels: DataFrame, by: list[str], order: list[str], code: st
     found inside blocks, and those of equal codes at a block's edge are joined by one row
     a block. So no window holds more than a block's rows, or a recording's blocks.
     """
-    parts = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = labels.select(*by, *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], F.col(code).alias("code"), F.monotonically_increasing_id().alias("_id"))
     sort = [*by, *[f"_o{k}" for k in range(len(order))], "code", "_id"]  # the number deals out rows that are equal in all else
     # written, since ranges are drawn anew whenever they are needed, and blocks have to stay
-    dealt = cut(known.repartitionByRange(parts, *sort).sortWithinPartitions(*sort).select(*by, "code", F.monotonically_increasing_id().alias("_at")))
+    dealt = cut(known.repartitionByRange(*sort).sortWithinPartitions(*sort).select(*by, "code", F.monotonically_increasing_id().alias("_at")))
     placed = dealt.withColumn("_block", F.floor(F.col("_at") / block))
     w = Window.partitionBy(*by, "_block").orderBy("_at")
     changed = F.when(F.row_number().over(w) == 1, 0).otherwise((~F.col("code").eqNullSafe(F.lag("code").over(w))).cast("int"))
