@@ -111,3 +111,24 @@ def test_trees_grown_together_equal_trees_grown_alone():
     assert any((a.feature != b.feature) for a, b in zip(few, together, strict=True)) and all(t.predict(x).min() >= 0 and t.predict(x).max() <= 1 for t in few)
     flat = T.grow_together(np.ones((20, 2)), np.zeros((20, 2), int), rng.integers(0, 20, (3, 20)), y[:20], w[:20], 4, 1, 2, np.random.default_rng(0))
     assert [len(t.value) for t in flat] == [1, 1, 1]
+
+
+def test_equal_rows_are_one_cell_and_trees_are_those_of_the_rows():
+    rng = np.random.default_rng(2)
+    x = np.column_stack([rng.integers(0, 9, 4000), rng.integers(0, 5, 4000)]).astype(float)
+    y = ((x[:, 0] * x[:, 1] + rng.normal(size=4000)) > 8).astype(float)
+    w = np.where(y == 1, 1.5, 0.75)
+    rank = T.ranks(x)
+    cells = T.Cells.of(rank)
+    assert len(cells.first) == len(np.unique(x, axis=0)) == 45 and (x[cells.first][cells.cell] == x).all() and np.allclose(cells.sums(w).sum(), w.sum())
+    drawn = rng.integers(0, 4000, (3, 4000))
+    for rows, tree in zip(drawn, T.grow_together(x, rank, drawn, y, w, 4, 40, 2, np.random.default_rng(0)), strict=True):
+        xb, yb, wb = x[rows], y[rows], w[rows]
+        alone = T.grow(xb, T._orders(xb, np.arange(4000)), wb * (yb - np.average(yb, weights=wb)), wb, 4, 40, 0.0, lambda: np.arange(2), lambda r, yb=yb, wb=wb: float(np.average(yb[r], weights=wb[r])))
+        assert np.allclose(alone.predict(x), tree.predict(x)) and len(alone.value) == len(tree.value)
+    g, h = w * (y - 0.4), w * 0.24
+    value = lambda a, b: lambda r: float(a[r].sum() / (b[r].sum() + 1))
+    by_rows = T.grow(x, T._orders(x, np.arange(4000)), g, h, 3, 1, 1.0, lambda: np.arange(2), value(g, h))
+    cg, ch = cells.sums(g), cells.sums(h)
+    by_cells = T.grow_by_ranks(cells, [np.unique(c) for c in x.T], np.arange(2), np.arange(45), cg, ch, 3, 1.0, value(cg, ch))
+    assert (by_rows.feature, by_rows.cut) == (by_cells.feature, by_cells.cut) and np.allclose(by_rows.value, by_cells.value)
