@@ -8,6 +8,7 @@ and peaks by local maxima with a distance and a prominence rule.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -36,6 +37,7 @@ class BvpParams:
 MAD_SCALE = 1.4826
 
 
+@lru_cache(maxsize=64)
 def butterworth(order: int, cutoff: float | tuple[float, float], rate_hz: float) -> np.ndarray:
     """Second-order sections (rows b0 b1 b2 1 a1 a2); low-pass for a number, band-pass for a pair."""
     k = np.arange(1, order + 1)
@@ -87,16 +89,10 @@ def _numerator(plus: list[float], minus: list[float], n: int) -> list[float]:
 BLOCK = 128
 
 
-def _run(section: np.ndarray, x: np.ndarray, start: float) -> np.ndarray:
-    """One section from the steady state for a constant ``start``.
-
-    The recursion has two state values (transposed direct form II). Blocks of samples are
-    products with the section's impulse response; only the state goes from block to block.
-    """
+@lru_cache(maxsize=64)
+def _block_response(section: tuple[float, ...]) -> tuple[np.ndarray, ...]:
+    """What a block's samples give, what the state before it gives, what its samples add to the state, and the state's step over it."""
     b0, b1, b2, _, a1, a2 = section
-    gain = (b0 + b1 + b2) / (1 + a1 + a2)
-    z2 = (b2 - a2 * gain) * start
-    state = np.array([(b1 - a1 * gain) * start + z2, z2])
     step = np.array([[-a1, 1.0], [-a2, 0.0]])  # states without input; the output is the first one
     push = np.array([b1 - a1 * b0, b2 - a2 * b0])  # what a unit of input adds to them
     powers = np.empty((BLOCK + 1, 2, 2))
@@ -108,13 +104,27 @@ def _run(section: np.ndarray, x: np.ndarray, start: float) -> np.ndarray:
     response = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
     carried = powers[:BLOCK, 0, :]
     gathered = (powers[:BLOCK][::-1] @ push).T
+    return response, carried, gathered, powers[BLOCK]
+
+
+def _run(section: np.ndarray, x: np.ndarray, start: float) -> np.ndarray:
+    """One section from the steady state for a constant ``start``.
+
+    The recursion has two state values (transposed direct form II). Blocks of samples are
+    products with the section's impulse response; only the state goes from block to block.
+    """
+    b0, b1, b2, _, a1, a2 = section
+    response, carried, gathered, leap = _block_response(tuple(section.tolist()))
+    gain = (b0 + b1 + b2) / (1 + a1 + a2)
+    z2 = (b2 - a2 * gain) * start
+    state = np.array([(b1 - a1 * gain) * start + z2, z2])
     n = len(x)
     blocks = np.concatenate([x, np.zeros(-n % BLOCK)]).reshape(-1, BLOCK)
     added = blocks @ gathered.T
     states = np.empty((len(blocks), 2))
     for k in range(len(blocks)):
         states[k] = state
-        state = powers[BLOCK] @ state + added[k]
+        state = leap @ state + added[k]
     return (blocks @ response.T + states @ carried.T).ravel()[:n]
 
 
@@ -165,8 +175,14 @@ def prominences(x: np.ndarray, peaks: np.ndarray) -> np.ndarray:
     """Height of each peak over the higher of the lowest points before a higher sample on either side."""
     if not len(peaks):
         return np.zeros(0)
-    left, right = _low_since_higher(x), _low_since_higher(x[::-1])[::-1]
-    return x[peaks] - np.maximum(left[peaks], right[peaks])
+    # only where the signal turns can it be highest or lowest
+    way = np.sign(np.diff(x))
+    turn = np.concatenate([[True], way[1:] != way[:-1], [True]])
+    turn[peaks] = True
+    turns = np.flatnonzero(turn)
+    y, at = x[turns], np.searchsorted(turns, peaks)
+    left, right = _low_since_higher(y), _low_since_higher(y[::-1])[::-1]
+    return x[peaks] - np.maximum(left[at], right[at])
 
 
 def find_peaks(x: np.ndarray, distance: float, prominence: float) -> tuple[np.ndarray, np.ndarray]:

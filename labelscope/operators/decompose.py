@@ -1,4 +1,4 @@
-"""Recording-level signal operators, chunk by chunk (see ``block_signals``): a recording is the work of many tasks.
+"""Recording-level signal operators: recordings of at most a chunk many a call, longer ones chunk by chunk (see ``block_signals``), the work of many tasks.
 
 A failure is a status, never an exception. Recordings whose peaks cannot be told from chunks
 for sure, such as very long stairs of ever higher peaks, are worked on whole, one a task.
@@ -15,55 +15,99 @@ from pyspark.sql import functions as F
 
 from labelscope.functions import signal as G
 from labelscope.operators import block_signals as B
+from labelscope.shared import cut
 
 EDA_SCHEMA = "participant_id string, sample_index long, value double, tonic double, phasic double, event_amplitude double, ok boolean, error string"
 BEAT_SCHEMA = "participant_id string, sample_index long, ok boolean, error string"
 
 
-def _by_recording(samples: DataFrame):
-    """Groups of recordings, dealt over as many tasks as there are shuffle partitions.
+def _each_recording(samples: DataFrame, run, frame_of, schema: str) -> DataFrame:
+    """``run`` on (indexes, values) of each recording in order, rows made by ``frame_of`` from what it gives of several.
 
-    The work is in the function, not in the bytes, so small partitions are not to be merged.
+    A task's recordings stream past, so no call to Python is for one alone. The work is in
+    the function, not in the bytes, so small partitions are not to be merged.
     """
     parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return samples.select("participant_id", "sample_index", "value").repartition(parts, "participant_id").groupBy("participant_id")
+    dealt = samples.select("participant_id", "sample_index", "value").repartition(parts, "participant_id").sortWithinPartitions("participant_id", "sample_index")
+
+    def stream(frames):
+        name, held = None, []  # of the recording that has begun
+
+        def ended() -> tuple:
+            index, x = (np.concatenate(v) for v in zip(*held, strict=True))
+            made = run(index, x)
+            return np.repeat(np.array([name], object), len(made[0])), *made
+
+        def rows(made: list[tuple]) -> pd.DataFrame:
+            return frame_of(*[np.concatenate(v) for v in zip(*made, strict=True)])
+
+        for frame in frames:
+            who, index, x = frame["participant_id"].to_numpy(dtype=object), frame["sample_index"].to_numpy(), frame["value"].to_numpy(float)
+            edges, made = [0, *(np.flatnonzero(who[1:] != who[:-1]) + 1).tolist(), len(who)], []
+            for begin, end in zip(edges[:-1], edges[1:], strict=True):
+                if begin == end:
+                    continue
+                if held and who[begin] != name:
+                    made.append(ended())
+                    held = []
+                name = who[begin]
+                held.append((index[begin:end], x[begin:end]))
+            if made:
+                yield rows(made)
+        if held:
+            yield rows([ended()])
+
+    return dealt.mapInPandas(stream, schema)
 
 
 def eda_of_whole_recordings(samples: DataFrame, rate_hz: float, params: G.EdaParams = G.EdaParams()) -> DataFrame:
-    """As ``eda_decomposition``, a recording a task."""
+    """As ``eda_decomposition``, a recording whole in a task."""
     given = asdict(params)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("sample_index").reset_index(drop=True)
-        out = frame.assign(tonic=None, phasic=None, event_amplitude=None, ok=False, error="")
+    def run(index: np.ndarray, x: np.ndarray) -> tuple:
+        amplitude, none = np.zeros(len(x)), np.ones(len(x), bool)
+        tonic, phasic, error = amplitude, amplitude, ""
         try:
-            tonic, phasic, at, height = G.decompose_eda(frame["value"].to_numpy(float), rate_hz, G.EdaParams(**given))
+            tonic, phasic, at, height = G.decompose_eda(x, rate_hz, G.EdaParams(**given))
+            amplitude[at], none[at] = height, False
         except ValueError as problem:
-            return out.assign(error=str(problem))
-        amplitude = np.zeros(len(frame))
-        amplitude[at] = height
-        none = np.ones(len(frame), bool)
-        none[at] = False
-        return out.assign(tonic=tonic, phasic=phasic, event_amplitude=pd.arrays.FloatingArray(amplitude, none), ok=True)
+            error = str(problem)
+        return index, x, tonic, phasic, amplitude, none, np.full(len(x), not error), np.full(len(x), error, object)
 
-    return _by_recording(samples).applyInPandas(run, EDA_SCHEMA)
+    def frame_of(who, index, x, tonic, phasic, amplitude, none, ok, error) -> pd.DataFrame:
+        masked = pd.arrays.FloatingArray
+        return pd.DataFrame({
+            "participant_id": who, "sample_index": index, "value": masked(x, np.isnan(x)), "tonic": masked(tonic, ~ok), "phasic": masked(phasic, ~ok),
+            "event_amplitude": masked(amplitude, none), "ok": ok, "error": error,
+        })
+
+    return _each_recording(samples, run, frame_of, EDA_SCHEMA)
 
 
 def beats_of_whole_recordings(samples: DataFrame, rate_hz: float, params: G.BvpParams = G.BvpParams()) -> DataFrame:
-    """As ``pulse_peaks``, a recording a task."""
+    """As ``pulse_peaks``, a recording whole in a task."""
     given = asdict(params)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("sample_index")
-        who = frame["participant_id"].iloc[0]
+    def run(index: np.ndarray, x: np.ndarray) -> tuple:
         try:
-            at, _ = G.detect_beats(frame["value"].to_numpy(float), rate_hz, G.BvpParams(**given))
+            at, _ = G.detect_beats(x, rate_hz, G.BvpParams(**given))
         except ValueError as problem:
-            return pd.DataFrame({"participant_id": [who], "sample_index": pd.array([None], "Int64"), "ok": [False], "error": [str(problem)]})
-        index = frame["sample_index"].to_numpy()[at]
-        return pd.DataFrame({"participant_id": who, "sample_index": pd.array(index, "Int64"), "ok": True, "error": ""})
+            return index[:1], np.zeros(1, bool), np.array([str(problem)], object)
+        return index[at], np.ones(len(at), bool), np.full(len(at), "", object)
+
+    def frame_of(who, index, ok, error) -> pd.DataFrame:
+        return pd.DataFrame({"participant_id": who, "sample_index": pd.arrays.IntegerArray(index.astype("int64"), ~ok), "ok": ok, "error": error})
+
+    return _each_recording(samples, run, frame_of, BEAT_SCHEMA)
 
-    return _by_recording(samples).applyInPandas(run, BEAT_SCHEMA)
+
+def _parted(samples: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame | None]:
+    """Recordings of at most a chunk, and longer ones if there are any; written once, since both and the counts read them."""
+    known = cut(samples.select("participant_id", F.col("sample_index").cast("long").alias("sample_index"), F.col("value").cast("double").alias("value")).filter("participant_id IS NOT NULL"))
+    long = cut(known.groupBy("participant_id").agg(F.count("*").alias("n")).filter(F.col("n") > chunk).select("participant_id"))
+    if long.isEmpty():
+        return known, None
+    return known.join(long, "participant_id", "left_anti"), known.join(long, "participant_id", "left_semi")
 
 
 NOT_FINITE = "recording has non-finite samples"
@@ -83,7 +127,14 @@ def eda_decomposition(samples: DataFrame, rate_hz: float, params: G.EdaParams =
     """Samples (participant_id, sample_index, value) with tonic and phasic parts and event amplitudes.
 
     Where a recording cannot be decomposed its parts are null, ok is false and error says why.
+    Recordings of at most a ``chunk`` are worked on whole, longer ones chunk by chunk.
     """
+    short, long = _parted(samples, chunk)
+    made = eda_of_whole_recordings(short, rate_hz, params)
+    return made if long is None else made.unionByName(_eda_by_chunks(long, rate_hz, params, chunk, reach))
+
+
+def _eda_by_chunks(samples: DataFrame, rate_hz: float, params: G.EdaParams, chunk: int, reach: int) -> DataFrame:
     sections = G.butterworth(params.order, params.cutoff_hz, rate_hz)
     short = F.when(F.col("n") < 8 * params.order + 1, F.lit("recording is too short to decompose"))
     rows = B.cut(B.placed(samples, chunk).withColumn("error", F.coalesce(short, F.when(F.col("n_bad") > 0, F.lit(NOT_FINITE)), _too_short(sections))))
@@ -104,7 +155,16 @@ def eda_decomposition(samples: DataFrame, rate_hz: float, params: G.EdaParams =
 
 
 def pulse_peaks(samples: DataFrame, rate_hz: float, params: G.BvpParams = G.BvpParams(), chunk: int = B.CHUNK, reach: int = B.REACH) -> DataFrame:
-    """One row for each beat (participant_id, sample_index); one with a null sample_index where detection failed."""
+    """One row for each beat (participant_id, sample_index); one with a null sample_index where detection failed.
+
+    Recordings of at most a ``chunk`` are worked on whole, longer ones chunk by chunk.
+    """
+    short, long = _parted(samples, chunk)
+    made = beats_of_whole_recordings(short, rate_hz, params)
+    return made if long is None else made.unionByName(_beats_by_chunks(long, rate_hz, params, chunk, reach))
+
+
+def _beats_by_chunks(samples: DataFrame, rate_hz: float, params: G.BvpParams, chunk: int, reach: int) -> DataFrame:
     sections = G.butterworth(params.order, (params.low_hz, params.high_hz), rate_hz)
     rows = B.cut(B.placed(samples, chunk).withColumn("error", F.coalesce(F.when(F.col("n_bad") > 0, F.lit(NOT_FINITE)), _too_short(sections))))
     chunks = B.worked(rows.filter("error IS NULL"), sections, params.distance_s * rate_hz, False, chunk, reach)

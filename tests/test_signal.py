@@ -133,3 +133,30 @@ def test_peaks_of_chunks_equal_those_of_the_whole_where_sure():
             sure += 1
             assert sorted(found) == at.tolist() and np.allclose([found[p] for p in at], height, atol=1e-12)
     assert sure > 60
+
+
+def test_short_recordings_are_not_cut_into_chunks(spark, monkeypatch):
+    def refuse(*args, **kwargs):
+        raise AssertionError("cut into chunks")
+
+    monkeypatch.setattr(decompose.B, "placed", refuse)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # batches that end inside recordings
+    try:
+        rng = np.random.default_rng(8)
+        made = {f"S{i}": np.round(np.cumsum(rng.normal(size=n)), 3) for i, n in enumerate((120, 3, 75, 200, 1))}
+        made["S5"] = np.where(np.arange(60) == 30, np.nan, 1.0)
+        df = spark.createDataFrame([(w, 10 + 2 * k, float(v)) for w, x in made.items() for k, v in enumerate(x)], "participant_id string, sample_index long, value double").repartition(3)
+        got = {w: f.sort_values("sample_index") for w, f in decompose.pulse_peaks(df, 64.0).toPandas().groupby("participant_id")}
+        parts = {w: f.sort_values("sample_index") for w, f in decompose.eda_decomposition(df, 4.0).toPandas().groupby("participant_id")}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert got.keys() == parts.keys() == made.keys()
+    for w, x in made.items():
+        assert parts[w]["sample_index"].tolist() == [10 + 2 * k for k in range(len(x))]
+        if w in ("S0", "S2", "S3"):
+            assert got[w]["sample_index"].tolist() == [10 + 2 * int(k) for k in decompose.G.detect_beats(x, 64.0)[0]] and got[w]["ok"].all()
+            tonic, _, at, height = decompose.G.decompose_eda(x, 4.0)
+            assert (parts[w]["tonic"].to_numpy(float) == tonic).all() and parts[w]["event_amplitude"].dropna().tolist() == height.tolist()
+        else:
+            assert got[w]["sample_index"].isna().all() and len(got[w]) == 1 and not parts[w]["ok"].any() and parts[w]["tonic"].isna().all() and (parts[w]["error"] != "").all()
