@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.functions import scalars as S
 from labelscope.operators import abstain, metrics, models, observe, splits, task_models
+from labelscope.operators.ranked import running_totals
 from labelscope.plans.registry import query
 from labelscope.plans.tables import PREDICTIONS, WINDOWS, predictions, read, scores, windows
 
@@ -252,11 +253,14 @@ dm AS (SELECT participant_id, fraction, rep, window_id FROM (SELECT pl.participa
   ORDER BY sha256(pl.window_id || ':' || fraction || ':' || rep)) AS r FROM pl, fr, draws) WHERE r <= floor(CAST(fraction AS DOUBLE) * n))"""
 
 
-def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _drawn(spark: SparkSession, sf_dir: str, draws: int = DRAWS) -> DataFrame:
     ids = windows(spark, sf_dir).select("participant_id", "window_id")
-    each = observe.budgets(scores(spark, sf_dir)).join(ids, "participant_id").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
-    place = Window.partitionBy("participant_id", "fraction", "rep").orderBy(F.sha2(F.concat_ws(":", "window_id", "fraction", F.col("rep").cast("string")), 256))
-    return each.withColumn("_r", F.row_number().over(place)).filter("_r <= budget").select("participant_id", "fraction", "rep", "window_id")
+    budgets_ = F.broadcast(observe.budgets(scores(spark, sf_dir)))  # a row a participant and fraction
+    each = ids.join(budgets_, "participant_id").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    key = ["participant_id", "fraction", "rep"]
+    digest = F.sha2(F.concat_ws(":", "window_id", "fraction", F.col("rep").cast("string")), 256)
+    placed = running_totals(each.select(*key, "window_id", "budget"), key, {"digest": digest}, {"n": F.lit(1)})
+    return placed.filter("n_before < budget").select(*key, "window_id")
 
 
 @query(
@@ -291,7 +295,7 @@ def contrast_of_digest_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = scores(spark, sf_dir)
     order = observe.consensus(p).select("participant_id", "window_id", F.struct(-F.round("consensus_score", 12), F.sha2("window_id", 256)).alias("place"))
-    return observe.audit_mixture(observe.targeted_mask(p), _drawn(spark, sf_dir).filter("rep = 0").drop("rep"), observe.budgets(p), order, 0.3)
+    return observe.audit_mixture(observe.targeted_mask(p), _drawn(spark, sf_dir, 1).drop("rep"), observe.budgets(p), order, 0.3)
 
 
 _WEIGHTS = "(SELECT unnest(['None', 'balanced']) AS w, unnest([0, 1]) AS iw)"
