@@ -353,3 +353,14 @@ def test_realisations_are_summed_by_blocks(spark, monkeypatch):
     parts = get()
     assert whole.keys() == parts.keys() and len(whole) == 2 * 4 * 4 * 3
     assert all(whole[k][c] == parts[k][c] for k in whole for c in ("tn", "fp", "fn", "tp")) and all(abs(whole[k][c] - parts[k][c]) < 1e-12 for k in whole for c in ("brier", "log_loss"))
+
+
+def test_audit_mixture_ranks_without_a_window_over_a_participant(spark, predictions, monkeypatch):
+    seen = []
+    ranked = observe.running_totals
+    order = observe.consensus(predictions).select("participant_id", "window_id", F.struct("window_id").alias("place"))
+    one = predictions.select("participant_id", "window_id").distinct().withColumn("fraction", F.lit("0.50"))
+    monkeypatch.setattr(observe, "running_totals", lambda rows, by, *a, **k: seen.append(by) or ranked(rows, by, *a, **k))
+    got = observe.audit_mixture(None, one, observe.budgets(predictions, ("0.50",)), order, 0.3)
+    counts = {r["participant_id"]: r["count"] for r in got.groupBy("participant_id").count().collect()}
+    assert seen == [["participant_id", "fraction"]] * 2 and counts == {"S2": 20, "S3": 8, "S5": 6, "S6": 15}
