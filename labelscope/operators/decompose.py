@@ -6,10 +6,12 @@ for sure, such as very long stairs of ever higher peaks, are worked on whole, on
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import asdict
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,93 +23,91 @@ EDA_SCHEMA = "participant_id string, sample_index long, value double, tonic doub
 BEAT_SCHEMA = "participant_id string, sample_index long, ok boolean, error string"
 
 
-def _each_recording(samples: DataFrame, run, frame_of, schema: str) -> DataFrame:
-    """``run`` on (indexes, values) of each recording in order, rows made by ``frame_of`` from what it gives of several.
+def _each_recording(samples: DataFrame, run, schema: str, dealt: bool) -> DataFrame:
+    """Of each recording in order, the columns that ``run`` makes of its (indexes, values), after its participant_id.
 
     A task's recordings stream past, so no call to Python is for one alone. The work is in
-    the function, not in the bytes, so small partitions are not to be merged.
+    the function, not in the bytes, so small partitions are not to be merged. Where samples are
+    ``dealt``, recordings whole and in order, they are not dealt once more.
     """
-    parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = samples.select("participant_id", "sample_index", "value").repartition(parts, "participant_id").sortWithinPartitions("participant_id", "sample_index")
+    given = samples.select("participant_id", "sample_index", "value")
+    if not dealt:
+        parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        given = given.repartition(parts, "participant_id").sortWithinPartitions("participant_id", "sample_index")
 
-    def stream(frames):
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, held = None, []  # of the recording that has begun
 
         def ended() -> tuple:
-            index, x = (np.concatenate(v) for v in zip(*held, strict=True))
-            made = run(index, x)
-            return np.repeat(np.array([name], object), len(made[0])), *made
-
-        def rows(made: list[tuple]) -> pd.DataFrame:
-            return frame_of(*[np.concatenate(v) for v in zip(*made, strict=True)])
-
-        for frame in frames:
-            who, index, x = frame["participant_id"].to_numpy(dtype=object), frame["sample_index"].to_numpy(), frame["value"].to_numpy(float)
-            edges, made = [0, *(np.flatnonzero(who[1:] != who[:-1]) + 1).tolist(), len(who)], []
-            for begin, end in zip(edges[:-1], edges[1:], strict=True):
-                if begin == end:
-                    continue
-                if held and who[begin] != name:
+            made = run(pa.concat_arrays([i for i, _ in held]), np.concatenate([x for _, x in held]))
+            return name, made
+
+        def rows(made: list[tuple]) -> pa.RecordBatch:
+            who = pa.array([w for w, _ in made], pa.string()).take(pa.array(np.repeat(np.arange(len(made)), [len(m[0]) for _, m in made])))
+            return pa.RecordBatch.from_arrays([who, *[pa.concat_arrays(c) for c in zip(*[m for _, m in made], strict=True)]], names)
+
+        for batch in batches:
+            index, x = batch["sample_index"], batch["value"].to_numpy(zero_copy_only=False)
+            runs = pc.run_end_encode(batch["participant_id"])
+            ends, made = runs.run_ends.to_pylist(), []
+            for who, begin, end in zip(runs.values.to_pylist(), [0, *ends], ends):  # noqa: B905
+                if held and who != name:
                     made.append(ended())
                     held = []
-                name = who[begin]
+                name = who
                 held.append((index[begin:end], x[begin:end]))
             if made:
                 yield rows(made)
         if held:
             yield rows([ended()])
 
-    return dealt.mapInPandas(stream, schema)
+    names = [c.split()[0] for c in schema.split(", ")]
+    return given.mapInArrow(stream, schema)
 
 
-def eda_of_whole_recordings(samples: DataFrame, rate_hz: float, params: G.EdaParams = G.EdaParams()) -> DataFrame:
+def eda_of_whole_recordings(samples: DataFrame, rate_hz: float, params: G.EdaParams = G.EdaParams(), dealt: bool = False) -> DataFrame:
     """As ``eda_decomposition``, a recording whole in a task."""
     given = asdict(params)
 
-    def run(index: np.ndarray, x: np.ndarray) -> tuple:
-        amplitude, none = np.zeros(len(x)), np.ones(len(x), bool)
-        tonic, phasic, error = amplitude, amplitude, ""
+    def run(index: pa.Array, x: np.ndarray) -> tuple:
+        n = len(x)
+        given_value = pa.array(x, mask=np.isnan(x))
         try:
             tonic, phasic, at, height = G.decompose_eda(x, rate_hz, G.EdaParams(**given))
-            amplitude[at], none[at] = height, False
         except ValueError as problem:
-            error = str(problem)
-        return index, x, tonic, phasic, amplitude, none, np.full(len(x), not error), np.full(len(x), error, object)
+            nothing = pa.nulls(n, pa.float64())
+            return index, given_value, nothing, nothing, nothing, pa.repeat(False, n), pa.repeat(str(problem), n)
+        amplitude, none = np.zeros(n), np.ones(n, bool)
+        amplitude[at], none[at] = height, False
+        return index, given_value, pa.array(tonic), pa.array(phasic), pa.array(amplitude, mask=none), pa.repeat(True, n), pa.repeat("", n)
 
-    def frame_of(who, index, x, tonic, phasic, amplitude, none, ok, error) -> pd.DataFrame:
-        masked = pd.arrays.FloatingArray
-        return pd.DataFrame({
-            "participant_id": who, "sample_index": index, "value": masked(x, np.isnan(x)), "tonic": masked(tonic, ~ok), "phasic": masked(phasic, ~ok),
-            "event_amplitude": masked(amplitude, none), "ok": ok, "error": error,
-        })
+    return _each_recording(samples, run, EDA_SCHEMA, dealt)
 
-    return _each_recording(samples, run, frame_of, EDA_SCHEMA)
 
-
-def beats_of_whole_recordings(samples: DataFrame, rate_hz: float, params: G.BvpParams = G.BvpParams()) -> DataFrame:
+def beats_of_whole_recordings(samples: DataFrame, rate_hz: float, params: G.BvpParams = G.BvpParams(), dealt: bool = False) -> DataFrame:
     """As ``pulse_peaks``, a recording whole in a task."""
     given = asdict(params)
 
-    def run(index: np.ndarray, x: np.ndarray) -> tuple:
+    def run(index: pa.Array, x: np.ndarray) -> tuple:
         try:
             at, _ = G.detect_beats(x, rate_hz, G.BvpParams(**given))
         except ValueError as problem:
-            return index[:1], np.zeros(1, bool), np.array([str(problem)], object)
-        return index[at], np.ones(len(at), bool), np.full(len(at), "", object)
-
-    def frame_of(who, index, ok, error) -> pd.DataFrame:
-        return pd.DataFrame({"participant_id": who, "sample_index": pd.arrays.IntegerArray(index.astype("int64"), ~ok), "ok": ok, "error": error})
+            return pa.nulls(1, pa.int64()), pa.repeat(False, 1), pa.repeat(str(problem), 1)
+        return index.take(pa.array(at)), pa.repeat(True, len(at)), pa.repeat("", len(at))
 
-    return _each_recording(samples, run, frame_of, BEAT_SCHEMA)
+    return _each_recording(samples, run, BEAT_SCHEMA, dealt)
 
 
 def _parted(samples: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame | None]:
-    """Recordings of at most a chunk, and longer ones if there are any; written once, since both and the counts read them."""
-    known = cut(samples.select("participant_id", F.col("sample_index").cast("long").alias("sample_index"), F.col("value").cast("double").alias("value")).filter("participant_id IS NOT NULL"))
+    """Recordings of at most a chunk, and longer ones if there are any, written.
+
+    Samples are counted first and then read again, which costs less than to write them all.
+    """
+    known = samples.select("participant_id", F.col("sample_index").cast("long").alias("sample_index"), F.col("value").cast("double").alias("value")).filter("participant_id IS NOT NULL")
     long = cut(known.groupBy("participant_id").agg(F.count("*").alias("n")).filter(F.col("n") > chunk).select("participant_id"))
     if long.isEmpty():
         return known, None
-    return known.join(long, "participant_id", "left_anti"), known.join(long, "participant_id", "left_semi")
+    return known.join(long, "participant_id", "left_anti"), cut(known.join(long, "participant_id", "left_semi"))
 
 
 NOT_FINITE = "recording has non-finite samples"
@@ -123,14 +123,15 @@ def _unsure(chunks: DataFrame) -> DataFrame:
     return chunks.filter("unsure").select("participant_id").distinct()
 
 
-def eda_decomposition(samples: DataFrame, rate_hz: float, params: G.EdaParams = G.EdaParams(), chunk: int = B.CHUNK, reach: int = B.REACH) -> DataFrame:
+def eda_decomposition(samples: DataFrame, rate_hz: float, params: G.EdaParams = G.EdaParams(), chunk: int = B.CHUNK, reach: int = B.REACH, dealt: bool = False) -> DataFrame:
     """Samples (participant_id, sample_index, value) with tonic and phasic parts and event amplitudes.
 
     Where a recording cannot be decomposed its parts are null, ok is false and error says why.
     Recordings of at most a ``chunk`` are worked on whole, longer ones chunk by chunk.
+    ``dealt`` says that a recording's samples lie in one partition, together and in order.
     """
     short, long = _parted(samples, chunk)
-    made = eda_of_whole_recordings(short, rate_hz, params)
+    made = eda_of_whole_recordings(short, rate_hz, params, dealt and long is None)
     return made if long is None else made.unionByName(_eda_by_chunks(long, rate_hz, params, chunk, reach))
 
 
@@ -154,13 +155,14 @@ def _eda_by_chunks(samples: DataFrame, rate_hz: float, params: G.EdaParams, chun
     return failed.unionByName(decided).unionByName(whole)
 
 
-def pulse_peaks(samples: DataFrame, rate_hz: float, params: G.BvpParams = G.BvpParams(), chunk: int = B.CHUNK, reach: int = B.REACH) -> DataFrame:
+def pulse_peaks(samples: DataFrame, rate_hz: float, params: G.BvpParams = G.BvpParams(), chunk: int = B.CHUNK, reach: int = B.REACH, dealt: bool = False) -> DataFrame:
     """One row for each beat (participant_id, sample_index); one with a null sample_index where detection failed.
 
     Recordings of at most a ``chunk`` are worked on whole, longer ones chunk by chunk.
+    ``dealt`` says that a recording's samples lie in one partition, together and in order.
     """
     short, long = _parted(samples, chunk)
-    made = beats_of_whole_recordings(short, rate_hz, params)
+    made = beats_of_whole_recordings(short, rate_hz, params, dealt and long is None)
     return made if long is None else made.unionByName(_beats_by_chunks(long, rate_hz, params, chunk, reach))
 
 

@@ -160,3 +160,47 @@ def test_short_recordings_are_not_cut_into_chunks(spark, monkeypatch):
             assert (parts[w]["tonic"].to_numpy(float) == tonic).all() and parts[w]["event_amplitude"].dropna().tolist() == height.tolist()
         else:
             assert got[w]["sample_index"].isna().all() and len(got[w]) == 1 and not parts[w]["ok"].any() and parts[w]["tonic"].isna().all() and (parts[w]["error"] != "").all()
+
+
+def test_hours_are_dealt_while_few_and_samples_are_not_written(spark, tmp_path, monkeypatch):
+    from datetime import datetime, timedelta
+
+    from labelscope.plans import recordings
+    from labelscope.plans.tables import samples
+    from pyspark.sql import functions as F
+
+    start, rows = datetime(2024, 1, 1), []
+    seconds = {1: [10, 20, 3_600, 40 * 3_600, 400_000], 2: [3_599], 3: [-7_000, -10], 4: [-9_000, -7_300], 5: [-5_000, 2 * 3_600, 700_000], 6: [None, 90_000], 7: [None], None: [5_000]}
+    for user, at in seconds.items():
+        rows += [(len(rows) + k, None if s is None else start + timedelta(seconds=s), user, "view", None if k == 2 else s and s / 7.0, None) for k, s in enumerate(at)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    # as it was: all hours, and the sums joined to them
+    spans = recordings.recordings(spark, str(tmp_path)).select("participant_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("duration_s") / 3600))).alias("sample_index"))
+    got = samples(spark, str(tmp_path)).groupBy("participant_id", F.floor(F.col("sample_index") / 3600).alias("sample_index")).agg(F.sum("value").alias("_v"))
+    want = spans.join(got, ["participant_id", "sample_index"], "left").select("participant_id", "sample_index", F.coalesce("_v", F.lit(0.0)).alias("value"))
+    order = lambda df: sorted(map(tuple, df.filter("participant_id IS NOT NULL").collect()))
+    hours = recordings.hourly(spark, str(tmp_path))
+    assert order(hours) == order(want) and len(order(hours)) > 300
+
+    written = []
+    monkeypatch.setattr(decompose, "cut", lambda df, cut=decompose.cut: written.append(df.columns) or cut(df))
+    dealt = decompose.eda_decomposition(hours, 4.0, dealt=True)
+    assert written == [["participant_id"]]
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan.split("Generate")[0] and "Join" not in plan
+    keys = ["participant_id", "sample_index"]
+    frames = [df.toPandas().sort_values(keys).reset_index(drop=True) for df in (dealt, decompose.eda_decomposition(hours.repartition(3), 4.0))]
+    assert frames[0].equals(frames[1]) and frames[0]["ok"].any() and not frames[0]["ok"].all()
+
+
+def test_rounding_of_many_is_that_of_few(spark):
+    from labelscope.plans.registry import rounded
+
+    rng = np.random.default_rng(3)
+    ties = (rng.integers(-(10**9), 10**9, 20_000) + 0.5) / 1e6
+    made = [ties, np.nextafter(ties, np.inf), np.nextafter(ties, -np.inf), ties + rng.normal(size=20_000) * 1e-9, rng.normal(size=20_000) * 10.0 ** rng.integers(-9, 18, 20_000)]
+    values = [*np.concatenate(made).tolist(), 0.0, -0.0, -1e-9, 1e6, -999_999.9999995, 1e300, 5e-324, float("inf"), float("-inf"), float("nan"), None]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k long, v double")
+    few, many = rounded(df), rounded(df, many=True)
+    bits = lambda d: [r[0] for r in d.orderBy("k").selectExpr("hex(cast(v AS string))").collect()]
+    assert bits(few) == bits(many)
