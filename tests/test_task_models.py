@@ -132,3 +132,68 @@ def test_equal_rows_are_one_cell_and_trees_are_those_of_the_rows():
     cg, ch = cells.sums(g), cells.sums(h)
     by_cells = T.grow_by_ranks(cells, [np.unique(c) for c in x.T], np.arange(2), np.arange(45), cg, ch, 3, 1.0, value(cg, ch))
     assert (by_rows.feature, by_rows.cut) == (by_cells.feature, by_cells.cut) and np.allclose(by_rows.value, by_cells.value)
+
+
+def lengths(n: int, seed: int):
+    """Rows like the query's: lengths, one of 17 numbers with gaps, and a root of the lengths, which has their order."""
+    rng = np.random.default_rng(seed)
+    a = np.floor(np.exp(rng.normal(4, 1, n))) + 1
+    x = np.column_stack([a, np.where(a > 20, rng.integers(0, 17, n), np.nan), np.sqrt(a)])
+    return x, (rng.random(n) < 0.3 + 0.3 * (x[:, 1] > 8) + 0.2 * (a > 60)).astype(float)
+
+
+@pytest.mark.parametrize("family", ["random_forest", "xgboost"])
+def test_all_candidates_of_a_fold_are_fitted_at_once_and_on_a_grid_alike(family, monkeypatch):
+    x, y = lengths(3000, 5)
+    held = lengths(700, 6)[0]
+    alone = [T.fit_predict(c, x, y, held, 9, 12, 12) for c in models.GRIDS[family]]  # trees grown together
+    in_cells = [p for _, p in T.fits(models.GRIDS[family], x, y, held, 9, 12, 12)]
+    assert max(np.abs(a - b).max() for a, b in zip(alone, in_cells, strict=True)) < 1e-9
+    monkeypatch.setattr(T, "TOGETHER", 1)  # as with many rows
+    monkeypatch.setattr(T, "GRID", 0)
+    in_cells = list(T.fits(models.GRIDS[family], x, y, held, 9, 12, 12))
+    monkeypatch.setattr(T, "GRID", 8)
+    seen, boxes = [], T.grow_boxes
+    monkeypatch.setattr(T, "grow_boxes", lambda *a, **k: seen.append(1) or boxes(*a, **k))
+    on_grid = list(T.fits(models.GRIDS[family], x, y, held, 9, 12, 12))
+    assert len(seen) == 8 * 12
+    for ((_, few), p), ((medians, many), q) in zip(in_cells, on_grid, strict=True):
+        assert np.abs(p - q).max() < 1e-9 and np.ptp(q) > 0.05
+        assert np.abs(T.predict(family, (medians, many), held) - q).max() < 1e-9  # trees and boxes
+        assert [(t.feature, t.cut) for t in few] == [(t.feature, t.cut) for t in many]
+
+
+def test_a_tree_on_a_grid_is_that_of_the_rows():
+    x, y = lengths(2500, 8)
+    x = T.imputed(x)[1]
+    grid = T.Grid.of(x)
+    assert grid.axis == [1, 0, 1] and grid.shape == (17, len(np.unique(x[:, 0]))) and T.Grid.of(np.random.default_rng(0).normal(size=(200, 2))) is None
+    every = lambda count: np.tile(np.arange(3), (count, 1))
+    w = np.where(y == 1, 1.5, 0.75)
+    sums = np.bincount(grid.place + (y == 1) * grid.shape[0] * grid.shape[1], minlength=2 * grid.shape[0] * grid.shape[1]).reshape(2, *grid.shape)
+    made, boxes = T.grow_boxes(grid, sums, 4, every, lambda a, b: (0.75 * a + 1.5 * b, 1.5 * b), lambda h, g: g / h, 25)
+    rows = T.grow(x, T._orders(x, np.arange(2500)), w * (y - np.average(y, weights=w)), w, 4, 25, 0.0, lambda: np.arange(3), lambda r: float(np.average(y[r], weights=w[r])))
+    (tree,) = made
+    assert len(tree.value) == len(rows.value) > 9 and np.allclose(tree.predict(x), rows.predict(x)) and np.allclose(made.totals(x), rows.predict(x))
+    assert np.allclose(grid.filled(boxes).ravel()[grid.place], rows.predict(x))
+    g, h = w * (y - 0.4), w * 0.24
+    table = np.array([np.bincount(grid.place, v, sums[0].size) for v in (h, g)]).reshape(sums.shape)
+    made, boxes = T.grow_boxes(grid, table, 3, every, lambda a, b: (a, b), lambda h, g: g / (h + 1), reg=1.0)
+    cells = T.Cells.of(T.ranks(x))
+    cg, ch = cells.sums(g), cells.sums(h)
+    plain = T.grow_by_ranks(cells, grid.levels, np.arange(3), np.arange(len(ch)), cg, ch, 3, 1.0, lambda r: float(cg[r].sum() / (ch[r].sum() + 1)))
+    assert len(made.value) == len(plain.value) > 5 and np.allclose(made.totals(x), plain.predict(x)) and np.allclose(grid.filled(boxes).ravel()[grid.place], plain.predict(x))
+
+
+def test_trees_of_many_parts_stay_apart():
+    x, y = lengths(400, 1)
+    x = T.imputed(x)[1]
+    sample = T.Sample.of(x, y, x[:0])
+    parts = [T.fit_forest(sample, 3, 5, np.ones(400), n, n)[0] for n in (4, 2, 6)]
+    every = T.Trees.of(parts)
+    each = [t for p in parts for t in p]
+    assert every.count == 12 and [(t.feature, t.cut, t.value) for t in every] == [(t.feature, t.cut, t.value) for t in each]
+    assert np.allclose(every.totals(x), sum(t.predict(x) for t in each)) and np.allclose(every.dealt(3)[1].totals(x), sum(t.predict(x) for t in each[1::3]))
+    assert T.Trees.of([]).dealt(1)[0].totals(x).tolist() == [0.0] * 400
+    with pytest.raises(ValueError, match="different weights"):
+        T.grow_together(x, T.ranks(x), np.arange(400)[None], y, np.arange(400.0), 3, 5, 1, np.random.default_rng(0))
