@@ -197,3 +197,20 @@ def test_trees_of_many_parts_stay_apart():
     assert T.Trees.of([]).dealt(1)[0].totals(x).tolist() == [0.0] * 400
     with pytest.raises(ValueError, match="different weights"):
         T.grow_together(x, T.ranks(x), np.arange(400)[None], y, np.arange(400.0), 3, 5, 1, np.random.default_rng(0))
+
+
+def test_boosted_trees_grown_level_by_level_are_those_grown_alone():
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        x = rng.normal(size=(1500, 5))
+        x[:, 2] = np.round(x[:, 2], 1)
+        y, p, kept = (x[:, 0] * x[:, 1] + rng.normal(size=1500) > 0).astype(float), rng.random(1500), rng.random(1500) < 0.8
+        cells, levels, cols = T.Cells.of(T.ranks(x)), [np.unique(c) for c in x.T], np.array([0, 1, 2, 4])
+        g, h, n, x = cells.sums(kept * (y - p)), cells.sums(kept * p * (1 - p)), len(cells.first), x[cells.first]
+        plain = T.grow_by_ranks(cells, levels, cols, np.flatnonzero(h > 0), g, h, 3, 1.0, lambda r, g=g, h=h: float(g[r].sum() / (h[r].sum() + 1)))
+        made, leaf = T.grow_levels(
+            cells, levels, np.repeat(np.arange(3), n), np.tile(np.arange(n), 3), (np.tile(h, 3), np.tile(g, 3)), np.array([3, 2, 3]), lambda count, cols=cols: np.tile(cols, (count, 1)), lambda a, b: (a, b), lambda h, g, _: g / (h + 1), reg=1.0
+        )
+        first, second, third = made
+        assert len(first.value) == len(third.value) == len(plain.value) > len(second.value)
+        assert all(np.allclose(t.predict(x), plain.predict(x)) for t in (first, third)) and np.allclose(made.value[leaf].reshape(3, -1)[1], second.predict(x))
